@@ -69,8 +69,8 @@ def containment(a: Column, b: Column, same: Column) -> Column:
     return F.when(same, F.lit(1.0)).when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(0.0))
 
 
-def in_order(docs: DataFrame, n: int) -> DataFrame:
-    """Adds ``_next``, the (_text, _kept, _print) of the next row by _id; after the last row comes the first.
+def in_order(docs: DataFrame, n: int, shingle: int, scale: int) -> DataFrame:
+    """Adds _next and _next_kept, the _text and _kept of the next row by _id; after the last row comes the first.
 
     Rows are dealt to ranges of ids of about RANGE_ROWS rows: at most CUTS
     quantiles, each split evenly. A range is ordered by itself; its last row
@@ -87,15 +87,13 @@ def in_order(docs: DataFrame, n: int) -> DataFrame:
     low, high = F.get(F.col("_bounds"), F.col("_slot")), F.coalesce(F.get(F.col("_bounds"), F.col("_slot") + 1), F.col("_id") + 1)
     part = F.col("_slot") * within + F.floor((F.col("_id") - low) * F.lit(float(within)) / (high - low))
     ranged = docs.withColumn("_slot", slot).withColumn("_bounds", bounds).withColumn("_range", F.coalesce(part.cast("bigint"), F.lit(-1))).drop("_slot", "_bounds")
-    ranged = ranged.withColumn("_row", F.struct("_text", "_kept", "_print"))
-    order = [F.col("_id"), F.col("_print"), F.col("_text")]
-    firsts = ranged.groupBy("_range").agg(F.min_by("_row", F.struct("_id", "_print")).alias("_first"))
-    numbers = firsts.select("_range")
+    firsts = ranged.groupBy("_range").agg(F.min_by("_text", F.struct("_id", "_text")).alias("_first"))
     w = Window.orderBy("_range")
-    follow = numbers.select("_range", F.coalesce(F.lead("_range").over(w), F.min("_range").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_follow"))
-    follow = follow.join(firsts.select(F.col("_range").alias("_follow"), "_first"), "_follow").select("_range", "_first")
-    led = ranged.withColumn("_lead", F.lead("_row").over(Window.partitionBy("_range").orderBy(*order)))
-    return led.join(follow, "_range").withColumn("_next", F.coalesce("_lead", "_first")).drop("_lead", "_first", "_row", "_range")
+    follow = firsts.select("_range").select("_range", F.coalesce(F.lead("_range").over(w), F.min("_range").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_follow"))
+    follow = follow.join(firsts.select(F.col("_range").alias("_follow"), "_first"), "_follow").select("_range", "_first", sketch(F.col("_first"), shingle, scale).alias("_first_kept"))
+    by = Window.partitionBy("_range").orderBy("_id", "_text")
+    led = ranged.withColumn("_next", F.lead("_text").over(by)).withColumn("_next_kept", F.lead("_kept").over(by))
+    return led.join(follow, "_range").withColumn("_next_kept", F.coalesce("_next_kept", "_first_kept")).withColumn("_next", F.coalesce("_next", "_first")).drop("_first", "_first_kept", "_range")
 
 
 def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
@@ -103,28 +101,27 @@ def fingerprint_documents(docs: DataFrame, shingle: int = SHINGLE, scale: int =
 
     The edited text has the last floor(n / 2) code points replaced by the first
     as many (or all) of the next document's by doc_id. A null text counts as
-    empty and a null doc_id comes first; repeated ids are ordered by fingerprint
-    and text. Other columns are ignored. An empty table gives no rows; a single
+    empty and a null doc_id comes first; repeated ids are ordered by text. Other columns are ignored. An empty table gives no rows; a single
     document is its own next.
     """
     own = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    own = own.withColumn("_kept", sketch(F.col("_text"), shingle, scale)).withColumn("_print", encode(F.col("_text"), F.col("_kept")))
+    own = own.withColumn("_kept", sketch(F.col("_text"), shingle, scale))
     n = docs.count()
     if not n:
-        pairs = own.withColumn("_next", F.struct("_text", "_kept", "_print"))
+        pairs = own.withColumn("_next", F.col("_text")).withColumn("_next_kept", F.col("_kept"))
     else:
-        pairs = in_order(own, n)
+        pairs = in_order(own, n, shingle, scale)
     half = F.floor(F.length("_text") / 2).cast("int")
-    pairs = pairs.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), F.length("_text") - half), F.substring(F.col("_next._text"), F.lit(1), half)))
+    pairs = pairs.withColumn("_edited", F.concat(F.substring("_text", F.lit(1), F.length("_text") - half), F.substring(F.col("_next"), F.lit(1), half)))
     pairs = pairs.withColumn("_edited_kept", sketch(F.col("_edited"), shingle, scale))
     return pairs.select(
         F.col("_id").alias("doc_id"),
         F.length("_text").cast("bigint").alias("n_chars"),
         F.sha2(F.col("_edited"), 256).alias("edited_sha256"),
-        F.col("_print").alias("fingerprint"),
+        encode(F.col("_text"), F.col("_kept")).alias("fingerprint"),
         encode(F.col("_edited"), F.col("_edited_kept")).alias("edited_fingerprint"),
         resemblance(F.col("_kept"), F.col("_edited_kept"), F.col("_text") == F.col("_edited")).alias("near_edited"),
-        resemblance(F.col("_kept"), F.col("_next._kept"), F.col("_text") == F.col("_next._text")).alias("near_next"),
+        resemblance(F.col("_kept"), F.col("_next_kept"), F.col("_text") == F.col("_next")).alias("near_next"),
         containment(F.col("_kept"), F.col("_edited_kept"), F.col("_text") == F.col("_edited")).alias("contained_in_edited"),
     )
 
