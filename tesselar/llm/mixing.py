@@ -87,12 +87,12 @@ def _pick(block: Column, n: Column, shift: Column) -> Column:
     return F.pmod((block % n) * (stride % n) + shift, n)
 
 
-def plan(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
-    """For each row of docs (doc_id, text, source; other columns stay): size, source_size, target, _at, _passes, _extra, _left, _blocks, _shift.
+def plan(docs: DataFrame, carry: list[str], block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
+    """For each row of docs (doc_id, text, source; of these and others ``carry`` stays): doc_id, size, source_size, target, _at, _passes, _extra, _left, _blocks, _shift.
 
     ``_at`` is where the row begins on its source's axis of words, whose order
     is by a seeded digest of the doc_id; rows of equal id are ordered by size and
-    text. A null text has size 0, a null source is a source of its own, after
+    a digest of the text. A null text has size 0, a null source is a source of its own, after
     all others. A source's rows are ordered in buckets of the digest, so no task
     holds more than a bucket.
     """
@@ -101,7 +101,9 @@ def plan(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{SEED}")))
     n = docs.count()
     buckets = max(64, pieces_of(n, BUCKET_ROWS))
-    sized = sized.withColumn("_order", digest).withColumn("bucket", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("bigint") * buckets / 4294967296).cast("int"))
+    sized = sized.withColumn("_tie", F.md5(F.coalesce("text", F.lit(""))))
+    sized = sized.select(*[c for c in sized.columns if c in carry], "key", "size", "_tie", "doc_id", digest.alias("_order"))
+    sized = sized.withColumn("bucket", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("bigint") * buckets / 4294967296).cast("int"))
     narrow = sized.groupBy("key", "bucket").agg(F.sum("size").alias("_sum"), F.count("*").alias("_rows"))
     sources = narrow.groupBy("key").agg(F.sum("_sum").alias("source_size"), F.sum("_rows").alias("rows"))
     aims = _targets(sources)
@@ -114,8 +116,8 @@ def plan(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame
     run = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = narrow.withColumn("_start", F.coalesce(F.sum("_sum").over(run), F.lit(0))).select("key", "bucket", "_start")
     starts = starts.join(held.drop("quotas", "rows", "weight", "_words", "_rest"), "key")
-    inside = Window.partitionBy("key", "bucket").orderBy("_order", "doc_id", "size", "text").rowsBetween(Window.unboundedPreceding, -1)
-    return sized.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["key", "bucket"]).withColumn("_at", F.col("_start") + F.col("_in")).drop("_in", "_start", "_order", "bucket")
+    inside = Window.partitionBy("key", "bucket").orderBy("_order", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    return sized.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["key", "bucket"]).withColumn("_at", F.col("_start") + F.col("_in")).drop("_in", "_start", "_order", "_tie", "bucket")
 
 
 def _cuts(block: int) -> Column:
@@ -139,7 +141,7 @@ def mix_counts(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> Dat
     Empty tables give no rows; where all texts are blank every target and taken is 0.
     """
     narrow = docs.select("doc_id", "source", "text")
-    planned = plan(narrow, block, shards).drop("text")
+    planned = plan(narrow, [], block, shards)
     got = F.aggregate(_cuts(block), F.lit(0).cast("bigint"), lambda a, x: a + x["hi"] - x["lo"])
     return planned.select("doc_id", "size", "source_size", "target", (F.col("_passes") * F.col("size") + got).alias("taken"))
 
@@ -152,14 +154,15 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) ->
     nothing of leave; documents without words stay as they are, as they weigh nothing.
     """
     columns = docs.columns
-    narrow = docs.select("doc_id", "source", "text", F.struct("*").alias("_row"))
-    planned = plan(narrow, block, shards).withColumn("_parts", _cuts(block))
+    others = [c for c in columns if c not in ("doc_id", "text", "n_chars")]
+    narrow = docs.select("doc_id", "source", "text", F.struct(*others).alias("_row"))
+    planned = plan(narrow, ["text", "_row"], block, shards).withColumn("_parts", _cuts(block))
     split = words(F.col("text"))
     some = F.when(F.size("_parts") > 0, F.array_join(F.flatten(F.transform("_parts", lambda x: F.slice(split, x["lo"].cast("int") + 1, (x["hi"] - x["lo"]).cast("int")))), " "))
     whole = F.array_repeat(F.col("text"), F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("_passes")).cast("int"))
     texts = F.concat(whole, F.when(some.isNotNull(), F.array(some)).otherwise(F.array().cast("array<string>")))
     out = planned.withColumn("_text", F.explode(texts))
-    kept = {"text": F.col("_text"), "n_chars": F.length("_text").cast("bigint")}
+    kept = {"doc_id": F.col("doc_id"), "text": F.col("_text"), "n_chars": F.length("_text").cast("bigint")}
     return out.select(*[kept[c].alias(c) if c in kept else F.col("_row")[c].alias(c) for c in columns])
 
 
@@ -185,7 +188,7 @@ g AS (SELECT *, CASE WHEN source_size > 0 THEN wanted // source_size ELSE 0 END
 a AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.passes, g.rest // {BLOCK} AS extra, g.rest % {BLOCK} AS part, g.blocks,
              CASE WHEN blocks > 0 THEN ('0x' || substr(md5(coalesce(d.source, '') || ':{SEED}'), 1, 8))::BIGINT % blocks END AS shift,
              CASE WHEN blocks % {STRIDES[0]} <> 0 THEN {STRIDES[0]} ELSE {STRIDES[1]} END AS stride,
-             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size, d.text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size, md5(coalesce(d.text, '')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 k AS (SELECT *, row_number() OVER () AS id FROM a),
 b AS (SELECT id, pos, size, extra, part, kk, ((kk % blocks) * (stride % blocks) + shift) % blocks AS place
