@@ -174,12 +174,12 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def gram_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(hashes: np.ndarray, k: int, powers: Powers = WORD_POWERS) -> np.ndarray:
     """Hashes of the n - k + 1 runs of k words, across texts too."""
     n = len(hashes)
     if n < k:
         return np.empty(0, np.uint64)
-    up, down = WORD_POWERS.to(n + 1)
+    up, down = powers.to(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(hashes * up[:n], out=sums[1:])
     return mix((sums[k:] - sums[: n - k + 1]) * down[: n - k + 1])

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import bitplane, fingerprints, mixing, packing, sharding, simhash
+from . import bitplane, fingerprints, mixing, packing, sharding, simhash, substring
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op3_simhash_near_duplicates": simhash.op3_simhash_near_duplicates,
+    "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_token_bitplanes": bitplane.op5_token_bitplanes,
     "op6_shuffled_shards": sharding.op6_shuffled_shards,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 
-ORACLES = {"op10_source_mixing": mixing.ORACLE}
+ORACLES = {"op4_substring_dedup": substring.ORACLE, "op10_source_mixing": mixing.ORACLE}
