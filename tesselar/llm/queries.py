@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplane, fingerprints, mixing, packing, sharding, simhash, substring
+from . import ann, bitplane, fingerprints, mixing, packing, sharding, simhash, substring
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
@@ -11,7 +11,8 @@ QUERIES = {
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_token_bitplanes": bitplane.op5_token_bitplanes,
     "op6_shuffled_shards": sharding.op6_shuffled_shards,
+    "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 
-ORACLES = {"op4_substring_dedup": substring.ORACLE, "op10_source_mixing": mixing.ORACLE}
+ORACLES = {"op4_substring_dedup": substring.ORACLE, "op9_nearest_neighbours": ann.ORACLE, "op10_source_mixing": mixing.ORACLE}
