@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bitplane, fingerprints, langid, mixing, packing, sharding, simhash, substring
+from . import ann, bitplane, fingerprints, langid, mixing, packing, sharding, simhash, substring, wrappers
 
 QUERIES = {
     "op1_document_fingerprints": fingerprints.op1_document_fingerprints,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_token_bitplanes": bitplane.op5_token_bitplanes,
     "op6_shuffled_shards": sharding.op6_shuffled_shards,
+    "op7_wrapper_extraction": wrappers.op7_wrapper_extraction,
     "op8_language_id": langid.op8_language_id,
     "op9_nearest_neighbours": ann.op9_nearest_neighbours,
     "op10_source_mixing": mixing.op10_source_mixing,
