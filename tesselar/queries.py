@@ -23,7 +23,7 @@ from .operators import clients as CL
 from .operators import specs as SP
 from .operators.pycode import python_rows
 from .operators.splitting import by_headers, by_size
-from .plans import api, incremental, search, validation
+from .plans import api, cells, incremental, search, validation
 from .plans.manifest import violations
 from .plans.store import ChunkTable
 
@@ -653,10 +653,13 @@ _tool("q8_search", lambda s: s.search(_ASKED, 10, "deneb"))
 _tool("q9_search_function", lambda s: s.search_function("fn", "bellatrix"))
 
 
-@query("k4_coarse_cells", "SELECT label AS cell, count(*) AS n FROM embeddings GROUP BY label")
+@query("k4_coarse_cells", f"SELECT vec_id, round({_SCORE}, 6) AS score FROM embeddings ORDER BY {_SCORE} DESC, vec_id LIMIT 20")
 def coarse_cells(spark, d):
-    """Cell sizes of the coarse index; the label serves as cell here, ``plans.cells`` fits them."""
-    return table(spark, d, "embeddings").groupBy(F.col("label").alias("cell")).agg(F.count("*").alias("n"))
+    """Search through the coarse index with every cell probed, where it must equal the exact search."""
+    e = table(spark, d, "embeddings")
+    centres = cells.fit(e, "embedding", "vec_id")
+    found = cells.search(cells.assign(e, centres, "embedding"), centres, _first_vector(e), 20, len(centres), "embedding", "vec_id")
+    return found.select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("t1_page_headings", r"""

@@ -20,8 +20,7 @@ from ..operators.clients import SUFFIXES
 def _texts(spark: SparkSession, root: str, pattern: str, recursive: bool = True) -> DataFrame:
     if not Path(root).is_dir():
         raise FileNotFoundError(root)
-    read = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    found = read.text(root).select(F.col("value").alias("content"), F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("uri"))
+    found = spark.read.text(root, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive).select(F.col("value").alias("content"), F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("uri"))
     return found.select("content", F.url_decode("uri").alias("abs_path"))
 
 
