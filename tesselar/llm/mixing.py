@@ -157,8 +157,8 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) ->
     others = [c for c in columns if c not in ("doc_id", "text", "n_chars")]
     narrow = docs.select("doc_id", "source", "text", F.struct(*others).alias("_row"))
     planned = plan(narrow, ["text", "_row"], block, shards).withColumn("_parts", _cuts(block))
-    split = words(F.col("text"))
-    some = F.when(F.size("_parts") > 0, F.array_join(F.flatten(F.transform("_parts", lambda x: F.slice(split, x["lo"].cast("int") + 1, (x["hi"] - x["lo"]).cast("int")))), " "))
+    picked = lambda w: F.array_join(F.flatten(F.transform("_parts", lambda x: F.slice(w, x["lo"].cast("int") + 1, (x["hi"] - x["lo"]).cast("int")))), " ")
+    some = F.when(F.size("_parts") > 0, F.get(F.transform(F.array(words(F.col("text"))), picked), F.lit(0)))  # a text is split once, not for each part
     whole = F.array_repeat(F.col("text"), F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("_passes")).cast("int"))
     texts = F.concat(whole, F.when(some.isNotNull(), F.array(some)).otherwise(F.array().cast("array<string>")))
     out = planned.withColumn("_text", F.explode(texts))
