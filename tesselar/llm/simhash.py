@@ -172,6 +172,7 @@ def link(ws: Workspace, fps: DataFrame, errors: int = ERRORS) -> DataFrame:
         return pa.Table.from_arrays([pa.array((x ^ np.uint64(1 << 63)).view(np.int64)) for x in (a, b)], schema=kinds)
 
     small_batches(fps.sparkSession)
+    dealt = dealt.repartition(k * (k + 1) // 2, "lo", "hi")  # few bytes, much work: not to be coalesced
     edges = dealt.groupBy("lo", "hi").applyInArrow(walk, "a bigint, b bigint")
     rooted = components(ws, edges)
     return fps.join(rooted, fps["fp"] == rooted["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
