@@ -161,12 +161,14 @@ def repeated(ws: Workspace, docs: DataFrame, rows: DataFrame, batches: int = BAT
         texts = ws.put(_texts(docs).join(hot, "doc_id"), f"texts{i}")
         release(ws.spark)
         seen = windows(texts, window, anchor)
-        least = seen.groupBy("a", "b").agg(F.min("doc_id").alias("least"))
+        # of windows in two documents or more; a table of its own, so that a window in very many can be split in the join
+        least = ws.put(seen.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").drop("last"), f"least{i}")
         late = seen.join(least, ["a", "b"]).where("doc_id > least")
         if lo is not None:
             late = late.where(F.col("doc_id") > lo)
         late = late.select("doc_id", F.shiftright("place", 31).alias("tid"), F.col("place").bitwiseAND((1 << 31) - 1).alias("place"))
         late = ws.put(late.groupBy("doc_id", "tid").agg(F.collect_list("place").alias("places")), f"late{i}")
+        ws.drop(f"least{i}")
         release(ws.spark)
         out = late if out is None else out.unionByName(late)
     return out
