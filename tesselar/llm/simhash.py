@@ -203,14 +203,14 @@ def keep_one(docs: DataFrame, errors: int = ERRORS) -> DataFrame:
     """The documents with the smallest doc_id of each component, with the columns of docs; one of repeated rows stays."""
     columns = docs.columns
     ws = Workspace(docs.sparkSession, "simhash-keep")
-    rows = docs.select(F.struct("*").alias("_row"), "text", F.col("doc_id").cast("bigint").alias("_id"))
+    rows = docs.select(F.struct(*[c for c in columns if c != "text"]).alias("_row"), "text", F.col("doc_id").cast("bigint").alias("_id"))
     printed = ws.put(with_fingerprint(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select("doc_id", "fp"), "printed")
     reps = groups(ws, printed, errors).select("rep").distinct().select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.fp").alias("rep_fp"))
     reps = ws.put(reps, "reps")
     ids = reps.where("rep_id is not null")
     kept = rows.join(ids.select("rep_id").distinct(), F.col("_id") == F.col("rep_id"), "left_semi").unionByName(rows.where("_id is null"))
     kept = with_fingerprint(kept, "_fp").join(reps, F.col("_id").eqNullSafe(F.col("rep_id")) & (F.col("_fp") == F.col("rep_fp")), "left_semi")
-    return kept.dropDuplicates(["_id", "_fp"]).select(*[F.col("_row")[c].alias(c) for c in columns])
+    return kept.dropDuplicates(["_id", "_fp"]).select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in columns])
 
 
 def op3_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
