@@ -177,8 +177,9 @@ def repeated(ws: Workspace, docs: DataFrame, rows: DataFrame, batches: int = BAT
 def analyse(ws: Workspace, docs: DataFrame, batches: int = BATCHES, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, n_words, sha, tid, first: smallest doc_id with equal words) of docs, and ``repeated`` of the first ones."""
     scanned = ws.put(scan(docs, window), "scanned")
-    least = scanned.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    narrow = ws.put(scanned.drop("anchors").join(least, "sha"), "rows")
+    # of texts that stand more than once; a table of its own, so that a text in very many rows can be split in the join
+    least = ws.put(scanned.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "equal")
+    narrow = ws.put(scanned.drop("anchors").join(least, "sha", "left").withColumn("first", F.coalesce("first", "doc_id")), "rows")
     own = narrow.where("doc_id = first and n_words >= %d" % window).select("doc_id", "sha").distinct()
     firsts = scanned.join(own, ["doc_id", "sha"], "left_semi").select("doc_id", "tid", "anchors")
     return narrow, repeated(ws, docs, firsts, batches, window)
