@@ -23,6 +23,8 @@ LANGUAGES = 256
 SMOOTHING = 0.5
 #: Code points of a word that are segmented at once; longer words are scored in runs of so many.
 RUN = 256
+#: Values below which a run is scored in logarithms instead.
+LOW = 1e-200
 #: Words a worker keeps.
 CACHE = 300_000
 SPACE_MARK = "▁"
@@ -152,6 +154,7 @@ class WordScorer:
             for c in np.unique(points[lost]).tolist():
                 rare[c] = np.exp(sum(self.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")))
         logs = np.zeros((len(size), self.p.shape[1]))
+        low = np.zeros(len(size), bool)
         active = len(size)
         for t in range(int(size[0]) if len(size) else 0):
             while size[active - 1] <= t:
@@ -169,19 +172,50 @@ class WordScorer:
                 if len(hit):
                     before = 1.0 if t == 0 else forward[end[hit] - 1]
                     total[hit] += np.array([rare[c] for c in points[end[hit]].tolist()]) * before
+            weak = total.min(axis=1) < LOW
+            if weak.any():
+                low[:active] |= weak
+                total[weak] = np.maximum(total[weak], LOW)
             forward[end] = total
             if t % 16 == 15:
                 lo = max(0, t - longest + 1)
                 near = end[:, None] - np.arange(t - lo + 1)
-                top = forward[near].max(axis=(1, 2))
-                forward[near] /= top[:, None, None]
-                logs[:active] += np.log(top)[:, None]
+                top = forward[near].max(axis=1)
+                forward[near] /= top[:, None, :]
+                logs[:active] += np.log(top)
         logs += np.log(forward[begin + size - 1])
+        if low.any():
+            logs[low] = self._in_logs(points, begin[low], size[low], ids, longest)
         out = np.zeros((len(words), self.p.shape[1]))
         np.add.at(out, owner, logs)
         return out
 
 
+    def _in_logs(self, points: np.ndarray, begin: np.ndarray, size: np.ndarray, ids: np.ndarray, longest: int) -> np.ndarray:
+        """The forward algorithm on logarithms, for runs (longest first) whose likelihood no floating-point number holds."""
+        p = np.log(self.p[:-1])
+        forward = np.zeros((len(points) + 1, p.shape[1]))
+        active = len(size)
+        for t in range(int(size[0])):
+            while size[active - 1] <= t:
+                active -= 1
+            end = begin[:active] + t
+            total = np.full((active, p.shape[1]), -np.inf)
+            for k in range(1, min(t + 1, longest) + 1):
+                own = ids[k, end]
+                hit = np.flatnonzero(own != self.none)
+                if len(hit):
+                    before = 0.0 if t + 1 == k else forward[end[hit] - k]
+                    total[hit] = np.logaddexp(total[hit], p[own[hit]] + before)
+            hit = np.flatnonzero(ids[1, end] == self.none)
+            if len(hit):
+                before = 0.0 if t == 0 else forward[end[hit] - 1]
+                own = np.array([sum(self.bytes[b] for b in chr(c).encode("utf-8", "surrogatepass")) for c in points[end[hit]].tolist()])
+                total[hit] = np.logaddexp(total[hit], own + before)
+            forward[end] = total
+        return forward[begin + size - 1]
+
+
 def identify(docs: DataFrame, path: str, langs: list[str], probabilities: np.ndarray) -> DataFrame:
     """docs (text; all columns stay) with lang_pred and score, the posterior of lang_pred under equal priors.
 

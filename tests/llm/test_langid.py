@@ -68,3 +68,23 @@ def test_nothing(spark):
     assert langid.language_report(nothing(spark), langid.vocabulary()).collect() == []
     unknown = spark.createDataFrame([(3, "words", None)], "doc_id bigint, text string, lang string")
     assert [tuple(r)[2:] for r in langid.language_report(unknown, langid.vocabulary()).collect()] == [("und", 0.0)]
+
+
+def test_runs_outside_the_vocabulary(spark):
+    path = langid.vocabulary()
+    found, raw = langid.pieces(path)
+    p = np.full((len(found), 3), 5e-7)
+    for i, lang in enumerate(sorted(VOCABULARIES)):
+        for w in VOCABULARIES[lang]:
+            if langid.SPACE_MARK + w in found:
+                p[found.index(langid.SPACE_MARK + w), i] = 0.02
+    assert "\U0001f972" not in found and "\u3030" not in found
+    text = " ".join(VOCABULARIES["fr"] * 20)
+    table = [(1, text + " " + "\U0001f972" * 50), (2, text + " " + "\u3030" * 50), (3, ("\U0001f972" * 300 + " ") + text), (4, text + " la" + "\U0001f972" * 7)]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string")
+    for r in langid.identify(docs, path, sorted(VOCABULARIES), p).collect():
+        assert r.lang_pred == "fr" and 0.99 < r.score <= 1
+    scorer = langid.WordScorer(path, p)
+    assert np.allclose(scorer.score(["\U0001f972" * 50])[0], np.log(p[found.index(langid.SPACE_MARK)]) + 200 * np.log(5e-7))
+    q = p * [1.0, 1e-3, 1.0]  # a language far behind all along stays finite
+    assert np.isfinite(langid.WordScorer(path, q).score(["house" * 50])).all()
