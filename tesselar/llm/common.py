@@ -6,7 +6,9 @@ split natively, in Python they are found with numpy over the raw Arrow buffer.
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,9 +35,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set (tests)."""
+    """The folder all executors share. Where none is set, a session of one machine (as in tests) gets one of its own; a cluster must set it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "tesselar-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -45,15 +49,41 @@ class Workspace:
     """Tables of one run, written to the shared folder.
 
     ``put`` cuts lineage: a lost executor costs a read, not a recomputation.
-    ``drop`` deletes tables no later step reads; what the returned DataFrame
-    still reads stays, as Spark is lazy.
+    ``drop`` and ``keep`` delete tables no later step reads; what the returned
+    DataFrame still reads goes when the driver's JVM ends, as Spark is lazy.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tesselar/{name}-{uuid.uuid4().hex}"
+        self.made: set[str] = set()
+        fs, root = self._fs(self.root)
+        fs.mkdirs(root)
+        fs.deleteOnExit(root)
+
+    @classmethod
+    def at(cls, spark: SparkSession, root: str) -> Workspace:
+        """A lasting folder that callers name."""
+        ws = cls.__new__(cls)
+        ws.spark, ws.root, ws.made = spark, root.rstrip("/"), set()
+        return ws
+
+    def names(self) -> list[str]:
+        """Tables of the folder."""
+        fs, root = self._fs(self.root)
+        return [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+
+    def whole(self, name: str) -> bool:
+        """Whether a table's writer ended."""
+        fs, p = self._fs(f"{self.root}/{name}/_SUCCESS")
+        return fs.exists(p)
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def path(self, name: str) -> str:
+        self.made.add(name)
         return f"{self.root}/{name}"
 
     def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -64,10 +94,23 @@ class Workspace:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = self._fs(self.path(name))
+            fs.delete(p, True)
+            self.made.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these."""
+        self.drop(*(self.made - set(names)))
+
+
+#: Most ids that are sent to every task to pick rows; more are joined.
+SENT = 2_000_000
+
+
+def sent(ids: DataFrame, most: int = SENT) -> DataFrame:
+    """A table of one id column, to be sent to every task if it has at most ``most`` rows and joined otherwise."""
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def words(text: Column) -> Column:
@@ -162,16 +205,63 @@ class Powers:
         return self.up, self.down
 
 
-BYTE_POWERS = Powers(0x9E3779B97F4A7C15)
 WORD_POWERS = Powers(0xD1342543DE82EF95)
 
-
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word from prefix sums over the bytes."""
-    up, down = BYTE_POWERS.to(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+#: Bytes of a word that are hashed or compared with numpy; what is longer goes on in Python.
+LONG = 64
+#: Masks that keep the first n of eight bytes.
+FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+
+
+def _lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte on as a little-endian number; zeros follow the last byte."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word. Different words may share one: where words must be equal, compare them (``distinct_words``)."""
+    from xxhash import xxh64_intdigest
+
+    n, lanes = stops - starts, _lanes(raw)
+    out = mix(n.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    for at in range(0, min(int(n.max(initial=0)), LONG), 8):
+        on = np.flatnonzero(n > at)
+        out[on] = mix(out[on] ^ (lanes[starts[on] + at] & FIRST_BYTES[np.minimum(n[on] - at, 8)]))
+    for i in np.flatnonzero(n > LONG).tolist():
+        out[i] ^= np.uint64(xxh64_intdigest(raw[starts[i] + LONG : stops[i]].tobytes(), 42))
+    return mix(out)
+
+
+def unequal(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, other_starts: np.ndarray, other_stops: np.ndarray) -> np.ndarray:
+    """Which words differ, byte by byte, from the words at other places of the same bytes."""
+    n, lanes = stops - starts, _lanes(raw)
+    bad = n != other_stops - other_starts
+    for at in range(0, min(int(n.max(initial=0)), LONG), 8):
+        on = np.flatnonzero(~bad & (n > at))
+        bad[on] = ((lanes[starts[on] + at] ^ lanes[other_starts[on] + at]) & FIRST_BYTES[np.minimum(n[on] - at, 8)]) != 0
+    for i in np.flatnonzero(~bad & (n > LONG)).tolist():
+        bad[i] = not np.array_equal(raw[starts[i] : stops[i]], raw[other_starts[i] : other_stops[i]])
+    return bad
+
+
+def distinct_words(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different word, and for every word the number of its own among them; words are compared, not only their hashes."""
+    _, first, which = np.unique(word_hashes(raw, starts, stops), return_index=True, return_inverse=True)
+    if unequal(raw, starts, stops, starts[first][which], stops[first][which]).any():
+        data, seen = raw.tobytes(), {}
+        which = np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.int64)
+        first = np.unique(which, return_index=True)[1]
+    return first, which
+
+
+def give_back() -> None:
+    """Hands memory that Python and Arrow have freed back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries
+        pass
 
 
 def gram_hashes(hashes: np.ndarray, k: int, powers: Powers = WORD_POWERS) -> np.ndarray:

@@ -2,8 +2,8 @@
 
 The tokenizer's normaliser and splitter never join anything across ASCII white
 space, so the ids of a text are those of its words end to end. Words repeat,
-texts do not, so each worker keeps the ids of words it has met. It looks up each
-different word of a block once, by a 64-bit hash, and lays the ids out with numpy.
+texts do not, so each worker keeps the ids of words it has met, by the words
+themselves, looks up each different word of a block once and lays the ids out.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .common import blocks, text_bytes, word_hashes, word_spans
+from .common import blocks, distinct_words, give_back, text_bytes, word_spans
 
 #: Id that ends every document.
 END = np.uint32(1).tobytes()
-#: Words of a generation that a worker keeps; there are two.
-CACHE_WORDS = 600_000
-BLOCK_BYTES = 2 << 20
+#: Bytes of words and ids of a generation that a worker keeps; there are two.
+CACHE_BYTES = 40 << 20
+#: Bytes that an entry takes besides its word and ids.
+ENTRY = 170
+BLOCK_BYTES = 1 << 20
 #: Between words that are encoded together: a character that is one token by itself and joins no other.
 MARK = "`"
 TOGETHER = 64
@@ -32,32 +34,6 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Known:
-    """Ids of words by hash, in sorted arrays: hashes, first ids, counts, and all ids end to end."""
-
-    def __init__(self):
-        self.hashes, self.first, self.count, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of hashes, -1 for those that are not known."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
-
-    def add(self, hashes: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
-        """Adds sorted new hashes with the ids of each, end to end."""
-        at = np.searchsorted(self.hashes, hashes)
-        first = np.cumsum(count) - count + len(self.ids)
-        self.hashes, self.first, self.count = np.insert(self.hashes, at, hashes), np.insert(self.first, at, first), np.insert(self.count, at, count)
-        self.ids = np.concatenate([self.ids, ids])
-
-    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and ids, end to end, of words at places."""
-        count = self.count[at]
-        return count, self.ids[spread(self.first[at], count)]
-
-
 def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
     return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
@@ -66,16 +42,18 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 class WordIds:
     """Packed little-endian unsigned 32-bit ids of texts.
 
-    Words met since the last change of generation are young; when there are
-    ``most`` of them they become the old ones, and old words that are met again
+    Words met since the last change of generation are young; when they take
+    ``most`` bytes they become the old ones, and old words that are met again
     become young, so frequent words stay.
     """
 
-    def __init__(self, path: str, most: int = CACHE_WORDS):
+    def __init__(self, path: str, most: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.young, self.old = Tokenizer.from_file(path), most, Known(), Known()
+        self.tokenizer, self.most, self.held = Tokenizer.from_file(path), most, 0
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.mark = self._encode([MARK])[0]
         if len(self.mark) != 1:
             raise ValueError("the mark must be one token")
@@ -83,48 +61,43 @@ class WordIds:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and ids, end to end, of words; words with the mark in them are encoded one by one."""
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word; words with the mark in them are encoded one by one."""
         plain = [w for w in words if MARK not in w]
         joined = [f" {MARK} ".join(plain[i : i + TOGETHER]) + f" {MARK}" for i in range(0, len(plain), TOGETHER)]
         flat = np.array([x for ids in self._encode(joined) for x in ids], np.uint32)
-        ends = np.flatnonzero(flat == self.mark[0])
-        counts, ids = np.diff(ends, prepend=-1) - 1, np.delete(flat, ends)
-        if len(plain) == len(words):
-            return counts, ids
+        ends, data = (4 * np.flatnonzero(flat == self.mark[0])).tolist(), flat.tobytes()
+        each = iter([data[a + 4 : b] for a, b in zip([-4, *ends], ends, strict=False)])
         odd = iter(self._encode([w for w in words if MARK in w]))
-        each = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(plain) else [])
-        all_ids = [np.array(next(odd), np.uint32) if MARK in w else next(each) for w in words]
-        return np.array([len(x) for x in all_ids], np.int64), np.concatenate(all_ids)
-
-    def _known(self, data: bytes, hashes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and ids, end to end, of different words given by sorted hashes and places."""
-        if len(self.young.hashes) > self.most:
-            self.old, self.young = self.young, Known()
-        missing = self.young.find(hashes) < 0
-        if missing.any():
-            lost, place = hashes[missing], self.old.find(hashes[missing])
-            again = place >= 0
-            if again.any():
-                self.young.add(lost[again], *self.old.take(place[again]))
-            new = ~again
-            if new.any():
-                words = [data[a:b].decode() for a, b in zip(starts[missing][new].tolist(), stops[missing][new].tolist(), strict=True)]
-                self.young.add(lost[new], *self.encode(words))
-        return self.young.take(self.young.find(hashes))
+        return [np.array(next(odd), np.uint32).tobytes() if MARK in w else next(each) for w in words]
+
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of different words."""
+        if self.held > self.most:
+            self.old, self.young, self.held = self.young, {}, 0
+        missing = [w for w in words if w not in self.young]
+        found = {w: self.old[w] for w in missing if w in self.old}
+        new = [w for w in missing if w not in found]
+        if new:
+            found.update(zip(new, self.encode([w.decode() for w in new]), strict=True))
+        self.young.update(found)
+        self.held += sum(len(w) + len(x) + ENTRY for w, x in found.items())
+        return [self.young[w] for w in words]
 
     def pack(self, raw: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The ids of each text, and the end id, from the bytes of all texts and their offsets."""
         starts, stops, at = word_spans(raw, ends)
-        hashes, first, which = np.unique(word_hashes(raw, starts, stops), return_index=True, return_inverse=True)
-        size, flat = self._known(raw.tobytes(), hashes, starts[first], stops[first])
+        first, which = distinct_words(raw, starts, stops)
+        data = raw.tobytes()
+        own = self._known([data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)])
+        size, flat = np.array([len(x) // 4 for x in own], np.int64), np.frombuffer(b"".join(own), np.uint32)
         n = size[which]
         laid = flat[spread((np.cumsum(size) - size)[which], n)]
         cut = np.concatenate([[0], np.cumsum(n)])[at].tolist()
         return [laid[a:b].tobytes() + END for a, b in zip(cut, cut[1:], strict=False)]
 
 
-#: One coder for each vocabulary and worker; it serves all tasks that the worker runs.
+#: One coder for each vocabulary and worker; it serves all tasks that the worker runs, and its words are bounded in bytes.
 _CODERS: dict[str, WordIds] = {}
 
 
@@ -139,3 +112,4 @@ def packed(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Re
     own = coder(path)
     for block in blocks(batches, most=BLOCK_BYTES):
         yield block, own.pack(*text_bytes(block.column(block.schema.get_field_index("text"))))
+    give_back()

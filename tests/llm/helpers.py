@@ -16,6 +16,11 @@ def prose(seed, n, vocabulary=400):
     return " ".join(f"w{r.randrange(vocabulary)}{'aeiou'[r.randrange(5)]}" for _ in range(n))
 
 
+def thue_morse(letters="ab", n=1024):
+    """A word that polynomial hashes modulo powers of two cannot tell from the one with swapped letters."""
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
 def rows(clash=True):
     """Null, empty, blank, one-word, long, repeated and equal texts, null ids, shared passages; columns whose names clash with inner ones."""
     passage = prose(99, 80)

@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tesselar.llm import bitplane, packing, tokens
+from tesselar.llm import bitplane, common, packing, tokens
 
-from .helpers import documents, nothing, rows
+from .helpers import documents, nothing, rows, thue_morse
 
 
 @pytest.fixture(scope="module")
@@ -20,11 +20,21 @@ def coded():
 def test_words_end_to_end_are_texts(coded):
     texts = [(r[1] or "").encode() for r in rows()]
     ends = np.cumsum([0, *map(len, texts)])
-    coder = tokens.WordIds(tokens.vocabulary(), most=50)
+    coder = tokens.WordIds(tokens.vocabulary(), most=9000)
     for _ in range(3):
         assert coder.pack(np.frombuffer(b"".join(texts), np.uint8), ends) == [c for _, c in coded]
 
 
+def test_words_of_equal_hash_keep_their_own_ids(monkeypatch):
+    t = Tokenizer.from_file(tokens.vocabulary())
+    texts = [thue_morse(), thue_morse("ba"), f"x {thue_morse()} y {thue_morse('ba')}", "same same word"]
+    want = [np.array([*e.ids, 1], np.uint32).tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    raw, ends = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    assert tokens.WordIds(tokens.vocabulary()).pack(raw, ends) == want
+    monkeypatch.setattr(common, "word_hashes", lambda raw, starts, stops: (stops - starts).astype(np.uint64))  # nearly all words collide
+    assert tokens.WordIds(tokens.vocabulary()).pack(raw, ends) == want
+
+
 def test_unicode_words():
     r = random.Random(5)
     pool = [chr(c) for a, b in ((32, 127), (0xA0, 0x250), (0x300, 0x340), (0x370, 0x400), (0x4E00, 0x4E20), (0x1F600, 0x1F620), (9, 14), (0x2000, 0x2010), (0x1C, 0x20)) for c in range(a, b)]
