@@ -1,13 +1,13 @@
 """Operator 2: best-fit packing of documents into fixed-length sequences.
 
-Bulk-synchronous best fit. A superstep range-sorts the documents left and the
-gaps left, sweeps both from large to small so that every document meets its
-successor (the smallest gap that holds it and is not taken), settles conflicts
-by rank (longer documents first, then by rank within a length), updates the gaps
-and repeats. Lengths are whole numbers below the capacity, so documents and gaps
-of equal length are one class with a count: the sweeps see at most ``capacity``
-classes however many documents there are. Counting the classes, ranking the
-documents inside them and handing every document its place run on the executors.
+Bulk-synchronous best fit. Pieces are dealt to groups of bounded size that are
+swept at once on the executors. In a group, a superstep has the pieces and the
+gaps sorted by size and sweeps both from large to small, so that every piece meets
+its successor (the smallest gap that holds it and is not taken); conflicts are
+settled by rank (longer pieces first, then by rank within a length), gaps are
+updated, and supersteps repeat until all pieces of the group have a place. Between
+rounds the groups are in step: sequences that are not full enough are dissolved,
+and their pieces meet in fewer groups, until one group is left.
 """
 
 from __future__ import annotations
@@ -19,20 +19,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Workspace, pieces_of, small_batches, table
 from .tokens import packed, vocabulary
 
 CAPACITY = 4096
-BUCKET_ROWS = 2000
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, bucket_key bigint"
+#: Pieces of a group: narrow rows, some 20 MB.
+GROUP_ROWS = 200_000
+#: Share of the capacity up to which a sequence may stay open when its group ends.
+SLACK = 1 / 256
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
+NARROW = ["uid", "doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 def superstep(left: np.ndarray, ranks: np.ndarray, gaps: dict[int, list[list[int]]], runs: list[tuple]) -> bool:
-    """One sweep over documents (count by length) and gaps (size: [first sequence, count] runs); every gap takes at most one document.
+    """One sweep over pieces (count by length) and gaps (size: [first sequence, count] runs); every gap takes at most one piece.
 
-    Appends (length, first rank, count, first sequence, gap) to ``runs``. Returns whether anything was placed.
+    Appends (length, first rank, count, first sequence, offset) to ``runs``. Returns whether anything was placed.
     """
     capacity = len(left) - 1
     sizes = sorted(gaps, reverse=True)
@@ -67,9 +70,9 @@ def superstep(left: np.ndarray, ranks: np.ndarray, gaps: dict[int, list[list[int
 
 
 def place(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    """Runs (length, first rank, count, first sequence, offset) that place all documents, and the number of sequences.
+    """Runs (length, first rank, count, first sequence, offset) that place all pieces, and the number of sequences.
 
-    New sequences open when no document left fits any gap: as many as the words
+    New sequences open when no piece left fits any gap: as many as the tokens
     left would fill at least.
     """
     left, ranks = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
@@ -86,9 +89,22 @@ def place(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
     return np.array(runs, np.int64).reshape(-1, 5), opened
 
 
+def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of each piece of a group; pieces of one length are ranked by their place."""
+    sizes, counts = np.unique(lengths, return_counts=True)
+    runs, _ = place(dict(zip(sizes.tolist(), counts.tolist(), strict=True)), capacity)
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    order = np.argsort(lengths, kind="stable")
+    # in the order of (length, rank), the runs' pieces stand end to end
+    within = np.arange(len(lengths)) - np.repeat(np.cumsum(runs[:, 2]) - runs[:, 2], runs[:, 2])
+    sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    sequence[order], offset[order] = np.repeat(runs[:, 3], runs[:, 2]) + within, np.repeat(runs[:, 4], runs[:, 2])
+    return sequence, offset
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """The pieces of every document (doc_id, text): ids of the text, then id 1, cut at ``capacity``."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("bucket_key", pa.int64())])
+    kinds = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches):
         for block, coded in packed(batches, path):
@@ -96,48 +112,62 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids:
             for doc_id, ids in zip(block.column(0).to_pylist(), coded, strict=True):
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    crc = zlib.crc32(part)
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, crc, part if keep_ids else None, zlib.crc32(f"{doc_id}:{piece}".encode())))
+                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
             yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def sweep(rows: DataFrame, groups: int, number: int, capacity: int) -> DataFrame:
+    """A round: rows (NARROW) with sequence_id (below 0 for none yet), offset and used, packed in ``groups`` groups of their own.
+
+    sequence_id has the round, the group and the group's sequence; used is how full the sequence is.
+    """
+    kinds = [pa.field("sequence_id", pa.int64()), pa.field("offset", pa.int64()), pa.field("used", pa.int64())]
+
+    def pack(group: pa.Table) -> pa.Table:
+        mine = group["group"][0].as_py()
+        group = group.select(NARROW).sort_by("uid")
+        lengths = group["length"].to_numpy()
+        sequence, offset = best_fit(lengths, capacity)
+        used = np.bincount(sequence, lengths).astype(np.int64)
+        for kind, values in zip(kinds, ((number << 56) + (mine << 24) + sequence, offset, used[sequence]), strict=True):
+            group = group.append_column(kind, pa.array(values))
+        return group
+
+    dealt = rows.select(*NARROW, F.pmod(F.xxhash64("uid", F.lit(number)), F.lit(groups)).alias("group"))
+    # few bytes, much work: not to be coalesced
+    return dealt.repartition(min(groups, 1 << 15), "group").groupBy("group").applyInArrow(pack, "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, used bigint")
+
+
+def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
     """A place for every piece of documents (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
-    A null text counts as empty and has one piece, the end id. Repeated rows and
-    null ids are documents like any other; other columns are ignored. Pieces of
-    full length are sequences of their own, with negative numbers.
+    A null text counts as empty and has one piece, the end id; texts of any length
+    are cut only at ``capacity``. Repeated rows, equal lengths and null ids are
+    documents like any other; other columns are ignored; an empty table gives no
+    rows. Pieces of full length are sequences of their own, with negative numbers.
+    Only narrow rows are dealt to groups; ids join their places at the end.
     """
     ws = Workspace(docs.sparkSession, "packing")
-    pieces = ws.put(token_pieces(docs, path, capacity, keep_ids), "pieces")
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
-    full = pieces.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    short = pieces.where(F.col("length") < capacity)
-    n = short.count()
-    buckets = max(64, pieces_of(n, BUCKET_ROWS))
-    short = short.withColumn("bucket", F.pmod("bucket_key", F.lit(buckets)))
-    counts = short.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity - 1 rows
-    runs, _ = place(by_length, capacity)
-    starts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = short.withColumn("inner", inner).join(starts, ["length", "bucket"]).select(*columns, (F.col("before") + F.col("inner")).alias("rank"))
-    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
-    keys = (runs[:, 0] << 48) + runs[:, 1]
-
-    def hand_out(batches):
-        for b in batches:
-            col = lambda c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-            length, rank = col("length").astype(np.int64), col("rank").astype(np.int64)
-            at = np.searchsorted(keys, (length << 48) + rank, side="right") - 1
-            found = {"sequence_id": runs[at, 3] + rank - runs[at, 1], "offset": runs[at, 4]}
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in columns] + [pa.array(v) for v in found.values()], names=[*columns, *found])
-
-    kinds = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, " + "ids binary, " * keep_ids + "sequence_id bigint, offset bigint"
-    return full.unionByName(ranked.mapInArrow(hand_out, kinds))
+    pieces = ws.put(token_pieces(docs, path, capacity, keep_ids).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    full = pieces.where(F.col("length") == capacity).select(*NARROW, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    left, number, out = pieces.where(F.col("length") < capacity).select(*NARROW), 0, full
+    n = left.count()
+    while n:
+        groups = pieces_of(n, group_rows)
+        packed_ = ws.put(sweep(left, groups, number, capacity), f"round-{number}")
+        # a round that would dissolve most of what it got is the last: its places stand
+        more = packed_.where(F.col("used") < capacity * (1 - SLACK)) if groups > 1 else packed_.limit(0)
+        again = more.count()
+        if again > n // 2:
+            again = 0
+        out = out.unionByName((packed_ if not again else packed_.where(F.col("used") >= capacity * (1 - SLACK))).drop("used"))
+        left, n, number = more.select(*NARROW), again, number + 1
+    if keep_ids:
+        out = out.select("uid", "sequence_id", "offset").join(pieces, "uid")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "sequence_id", "offset")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,9 +45,9 @@ def test_unicode_words():
     assert tokens.WordIds(tokens.vocabulary()).pack(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])) == want
 
 
-@pytest.mark.parametrize("capacity", [16, 4096])
-def test_places(spark, coded, capacity):
-    got = packing.pack_documents(documents(spark), tokens.vocabulary(), capacity, keep_ids=True).collect()
+@pytest.mark.parametrize(("capacity", "rows_"), [(16, 200), (64, 8), (4096, 200000)])
+def test_places(spark, coded, capacity, rows_):
+    got = packing.pack_documents(documents(spark), tokens.vocabulary(), capacity, keep_ids=True, group_rows=rows_).collect()
     by_sequence, whole = defaultdict(list), defaultdict(list)
     for r in got:
         assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length and r.start == r.piece * capacity
@@ -83,6 +83,28 @@ def test_best_fit_is_close_to_the_bound():
     assert Counter({k: sum(c for length, _, c, _, _ in runs.tolist() if length == k) for k in counts}) == counts
 
 
+def test_rounds_bring_groups_together(spark, monkeypatch):
+    r = random.Random(3)
+    lengths = [min(63, max(1, int(r.lognormvariate(2, 1)))) for _ in range(3000)]
+    made = [(i, 0, 0, n, i, None) for i, n in enumerate(lengths)]
+    monkeypatch.setattr(packing, "token_pieces", lambda docs, *a: docs)
+    got = packing.pack_documents(spark.createDataFrame(made, packing.PIECES), "", 64, group_rows=100).collect()
+    used = Counter()
+    for row in got:
+        used[row.sequence_id] += row.length
+    assert Counter((row.doc_id, row.length) for row in got) == Counter(enumerate(lengths)) and max(used.values()) <= 64
+    assert len(used) <= -(-sum(lengths) // 64) * 1.02  # groups of 100 pieces; production groups are 2,000 times larger
+
+
+def test_query_has_the_columns_asked_for(spark, tmp_path):
+    documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    got = packing.op2_best_fit_packing(spark, str(tmp_path))
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema.fields] == [("doc_id", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"), ("sequence_id", "bigint"), ("offset", "bigint")]
+    stored = bitplane.op5_token_bitplanes(spark, str(tmp_path))
+    assert [(f.name, f.dataType.simpleString()) for f in stored.schema.fields][:4] == [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint")]
+    assert got.agg({"length": "sum"}).first()[0] == stored.agg({"n_tokens": "sum"}).first()[0]
+
+
 def test_empty_tables(spark, tmp_path):
     assert packing.pack_documents(nothing(spark), tokens.vocabulary()).collect() == []
     bitplane.write_ids(nothing(spark), str(tmp_path / "none"), tokens.vocabulary())
