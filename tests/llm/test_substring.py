@@ -6,7 +6,7 @@ import pytest
 from tesselar.llm import substring
 from tesselar.llm.common import Workspace
 
-from .helpers import documents, nothing, prose, rows, words
+from .helpers import documents, nothing, prose, rows, thue_morse, words
 
 
 def brute(table, window=50):
@@ -34,26 +34,35 @@ def test_against_brute_force(spark, batches):
     assert Counter(map(tuple, got.collect())) == Counter(brute([(r[0], r[1]) for r in rows()]))
 
 
-def test_small_windows_and_compaction(spark, monkeypatch):
+def test_small_windows_and_compaction(spark):
     table = [(i, prose(i, 40, 6)) for i in range(30)]
-    monkeypatch.setattr(substring, "RUNS", 2)
     index = substring.FingerprintIndex(Workspace(spark, "lsm"), 2)
     for lo in range(0, 30, 5):
         rows_ = [(a, i) for i in range(lo, lo + 5) for a in {hash((i + j) % 40) for j in range(8)}]
         index.add(spark.createDataFrame(rows_, "anchor bigint, doc_id bigint")).collect()
-    assert len(index.runs) <= 2
-    got = substring.substring_report(spark.createDataFrame(table, "doc_id bigint, text string"), 3, 4)
+    assert len(index.runs) <= 2 and index.made > 6
+    got = substring.substring_report(spark.createDataFrame(table, "doc_id bigint, text string"), 5, 4, 2)
     assert Counter(map(tuple, got.collect())) == Counter(brute(table, 4))
 
 
-@pytest.fixture(autouse=True)
-def small_anchor(request, monkeypatch):
-    """Windows of four words need shorter anchors."""
-    if "small" in request.node.name:
-        monkeypatch.setattr(substring, "ANCHOR", 2)
-        for name in ("anchors", "scan", "windows", "repeated"):
-            f = getattr(substring, name)
-            monkeypatch.setattr(f, "__defaults__", tuple(2 if x == 20 else x for x in f.__defaults__))
+def test_later_batches_against_a_kept_index(spark, tmp_path):
+    table, seen, got = [(i, prose(i % 7, 60, 5)) for i in range(40)], [], []
+    for lo in range(0, 40, 8):
+        batch = table[lo : lo + 8]
+        index = substring.FingerprintIndex.open(spark, str(tmp_path / "index"))
+        frame = lambda x: spark.createDataFrame(x, "doc_id bigint, text string")
+        got += substring.substring_report(frame(batch), 1, 6, 3, index, frame(seen)).collect()
+        seen += batch
+    assert Counter(map(tuple, got)) == Counter(brute(table, 6))
+    last = substring.FingerprintIndex.open(spark, str(tmp_path / "index"))
+    assert last.version == 5 and len(last.runs) <= substring.RUNS
+
+
+def test_words_are_compared_not_their_hashes(spark):
+    a, b = thue_morse(), thue_morse("ba")
+    table = [(1, f"{prose(1, 30)} {a} {prose(2, 30)}"), (2, f"{prose(1, 30)} {b} {prose(2, 30)}"), (3, f"{prose(1, 30)} {a} {prose(2, 30)}")]
+    got = substring.substring_report(spark.createDataFrame(table, "doc_id bigint, text string"))
+    assert Counter(map(tuple, got.collect())) == Counter(brute(table))
 
 
 def test_pipeline_stage(spark):
