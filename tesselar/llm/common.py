@@ -213,7 +213,7 @@ LONG = 64
 FIRST_BYTES = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
-def _lanes(raw: np.ndarray) -> np.ndarray:
+def lanes_of(raw: np.ndarray) -> np.ndarray:
     """The eight bytes from every byte on as a little-endian number; zeros follow the last byte."""
     padded = np.concatenate([raw, np.zeros(8, np.uint8)])
     return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
@@ -223,7 +223,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nd
     """A 64-bit hash of every word. Different words may share one: where words must be equal, compare them (``distinct_words``)."""
     from xxhash import xxh64_intdigest
 
-    n, lanes = stops - starts, _lanes(raw)
+    n, lanes = stops - starts, lanes_of(raw)
     out = mix(n.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     for at in range(0, min(int(n.max(initial=0)), LONG), 8):
         on = np.flatnonzero(n > at)
@@ -235,7 +235,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nd
 
 def unequal(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, other_starts: np.ndarray, other_stops: np.ndarray) -> np.ndarray:
     """Which words differ, byte by byte, from the words at other places of the same bytes."""
-    n, lanes = stops - starts, _lanes(raw)
+    n, lanes = stops - starts, lanes_of(raw)
     bad = n != other_stops - other_starts
     for at in range(0, min(int(n.max(initial=0)), LONG), 8):
         on = np.flatnonzero(~bad & (n > at))
@@ -245,14 +245,18 @@ def unequal(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray, other_starts
     return bad
 
 
-def distinct_words(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A place of each different word, and for every word the number of its own among them; words are compared, not only their hashes."""
-    _, first, which = np.unique(word_hashes(raw, starts, stops), return_index=True, return_inverse=True)
+def distinct_words(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash and a place of each different word, and for every word the number of its own among them.
+
+    Words are compared, not only their hashes. Hashes ascend and are distinct unless different words share one.
+    """
+    hashes, first, which = np.unique(word_hashes(raw, starts, stops), return_index=True, return_inverse=True)
     if unequal(raw, starts, stops, starts[first][which], stops[first][which]).any():
         data, seen = raw.tobytes(), {}
         which = np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.int64)
         first = np.unique(which, return_index=True)[1]
-    return first, which
+        hashes = word_hashes(raw, starts[first], stops[first])
+    return hashes, first, which
 
 
 def give_back() -> None:

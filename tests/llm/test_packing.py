@@ -20,7 +20,7 @@ def coded():
 def test_words_end_to_end_are_texts(coded):
     texts = [(r[1] or "").encode() for r in rows()]
     ends = np.cumsum([0, *map(len, texts)])
-    coder = tokens.WordIds(tokens.vocabulary(), most=9000)
+    coder = tokens.WordIds(tokens.vocabulary(), most=1000)
     for _ in range(3):
         assert coder.pack(np.frombuffer(b"".join(texts), np.uint8), ends) == [c for _, c in coded]
 
