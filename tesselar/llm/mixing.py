@@ -1,9 +1,9 @@
 """Operator 10: mixing sources to target weights, DataFrame functions only.
 
 Targets are met in equal-token blocks. Sainte-Lague apportionment (highest
-quotients target / (2 j + 1)) gives each source a whole number of blocks, for
-every shard of the mix by itself; then each source's blocks are picked by a
-seeded bijection of its block numbers, whole passes first.
+quotients target / (2 j + 1)) gives each source a whole number of blocks in every
+shard of the mix. A source's blocks stand in a seeded order, pass after pass, and
+each shard takes as many of them as its quota, from where the shard before it ended.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pieces_of, table, words
+from .common import Workspace, pieces_of, table, words
 
 #: Words of a block.
 BLOCK = 16
@@ -24,8 +24,10 @@ WEIGHTS = (1, 2, 3)
 SEED = "42"
 #: Documents of a source that are ordered together.
 BUCKET_ROWS = 2000
-#: Two primes; at least one does not divide a given number of blocks below their product.
-STRIDES = (61803399, 41421367)
+# Primes of similar size that the stride of a source's order is drawn from.
+STRIDES = (41421377, 43112609, 49979687, 57885161, 61803419, 67867967, 73856093, 83492791)
+#: Blocks below which a product with a stride fits 63 bits.
+NARROW = 1 << 36
 
 
 def _targets(sources: DataFrame) -> DataFrame:
@@ -80,15 +82,28 @@ def quotas(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> Data
     return step.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_cut", "_d"))).alias("_l")).select("key", F.transform("_l", lambda x: x["_d"]).alias("quotas"))
 
 
-def _pick(block: Column, n: Column, shift: Column) -> Column:
-    """Place of a block in the seeded order: a bijection of 0 .. n - 1."""
-    a, b = STRIDES
-    stride = F.when(n % a != 0, F.lit(a)).otherwise(F.lit(b)).cast("bigint")
-    return F.pmod((block % n) * (stride % n) + shift, n)
+def _drawn(name: Column, part: int) -> Column:
+    """A seeded number below 2**32 from a source's name."""
+    return F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{SEED}"))), 1 + 8 * part, 8), 16, 10).cast("bigint")
+
+
+def stride(name: Column, n: Column) -> Column:
+    """A seeded prime that does not divide n: the drawn one or one of the two after it (three divide no bigint at once)."""
+    first = _drawn(name, 1)
+    primes = [F.get(F.array(*[F.lit(p).cast("bigint") for p in STRIDES]), (first + i) % len(STRIDES)) for i in range(3)]
+    return F.when(n % primes[0] != 0, primes[0]).when(n % primes[1] != 0, primes[1]).otherwise(primes[2])
+
+
+def pick(block: Column, n: Column, step: Column, shift: Column) -> Column:
+    """Place of a block in the seeded order: a bijection of 0 .. n - 1 for any n; products beyond 63 bits are decimals."""
+    narrow = F.pmod((block % n) * (step % n) + shift, n)
+    whole = lambda c: c.cast("decimal(19,0)")
+    wide = (whole(block % n) * whole(step % n) + whole(shift)) % whole(n)
+    return F.when(n < NARROW, narrow).otherwise(wide.cast("bigint"))
 
 
 def plan(docs: DataFrame, carry: list[str], block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
-    """For each row of docs (doc_id, text, source; of these and others ``carry`` stays): doc_id, size, source_size, target, _at, _passes, _extra, _left, _blocks, _shift.
+    """For each row of docs (doc_id, text, source; of these and others ``carry`` stays): doc_id, size, source_size, target, quotas, _at, _passes, _extra, _left, _blocks, _step, _shift.
 
     ``_at`` is where the row begins on its source's axis of words, whose order
     is by a seeded digest of the doc_id; rows of equal id are ordered by size and
@@ -99,10 +114,11 @@ def plan(docs: DataFrame, carry: list[str], block: int = BLOCK, shards: int = SH
     sized = docs.withColumn("key", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
     sized = sized.withColumn("size", F.size(words(F.col("text"))).cast("bigint"))
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{SEED}")))
-    n = docs.count()
-    buckets = max(64, pieces_of(n, BUCKET_ROWS))
     sized = sized.withColumn("_tie", F.md5(F.coalesce("text", F.lit(""))))
     sized = sized.select(*[c for c in sized.columns if c in carry], "key", "size", "_tie", "doc_id", digest.alias("_order"))
+    if not carry:  # narrow rows: texts are split once
+        sized = Workspace(docs.sparkSession, "mixing").put(sized, "sized")
+    buckets = max(64, pieces_of((docs if carry else sized).count(), BUCKET_ROWS))
     sized = sized.withColumn("bucket", F.floor(F.conv(F.substring("_order", 1, 8), 16, 10).cast("bigint") * buckets / 4294967296).cast("int"))
     narrow = sized.groupBy("key", "bucket").agg(F.sum("size").alias("_sum"), F.count("*").alias("_rows"))
     sources = narrow.groupBy("key").agg(F.sum("_sum").alias("source_size"), F.sum("_rows").alias("rows"))
@@ -112,33 +128,67 @@ def plan(docs: DataFrame, carry: list[str], block: int = BLOCK, shards: int = SH
     held = held.withColumn("_words", F.least(quota * block, size * REPEATS)).withColumn("_passes", F.when(size > 0, F.floor(F.col("_words") / size)).otherwise(0).cast("bigint"))
     held = held.withColumn("_rest", F.col("_words") - F.col("_passes") * size).withColumn("_blocks", F.ceil(size / block).cast("bigint"))
     held = held.withColumn("_extra", F.floor(F.col("_rest") / block).cast("bigint")).withColumn("_left", (F.col("_rest") % block).cast("bigint"))
-    held = held.withColumn("_shift", F.when(F.col("_blocks") > 0, F.pmod(F.conv(F.substring(F.md5(F.concat(F.col("key.name"), F.lit(f":{SEED}"))), 1, 8), 16, 10).cast("bigint"), F.col("_blocks"))))
+    held = held.withColumn("_shift", F.when(F.col("_blocks") > 0, F.pmod(_drawn(F.col("key.name"), 0), F.col("_blocks")))).withColumn("_step", F.when(F.col("_blocks") > 0, stride(F.col("key.name"), F.col("_blocks"))))
     run = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = narrow.withColumn("_start", F.coalesce(F.sum("_sum").over(run), F.lit(0))).select("key", "bucket", "_start")
-    starts = starts.join(held.drop("quotas", "rows", "weight", "_words", "_rest"), "key")
+    starts = starts.join(held.drop("rows", "weight", "_words", "_rest"), "key")
     inside = Window.partitionBy("key", "bucket").orderBy("_order", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     return sized.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["key", "bucket"]).withColumn("_at", F.col("_start") + F.col("_in")).drop("_in", "_start", "_order", "_tie", "bucket")
 
 
-def _cuts(block: int) -> Column:
-    """Parts of a row (from, to: words counted from its first) that the extra blocks take."""
+def _numbers(block: int, some: Column) -> Column:
+    """Numbers of the blocks that a row has words in, where ``some`` holds."""
     at, size = F.col("_at"), F.col("size")
     first, last = F.floor(at / block).cast("bigint"), F.floor((at + size - 1) / block).cast("bigint")
-    numbers = F.when((size > 0) & ((F.col("_extra") > 0) | (F.col("_left") > 0)), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    return F.when((size > 0) & some, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _part(block: int, k: Column, has: Column) -> tuple[Column, Column]:
+    """From and to, in words of the row, of the first ``has`` words of block k."""
+    return F.greatest(k * block - F.col("_at"), F.lit(0).cast("bigint")), F.least(k * block + has - F.col("_at"), F.col("size"))
+
+
+def _cuts(block: int) -> Column:
+    """Parts of a row (from, to: words counted from its first) that the extra blocks take."""
 
     def cut(k: Column) -> Column:
-        place = _pick(k, F.col("_blocks"), F.col("_shift"))
+        place = pick(k, F.col("_blocks"), F.col("_step"), F.col("_shift"))
         has = F.when(place < F.col("_extra"), F.lit(block)).when(place == F.col("_extra"), F.col("_left")).otherwise(F.lit(0)).cast("bigint")
-        lo = F.greatest(k * block - at, F.lit(0).cast("bigint"))
-        return F.struct(lo.alias("lo"), F.least(k * block + has - at, size).alias("hi"))
+        lo, hi = _part(block, k, has)
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
 
-    return F.filter(F.transform(numbers, cut), lambda x: x["hi"] > x["lo"])
+    return F.filter(F.transform(_numbers(block, (F.col("_extra") > 0) | (F.col("_left") > 0)), cut), lambda x: x["hi"] > x["lo"])
+
+
+def mix_blocks(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
+    """The mix by shards: doc_id, source, block, pass, lo, hi, shard for every stretch of words that a shard takes of a document (doc_id, text, source).
+
+    A source's copies of blocks are numbered pass by pass in the seeded order, and
+    shard s takes those from its predecessors' quotas on, as many as its own quota;
+    a block cut by the limit of REPEATS passes belongs to the last shard that has a quota there.
+    """
+    planned = plan(docs.select("doc_id", "source", "text"), ["source"], block, shards)
+    k, n = F.col("block"), F.col("_blocks")
+    rows = planned.withColumn("block", F.explode(_numbers(block, F.lit(True)))).withColumn("_place", pick(k, n, F.col("_step"), F.col("_shift")))
+    more = (F.col("_place") < F.col("_extra")) | ((F.col("_place") == F.col("_extra")) & (F.col("_left") > 0))
+    passes = F.col("_passes") + F.when(more, 1).otherwise(0)
+    rows = rows.where(passes > 0).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("bigint"), passes - 1)))
+    has = F.when((F.col("pass") < F.col("_passes")) | (F.col("_place") < F.col("_extra")), F.lit(block)).otherwise(F.col("_left")).cast("bigint")
+    lo, hi = _part(block, k, has)
+    ends = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda i: F.aggregate(F.slice("quotas", 1, i), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    at = F.col("pass") * n + F.col("_place")
+    shard = F.least(F.size(F.filter(ends, lambda e: e <= at)), F.lit(shards - 1))
+    return rows.select("doc_id", "source", "block", "pass", lo.alias("lo"), hi.alias("hi"), shard.alias("shard")).where("hi > lo")
 
 
 def mix_counts(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs (doc_id, text, source).
 
-    Empty tables give no rows; where all texts are blank every target and taken is 0.
+    A null text has size 0, texts of any length count whole, a null source is a
+    source of its own after all others. Repeated rows and equal ids are rows of
+    their own and ties are settled by digests, so reruns agree; null ids are ids.
+    Other columns are ignored. Empty tables give no rows; where all texts are blank
+    every target and taken is 0. Only the table of sources is ordered in one task.
     """
     narrow = docs.select("doc_id", "source", "text")
     planned = plan(narrow, [], block, shards)
@@ -170,6 +220,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(table(spark, sf_dir, "documents"))
 
 
+_SQL = [f"(list_value({', '.join(map(str, STRIDES))})[1 + (('0x' || substr(md5(coalesce(d.source, '') || ':{SEED}'), 9, 8))::BIGINT + {i}) % {len(STRIDES)}])" for i in range(3)]
 #: The same by ordinary SQL.
 ORACLE = f"""
 WITH d AS (
@@ -187,11 +238,11 @@ h AS (SELECT t.*, least(coalesce(won, 0) * {BLOCK}, source_size * 3)::BIGINT AS
 g AS (SELECT *, CASE WHEN source_size > 0 THEN wanted // source_size ELSE 0 END AS passes, CASE WHEN source_size > 0 THEN wanted % source_size ELSE 0 END AS rest FROM h),
 a AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.passes, g.rest // {BLOCK} AS extra, g.rest % {BLOCK} AS part, g.blocks,
              CASE WHEN blocks > 0 THEN ('0x' || substr(md5(coalesce(d.source, '') || ':{SEED}'), 1, 8))::BIGINT % blocks END AS shift,
-             CASE WHEN blocks % {STRIDES[0]} <> 0 THEN {STRIDES[0]} ELSE {STRIDES[1]} END AS stride,
+             CASE WHEN blocks % {_SQL[0]} <> 0 THEN {_SQL[0]} WHEN blocks % {_SQL[1]} <> 0 THEN {_SQL[1]} ELSE {_SQL[2]} END AS stride,
              coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.o, d.doc_id, d.size, md5(coalesce(d.text, '')) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
 k AS (SELECT *, row_number() OVER () AS id FROM a),
-b AS (SELECT id, pos, size, extra, part, kk, ((kk % blocks) * (stride % blocks) + shift) % blocks AS place
+b AS (SELECT id, pos, size, extra, part, kk, ((kk % blocks)::HUGEINT * (stride % blocks) + shift) % blocks AS place
       FROM (SELECT *, unnest(range(pos // {BLOCK}, (pos + size - 1) // {BLOCK} + 1)) AS kk FROM k WHERE size > 0)),
 c AS (SELECT id, sum(greatest(0, least(kk * {BLOCK} + CASE WHEN place < extra THEN {BLOCK} WHEN place = extra THEN part ELSE 0 END - pos, size) - greatest(kk * {BLOCK} - pos, 0)))::BIGINT AS got FROM b GROUP BY id)
 SELECT doc_id, size, source_size, target, (passes * size + coalesce(got, 0))::BIGINT AS taken FROM k LEFT JOIN c USING (id)

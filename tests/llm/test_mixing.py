@@ -60,6 +60,43 @@ def test_quotas_are_sainte_lague(spark):
         assert got[k] == [sum(x == k for _, x in seats[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
 
+def test_seeded_order_is_a_bijection_of_any_size(spark):
+    for n in (1, 2, 97, 1000, mixing.STRIDES[0]):
+        some = min(n, 1000)
+        got = spark.range(some).select(mixing.pick(F.col("id"), F.lit(n).cast("bigint"), mixing.stride(F.lit("a"), F.lit(n).cast("bigint")), F.lit(n // 3).cast("bigint")).alias("p")).collect()
+        assert len({r.p for r in got}) == some and all(0 <= r.p < n for r in got)
+    for n in (mixing.NARROW - 1, mixing.NARROW, 10**13 + 7, 2**62, mixing.STRIDES[3] * mixing.STRIDES[4]):
+        blocks = [0, 1, n // 2, n - 1]
+        frame = spark.createDataFrame([(b,) for b in blocks], "b bigint")
+        size = F.lit(n).cast("bigint")
+        got = [tuple(r) for r in frame.select("b", mixing.stride(F.lit("s"), size).alias("s"), mixing.pick(F.col("b"), size, mixing.stride(F.lit("s"), size), F.lit(n - 1).cast("bigint")).alias("p")).collect()]
+        assert all(n % s and p == (b * s + n - 1) % n for b, s, p in got) and len({p for _, _, p in got}) == 4
+
+
+def test_strides_are_seeded_primes(spark):
+    assert all(p % d for p in mixing.STRIDES for d in range(2, int(p**0.5) + 1))
+    got = spark.createDataFrame([(f"s{i}",) for i in range(50)], "name string").select(mixing.stride(F.col("name"), F.lit(1000)).alias("s")).collect()
+    assert len({r.s for r in got}) > 4
+
+
+def test_shards_take_their_quotas(spark):
+    size, target, counts, source = defaultdict(int), {}, Counter(), {r[0]: r[3] for r in rows()}
+    for r in mixing.mix_counts(documents(spark), 16, 4).collect():
+        counts[r.doc_id] += r.taken
+        size[source[r.doc_id]], target[source[r.doc_id]] = r.source_size, r.target
+    got = mixing.mix_blocks(documents(spark), 16, 4).collect()
+    found, taken = Counter(), defaultdict(set)
+    for r in got:
+        found[r.doc_id] += r.hi - r.lo
+        taken[r.source, r.shard].add((r.block, r["pass"]))
+    assert +found == +counts and {r.shard for r in got} == {0, 1, 2, 3}
+    frame = spark.createDataFrame([(str(s), t) for s, t in target.items()], "key string, target double")
+    quota = {r.key: r.quotas for r in mixing.quotas(frame, 16, 4).collect()}
+    for s, own in quota.items():
+        if sum(own) * 16 <= 2.9 * size[s if s != "None" else None]:  # others are cut by the limit of three passes
+            assert all(abs(len(taken[s if s != "None" else None, i]) - q) <= 1 for i, q in enumerate(own)), (s, own)
+
+
 def test_documents_follow_counts(spark):
     counts = Counter()
     for r in mixing.mix_counts(documents(spark)).collect():
