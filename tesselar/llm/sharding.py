@@ -35,7 +35,8 @@ def shuffle_shards(docs: DataFrame, out: str, shards: int = SHARDS, seed: int =
 
     Columns: doc_id, text, size (UTF-8 bytes of the text, null: none, plus 8),
     slot, shard. Null ids and texts, equal texts and repeated rows are rows like
-    any other; other columns are ignored. Reruns give the same shards and slots.
+    any other, and texts of any length stay whole; other columns are ignored. An
+    empty table gives no rows. Reruns give the same shards and slots.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("bigint").alias("size"))
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
@@ -60,4 +61,4 @@ def shuffle_shards(docs: DataFrame, out: str, shards: int = SHARDS, seed: int =
 def op6_shuffled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = shuffle_shards(table(spark, sf_dir, "documents"), Workspace(spark, "shards").path("records"))
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    return written.select("doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", F.col("slot").cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return written.select("doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

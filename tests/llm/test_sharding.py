@@ -37,5 +37,11 @@ def test_more_shards_than_rows_and_no_rows(spark, tmp_path):
     assert sharding.shuffle_shards(nothing(spark), str(tmp_path / "d")).collect() == []
 
 
-def test_digest_of_texts():
-    assert zlib.crc32(b"") == 0
+def test_query_by_hand(spark, tmp_path):
+    documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op6_shuffled_shards(spark, str(tmp_path))
+    kinds = [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema.fields] == kinds
+    found = got.collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in found) == Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows())
+    assert {r.law for r in found} == {"rows"} and {r.grown_shard for r in found} == {None} and {r.shard for r in found} <= set(range(24))
