@@ -1,28 +1,36 @@
 """Operator 3: SimHash near-duplicates by a binary trie self-join.
 
-Distinct fingerprints are dealt to ranges of equal size. For each pair of ranges
-both are read as binary tries (a node is a run of the sorted fingerprints) and
-walked together: a pair of nodes carries the bits in which its prefixes differ
-and is dropped once they exceed the budget. Pairs that survive are compared in
-full; the links found make a local union, of which only a spanning forest leaves
-the task. Forests of all tasks are joined into components.
+Sorted distinct fingerprints are a binary trie (a node is a run with equal first
+bits). Node pairs are walked together: a pair carries the bits in which its
+prefixes differ and is dropped once they exceed the budget. Pairs that survive are
+compared in full; the links found make a local union, of which only a spanning
+forest leaves the task. Forests of all tasks are joined into components.
+
+The trie is dealt to tasks by its first levels. Bits are cut into more blocks than
+the budget, so two fingerprints within it agree in some blocks entirely; for each
+choice of such blocks these come first in the bits' order, and only subtrees that
+agree in them can hold a link. So a fingerprint goes out once for each choice (five
+times up to some 9 billion fingerprints), not once for each part of the corpus.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from .common import Workspace, blocks, components, pieces_of, small_batches, table, text_bytes, word_spans
+from .common import Workspace, blocks, components, give_back, pieces_of, small_batches, table, text_bytes, word_spans
 
 SHINGLE = 4
 ERRORS = 4
 SEED = 42
-#: Distinct fingerprints of a range.
-RANGE_ROWS = 1 << 21
-#: Node pairs walked at once, and fingerprint pairs from which on two nodes are split further.
+#: Fingerprints of a task, and of a subtree from which on it is split.
+RANGE_ROWS = 1 << 20
+#: Node pairs walked at once, and fingerprint pairs up to which two nodes are compared in full.
 CHUNK, PAIRS = 1 << 17, 32
 
 
@@ -58,8 +66,7 @@ def with_fingerprint(docs: DataFrame, name: str = "fp") -> DataFrame:
         for block in blocks(batches):
             raw, ends = text_bytes(block.column(block.schema.get_field_index("text")))
             yield block.append_column(name, pa.array(fingerprints(raw, ends)))
-
-    from pyspark.sql.types import LongType, StructType
+        give_back()
 
     return docs.mapInArrow(add, StructType([*docs.schema.fields]).add(name, LongType()))
 
@@ -87,8 +94,11 @@ class Trie:
         return self.children[depth]
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray | None, errors: int = ERRORS):
-    """Yields arrays (i, j): all places with at most ``errors`` differing bits between sorted a and b (b None: i < j within a)."""
+def close_pairs(a: np.ndarray, b: np.ndarray | None, errors: int = ERRORS, equal: int = 0):
+    """Yields arrays (i, j): all places with at most ``errors`` differing bits between sorted a and b (b None: i < j within a).
+
+    Of pairs that differ in the first ``equal`` bits only some are found.
+    """
     one = b is None
     ta = Trie(a)
     tb = ta if one else Trie(b)
@@ -110,6 +120,8 @@ def close_pairs(a: np.ndarray, b: np.ndarray | None, errors: int = ERRORS):
         for x in (0, 1):
             for y in (0, 1):
                 u, v = ca[p, x], cb[q, y]
+                if x != y and depth < equal:
+                    continue
                 keep = (u >= 0) & (v >= 0) & (e + (x != y) <= errors)
                 if one and x > y:
                     keep &= p != q
@@ -144,37 +156,113 @@ def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def forest(a: np.ndarray, b: np.ndarray | None, errors: int = ERRORS) -> tuple[np.ndarray, np.ndarray]:
+def forest(a: np.ndarray, b: np.ndarray | None, errors: int = ERRORS, equal: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Links (value, value) that join what ``close_pairs`` links, fewer than there are values."""
     values = a if b is None else np.concatenate([a, b])
     parent, shift = np.arange(len(values)), 0 if b is None else len(a)
-    for i, j in close_pairs(a, b, errors):
-        union(parent, i, j + shift)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for i, j in close_pairs(a, b, errors, equal):
+        held.append((i, j + shift))
+        n += len(i)
+        if n >= len(values):  # a union passes over all values, so it waits for as many links
+            union(parent, *(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        union(parent, *(np.concatenate(x) for x in zip(*held, strict=True)))
     own = np.flatnonzero(parent != np.arange(len(values)))
     return values[own], values[parent[own]]
 
 
-def link(ws: Workspace, fps: DataFrame, errors: int = ERRORS) -> DataFrame:
+def layouts(n: int, errors: int = ERRORS, rows: int = RANGE_ROWS) -> list[tuple[list[tuple[int, int]], int]]:
+    """Orders of the 64 bits as (lowest bit, width) of blocks, and how many first bits two close fingerprints share in one of them.
+
+    There are as few blocks as leave a task's worth of n evenly spread fingerprints to a value of the first bits.
+    """
+    m = errors + 1
+    while m < errors + 4 and n >> (64 * (m - errors) // m) > rows:
+        m += 1
+    cuts = [64 * i // m for i in range(m + 1)]
+    parts = [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    out = []
+    for front in combinations(range(m), m - errors):
+        order = [parts[i] for i in front] + [parts[i] for i in range(m) if i not in front]
+        out.append((order, sum(parts[i][1] for i in front)))
+    return out
+
+
+def front_bits(fp: Column, order: list[tuple[int, int]], width: int) -> Column:
+    """The first ``width`` bits in an order, as a number."""
+    out, left = F.lit(0).cast("bigint"), width
+    for low, size in order:
+        if left <= 0:
+            break
+        left -= size
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << size) - 1).cast("bigint")), left))
+    return out
+
+
+def reorder(values: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    out, at = np.zeros(len(values), np.uint64), 64
+    for low, size in order:
+        at -= size
+        out |= ((values >> np.uint64(low)) & np.uint64((1 << size) - 1)) << np.uint64(at)
+    return out
+
+
+def restore(values: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    out, at = np.zeros(len(values), np.uint64), 64
+    for low, size in order:
+        at -= size
+        out |= ((values >> np.uint64(at)) & np.uint64((1 << size) - 1)) << np.uint64(low)
+    return out
+
+
+def deal(fps: DataFrame, chosen: list[tuple[list[tuple[int, int]], int]], n: int, rows: int = RANGE_ROWS) -> DataFrame:
+    """fp, layout, front (value of the first bits), lo, hi, own: subtrees to walk.
+
+    A subtree of more than ``rows`` fingerprints is cut into chunks by a hash, and
+    chunks meet two by two (lo, hi); ``own`` is the row's chunk. All others have 0.
+    """
+    fronts = F.array(*[F.struct(F.lit(i).alias("layout"), front_bits(F.col("fp"), order, width).alias("front")) for i, (order, width) in enumerate(chosen)])
+    dealt = fps.select("fp", F.explode(fronts).alias("_f")).select("fp", "_f.layout", "_f.front")
+    if n <= rows:
+        return dealt.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0)).withColumn("own", F.lit(0))
+    hot = dealt.groupBy("layout", "front").agg(F.count("*").alias("_n")).where(F.col("_n") > rows)
+    hot = hot.select("layout", "front", F.ceil(F.col("_n") / rows).cast("int").alias("_k"))
+    # at most one row for each `rows` rows of dealt
+    dealt = dealt.join(F.broadcast(hot), ["layout", "front"], "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("_k")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    return dealt.select("fp", "layout", "front", F.least("own", "_o").alias("lo"), F.greatest("own", "_o").alias("hi"), "own")
+
+
+def link(ws: Workspace, fps: DataFrame, errors: int = ERRORS, rows: int = RANGE_ROWS) -> DataFrame:
     """(fp, root) for distinct fingerprints (fp bigint): root is the same for all that links connect."""
     n = fps.count()
-    k = max(8, pieces_of(n, RANGE_ROWS))
-    cuts = fps.agg(F.percentile_approx("fp", [i / k for i in range(1, k)], 100 * k).alias("q")).first()["q"] or []
-    part = F.size(F.filter(F.array(*[F.lit(c).cast("bigint") for c in cuts]), lambda c: c <= F.col("fp"))) if cuts else F.lit(0)
-    dealt = fps.select("fp", part.alias("part")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    dealt = dealt.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+    chosen = layouts(n, errors, rows)
     kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def walk(group: pa.Table) -> pa.Table:
-        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
-        values, parts = group["fp"].to_numpy().view(np.uint64) ^ np.uint64(1 << 63), group["part"].to_numpy()
-        sides = [np.sort(values[parts == x]) for x in ([lo] if lo == hi else [lo, hi])]
-        a, b = forest(sides[0], None if lo == hi else sides[1], errors)
-        return pa.Table.from_arrays([pa.array((x ^ np.uint64(1 << 63)).view(np.int64)) for x in (a, b)], schema=kinds)
+    def walk(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        part = pa.Table.from_batches(held)
+        fp, layout, lo, hi, own = (part[c].to_numpy() for c in ("fp", "layout", "lo", "hi", "own"))
+        keys, which = np.unique(np.stack([layout, lo, hi]), axis=1, return_inverse=True)
+        for g, (at, low, high) in enumerate(keys.T.tolist()):
+            order, width = chosen[at]
+            mine = np.flatnonzero(which.reshape(-1) == g)
+            values = reorder(fp[mine].view(np.uint64), order)
+            sides = [np.sort(values)] if low == high else [np.sort(values[own[mine] == x]) for x in (low, high)]
+            a, b = forest(sides[0], None if low == high else sides[1], errors, width)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(restore(x, order).view(np.int64)) for x in (a, b)], schema=kinds)
+        give_back()
 
     small_batches(fps.sparkSession)
-    dealt = dealt.repartition(k * (k + 1) // 2, "lo", "hi")  # few bytes, much work: not to be coalesced
-    edges = dealt.groupBy("lo", "hi").applyInArrow(walk, "a bigint, b bigint")
-    rooted = components(ws, edges)
+    # a set number of tasks, each with whole subtrees; few bytes, much work: not to be coalesced
+    dealt = deal(fps, chosen, n, rows).repartition(max(8, pieces_of(n * len(chosen), rows)), "layout", "front", "lo", "hi")
+    rooted = components(ws, dealt.drop("front").mapInArrow(walk, "a bigint, b bigint"))
     return fps.join(rooted, fps["fp"] == rooted["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -182,8 +270,9 @@ def groups(ws: Workspace, printed: DataFrame, errors: int = ERRORS) -> DataFrame
     """(fp, rep struct<none, doc_id, fp>) from (doc_id, fp): the smallest doc_id of each component (null: last)."""
     least = ws.put(printed.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("least")), "least")
     rooted = ws.put(link(ws, least.select("fp"), errors), "rooted")
-    joined = rooted.join(least, "fp")
-    return rooted.join(joined.groupBy("root").agg(F.min("least").alias("rep")), "root").select("fp", "rep")
+    # a table of its own, so that a root of very many fingerprints can be split in the join
+    reps = ws.put(rooted.join(least, "fp").groupBy("root").agg(F.min("least").alias("rep")), "reps-of-roots")
+    return rooted.join(reps, "root").select("fp", "rep")
 
 
 def near_duplicates(docs: DataFrame, errors: int = ERRORS) -> DataFrame:
@@ -191,11 +280,13 @@ def near_duplicates(docs: DataFrame, errors: int = ERRORS) -> DataFrame:
 
     A null text counts as empty; texts without words have fingerprint zero, linked
     like any other. Null ids never name a component that has another id. Repeated
-    rows give a row each; other columns are ignored; an empty table gives no rows.
+    rows give a row each, texts are read whole, other columns are ignored; an empty
+    table gives no rows.
     """
     ws = Workspace(docs.sparkSession, "simhash")
     printed = ws.put(with_fingerprint(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).select("doc_id", "fp"), "printed")
     found = ws.put(groups(ws, printed, errors), "groups")
+    ws.keep("printed", "groups")
     return printed.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("rep.doc_id").alias("component_id"))
 
 

@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tesselar.llm import simhash
 from tesselar.llm.common import Workspace, components
@@ -68,6 +70,50 @@ def test_trie_join_finds_every_pair():
     assert len(lo) < len(values)
 
 
+def near_values(seed, n):
+    r = random.Random(seed)
+    base = [r.getrandbits(64) for _ in range(n)] + [r.getrandbits(20) for _ in range(n)]  # half of them share 44 bits
+    for v in base[: 2 * n]:
+        x = v
+        for b in r.sample(range(64), r.randrange(1, 7)):
+            x ^= 1 << b
+        base.append(x)
+    return sorted(set(base))
+
+
+@pytest.mark.parametrize(("rows_", "n"), [(1 << 20, 200), (40, 200), (2, 60)])
+def test_links_of_dealt_subtrees(spark, rows_, n):
+    values = near_values(7, n)
+    frame = spark.createDataFrame([(int(np.uint64(v).astype(np.int64)),) for v in values], "fp bigint")
+    got = {r.fp: r.root for r in simhash.link(Workspace(spark, "t"), frame, rows=rows_).collect()}
+    groups = {}
+    for v, root in zip(values, roots(values), strict=True):
+        groups.setdefault(root, set()).add(got[int(np.uint64(v).astype(np.int64))])
+    assert len(got) == len(values) and all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_layouts_keep_close_pairs_together(spark):
+    assert len(simhash.layouts(10**6)) == 5 and len(simhash.layouts(5 * 10**10)) == 15
+    r, chosen = random.Random(1), simhash.layouts(10**12)
+    for _ in range(200):
+        a = r.getrandbits(64)
+        b = a
+        for bit in r.sample(range(64), 4):
+            b ^= 1 << bit
+        pair = np.array([a, b], np.uint64)
+        shared = 0
+        for order, width in chosen:
+            x = simhash.reorder(pair, order)
+            assert np.array_equal(simhash.restore(x, order), pair)
+            shared += int(x[0]) >> (64 - width) == int(x[1]) >> (64 - width)
+        assert shared >= 1
+    order, width = chosen[3]
+    value = r.getrandbits(64)
+    signed = int(np.uint64(value).astype(np.int64))
+    got = spark.createDataFrame([(signed,)], "fp bigint").select(simhash.front_bits(F.col("fp"), order, width).alias("x")).first().x
+    assert got == int(simhash.reorder(np.array([value], np.uint64), order)[0]) >> (64 - width)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 101), (200, 150), (150, 180), (1, 0)]
     got = {r.node: r.root for r in components(Workspace(spark, "t"), spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
