@@ -3,30 +3,33 @@
 Each language has a probability for every piece of a fixed public vocabulary. The
 likelihood of a text is that of its words, and the likelihood of a word is the
 sum over all ways to cut it into pieces, found by the forward algorithm. Words
-repeat, so each worker scores a word once for all languages and keeps it.
+repeat, so each worker scores a word once for all languages and keeps it. All
+languages are learned; they are scored in passes of LANGUAGES, so that memory does
+not grow with their number.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Powers, blocks, small_batches, table, text_bytes, word_hashes, word_spans
+from .common import Powers, Workspace, blocks, distinct_words, give_back, small_batches, table, text_bytes, word_spans
 
 #: Documents of each language, by a seeded digest, that the probabilities are fitted on (about; all if there are fewer).
 SAMPLE_DOCS = 1500
-#: Most languages that are learned: the most frequent ones.
-LANGUAGES = 256
+#: Languages that one pass over the texts scores.
+LANGUAGES = 32
 #: Added to every count.
 SMOOTHING = 0.5
-#: Code points of a word that are segmented at once; longer words are scored in runs of so many.
-RUN = 256
 #: Values below which a run is scored in logarithms instead.
 LOW = 1e-200
-#: Words a worker keeps.
-CACHE = 300_000
+#: Bytes of words and their scores that a worker keeps.
+CACHE_BYTES = 48 << 20
 SPACE_MARK = "▁"
 UNKNOWN = "und"
 POINTS = Powers(0x9E3779B97F4A7C15)
@@ -75,24 +78,22 @@ def piece_counts(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(count, "lang string, piece int, n bigint").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages and their piece probabilities (pieces x languages) from rows (doc_id, text, lang) that are not held out.
+def models(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS, most: int = LANGUAGES) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Languages and their piece probabilities (pieces x languages) from rows (doc_id, text, lang) that are not held out, ``most`` languages at a time.
 
-    Counts per language cover all rows; the probabilities are fitted on about ``sample`` documents of each.
+    Counts of documents cover all rows; the probabilities are fitted on about ``sample`` documents of each language.
     """
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    share = {r["lang"]: min(1.0, sample / r["n"]) for r in counts}
-    langs = sorted(share)
-    size = len(pieces(path)[0])
-    counted = np.full((size, len(langs)), SMOOTHING)
-    if langs:
+    share = {r["lang"]: min(1.0, sample / r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}  # a row for each language
+    size, every = len(pieces(path)[0]), sorted(share)
+    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":lang"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    for first in range(0, len(every), most):
+        langs = every[first : first + most]
+        counted, at = np.full((size, len(langs)), SMOOTHING), {lang: i for i, lang in enumerate(langs)}
         rate = F.create_map(*[F.lit(x) for lang in langs for x in (lang, share[lang])])[F.col("lang")]
-        draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":lang"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-        at = {lang: i for i, lang in enumerate(langs)}
-        for r in piece_counts(known.where(draw < rate), path).toLocalIterator():  # at most languages x pieces rows
+        for r in piece_counts(known.where(F.col("lang").isin(langs) & (draw < rate)), path).toLocalIterator():  # at most languages x pieces rows
             counted[r["piece"], at[r["lang"]]] += r["n"]
-    return langs, counted / counted.sum(axis=0, keepdims=True)
+        yield langs, counted / counted.sum(axis=0, keepdims=True)
 
 
 class WordScorer:
@@ -124,22 +125,19 @@ class WordScorer:
         return sums
 
     def score(self, words: list[str]) -> np.ndarray:
-        """(words x languages). A word begins with the mark of a space; code points outside the vocabulary count as their bytes."""
-        runs, owner = [], []
-        for i, w in enumerate(words):
-            w = SPACE_MARK + w
-            for at in range(0, len(w), RUN):
-                runs.append(w[at : at + RUN])
-                owner.append(i)
-        size = np.array([len(r) for r in runs])
-        order = np.argsort(-size, kind="stable")
-        size, owner = size[order], np.array(owner)[order]
-        points = np.frombuffer("".join(runs[i] for i in order.tolist()).encode("utf-32-le"), np.uint32)
-        begin = np.cumsum(size) - size
-        place = np.arange(len(points)) - np.repeat(begin, size)
+        """(words x languages). A word begins with the mark of a space; code points outside the vocabulary count as their bytes.
+
+        A word is cut where no piece of the vocabulary that stands in it lies across:
+        all its segmentations cut there too, so its likelihood is its runs' product.
+        """
+        marked = [SPACE_MARK + w for w in words]
+        points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+        length = np.array([len(w) for w in marked], np.int64)
+        head = np.cumsum(length) - length
+        place = np.arange(len(points)) - np.repeat(head, length)
         sums, down = self._sums(points), POINTS.to(len(points) + 1)[1]
         longest = max(self.tables)
-        ids = np.full((longest + 1, len(points)), self.none, np.int32)
+        ids, across = np.full((longest + 1, len(points)), self.none, np.int32), np.zeros(len(points) + 1, np.int64)
         for k, (known, own, hint) in self.tables.items():
             end = np.flatnonzero(place >= k - 1)
             h = (sums[end + 1] - sums[end + 1 - k]) * down[end + 1 - k]
@@ -148,6 +146,14 @@ class WordScorer:
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             hit = known[at] == h
             ids[k, end[hit]] = own[at[hit]]
+            if k > 1:  # the piece lies across the borders before its second to its last code point
+                np.add.at(across, end[hit] + 2 - k, 1)
+                np.subtract.at(across, end[hit] + 1, 1)
+        begin = np.flatnonzero((np.cumsum(across[:-1]) == 0) | (place == 0))
+        size = np.diff(np.append(begin, len(points)))
+        owner = np.searchsorted(head, begin, side="right") - 1
+        order = np.argsort(-size, kind="stable")
+        begin, size, owner = begin[order], size[order], owner[order]
         lost, rare = np.flatnonzero(ids[1] == self.none), {}
         forward = np.zeros((len(points) + 1, self.p.shape[1]))
         if len(lost):
@@ -216,47 +222,62 @@ class WordScorer:
         return forward[begin + size - 1]
 
 
-def identify(docs: DataFrame, path: str, langs: list[str], probabilities: np.ndarray) -> DataFrame:
+def identify(docs: DataFrame, path: str, found: Iterator[tuple[list[str], np.ndarray]]) -> DataFrame:
     """docs (text; all columns stay) with lang_pred and score, the posterior of lang_pred under equal priors.
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text if no language was learned.
+    A text that is null or has no letter is ``und`` with score 0, as is every text if
+    no language was learned; ties go to the language that sorts first. Each pass has
+    the best language so far, its likelihood and the sum of all, relative to it.
     """
-    from pyspark.sql.types import DoubleType, StringType, StructType
+    state = docs.withColumn("_pred", F.lit(None).cast("string")).withColumn("_top", F.lit(None).cast("double")).withColumn("_sum", F.lit(0.0))
+    kind, passes, ws = StructType([*state.schema.fields]), 0, None
+    small_batches(docs.sparkSession)
+    for langs, probabilities in found:
+        if passes:  # passes do not share a worker's memory
+            ws = ws or Workspace(docs.sparkSession, "languages")
+            state = ws.put(state, f"pass-{passes}")
+            ws.keep(f"pass-{passes}")
+        state, passes = state.mapInArrow(_pass(path, langs, probabilities), kind), passes + 1
+    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.col("_pred").isNotNull()
+    return state.withColumn("lang_pred", F.when(letter, F.col("_pred")).otherwise(UNKNOWN)).withColumn("score", F.when(letter, 1 / F.col("_sum")).otherwise(0.0)).drop("_pred", "_top", "_sum")
 
+
+def _pass(path: str, langs: list[str], probabilities: np.ndarray):
     names = np.array(langs, object)
 
     def run(batches):
-        scorer, known, scores = WordScorer(path, probabilities), {}, np.zeros((0, len(langs)))
+        scorer, known, scores, held = WordScorer(path, probabilities), {}, np.zeros((0, len(langs))), 0
         for block in blocks(batches):
-            raw, ends = text_bytes(block.column(block.schema.get_field_index("text")))
+            column = lambda name: block.column(block.schema.get_field_index(name))  # noqa: B023, E731
+            raw, ends = text_bytes(column("text"))
             starts, stops, at = word_spans(raw, ends)
-            hashed, first, inverse = np.unique(word_hashes(raw, starts, stops), return_index=True, return_inverse=True)
-            if len(known) > CACHE:
-                known, scores = {}, scores[:0]
-            fresh = [i for i, h in enumerate(hashed.tolist()) if h not in known]
+            _, first, which = distinct_words(raw, starts, stops)
+            data = raw.tobytes()
+            words = [data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+            if held > CACHE_BYTES:
+                known, scores, held = {}, scores[:0], 0
+            fresh = [w for w in words if w not in known]
             if fresh:
-                where = first[fresh]
-                data = raw.tobytes()
-                more = scorer.score([data[a:b].decode() for a, b in zip(starts[where].tolist(), stops[where].tolist(), strict=True)])
-                known.update(zip(hashed[fresh].tolist(), range(len(scores), len(scores) + len(more)), strict=True))
-                scores = np.concatenate([scores, more])
-            own = np.array([known[h] for h in hashed.tolist()], np.int64)
+                known.update(zip(fresh, range(len(scores), len(scores) + len(fresh)), strict=True))
+                scores = np.concatenate([scores, scorer.score([w.decode() for w in fresh])])
+                held += sum(map(len, fresh)) + len(fresh) * (120 + 8 * len(langs))
+            own = np.array([known[w] for w in words], np.int64)
             total = np.zeros((block.num_rows, len(langs)))
             full = np.flatnonzero(np.diff(at))
             if len(full):
-                total[full] = np.add.reduceat(scores[own[inverse]], at[:-1][full], axis=0)
+                total[full] = np.add.reduceat(scores[own[which]], at[:-1][full], axis=0)
             best = total.argmax(axis=1)
-            weight = np.exp(total - total.max(axis=1, keepdims=True))
-            made = block.append_column("_pred", pa.array(names[best], pa.string()))
-            yield made.append_column("_score", pa.array(weight[np.arange(len(best)), best] / weight.sum(axis=1)))
+            top = total[np.arange(len(best)), best]
+            sums = np.exp(total - top[:, None]).sum(axis=1)
+            before = np.where(np.asarray(column("_top").is_null()), -np.inf, column("_top").fill_null(0.0).to_numpy(zero_copy_only=False))
+            high = np.maximum(before, top)
+            pred = np.where(top > before, names[best], np.array(column("_pred").to_pylist(), object))
+            sums = np.exp(before - high) * column("_sum").to_numpy(zero_copy_only=False) + np.exp(top - high) * sums
+            made = {"_pred": pa.array(pred, pa.string()), "_top": pa.array(high), "_sum": pa.array(sums)}
+            yield pa.RecordBatch.from_arrays([made.get(f.name, block.column(i)) for i, f in enumerate(block.schema)], names=block.schema.names)
+        give_back()
 
-    if not langs:
-        return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
-    small_batches(docs.sparkSession)
-    kind = StructType([*docs.schema.fields]).add("_pred", StringType()).add("_score", DoubleType())
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    found = docs.mapInArrow(run, kind)
-    return found.withColumn("lang_pred", F.when(letter, F.col("_pred")).otherwise(UNKNOWN)).withColumn("score", F.when(letter, F.col("_score")).otherwise(0.0)).drop("_pred", "_score")
+    return run
 
 
 def language_report(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS) -> DataFrame:
@@ -264,19 +285,22 @@ def language_report(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS) -> Da
 
     Learns from rows with text and lang whose crc32(doc_id as text) mod 3 is not 1
     (a null id is not held out); predicts from the text alone. Repeated rows give a
-    row each; other columns are ignored; an empty table gives no rows.
+    row each; whole texts count, however long they or their words are; other columns
+    are ignored; an empty table gives no rows.
     """
-    langs, p = fit(docs, path, sample)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return identify(texts, path, langs, p).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return identify(texts, path, models(docs, path, sample)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, path: str, sample: int = SAMPLE_DOCS) -> DataFrame:
-    """The documents that have a language, with the columns of docs; ``und`` is rejected."""
-    langs, p = fit(docs, path, sample)
+    """The documents that have a language, with the columns of docs; ``und`` is rejected.
+
+    Null, empty and letterless texts go; repeated rows and null ids are judged by
+    their texts like any other; texts are read whole; an empty table stays empty.
+    """
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*others).alias("_row"), "text")
-    kept = identify(rows, path, langs, p).where(F.col("lang_pred") != UNKNOWN)
+    kept = identify(rows, path, models(docs, path, sample)).where(F.col("lang_pred") != UNKNOWN)
     return kept.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 

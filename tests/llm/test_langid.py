@@ -5,7 +5,7 @@ import pytest
 
 from tesselar.llm import langid
 
-from .helpers import documents, nothing, rows
+from .helpers import documents, nothing, rows, thue_morse
 
 VOCABULARIES = {"en": "the and of that with this from have not are house water light".split(), "fr": "le la les des une pour dans que avec sur maison lumière eau".split(), "de": "der die das und nicht mit für auf ein haus wasser licht über".split()}
 
@@ -52,8 +52,42 @@ def test_forward_sums_all_segmentations():
     got = langid.WordScorer(langid.vocabulary(), p).score(words)
     for w, row in zip(words, got, strict=True):
         assert np.allclose(row, total(w), rtol=1e-9)
-    long = langid.WordScorer(langid.vocabulary(), p).score(["x" * 5000])
-    assert np.isfinite(long).all() and long[0][0] < -1000 * math.log(2)
+
+
+def test_long_words_are_not_cut():
+    """A word of 5,000 letters scores as the recurrence over all its segmentations, in logarithms."""
+    import random
+
+    found, raw = langid.pieces(langid.vocabulary())
+    p = np.random.default_rng(1).random(len(found))
+    p /= p.sum()
+    at, r = {x: i for i, x in enumerate(found) if x}, random.Random(8)
+    longest = max(map(len, at))
+    for word in ("".join(r.choice("etaoinshrdlu") for _ in range(5000)), "日本語の文" * 700 + "\U0001f972" * 40 + "water" * 300):
+        w = langid.SPACE_MARK + word
+        logs = [0.0]
+        for end in range(1, len(w) + 1):
+            parts = [logs[begin] + math.log(p[at[w[begin:end]]]) for begin in range(max(0, end - longest), end) if w[begin:end] in at]
+            if w[end - 1] not in at:
+                parts.append(logs[end - 1] + sum(math.log(p[raw[b]]) for b in w[end - 1].encode()))
+            top = max(parts)
+            logs.append(top + math.log(sum(math.exp(x - top) for x in parts)))
+        got = langid.WordScorer(langid.vocabulary(), p[:, None]).score([word, "the"])
+        assert np.isclose(got[0, 0], logs[-1], rtol=1e-9)
+
+
+def test_passes_over_languages_agree(spark, labelled):
+    few = labelled.where("doc_id < 60")
+    whole = {r.doc_id: (r.lang_pred, round(r.score, 12)) for r in langid.identify(few, langid.vocabulary(), langid.models(labelled, langid.vocabulary())).collect()}
+    single = {r.doc_id: (r.lang_pred, round(r.score, 12)) for r in langid.identify(few, langid.vocabulary(), langid.models(labelled, langid.vocabulary(), most=1)).collect()}
+    assert whole == single and {v[0] for v in whole.values()} == {"en", "fr", "de"}
+
+
+def test_words_of_equal_hash_have_their_own_scores(spark, labelled, monkeypatch):
+    texts = spark.createDataFrame([(1, f"{thue_morse()} the house"), (2, f"{thue_morse('ba')} the house"), (3, f"{thue_morse('ba')} {thue_morse()}")], "doc_id bigint, text string").coalesce(1)
+    found = list(langid.models(labelled, langid.vocabulary()))
+    each = [langid.identify(texts.where(f"doc_id = {i}"), langid.vocabulary(), iter(found)).first() for i in (1, 2, 3)]
+    assert sorted(map(tuple, langid.identify(texts, langid.vocabulary(), iter(found)).collect())) == sorted(map(tuple, each))
 
 
 def test_awkward_rows_and_stage(spark):
@@ -82,7 +116,7 @@ def test_runs_outside_the_vocabulary(spark):
     text = " ".join(VOCABULARIES["fr"] * 20)
     table = [(1, text + " " + "\U0001f972" * 50), (2, text + " " + "\u3030" * 50), (3, ("\U0001f972" * 300 + " ") + text), (4, text + " la" + "\U0001f972" * 7)]
     docs = spark.createDataFrame(table, "doc_id bigint, text string")
-    for r in langid.identify(docs, path, sorted(VOCABULARIES), p).collect():
+    for r in langid.identify(docs, path, iter([(sorted(VOCABULARIES), p)])).collect():
         assert r.lang_pred == "fr" and 0.99 < r.score <= 1
     scorer = langid.WordScorer(path, p)
     assert np.allclose(scorer.score(["\U0001f972" * 50])[0], np.log(p[found.index(langid.SPACE_MARK)]) + 200 * np.log(5e-7))
