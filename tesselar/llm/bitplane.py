@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Workspace, pieces_of, prefix_sums, small_batches, table
 from .tokens import packed, vocabulary
@@ -58,7 +59,9 @@ def write_ids(docs: DataFrame, out: str, path: str, block: int = BLOCK, level: i
     """Writes the ids of documents (doc_id, text) to ``out`` in ascending doc_id order.
 
     A null text counts as empty, a null doc_id comes first, rows of equal id stand
-    side by side. An empty table gives an empty folder of blocks.
+    side by side, in order of their texts' hashes, and may be in several parts. Texts of
+    any length are written whole, over as many blocks as they fill; other columns are
+    ignored. An empty table gives an empty folder of blocks.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(24, pieces_of(size, PART_BYTES))
@@ -94,7 +97,9 @@ def write_ids(docs: DataFrame, out: str, path: str, block: int = BLOCK, level: i
 
     small_batches(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ordered = ordered.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    ordered = ordered.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())  # rows of one id, or all equal, can be split
+    by = ["doc_id", "hash", "row"]
+    ordered = ordered.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("doc_id", "text", F.spark_partition_id().alias("part"))
     ordered.mapInArrow(stream, STORED).write.mode("overwrite").option("compression", "uncompressed").parquet(out)
 
 
@@ -106,18 +111,46 @@ def read_ids(spark: SparkSession, out: str, keep_ids: bool = False) -> DataFrame
 
     def decode(part: pa.Table) -> pa.Table:
         part = part.sort_by("block")
-        data = b"".join(decode_block(x.as_py()).tobytes() for x in part["payload"])
-        at = [s for x in part["doc_starts"].to_pylist() for s in x] + [len(data) // 4]
+        at = [s for x in part["doc_starts"].to_pylist() for s in x] + [sum(part["n_ids"].to_pylist())]
         docs = [d for x in part["doc_ids"].to_pylist() for d in x]
-        each = [data[4 * a : 4 * b] for a, b in zip(at, at[1:], strict=False)]
+        sums, each, i = [0] * len(docs), [b""] * len(docs), 0
+        for first, payload in zip(part["first"].to_pylist(), part["payload"], strict=True):  # a block at a time
+            data = decode_block(payload.as_py()).tobytes()
+            end = first + len(data) // 4
+            while i < len(docs):
+                cut = data[4 * max(at[i] - first, 0) : 4 * (at[i + 1] - first)]
+                sums[i] = zlib.crc32(cut, sums[i])
+                if keep_ids:
+                    each[i] += cut
+                if at[i + 1] > end:
+                    break
+                i += 1
         number = part["part"][0].as_py()
-        rows = [docs, [number] * len(docs), at[:-1], [len(x) // 4 for x in each], [zlib.crc32(x) for x in each], each if keep_ids else [None] * len(docs)]
+        rows = [docs, [number] * len(docs), at[:-1], [b - a for a, b in zip(at, at[1:], strict=False)], sums, each if keep_ids else [None] * len(docs)]
         return pa.Table.from_arrays([pa.array(c, k.type) for c, k in zip(rows, kinds, strict=True)], schema=kinds)
 
     found = stored.groupBy("part").applyInArrow(decode, "doc_id bigint, part int, inner bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
     return found.join(starts, "part").select("doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * keep_ids)
 
 
+def read_document(spark: SparkSession, out: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of every row of one doc_id, from the blocks that hold them alone: the index says which."""
+    stored = spark.read.schema(STORED).parquet(out)
+    began = stored.select("part", "block", F.explode(F.arrays_zip("doc_ids", "doc_starts")).alias("d")).select("part", "block", "d.*")
+    near = F.lead("doc_starts").over(Window.partitionBy("part").orderBy("doc_starts"))
+    # a part's index is small: a number for each of its documents
+    parts = [r[0] for r in stored.where(F.array_contains("doc_ids", F.lit(doc_id).cast("bigint"))).select("part").distinct().collect()]
+    spans = began.where(F.col("part").isin(parts)).withColumn("end", near).where(F.col("doc_ids") == doc_id).orderBy("part", "doc_starts").collect()
+    found = []
+    for r in spans:
+        end = F.lit(r["end"]).cast("bigint")
+        held = stored.where((F.col("part") == r["part"]) & (F.col("first") + F.col("n_ids") > r["doc_starts"]) & F.coalesce(F.col("first") < end, F.lit(True)))
+        held = held.select("first", "payload").orderBy("first").collect()  # the blocks of one document
+        ids, first = np.concatenate([decode_block(bytes(b["payload"])) for b in held]), held[0]["first"]
+        found.append(ids[r["doc_starts"] - first : None if r["end"] is None else r["end"] - first])
+    return found
+
+
 def op5_token_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = Workspace(spark, "bitplane").path("ids")
     write_ids(table(spark, sf_dir, "documents"), out, vocabulary())

@@ -130,3 +130,7 @@ def test_streams_round_trip(spark, coded, tmp_path, block):
         at += r.n_tokens
     assert [r.doc_id for r in got] == sorted((d for d, _ in coded), key=lambda d: (d is not None, d or 0))
     assert Counter((r.doc_id, bytes(r.ids)) for r in got) == Counter(coded)
+    plain = bitplane.read_ids(spark, out).collect()
+    assert Counter((r.doc_id, r.ids_crc32) for r in plain) == Counter((d, zlib.crc32(x)) for d, x in coded)
+    for doc_id in (34, 1000, 1, 5555):
+        assert Counter(x.tobytes() for x in bitplane.read_document(spark, out, doc_id)) == Counter(x for d, x in coded if d == doc_id)

@@ -53,3 +53,27 @@ def test_run_packs_the_mix(spark, folder):
     assert all(len(r.ids) == 4 * r.length for r in got)
     assert sum(np.frombuffer(r.ids, np.uint32)[-1] == 1 for r in got) >= len({r.doc_id for r in got})
     assert tokens.END == b"\x01\0\0\0"
+
+
+def test_run_packs_the_words_of_the_mix(spark, folder):
+    """The packed ids of each document are those of the rows that the stages before it made."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+    mixed = docs.collect()
+    coder = tokens.WordIds(tokens.vocabulary())
+    want = Counter()
+    for r in mixed:
+        data = (r.text or "").encode()
+        want[r.doc_id, coder.pack(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]] += 1
+    pieces = {}
+    for r in pipeline.run(spark, folder).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    assert set(pieces) == {d for d, _ in want}
+    for doc_id, found in pieces.items():
+        assert Counter(b for _, ids in found for b in [ids]) == Counter(x[i : i + 4 * 4096] for (d, x), n in want.items() if d == doc_id for _ in range(n) for i in range(0, len(x), 4 * 4096))
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    documents(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
