@@ -153,6 +153,32 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             first = last
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], by: list[str], rows: int) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of about ``rows`` rows from batches ordered by ``by`` (integers), cut between groups only, and where each group begins and ends."""
+    held, n, want = [], 0, rows
+
+    def cut(table: pa.Table) -> list[int]:
+        keys = np.stack([table[c].to_numpy() for c in by])
+        return [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n < want:
+            continue
+        table = pa.Table.from_batches(held)
+        at = cut(table)
+        if len(at) == 2:  # one group so far
+            want = 2 * n
+            continue
+        yield table.slice(0, at[-2]).combine_chunks(), at[:-1]
+        held = table.slice(at[-2]).to_batches()
+        n, want = table.num_rows - at[-2], rows
+    if n:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, cut(table)
+
+
 def _offsets(col: pa.Array) -> np.ndarray:
     kind = np.int64 if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else np.int32
     return np.frombuffer(col.buffers()[1], kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)

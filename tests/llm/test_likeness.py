@@ -67,3 +67,18 @@ def test_large_group_of_copies_and_chain(spark):
         table.append((i, " ".join(base)))
     docs = spark.createDataFrame(table, "doc_id bigint, text string")
     assert [x.doc_id for x in likeness.keep_one(docs).collect()] == brute(table) == [0]
+
+
+def test_chunks_of_cells_and_families_meet(spark, monkeypatch):
+    monkeypatch.setattr(likeness, "CELL_ROWS", 7)
+    monkeypatch.setattr(likeness, "FAMILY_SHINGLES", 3000)
+    r = random.Random(6)
+    base = [f"v{r.randrange(5000)}" for _ in range(150)]
+    table = []
+    for i in range(90):  # near copies of a text that is not there: some pairs are alike, others are not
+        copy = list(base)
+        for at in r.sample(range(150), r.randrange(1, 9)):
+            copy[at] = f"y{i}-{at}"
+        table.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(table, "doc_id bigint, text string").repartition(5)
+    assert sorted(x.doc_id for x in likeness.keep_one(docs).collect()) == brute(table)
