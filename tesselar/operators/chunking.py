@@ -79,6 +79,10 @@ def spec_chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
 FUNCTION_BLOCK = r"(?s)```python\n(def\s+(\w+)\s*\([^`]+?)```"
 
 
+#: Ordinal of a file's first function, above any section's: a file's text has fewer code points.
+AFTER_SECTIONS = 1 << 30
+
+
 def function_blocks(content: Column) -> Column:
     """array of (body, name) of the fenced Python blocks that start with ``def``."""
     group = lambda i: F.regexp_extract_all(content, F.lit(FUNCTION_BLOCK), F.lit(i))
@@ -88,7 +92,7 @@ def function_blocks(content: Column) -> Column:
 def function_chunks(files: DataFrame) -> DataFrame:
     found = files.select("path", "repo", F.posexplode(function_blocks(F.col("content"))).alias("at", "block"))
     name = F.col("block.name")
-    return found.select(F.trim(F.regexp_replace(F.col("block.body"), r"\A\s+|\s+\z", "")).alias("content"), F.col("path").alias("source"), X.fork_of_path(F.col("path")).alias("fork"), name.alias("section"), F.lit("function").alias("chunk_type"), F.create_map(F.lit("function_name"), name).alias("metadata"), "repo", (F.col("at") + 1_000_000).cast("int").alias("ordinal"))
+    return found.select(F.trim(F.regexp_replace(F.col("block.body"), r"\A\s+|\s+\z", "")).alias("content"), F.col("path").alias("source"), X.fork_of_path(F.col("path")).alias("fork"), name.alias("section"), F.lit("function").alias("chunk_type"), F.create_map(F.lit("function_name"), name).alias("metadata"), "repo", (F.col("at") + AFTER_SECTIONS).cast("int").alias("ordinal"))
 
 
 def eip_chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:

@@ -26,6 +26,7 @@ from .operators.splitting import by_headers, by_size
 from .plans import api, cells, incremental, search, validation
 from .plans.manifest import violations
 from .plans.store import ChunkTable
+from .sources.files import hashes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,8 +164,8 @@ _PATH = f"('consensus-specs/specs/' || {_FORK}[doc_id % 8 + 1] || '/f' || doc_id
 
 @query("p1_t25_chunk_ids", "SELECT doc_id, 'docs_' || lang || '_' || substr(sha256(source), 1, 8) || '_' || printf('%04d', row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) || '_' || substr(sha256(text), 1, 8) AS chunk_id FROM documents")
 def chunk_ids(spark, d):
-    index = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return docs(spark, d).select("doc_id", X.chunk_id(F.lit("docs"), F.col("lang"), F.col("source"), index, F.col("text")).alias("chunk_id"))
+    chunks = docs(spark, d).select("doc_id", F.lit(None).cast("string").alias("repo"), "source", F.col("lang").alias("chunk_type"), F.col("text").alias("content"), F.col("doc_id").alias("ordinal"))
+    return K.with_ids(chunks, F.lit("docs")).select("doc_id", "chunk_id")
 
 
 @query("p2_checked_chunk_ids", f"SELECT doc_id, 'docs_' || lang || '_' || substr(sha256({_PATH}), 1, 8) || '_' || printf('%04d', doc_id % 10000) || '_' || substr(sha256(text), 1, 8) AS chunk_id FROM documents")
@@ -249,7 +250,7 @@ def constant_names(spark, d):
 
 @query("p20_file_hashes", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
 def file_hashes(spark, d):
-    return docs(spark, d).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return hashes(docs(spark, d).select(_id().alias("path"), F.col("text").alias("content"))).select(F.col("path").cast("bigint").alias("doc_id"), "sha256")
 
 
 _REPO_ROWS = ", ".join(f"({i}, '{r}', '{u}', '{b}')" for i, (r, u, b) in enumerate(catalog.REPOS))
@@ -293,8 +294,7 @@ def lines(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content"))
 
 
-@query("t2_size_split")
-def size_split(spark, d):
+def _size_split(rows: DataFrame) -> DataFrame:
     def cut(batches):
         import pandas as pd
 
@@ -302,7 +302,49 @@ def size_split(spark, d):
             found = [(i, n, p, len(p)) for i, t in zip(pdf.doc_id, pdf.text, strict=True) for n, p in enumerate(by_size(t or "", K.CHUNK_SIZE, K.CHUNK_OVERLAP))]
             yield pd.DataFrame(found, columns=["doc_id", "sub_chunk", "content", "n_chars"])
 
-    return docs(spark, d).select("doc_id", "text").mapInPandas(cut, "doc_id bigint, sub_chunk int, content string, n_chars int")
+    return rows.select("doc_id", "text").mapInPandas(cut, "doc_id bigint, sub_chunk int, content string, n_chars int")
+
+
+@query("t2_size_split")
+def size_split(spark, d):
+    return _size_split(docs(spark, d))
+
+
+_LINES = "(SELECT doc_id, (doc_id % 60 + 1)::INT AS m FROM documents)"
+
+
+@query("t2_sized_lines", f"""
+WITH p AS (SELECT doc_id, m, unnest(range(CASE WHEN m <= 10 THEN 1 ELSE 1 + (m - 3) // 8 END)) AS i FROM {_LINES})
+SELECT doc_id, i::INT AS sub_chunk, md5(array_to_string(list_transform(range(8 * i, least(8 * i + 10, m)), lambda k: lpad(doc_id || ':' || k, 99, 'x')), chr(10))) AS content FROM p""")
+def sized_lines(spark, d):
+    """Lines of 99 code points: ten fit a piece of 1000, and two of them the overlap of 200."""
+    line = lambda k: F.lpad(F.concat_ws(":", _id(), k.cast("string")), 99, "x")
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("doc_id") % 60), line), "\n")
+    return _size_split(docs(spark, d).select("doc_id", text.alias("text"))).select("doc_id", "sub_chunk", F.md5("content").alias("content"))
+
+
+def _short_file() -> Column:
+    return _of("# ", F.col("source"), "\n\n| Name | Value |\n| - | - |\n| `MAX_", _id(), "` | `1` |\n\n## ", F.col("lang"), "\n", F.md5("text"), "\n\n```python\ndef fn_", _id(), "(x):\n    return x\n```\n\n```python\nclass T(Container):\n    pass\n```\n")
+
+
+_SHORT_CHUNKS = f"""
+WITH f AS (SELECT doc_id, ['spec', 'eip', 'builder', 'pm', 'other'][doc_id % 5 + 1] AS kind, {_PATH} AS source, {_FORK}[doc_id % 8 + 1] AS fork, source AS h1, lang AS h2,
+  '| Name | Value |' || chr(10) || '| - | - |' || chr(10) || '| `MAX_' || doc_id || '` | `1` |' AS one, 'def fn_' || doc_id || '(x):' || chr(10) || '    return x' AS fn, md5(text) AS m FROM documents),
+b AS (SELECT *, m || chr(10) || chr(10) || '```python' || chr(10) || fn || chr(10) || '```' || chr(10) || chr(10) || '```python' || chr(10) || 'class T(Container):' || chr(10) || '    pass' || chr(10) || '```' AS two FROM f),
+c AS (SELECT doc_id, kind, source, fork, 0 AS i, h1 AS section, CASE kind WHEN 'spec' THEN 'constant' WHEN 'builder' THEN 'builder_spec' ELSE kind END AS chunk_type, one AS content FROM b WHERE kind <> 'other'
+  UNION ALL SELECT doc_id, kind, source, fork, 1, h2, CASE kind WHEN 'spec' THEN 'function' WHEN 'builder' THEN 'builder_type' ELSE kind END, two FROM b WHERE kind <> 'other'
+  UNION ALL SELECT doc_id, kind, source, fork, 2, 'fn_' || doc_id, 'function', fn FROM b WHERE kind = 'spec')
+SELECT 'consensus-specs_' || chunk_type || '_' || substr(sha256('consensus-specs/' || source), 1, 8) || '_000' || i || '_' || substr(sha256(content), 1, 8) AS chunk_id, source, CASE WHEN kind = 'spec' THEN fork END AS fork, section, chunk_type, content FROM c"""
+
+
+def _short_files(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.get(F.array(*map(F.lit, ("spec", "eip", "builder", "pm", "other"))), (F.col("doc_id") % 5).cast("int"))
+    return docs(spark, d).select(_path().alias("path"), kinds.alias("file_type"), F.lit("consensus-specs").alias("repo"), _short_file().alias("content"))
+
+
+@query("t3_t4_t22_t23_t25_short_files", _SHORT_CHUNKS)
+def short_files(spark, d):
+    return K.chunk_files(_short_files(spark, d)).select("chunk_id", "source", "fork", "section", "chunk_type", "content")
 
 
 def _spec_file() -> Column:
@@ -638,19 +680,65 @@ def _index_rows(spark: SparkSession, d: str) -> DataFrame:
     return K.to_records(chunks, VX.encode(F.col("content")))
 
 
-def _tool(name: str, run: Callable[[search.Searcher], DataFrame]) -> None:
-    @query(name)
+_KIND = "['spec','eip','function','constant','lean_class','rust_function']"
+
+
+def _tool_sql(asked: str, final: str) -> str:
+    """The records r of ``_index_rows`` with their scores for a query, s (as compared) and score (as shown), then ``final``."""
+    slot = f"('0x' || substr(md5(t), 1, 8))::BIGINT % {VX.DIMENSIONS} AS pos, count(*)::DOUBLE AS n"
+    url, branch = next((u, b) for r, u, b in catalog.REPOS if r == "leanSig")
+    return f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents),
+n AS (SELECT doc_id, {slot} FROM t GROUP BY ALL),
+v AS (SELECT doc_id, pos, (n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS w FROM n),
+qt AS (SELECT unnest(regexp_extract_all(lower('{asked}'), '[a-z0-9_]+')) AS t),
+qn AS (SELECT {slot} FROM qt GROUP BY ALL),
+q AS (SELECT pos, (n / (SELECT sqrt(sum(n * n)) FROM qn))::FLOAT::DOUBLE AS w FROM qn),
+c AS (SELECT doc_id, sum(v.w * coalesce(q.w, 0)) / (sqrt(sum(v.w * v.w)) * (SELECT sqrt(sum(w * w)) FROM q)) AS score FROM v LEFT JOIN q USING (pos) GROUP BY doc_id),
+r AS (SELECT 'c' || doc_id AS chunk_id, {_PATH} AS source, {_FORK}[doc_id % 8 + 1] AS fork, lang AS section, {_KIND}[doc_id % 6 + 1] AS chunk_type,
+             round(coalesce(score, 0), 12) AS s, round(coalesce(score, 0), 6) AS score, '{url}/blob/{branch}/' || {_PATH} AS github_url FROM documents LEFT JOIN c USING (doc_id)),
+{final}"""
+
+
+def _best(where: str, limit: int) -> str:
+    return f"SELECT * FROM r WHERE {where} ORDER BY s DESC, chunk_id LIMIT {limit}"
+
+
+_SHOWN = "chunk_id, source, section, chunk_type, score, github_url"
+
+
+def _one_leg(asked: str, where: str, limit: int) -> str:
+    return _tool_sql(asked, f"h AS ({_best(where, limit)}) SELECT {_SHOWN} FROM h")
+
+
+def _tool(name: str, run: Callable[[search.Searcher], DataFrame], sql: str) -> None:
+    @query(name, sql)
     def tool(spark, d):
         return run(search.Searcher(_index_rows(spark, d), catalog.repos(spark))).select("chunk_id", "source", "section", "chunk_type", F.round("score", 6).alias("score"), "github_url")
 
 
-_tool("q1_combined_search", lambda s: s.combined(_ASKED, "electra", 10, True))
-_tool("q2_search_specs", lambda s: s.search_specs(_ASKED, None, 10))
-_tool("q5_search_eip", lambda s: s.search_eip(_ASKED, None, 10))
-_tool("q6_search_lean", lambda s: s.search_lean(_ASKED, 10))
-_tool("q7_search_pq", lambda s: s.search_pq(_ASKED, 10, "leanSig"))
-_tool("q8_search", lambda s: s.search(_ASKED, 10, "deneb"))
-_tool("q9_search_function", lambda s: s.search_function("fn", "bellatrix"))
+_tool("q1_combined_search", lambda s: s.combined(_ASKED, "electra", 10, True), _tool_sql(_ASKED, f"""
+l AS (SELECT *, 0 AS leg FROM ({_best("fork = 'electra'", 10)}) UNION ALL SELECT *, 1 FROM ({_best("chunk_type = 'eip'", 10)}) UNION ALL SELECT *, 2 FROM ({_best("chunk_type = 'lean_class'", 10)})),
+k AS (SELECT *, row_number() OVER (PARTITION BY leg ORDER BY s DESC, chunk_id) AS rank FROM l),
+f AS (SELECT *, row_number() OVER (PARTITION BY source, section ORDER BY leg, rank) AS first FROM k)
+SELECT {_SHOWN} FROM f WHERE first = 1 ORDER BY s DESC, leg, rank LIMIT 10"""))
+_tool("q2_search_specs", lambda s: s.search_specs(_ASKED, None, 10), _tool_sql(_ASKED, f"h AS ({_best('true', 20)}) SELECT {_SHOWN} FROM h WHERE chunk_type <> 'eip' ORDER BY s DESC, chunk_id LIMIT 10"))
+_tool("q5_search_eip", lambda s: s.search_eip(_ASKED, None, 10), _one_leg(_ASKED, "chunk_type = 'eip'", 10))
+_tool("q6_search_lean", lambda s: s.search_lean(_ASKED, 10), _one_leg(_ASKED, "chunk_type LIKE 'lean%'", 10))
+_tool("q7_search_pq", lambda s: s.search_pq(_ASKED, 10, "leanSig"), _one_leg(_ASKED, "chunk_type LIKE 'rust%'", 10))
+_tool("q8_search", lambda s: s.search(_ASKED, 10, "deneb"), _one_leg(_ASKED, "fork = 'deneb'", 10))
+_tool("q9_search_function", lambda s: s.search_function("fn", "bellatrix"), _one_leg("def fn", "fork = 'bellatrix' AND chunk_type = 'function'", 5))
+_tool("q9_search_constant", lambda s: s.search_constant("MAX_of_the"), _one_leg("MAX_of_the constant value", "chunk_type = 'constant'", 10))
+
+
+@query("p28_encode", f"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents),
+n AS (SELECT doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {VX.DIMENSIONS} AS pos, count(*)::DOUBLE AS n FROM t GROUP BY ALL),
+v AS (SELECT doc_id, pos, (n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS w FROM n)
+SELECT doc_id, pos::INT AS at, round(w, 6) AS weight FROM v""")
+def encoded(spark, d):
+    vector = docs(spark, d).select("doc_id", VX.encode(F.col("text")).alias("v"))
+    return vector.select("doc_id", F.posexplode("v").alias("at", "w")).where("w <> 0").select("doc_id", "at", F.round(F.col("w").cast("double"), 6).alias("weight"))
 
 
 @query("k4_coarse_cells", f"SELECT vec_id, round({_SCORE}, 6) AS score FROM embeddings ORDER BY {_SCORE} DESC, vec_id LIMIT 20")
