@@ -14,6 +14,7 @@ from .functions.text import fork_of_path, preview, shown_score
 from .operators import clients as C
 from .operators.specs import compile_specs
 from .plans.incremental import Index
+from .plans.manifest import StoredFiles
 from .plans.search import Searcher
 from .sources import files as S
 from .sources.config import load_config, model_info
@@ -80,7 +81,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     else:
         found, reason = index.manifest()
         files = found.files if found else {}
-        print(json.dumps({"files": len(files), "chunks": sum(len(f.chunk_ids) for f in files.values()), "model": found.embedding_model if found else None, "reason": reason}))
+        n, chunks = files.totals() if isinstance(files, StoredFiles) else (len(files), sum(len(f.chunk_ids) for f in files.values()))
+        print(json.dumps({"files": n, "chunks": chunks, "model": found.embedding_model if found else None, "reason": reason}))
         S.on_disk(spark, catalog.client_repos(spark).select("repo", "language", "layer"), f"{a.data}/clients").show(50, False)
     return 0
 

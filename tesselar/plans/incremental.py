@@ -115,6 +115,8 @@ class Index:
             found = M.load(self.manifest_path)
         except M.ManifestError as e:
             return None, f"Manifest unusable: {e}"
+        if found is not None and not found.files and self.table.has("files", found.commit):
+            found.files = M.StoredFiles(self.table.files(found.commit))
         return found, M.needs_rebuild(found, self.model, self.chunk_config)
 
     def _listing(self, files: DataFrame) -> DataFrame:
@@ -129,20 +131,21 @@ class Index:
     def _records(self, files: DataFrame) -> DataFrame:
         return to_records(chunk_files(files, self.size, self.overlap), encode(F.col("content"), self.model))
 
-    def _changes(self, found: M.Manifest, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(changes, files now with hashes of those whose time differs)."""
+    def _changes(self, found: M.Manifest, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(changes, files now with hashes of those whose time differs, paths of these)."""
         now = self.key(self._listing(files))
         entries = found.frame(self.spark)
         odd = suspects(now, entries).select("path")
         hashed = hashes(self.key(files).join(odd, "path", "left_semi"))
         now = now.join(hashed, "path", "left").select("path", "mtime_ns", "sha256")
-        return compute_changes(now, entries), now
+        return compute_changes(now, entries), now, odd
 
-    def _entries(self, upto: int, now: dict[str, int], old: dict[str, M.FileEntry], fresh: dict[str, str]) -> dict[str, M.FileEntry]:
-        ids: dict[str, list[str]] = {}
-        for r in self.table.live(upto).select(F.concat_ws("/", "repo", "source").alias("path"), "chunk_id").groupBy("path").agg(F.array_sort(F.collect_list("chunk_id")).alias("ids")).toLocalIterator():
-            ids[r["path"]] = r["ids"]
-        return {p: M.FileEntry(fresh.get(p) or old[p].sha256, t, ids.get(p, [])) for p, t in now.items()}
+    def _entries(self, upto: int, now: DataFrame, old: DataFrame | None = None) -> DataFrame:
+        """``schemas.FILE_ENTRY`` of a commit: files now (path, mtime_ns, sha256 where it is new), their live chunks and, where a hash is not new, the old one."""
+        ids = self.table.live(upto).select(F.concat_ws("/", "repo", "source").alias("path"), "chunk_id").groupBy("path").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
+        if old is not None:
+            now = now.join(old.select("path", F.col("sha256").alias("_old")), "path", "left").withColumn("sha256", F.coalesce("sha256", "_old"))
+        return now.join(ids, "path", "left").select("path", "sha256", "mtime_ns", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))
 
     def index(self, files: DataFrame, force: bool = False) -> IndexStats:
         found, reason = self.manifest()
@@ -152,8 +155,10 @@ class Index:
             reason = "Table missing"
         return self._rebuild(files, found, reason) if reason else self._update(files, found)
 
-    def _commit(self, found: M.Manifest | None, number: int, entries: dict[str, M.FileEntry]) -> None:
-        M.save(M.Manifest(embedding_model=self.model, chunk_config=self.chunk_config, files=entries, repo_versions=found.repo_versions if found else {}, commit=number), self.manifest_path)
+    def _commit(self, found: M.Manifest | None, number: int, entries: DataFrame) -> None:
+        """Writes the entries, then the header that makes them and all of the commit valid."""
+        stored = self.table.put_files(entries, number)
+        M.save(M.Manifest(embedding_model=self.model, chunk_config=self.chunk_config, files=M.StoredFiles(stored), repo_versions=found.repo_versions if found else {}, commit=number), self.manifest_path)
 
     def _next(self, found: M.Manifest | None) -> int:
         """A number above all that were written, committed or not."""
@@ -163,14 +168,13 @@ class Index:
     def _rebuild(self, files: DataFrame, found: M.Manifest | None, reason: str) -> IndexStats:
         number = self._next(found)
         self.table.replace(self._records(files), number)
-        now = {r["path"]: r["mtime_ns"] for r in self.key(self._listing(files)).toLocalIterator()}
-        fresh = {r["path"]: r["sha256"] for r in hashes(self.key(files)).toLocalIterator()}
-        self._commit(found, number, self._entries(number, now, {}, fresh))
-        return IndexStats(files_added=len(now), chunks_added=self.table.live(number).count(), full_rebuild=True, rebuild_reason=reason)
+        now = self.key(self._listing(files)).select("path", "mtime_ns").join(hashes(self.key(files)), "path")
+        self._commit(found, number, self._entries(number, now))
+        return IndexStats(files_added=self.table.files(number).count(), chunks_added=self.table.live(number).count(), full_rebuild=True, rebuild_reason=reason)
 
     def _update(self, files: DataFrame, found: M.Manifest) -> IndexStats:
-        changes, now = self._changes(found, files)
-        changes = changes.persist()
+        changes, now, odd = self._changes(found, files)
+        changes, now = changes.persist(), now.persist()
         counts = change_counts(changes).first()
         number = self._next(found)
         stats = IndexStats(counts["files_added"], counts["files_modified"], counts["files_deleted"])
@@ -187,18 +191,18 @@ class Index:
             if stats.chunks_added:
                 self.table.append(to_records(new, encode(F.col("content"), self.model)), number)
             chunks.unpersist()
-        rows = {r["path"]: r for r in now.toLocalIterator()}
-        stats.files_unchanged = len(rows) - stats.files_added - stats.files_modified
-        fresh = {p: r["sha256"] for p, r in rows.items() if r["sha256"]}
-        self._commit(found, number, self._entries(number, {p: r["mtime_ns"] for p, r in rows.items()}, found.files, fresh))
+        stats.files_unchanged = now.count() - stats.files_added - stats.files_modified
+        if stats.files_changed or odd.limit(1).count():  # a touched file's new time is recorded, too
+            self._commit(found, number, self._entries(number, now, found.frame(self.spark)))
         changes.unpersist()
+        now.unpersist()
         return stats
 
     def dry_run(self, files: DataFrame) -> DryRun:
         found, reason = self.manifest()
         if reason:
             return DryRun(True, reason)
-        changes, _ = self._changes(found, files)
+        changes, _, _ = self._changes(found, files)
         paths: dict[str, list[str]] = {}
         for r in changes.select("path", "change_type").orderBy("path").toLocalIterator():
             paths.setdefault(r["change_type"], []).append(r["path"])

@@ -1,4 +1,9 @@
-"""The manifest: what was indexed, with which settings. Its rename commits a version."""
+"""The manifest: what was indexed, with which settings. Its rename commits a version.
+
+The file is a small header. An index keeps the entries of its files in a Parquet
+table beside it, one for each commit, so that their number has no limit; entries
+in the file itself are read too, within the limits below.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,8 @@ import os
 import re
 import shutil
 import tempfile
-from dataclasses import asdict, dataclass, field
+from collections.abc import Iterator, Mapping
+from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -47,13 +53,44 @@ class FileEntry:
     chunk_ids: list[str] = field(default_factory=list)
 
 
+class StoredFiles(Mapping[str, FileEntry]):
+    """Entries of a table (``schemas.FILE_ENTRY``), read when they are asked for."""
+
+    def __init__(self, frame: DataFrame):
+        self.frame = frame
+
+    @staticmethod
+    def _entry(row) -> FileEntry:
+        return FileEntry(row["sha256"], row["mtime_ns"], list(row["chunk_ids"]))
+
+    def __getitem__(self, path: str) -> FileEntry:
+        row = self.frame.where(F.col("path") == path).first()
+        if row is None:
+            raise KeyError(path)
+        return self._entry(row)
+
+    def __iter__(self) -> Iterator[str]:
+        return (r["path"] for r in self.frame.select("path").toLocalIterator())
+
+    def __len__(self) -> int:
+        return self.frame.count()
+
+    def values(self) -> Iterator[FileEntry]:
+        return (self._entry(r) for r in self.frame.toLocalIterator())
+
+    def totals(self) -> tuple[int, int]:
+        """Files and chunks."""
+        r = self.frame.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.size("chunk_ids")), F.lit(0)).alias("chunks")).first()
+        return r["files"], r["chunks"]
+
+
 @dataclass
 class Manifest:
     version: str = VERSION
     updated_at: str = ""
     embedding_model: str = ""
     chunk_config: dict[str, int] = field(default_factory=dict)
-    files: dict[str, FileEntry] = field(default_factory=dict)
+    files: Mapping[str, FileEntry] = field(default_factory=dict)
     repo_versions: dict[str, str] = field(default_factory=dict)
     commit: int = 0
 
@@ -81,12 +118,21 @@ class Manifest:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """Its files as ``schemas.FILE_ENTRY`` rows."""
+        if isinstance(self.files, StoredFiles):
+            return self.files.frame
         return spark.createDataFrame([(p, e.sha256, e.mtime_ns, e.chunk_ids) for p, e in self.files.items()], schemas.FILE_ENTRY)
 
 
+def _file(path: str) -> Path:
+    """A path or a file: URI; headers are written by the driver, to a folder it can rename in."""
+    if re.match(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]+:/", path):
+        raise ManifestError(f"{path}: the manifest needs a mounted folder")
+    return Path(re.sub(r"^file:/+", "/", path))
+
+
 def load(path: str) -> Manifest | None:
     """None if there is none. A file that is no JSON is copied aside before the error is raised."""
-    file = Path(path)
+    file = _file(path)
     if not file.exists():
         return None
     if file.stat().st_size > MOST_BYTES:
@@ -102,9 +148,11 @@ def load(path: str) -> Manifest | None:
 
 
 def save(manifest: Manifest, path: str) -> None:
-    """Stamps the time and replaces the file in one step; nothing is left behind on an error."""
+    """Stamps the time and replaces the file in one step; nothing is left behind on an error. Stored entries stay in their table."""
     manifest.updated_at = datetime.now(UTC).isoformat()
-    file = Path(path)
+    if isinstance(manifest.files, StoredFiles):
+        manifest = replace(manifest, files={})
+    file = _file(path)
     file.parent.mkdir(parents=True, exist_ok=True)
     handle, name = tempfile.mkstemp(dir=file.parent, prefix=file.name, suffix=".tmp")
     try:

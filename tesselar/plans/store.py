@@ -31,6 +31,17 @@ class ChunkTable:
     def exists(self) -> bool:
         return self._there(f"{self.root}/segments")
 
+    def has(self, kind: str, commit: int) -> bool:
+        return self._there(self._path(kind, commit))
+
+    def files(self, commit: int) -> DataFrame:
+        """The manifest's entries (``schemas.FILE_ENTRY``) of a commit."""
+        return self.spark.read.schema(schemas.FILE_ENTRY).parquet(self._path("files", commit))
+
+    def put_files(self, entries: DataFrame, commit: int) -> DataFrame:
+        entries.write.mode("overwrite").parquet(self._path("files", commit))
+        return self.files(commit)
+
     def append(self, records: DataFrame, commit: int) -> None:
         """Adds rows (``schemas.RECORD``) in one segment, clustered by type so that filters skip row groups."""
         records.select(*schemas.RECORD.fieldNames()).sortWithinPartitions("chunk_type", "fork").write.mode("overwrite").parquet(self._path("segments", commit))

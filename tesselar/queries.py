@@ -420,6 +420,41 @@ def rust_tree(spark, d):
     return K.with_ids(K.rust_chunks(docs(spark, d).select(_id().alias("path"), F.lit("leanSig").alias("repo"), code.alias("content"))))
 
 
+def _items_sql(rows: list[str]) -> str:
+    return f"WITH r AS (SELECT doc_id, unnest([{', '.join('{' + r + '}' for r in rows)}]) AS x FROM documents) SELECT doc_id, x.ordinal::INT AS ordinal, x.kind AS kind, x.name AS name, x.signature AS signature, x.body AS body, x.value::VARCHAR AS value, x.doc::VARCHAR AS doc_comment, x.line::INT AS line_number, x.visibility AS visibility, x.attributes AS attributes FROM r"
+
+
+def _item(ordinal: int, kind: str, name: str, signature: str, body: str, value: str, doc: str, line: int, visibility: str, attributes: str) -> str:
+    return f"'ordinal': {ordinal}, 'kind': '{kind}', 'name': {name}, 'signature': {signature}, 'body': {body}, 'value': {value}, 'doc': {doc}, 'line': {line}, 'visibility': '{visibility}', 'attributes': '{attributes}'"
+
+
+_GET = "'    pub fn get(&self) -> u64 { self.x }'"
+
+
+@query("t11_t16_t18_rust_items", _items_sql([
+    _item(0, "function", "'f' || doc_id", "'fn f' || doc_id || '(a: u64) -> u64'", "'pub fn f' || doc_id || '(a: u64) -> u64 { if a > 0 { a } else { 0 } }'", "NULL", "'adds'", 3, "pub", "#[inline]"),
+    _item(1, "struct", "'S' || doc_id", "'struct S' || doc_id", "'pub struct S' || doc_id || ' { x: u64 }'", "NULL", "NULL", 6, "pub", ""),
+    _item(2, "enum", "'E'", "'enum E'", "'pub enum E { A }'", "NULL", "NULL", 7, "pub", ""),
+    _item(3, "impl", "'S' || doc_id", "'impl S' || doc_id", "'impl S' || doc_id || ' {' || chr(10) || '    /// gets }' || chr(10) || '    #[must_use]' || chr(10) || " + _GET + " || chr(10) || '}'", "NULL", "NULL", 10, "private", ""),
+    _item(4, "function", "'get'", "'fn get(&self) -> u64'", _GET, "NULL", "'gets }'", 13, "pub", "#[must_use]"),
+    _item(5, "const", "'MAX'", "''", "''", "doc_id::VARCHAR", "NULL", 8, "pub", ""),
+    _item(6, "const", "'LOW'", "''", "''", "'1'", "NULL", 9, "private", "")]))
+def rust_items(spark, d):
+    code = _of(_rust(), "impl S", _id(), " {\n    /// gets }\n    #[must_use]\n    pub fn get(&self) -> u64 { self.x }\n}\n")
+    found = K.extract(docs(spark, d).select(_id().alias("path"), code.alias("content")), "rust_tree", aware=True)
+    return found.select(F.col("file_path").cast("bigint").alias("doc_id"), "ordinal", "kind", "name", "signature", "body", "value", "doc_comment", "line_number", "visibility", F.array_join("attributes", ",").alias("attributes"))
+
+
+@query("t10_source_segments", """
+WITH r AS (SELECT doc_id, unnest([{'i': 1, 'c': 'MAX_' || doc_id || ': int = 7'}, {'i': 2, 'c': 'class C' || doc_id || '(Base, a.B):' || chr(10) || '    x = 1' || chr(10) || '    def get(self, n: int) -> int:' || chr(10) || '        return n'},
+  {'i': 3, 'c': '    def get(self, n: int) -> int:' || chr(10) || '        return n'}, {'i': 4, 'c': 'async def run(a):' || chr(10) || '    pass'}]) AS x FROM documents)
+SELECT doc_id, x.i::INT AS ordinal, x.c AS content FROM r""")
+def source_segments(spark, d):
+    code = _of('"""Module."""\nMAX_', _id(), ": int = 7\n@dec\nclass C", _id(), "(Base, a.B):\n    x = 1\n    def get(self, n: int) -> int:\n        return n\nasync def run(a):\n    pass\n")
+    found = K.python_chunks(docs(spark, d).select(_id().alias("path"), F.lit("r").alias("repo"), code.alias("content")))
+    return found.where("ordinal > 0").select(F.col("source").cast("bigint").alias("doc_id"), "ordinal", "content")
+
+
 @query("t14_go", _extracted_sql([
     _row(0, "item", "function", "'Run' || doc_id", "'func Run' || doc_id || '(n int) error'", "NULL", "'Run runs'", 3), _row(1, "item", "struct", "'S'", "'type S struct'", "NULL", "NULL", 7), _row(2, "item", "interface", "'I'", "'type I interface'", "NULL", "NULL", 8),
     _row(3, "constant", "const", "'Max'", "''", "doc_id::VARCHAR", "NULL", 10), _row(4, "constant", "const", "'One'", "''", "'1'", "NULL", 13)]))
@@ -529,7 +564,11 @@ def manifest_violations(spark, d):
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that all executors share; a local one only where no checkpoint folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
     return os.path.join(base, "tesselar-store", uuid.uuid4().hex)
 
 
@@ -551,9 +590,49 @@ def store(spark, d):
     return chunks.live(2).select("chunk_id", "content", F.col("commit").cast("int").alias("commit"))
 
 
-@query("a1_table_count", "SELECT count(*) AS total_chunks FROM documents")
+def _note_files(rows: DataFrame, text: Column, time: Column) -> DataFrame:
+    """Rows of ``schemas.FILE``: a note of one chunk for each document."""
+    made = {"path": _of("d/", _id(), ".md"), "abs_path": F.lit(""), "file_type": F.lit("pm"), "repo": F.lit("pm"), "mtime_ns": time, "content": _of("# ", F.col("source"), "\n\n", F.md5(text), "\n")}
+    return rows.select(*[made[f.name].cast(f.dataType).alias(f.name) for f in schemas.FILE.fields])
+
+
+def _updated(spark: SparkSession, d: str) -> tuple[incremental.Index, incremental.IndexStats]:
+    """An index of snapshot A, updated to snapshot B (see ``_A`` and ``_B``)."""
+    t, index = docs(spark, d), incremental.Index(spark, shared_folder(spark))
+    index.index(_note_files(t.where("doc_id % 7 <> 0"), F.col("text"), F.col("doc_id") * 10))
+    text = F.when(F.col("doc_id") % 5 == 0, _of(F.col("text"), "!")).otherwise(F.col("text"))
+    later = _note_files(t.where("doc_id % 11 <> 0"), text, F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") * 10 + 1).otherwise(F.col("doc_id") * 10))
+    return index, index.index(later)
+
+
+@query("m2_m3_m4_k5_index", """
+WITH f AS (SELECT doc_id, 'd/' || doc_id || '.md' AS source, md5(CASE WHEN doc_id % 5 = 0 AND (doc_id % 3 = 0 OR doc_id % 7 = 0) THEN text || '!' ELSE text END) AS content FROM documents WHERE doc_id % 11 <> 0)
+SELECT source, content, 'pm_pm_' || substr(sha256('pm/' || source), 1, 8) || '_0000_' || substr(sha256(content), 1, 8) AS chunk_id FROM f""")
+def index_lifecycle(spark, d):
+    index, _ = _updated(spark, d)
+    return index.live().select("source", "content", "chunk_id")
+
+
+@query("m4_m9_update_stats", """
+WITH s AS (SELECT count(*) FILTER (doc_id % 7 = 0 AND doc_id % 11 <> 0) AS added, count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 15 = 0) AS modified, count(*) FILTER (doc_id % 7 <> 0 AND doc_id % 11 = 0) AS deleted, count(*) FILTER (doc_id % 11 <> 0) AS now FROM documents)
+SELECT 'Incremental update: ' || added || ' added, ' || modified || ' modified, ' || deleted || ' deleted (' || (added + modified) || ' chunks added, ' || (modified + deleted) || ' deleted)' AS summary, (now - added - modified) AS files_unchanged FROM s""")
+def update_stats(spark, d):
+    _, stats = _updated(spark, d)
+    return spark.createDataFrame([(stats.summary(), stats.files_unchanged)], "summary string, files_unchanged bigint")
+
+
+@query("s13_k5_manifest_entries", """
+SELECT 'pm/d/' || doc_id || '.md' AS path, CASE WHEN doc_id % 3 = 0 THEN doc_id * 10 + 1 ELSE doc_id * 10 END AS mtime_ns, 1 AS chunks, sha256('# ' || source || chr(10) || chr(10) || md5(CASE WHEN doc_id % 5 = 0 AND (doc_id % 3 = 0 OR doc_id % 7 = 0) THEN text || '!' ELSE text END) || chr(10)) AS sha256 FROM documents WHERE doc_id % 11 <> 0""")
+def manifest_entries(spark, d):
+    index, _ = _updated(spark, d)
+    found, _ = index.manifest()
+    return found.frame(spark).select("path", "mtime_ns", F.size("chunk_ids").alias("chunks"), "sha256")
+
+
+@query("a1_table_count", "SELECT count(*) AS total_chunks, 'specs' AS \"table\" FROM documents WHERE doc_id % 11 <> 0")
 def table_count(spark, d):
-    return docs(spark, d).agg(F.count("*").alias("total_chunks"))
+    index, _ = _updated(spark, d)
+    return index.stats().select("total_chunks", "table")
 
 
 def _clients(spark: SparkSession, d: str) -> DataFrame:

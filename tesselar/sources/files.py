@@ -1,14 +1,16 @@
 """File trees as DataFrames: one row a file, tagged with type and repository.
 
-Texts are read whole by Spark; nanosecond times come from one ``os.stat`` a file
-on the driver, as Spark keeps milliseconds only (a listing is control-plane data).
+Texts are read whole by Spark; nanosecond times come from one ``os.stat`` a file in
+the tasks, as Spark keeps milliseconds only.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,14 +93,20 @@ def union_sources(*parts: DataFrame) -> DataFrame:
 
 
 def listing(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """(path, abs_path, file_type, repo, mtime_ns) with nanosecond times; files that are gone are left out."""
-    rows = []
-    for r in files.select("path", "abs_path", "file_type", "repo").toLocalIterator():
-        try:
-            rows.append((*r, os.stat(r["abs_path"]).st_mtime_ns))
-        except FileNotFoundError:
-            continue
-    return spark.createDataFrame(rows, "path string, abs_path string, file_type string, repo string, mtime_ns bigint")
+    """(path, abs_path, file_type, repo, mtime_ns) with nanosecond times, taken where the rows are; files that are gone are left out."""
+
+    def stat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            times = []
+            for path in batch.column(1).to_pylist():
+                try:
+                    times.append(os.stat(path).st_mtime_ns)
+                except FileNotFoundError:
+                    times.append(None)
+            found = batch.append_column("mtime_ns", pa.array(times, pa.int64()))
+            yield found.filter(found.column("mtime_ns").is_valid())
+
+    return files.select("path", "abs_path", "file_type", "repo").mapInArrow(stat, "path string, abs_path string, file_type string, repo string, mtime_ns bigint")
 
 
 def hashes(files: DataFrame) -> DataFrame:
