@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -33,6 +34,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(scale == 0, F.lit(0.0)).otherwise(dot(a, b) / scale))
 
 
+def cosine_to(a: Column, query: list[float]) -> Column:
+    """``cosine`` with one query: whole Arrow batches at a time, the query's own norm taken once."""
+    q = np.asarray(query, float)
+    size = math.sqrt(float((q * q).sum()))
+
+    @F.arrow_udf("double")
+    def score(vectors: pa.Array) -> pa.Array:
+        out, lengths = np.zeros(len(vectors)), vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        fit = lengths == len(q)
+        if fit.any() and len(q):
+            own = vectors.filter(pa.array(fit))
+            m = own.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(q))
+            scale = np.sqrt((m * m).sum(axis=1)) * size
+            # sums by row, so that equal vectors have equal scores wherever they stand
+            out[fit] = np.divide((m * q).sum(axis=1), scale, out=np.zeros(len(m)), where=scale > 0)
+        return pa.array(out, mask=~fit)
+
+    return score(a.cast("array<double>"))
+
+
 def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
 

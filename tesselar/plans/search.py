@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import cosine, encode_query, literal
+from ..functions.vectors import cosine, cosine_to, encode_query
 
 # Chunk types and repositories of the special searches.
 LEAN_TYPES = ("lean_class", "lean_function", "lean_constant", "lean_doc")
@@ -24,7 +24,7 @@ HIT = ["content", "source", "fork", "section", "chunk_type", "score", "eip", "fu
 
 
 def scored(rows: DataFrame, query: list[float], vector: str = "vector") -> DataFrame:
-    return rows.withColumn("score", cosine(F.col(vector), literal(query)))
+    return rows.withColumn("score", cosine_to(F.col(vector), query))
 
 
 def top_k(rows: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
