@@ -48,8 +48,9 @@ def cosine_to(a: Column, query: list[float]) -> Column:
             m = own.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(q))
             scale = np.sqrt((m * m).sum(axis=1)) * size
             # sums by row, so that equal vectors have equal scores wherever they stand
-            out[fit] = np.divide((m * q).sum(axis=1), scale, out=np.zeros(len(m)), where=scale > 0)
-        return pa.array(out, mask=~fit)
+            out[fit] = np.divide((m * q).sum(axis=1), scale, out=np.zeros(len(m)), where=scale != 0)
+        # a null component is NaN by now; such scores are null, so that they rank last
+        return pa.array(out, mask=~fit | np.isnan(out))
 
     return score(a.cast("array<double>"))
 
