@@ -59,10 +59,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command in ("index", "update"):
         print(index.index(gather(spark, a.data), a.force).summary())
     elif a.command == "dry-run":
-        result = index.dry_run(gather(spark, a.data))
-        print(result.summary())
-        for kind, paths in result.files.items():
-            print(f"{kind}:", *paths[:10], *([f"... and {len(paths) - 10} more"] if len(paths) > 10 else []), sep="\n  ")
+        plan = index.dry_run(gather(spark, a.data))
+        print(plan.summary())
+        for kind, n in plan.files.items():
+            if n:
+                print(f"{kind}:", *plan.first(kind), *([f"... and {n - 10} more"] if n > 10 else []), sep="\n  ")
     elif a.command == "search":
         hits = Searcher(index.live(), catalog.repos(spark), config.embedding.model).search(a.query, a.limit, a.fork)
         for r in hits.select(shown_score(F.col("score")).alias("score"), "source", "section", preview(F.col("content")).alias("content")).collect():

@@ -56,7 +56,7 @@ def path_error(path: Column) -> Column:
     return (
         F.when(F.contains(path, F.lit("..")), "traversal")
         .when(F.startswith(path, F.lit("/")), "absolute")
-        .when(path.rlike(r"\A[A-Za-z]:"), "drive")
+        .when(path.rlike(r"(?s)\A.:"), "drive")
         .when(F.contains(path, F.lit("\0")), "nul")
         .when(path.rlike(r"[\n\r\t]"), "control")
     )
@@ -74,10 +74,15 @@ def builder_chunk_type(content: Column) -> Column:
     return F.when(content.rlike(HTTP_CALL), "builder_api").when(content.rlike(CONTAINER) | content.rlike(FENCED_CLASS), "builder_type").otherwise("builder_spec")
 
 
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def frontmatter(content: Column) -> Column:
     """map of the leading ``---`` block's ``key: value`` lines, split at the first colon and trimmed; the last of equal keys stays."""
     lines = F.filter(F.split(F.regexp_extract(content, FRONTMATTER, 1), "\n"), lambda x: F.contains(x, F.lit(":")))
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
+    pairs = F.transform(lines, lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("key"), strip(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     return F.map_from_entries(last)
 
@@ -97,20 +102,24 @@ def cut(text: Column, above: int, keep: int, mark: str) -> Column:
     return F.when(F.length(text) > above, F.concat(F.substring(text, 1, keep), F.lit(mark))).otherwise(text)
 
 
+# Marks of bodies that were cut.
+CLIENT_MARK, RUST_MARK, PYTHON_MARK = "\n// ... truncated ...", "\n// ... (truncated)", "\n    # ... (truncated)"
+
+
 def cut_client_body(body: Column, most: int = 2000) -> Column:
-    return cut(body, most, most, "\n// ... truncated ...")
+    return cut(body, most, most, CLIENT_MARK)
 
 
 def cut_rust_body(body: Column) -> Column:
-    return cut(body, 3000, 2500, "\n// ... (truncated)")
+    return cut(body, 3000, 2500, RUST_MARK)
 
 
 def cut_class(body: Column) -> Column:
-    return cut(body, 3000, 2500, "\n    # ... (truncated)")
+    return cut(body, 3000, 2500, PYTHON_MARK)
 
 
 def cut_function(body: Column) -> Column:
-    return cut(body, 2000, 1800, "\n    # ... (truncated)")
+    return cut(body, 2000, 1800, PYTHON_MARK)
 
 
 def is_constant_name(name: Column) -> Column:

@@ -13,11 +13,9 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
 
 DIMENSIONS = 384
 TOKEN = re.compile(r"[a-z0-9_]+")
@@ -69,39 +67,55 @@ def slot(token: str, dimensions: int = DIMENSIONS) -> int:
 
 def hash_embed(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
     """Unit vectors of texts; texts without tokens (null ones too) give zeros."""
-    out, known = np.zeros((len(texts), dimensions)), {}
-    for row, text in enumerate(texts):
-        for t in tokens(text or ""):
-            at = known.get(t)
-            if at is None:
-                at = known[t] = slot(t, dimensions)
-            out[row, at] += 1
+    found = [tokens(text or "") for text in texts]
+    known: dict[str, int] = {t: slot(t, dimensions) for t in {t for ts in found for t in ts}}
+    at = np.fromiter((known[t] for ts in found for t in ts), np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(ts) for ts in found])
+    out = np.bincount(row * dimensions + at, minlength=len(texts) * dimensions).astype(float).reshape(len(texts), dimensions)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
 
 
-#: Embedders by model name: function from a list of texts to a matrix.
-EMBEDDERS: dict[str, Callable[[list[str]], np.ndarray]] = {"hashing": hash_embed}
+Encoder = Callable[[list[str]], np.ndarray]
 
+#: Makers of embedders by model name: called once in each process that encodes, they give a function from a list of texts to a matrix.
+EMBEDDERS: dict[str, Callable[[], Encoder]] = {"hashing": lambda: hash_embed}
+_READY: dict[str, Encoder] = {}
+#: Texts that an embedder is given at once.
+TEXTS = 256
 
-def register(name: str, encode: Callable[[list[str]], np.ndarray]) -> None:
-    EMBEDDERS[name] = encode
 
+def register(name: str, encode: Encoder) -> None:
+    EMBEDDERS[name] = lambda: encode
 
-def embedder(name: str) -> Callable[[list[str]], np.ndarray]:
+
+def register_maker(name: str, make: Callable[[], Encoder]) -> None:
+    """A model that is costly to set up: ``make`` runs once in each worker, not once a batch."""
+    EMBEDDERS[name] = make
+
+
+def _maker(name: str) -> Callable[[], Encoder]:
     if name not in EMBEDDERS:
         raise LookupError(f"no embedder named {name!r}; there are {sorted(EMBEDDERS)}")
     return EMBEDDERS[name]
 
 
-def encode(text: Column, model: str = "hashing") -> Column:
-    """Vectors of a text column in Arrow batches; the model is set up once for each worker."""
-    run = embedder(model)
+def embedder(name: str) -> Encoder:
+    return _maker(name)()
+
+
+def encode(text: Column, model: str = "hashing", size: int = TEXTS) -> Column:
+    """Vectors of a text column in Arrow batches of ``size`` texts; a worker sets its model up once."""
+    make = _maker(model)
 
-    @F.pandas_udf(ArrayType(FloatType()))
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        run = _READY.setdefault(model, make()) if model not in _READY else _READY[model]
         for texts in batches:
-            yield pd.Series(list(run(texts.tolist())))
+            parts = [np.asarray(run(texts.slice(i, size).to_pylist()), np.float32) for i in range(0, len(texts), size)]
+            found = np.concatenate(parts) if parts else np.zeros((0, 1), np.float32)
+            ends = np.arange(len(texts) + 1, dtype=np.int32) * found.shape[1]
+            yield pa.ListArray.from_arrays(ends, pa.array(found.reshape(-1)))
 
     return embed(text)
 

@@ -7,9 +7,7 @@ A file's chunks leave one task together, so their running number needs no window
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
-from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -197,11 +195,3 @@ def to_records(chunks: DataFrame, vector: Column | None = None) -> DataFrame:
     made = (vector if vector is not None else F.lit(None).cast("array<float>")).alias("vector")
     more = [flat(k) for k in ("eip", "title", "function_name", "h1", "h2", "h3", "client", "language", "signature", "visibility", "constant_name")]
     return chunks.select("chunk_id", "content", "source", "repo", blank("fork"), blank("section"), "chunk_type", made, *more)
-
-
-def stem(path: str) -> str:
-    return PurePosixPath(path).stem
-
-
-def dump(rows: list[dict]) -> str:
-    return json.dumps(rows, ensure_ascii=False)

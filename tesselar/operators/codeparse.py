@@ -38,12 +38,11 @@ class Rule:
 
 
 # What counts as an item in each language.
-_VIS = r"^(?P<lead>\s*)(?P<vis>pub(?:\([^)]+\))?\s+)?"
-RUST_FN = re.compile(_VIS + r"fn\s+(?P<name>\w+)\s*(?:<[^>]+>)?\s*\((?P<params>[^)]*)\)(?P<ret>\s*->\s*[^{]+)?\s*\{", re.M)
-RUST_ASYNC_FN = re.compile(_VIS + r"(?:async\s+)?fn\s+(?P<name>\w+)\s*(?:<[^>]+>)?\s*\((?P<params>[^)]*)\)(?P<ret>\s*->\s*[^{]+)?\s*\{", re.M)
-RUST_STRUCT = re.compile(_VIS + r"struct\s+(?P<name>\w+)", re.M)
-RUST_ENUM = re.compile(_VIS + r"enum\s+(?P<name>\w+)", re.M)
-RUST_CONST = re.compile(_VIS + r"const\s+(?P<name>\w+)\s*:\s*(?P<type>[^=]+)\s*=\s*(?P<value>[^;]+);", re.M)
+RUST_FN = re.compile(r"^(?P<lead>\s*)(?P<vis>pub(?:\([^)]+\))?\s+)?fn\s+(?P<name>\w+)\s*(?:<[^>]+>)?\s*\((?P<params>[^)]*)\)(?P<ret>\s*->\s*[^{]+)?\s*\{", re.M)
+RUST_ASYNC_FN = re.compile(r"^(?P<lead>\s*)(?P<vis>pub(?:\([^)]+\))?\s+)?(?:async\s+)?fn\s+(?P<name>\w+)\s*(?:<[^>]+>)?\s*\((?P<params>[^)]*)\)(?P<ret>\s*->\s*[^{]+)?\s*\{", re.M)
+RUST_STRUCT = re.compile(r"^(?P<lead>\s*)(?P<vis>pub(?:\([^)]+\))?\s+)?struct\s+(?P<name>\w+)", re.M)
+RUST_ENUM = re.compile(r"^(?P<lead>\s*)(?P<vis>pub(?:\([^)]+\))?\s+)?enum\s+(?P<name>\w+)", re.M)
+RUST_CONST = re.compile(r"^(?P<lead>\s*)(?P<vis>pub(?:\([^)]+\))?\s+)?const\s+(?P<name>\w+)\s*:\s*(?P<type>[^=]+)\s*=\s*(?P<value>[^;]+);", re.M)
 RUST_IMPL = re.compile(r"^(?P<lead>\s*)(?:unsafe\s+)?impl\b(?P<head>[^{;]*)\{", re.M)
 GO_FUNC = re.compile(r"^func\s+(?:\([^)]+\)\s+)?(?P<name>[A-Z]\w*)\s*\((?P<params>[^)]*)\)\s*(?P<ret>[^{]*)\{", re.M)
 GO_STRUCT = re.compile(r"^type\s+(?P<name>[A-Z]\w*)\s+struct\s*\{", re.M)

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import quoted
+from ..functions.text import quoted, strip
 
-# What a constants table row, a function and a type look like.
+# What a constants table row, a function, a type and a fenced block that starts with the function NAME look like.
 CONSTANT_ROW = r"\|\s*`?([A-Z][A-Z0-9_]+)`?\s*\|\s*`?([^|`]+)`?\s*\|"
 FUNCTION_NAME = r"(?m)^def\s+([a-z_][a-z0-9_]*)\s*\("
 TYPE_NAME = r"(?m)^class\s+([A-Z][a-zA-Z0-9_]*)"
+FUNCTION_BLOCK = r"(?s)```python\n(def\s+NAME\s*\([^)]*\)[^`]*?)```"
 
 
 def constant_cells(content: Column) -> Column:
     """array of (name, value) of the rows of constants tables, values trimmed."""
     group = lambda i: F.regexp_extract_all(content, F.lit(CONSTANT_ROW), F.lit(i))
-    return F.transform(F.arrays_zip(group(1).alias("name"), group(2).alias("value")), lambda x: F.struct(x["name"].alias("name"), F.trim(x["value"]).alias("value")))
+    return F.transform(F.arrays_zip(group(1).alias("name"), group(2).alias("value")), lambda x: F.struct(x["name"].alias("name"), strip(x["value"]).alias("value")))
 
 
 def constants(files: DataFrame) -> DataFrame:
@@ -48,5 +49,5 @@ def grep_constant(compiled: DataFrame, name: str, fork: str) -> DataFrame:
 
 def function_source(files: DataFrame, name: str, fork: str) -> DataFrame:
     """(path, source) of the first fenced block, in path order, that starts with the function."""
-    block = F.regexp_extract("content", r"(?s)```python\n(def\s+" + quoted(name) + r"\s*\([^)]*\)[^`]*?)```", 1)
+    block = F.regexp_extract("content", FUNCTION_BLOCK.replace("NAME", quoted(name)), 1)
     return files.where(F.col("fork") == fork).select("path", block.alias("source")).where("source <> ''").orderBy("path").limit(1)

@@ -166,7 +166,7 @@ class Service:
         out = {"index": self.index.table.exists(), "compiled": self.compiled is not None, "specs": self.specs is not None, "query": False}
         if out["index"]:
             try:
-                self.searcher().search("probe", 1).collect()
+                Searcher(self.index.live().limit(1), catalog.repos(self.spark), self.index.model).search("probe", 1).collect()  # a row shows that it can be read and scored
                 out["query"] = True
             except Exception as e:  # whatever it is, health reports it
                 out["error"] = str(e)[:200]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,23 @@ from ..functions.vectors import encode
 from ..operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_files, to_records
 from ..sources.files import hashes, listing
 from . import manifest as M
+from .embeddings import EmbeddingCache
+from .entries import EntryLog
 from .store import ChunkTable
 
 #: Chunks a new or changed file is taken to have in a dry run.
 ESTIMATE = 10
+#: Models that are cheaper to run again than to look up.
+CHEAP = frozenset({"hashing"})
+
+# What users of the tools read. Kinds of change, in order; the texts of an update and of a dry run.
+KINDS = ("add", "modify", "delete")
+NOTHING = "No changes detected"
+REBUILT = "Full rebuild: {chunks_in} chunks indexed ({reason})"
+UPDATED = "Incremental update: {add} added, {modify} modified, {delete} deleted ({chunks_in} chunks added, {chunks_out} deleted)"
+WOULD_REBUILD = "Would perform full rebuild: {reason}"
+WOULD_UPDATE = "Would perform incremental update:"
+WOULD = {"add": "  Add {} files", "modify": "  Modify {} files", "delete": "  Delete {} files", "in": "  ~{} chunks to add", "out": "  ~{} chunks to delete"}
 
 
 def compute_changes(current: DataFrame, entries: DataFrame, check_hashes: bool = True) -> DataFrame:
@@ -50,60 +64,83 @@ def estimates(changes: DataFrame) -> DataFrame:
     return changes.agg(F.coalesce(F.sum(F.when(grows, ESTIMATE).otherwise(0)), F.lit(0)).alias("estimated_chunks_add"), F.coalesce(F.sum(F.when(F.col("change_type") != "add", F.size("old_chunk_ids")).otherwise(0)), F.lit(0)).alias("estimated_chunks_delete"))
 
 
-@dataclass
-class IndexStats:
-    files_added: int = 0
-    files_modified: int = 0
-    files_deleted: int = 0
-    chunks_added: int = 0
-    chunks_deleted: int = 0
-    files_unchanged: int = 0
-    full_rebuild: bool = False
-    rebuild_reason: str = ""
+def with_types(changes: DataFrame, files: DataFrame, default: str = "spec") -> DataFrame:
+    """Adds the file_type of each changed path; a path that is gone counts as ``default``."""
+    return changes.join(files.select("path", "file_type"), "path", "left").withColumn("file_type", F.coalesce("file_type", F.lit(default)))
 
-    @property
-    def files_changed(self) -> int:
-        return self.files_added + self.files_modified + self.files_deleted
 
-    @property
-    def is_incremental(self) -> bool:
-        return not self.full_rebuild
+def preview(changes: DataFrame, most: int = 10) -> DataFrame:
+    """The first ``most`` paths, in order, each with how many more there are."""
+    more = changes.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more"))
+    return changes.select("path").orderBy("path").limit(most).crossJoin(F.broadcast(more))
 
-    @property
-    def is_noop(self) -> bool:
-        return self.is_incremental and not self.files_changed
+
+def chunks_by_file(records: DataFrame) -> DataFrame:
+    """(path, chunk_ids) of chunk records: paths are ``repo/source``, ids sorted."""
+    return records.select(F.concat_ws("/", "repo", "source").alias("path"), "chunk_id").groupBy("path").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
+
+
+def difference(current: DataFrame, entries: DataFrame) -> dict[str, int]:
+    """What one aggregate over one join tells: files now, those without a time, paths whose entries are not as they were, entries that break a rule."""
+    c = current.select(F.col("path").alias("_now"), F.col("mtime_ns").alias("_time"))
+    m = entries.select("path", "mtime_ns", M.broken_rule(F.col("path"), F.col("sha256"), F.col("chunk_ids")).alias("_rule"))
+    joined = c.join(m, F.col("_now") == F.col("path"), "full_outer")
+    row = joined.agg(F.count("_now").alias("files"), F.count_if(F.col("_now").isNotNull() & F.col("_time").isNull()).alias("untimed"), F.count_if(~F.coalesce(F.col("_time") == F.col("mtime_ns"), F.lit(False))).alias("other"), F.count("_rule").alias("broken")).first()
+    return row.asDict()
+
+
+@dataclass
+class Result:
+    """What an update did: files by kind of change, chunks that came and went; a reason if everything was rebuilt."""
+
+    files: dict[str, int] = field(default_factory=dict)
+    chunks_in: int = 0
+    chunks_out: int = 0
+    same: int = 0
+    reason: str | None = None
 
     def summary(self) -> str:
-        if self.full_rebuild:
-            return f"Full rebuild: {self.chunks_added} chunks indexed ({self.rebuild_reason})"
-        if self.is_noop:
-            return "No changes detected"
-        return f"Incremental update: {self.files_added} added, {self.files_modified} modified, {self.files_deleted} deleted ({self.chunks_added} chunks added, {self.chunks_deleted} deleted)"
+        of = {k: self.files.get(k, 0) for k in KINDS}
+        text = REBUILT if self.reason is not None else UPDATED if any(of.values()) else NOTHING
+        return text.format(chunks_in=self.chunks_in, chunks_out=self.chunks_out, reason=self.reason, **of)
 
 
 @dataclass
-class DryRun:
-    would_rebuild: bool = False
-    rebuild_reason: str = ""
-    files: dict[str, list[str]] = field(default_factory=dict)
-    estimated_chunks_add: int = 0
-    estimated_chunks_delete: int = 0
+class Plan:
+    """What an update would do. ``changes`` (``schemas.CHANGE``) stays a table; only counts are on the driver."""
+
+    reason: str | None = None
+    files: dict[str, int] = field(default_factory=dict)
+    chunks: tuple[int, int] = (0, 0)
+    changes: DataFrame | None = None
 
     def summary(self) -> str:
-        if self.would_rebuild:
-            return f"Would perform full rebuild: {self.rebuild_reason}"
-        shown = [f"  {verb} {len(self.files[k])} files" for k, verb in (("add", "Add"), ("modify", "Modify"), ("delete", "Delete")) if self.files.get(k)]
-        if not shown:
-            return "No changes detected"
-        return "\n".join(["Would perform incremental update:", *shown, f"  ~{self.estimated_chunks_add} chunks to add", f"  ~{self.estimated_chunks_delete} chunks to delete"])
+        if self.reason is not None:
+            return WOULD_REBUILD.format(reason=self.reason)
+        lines = [WOULD[k].format(self.files[k]) for k in KINDS if self.files.get(k)]
+        return "\n".join([WOULD_UPDATE, *lines, *(WOULD[k].format(n) for k, n in zip(("in", "out"), self.chunks, strict=True))]) if lines else NOTHING
+
+    def first(self, kind: str, most: int = 10) -> list[str]:
+        """The first paths of a kind of change."""
+        if self.changes is None:
+            return []
+        return [r["path"] for r in self.changes.where(F.col("change_type") == kind).select("path").orderBy("path").limit(most).collect()]
 
 
 class Index:
-    """A chunk table with its manifest. ``files`` arguments are rows of ``schemas.FILE``."""
+    """A chunk table with its manifest. ``files`` arguments are rows of ``schemas.FILE``, each (repo, path) once.
 
-    def __init__(self, spark: SparkSession, root: str, model: str = "hashing", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, table: str = "specs"):
+    One writer at a time. An update writes tombstones, a segment and a delta of
+    entries, all for the files that changed, and last the header that makes them
+    valid; whatever an update that failed has left is removed before the next.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, model: str = "hashing", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, table: str = "specs", cache: bool | None = None):
         self.spark, self.model, self.size, self.overlap = spark, model, size, overlap
         self.table, self.manifest_path = ChunkTable(spark, root, table), f"{root}/{table}.manifest.json"
+        self.log = EntryLog(spark, f"{self.table.root}/entries")
+        self.cache = EmbeddingCache(spark, f"{root}/vectors", model) if (model not in CHEAP if cache is None else cache) else None
+        self.encoded = 0
 
     @property
     def chunk_config(self) -> dict[str, int]:
@@ -115,39 +152,36 @@ class Index:
             found = M.load(self.manifest_path)
         except M.ManifestError as e:
             return None, f"Manifest unusable: {e}"
-        if found is not None and not found.files and self.table.has("files", found.commit):
-            found.files = M.StoredFiles(self.table.files(found.commit))
+        if found is not None and not found.files:
+            found.files = M.StoredFiles(self.log.state(found.commit))
         return found, M.needs_rebuild(found, self.model, self.chunk_config)
 
-    def _listing(self, files: DataFrame) -> DataFrame:
-        """Times from the files; rows that have a time already keep it."""
-        return listing(self.spark, files) if files.where("mtime_ns is null").limit(1).count() else files.select("path", "abs_path", "file_type", "repo", "mtime_ns")
-
     @staticmethod
     def key(files: DataFrame) -> DataFrame:
         """Manifest paths are ``repo/path``: equal paths of two repositories differ."""
         return files.withColumn("path", F.concat_ws("/", "repo", "path"))
 
-    def _records(self, files: DataFrame) -> DataFrame:
-        return to_records(chunk_files(files, self.size, self.overlap), encode(F.col("content"), self.model))
-
-    def _changes(self, found: M.Manifest, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(changes, files now with hashes of those whose time differs, paths of these)."""
-        now = self.key(self._listing(files))
-        entries = found.frame(self.spark)
-        odd = suspects(now, entries).select("path")
-        hashed = hashes(self.key(files).join(odd, "path", "left_semi"))
-        now = now.join(hashed, "path", "left").select("path", "mtime_ns", "sha256")
-        return compute_changes(now, entries), now, odd
-
-    def _entries(self, upto: int, now: DataFrame, old: DataFrame | None = None) -> DataFrame:
-        """``schemas.FILE_ENTRY`` of a commit: files now (path, mtime_ns, sha256 where it is new), their live chunks and, where a hash is not new, the old one."""
-        ids = self.table.live(upto).select(F.concat_ws("/", "repo", "source").alias("path"), "chunk_id").groupBy("path").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunk_ids"))
-        if old is not None:
-            now = now.join(old.select("path", F.col("sha256").alias("_old")), "path", "left").withColumn("sha256", F.coalesce("sha256", "_old"))
-        return now.join(ids, "path", "left").select("path", "sha256", "mtime_ns", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))
-
-    def index(self, files: DataFrame, force: bool = False) -> IndexStats:
+    def _timed(self, files: DataFrame, untimed: bool) -> DataFrame:
+        """(path, mtime_ns) by key; times that rows do not have are taken from the files."""
+        return self.key(listing(self.spark, files) if untimed else files).select("path", "mtime_ns")
+
+    def _records(self, chunks: DataFrame) -> DataFrame:
+        """Records with vectors; with a cache only contents that it has not are encoded."""
+        if self.cache is None:
+            return to_records(chunks, encode(F.col("content"), self.model))
+        self.encoded = self.cache.fill(chunks)
+        return to_records(self.cache.attach(chunks, "_vector"), F.col("_vector"))
+
+    def _changes(self, now: DataFrame, files: DataFrame, entries: DataFrame) -> DataFrame:
+        """The paths whose times differ: old entry, new time and hash, and the kind of change ('touch' for a new time alone)."""
+        c, m = now.alias("c"), entries.alias("m")
+        odd = c.join(m, F.col("c.path") == F.col("m.path"), "full_outer").where(~F.coalesce(F.col("c.mtime_ns") == F.col("m.mtime_ns"), F.lit(False)))
+        odd = odd.select(F.coalesce("c.path", "m.path").alias("path"), F.col("c.path").isNull().alias("gone"), F.col("m.path").isNull().alias("fresh"), F.coalesce("c.mtime_ns", "m.mtime_ns").alias("mtime_ns"), F.col("m.sha256").alias("old_sha256"), F.coalesce("m.chunk_ids", F.array().cast("array<string>")).alias("old_chunk_ids"))
+        read = hashes(self.key(files).join(odd.where("not gone").select("path"), "path", "left_semi"))
+        kind = F.when(F.col("gone"), "delete").when(F.col("fresh"), "add").when(F.col("sha256") == F.col("old_sha256"), "touch").otherwise("modify")
+        return odd.join(read, "path", "left").withColumn("change_type", kind)
+
+    def index(self, files: DataFrame, force: bool = False) -> Result:
         found, reason = self.manifest()
         if force:
             reason = "Forced"
@@ -155,59 +189,102 @@ class Index:
             reason = "Table missing"
         return self._rebuild(files, found, reason) if reason else self._update(files, found)
 
-    def _commit(self, found: M.Manifest | None, number: int, entries: DataFrame) -> None:
-        """Writes the entries, then the header that makes them and all of the commit valid."""
-        stored = self.table.put_files(entries, number)
-        M.save(M.Manifest(embedding_model=self.model, chunk_config=self.chunk_config, files=M.StoredFiles(stored), repo_versions=found.repo_versions if found else {}, commit=number), self.manifest_path)
-
-    def _next(self, found: M.Manifest | None) -> int:
-        """A number above all that were written, committed or not."""
-        rows = self.table._read("segments", "chunk_id string", 1 << 30, 0).agg(F.max("commit")).first()[0] if self.table.exists() else 0
-        return max(found.commit if found else 0, rows or 0) + 1
-
-    def _rebuild(self, files: DataFrame, found: M.Manifest | None, reason: str) -> IndexStats:
-        number = self._next(found)
-        self.table.replace(self._records(files), number)
-        now = self.key(self._listing(files)).select("path", "mtime_ns").join(hashes(self.key(files)), "path")
-        self._commit(found, number, self._entries(number, now))
-        return IndexStats(files_added=self.table.files(number).count(), chunks_added=self.table.live(number).count(), full_rebuild=True, rebuild_reason=reason)
-
-    def _update(self, files: DataFrame, found: M.Manifest) -> IndexStats:
-        changes, now, odd = self._changes(found, files)
-        changes, now = changes.persist(), now.persist()
-        counts = change_counts(changes).first()
-        number = self._next(found)
-        stats = IndexStats(counts["files_added"], counts["files_modified"], counts["files_deleted"])
-        if stats.files_changed:
-            touched = changes.where("change_type <> 'delete'").select(F.col("path").alias("_key"))
-            work = files.join(touched, F.concat_ws("/", "repo", "path") == F.col("_key"), "left_semi")
-            chunks = chunk_files(work, self.size, self.overlap).persist()
-            old = changes.select(F.explode("old_chunk_ids").alias("chunk_id"))
-            gone = old.join(chunks, "chunk_id", "left_anti")
-            new = chunks.join(old, "chunk_id", "left_anti")
-            stats.chunks_deleted, stats.chunks_added = gone.count(), new.count()
-            if stats.chunks_deleted:
+    def _commit(self, found: M.Manifest | None, number: int) -> None:
+        """Writes the header that makes all tables of a commit valid."""
+        M.save(M.Manifest(embedding_model=self.model, chunk_config=self.chunk_config, repo_versions=found.repo_versions if found else {}, marks=found.marks if found else {}, commit=number), self.manifest_path)
+
+    def _rebuild(self, files: DataFrame, found: M.Manifest | None, reason: str) -> Result:
+        number = max(found.commit if found else 0, self.table.last(), self.log.last()) + 1
+        self.table.replace(self._records(chunk_files(files, self.size, self.overlap)), number)
+        times = self._timed(files, files.where("mtime_ns is null").limit(1).count() > 0)
+        ids = chunks_by_file(self.table.live(number))
+        entries = times.join(hashes(self.key(files)), "path").join(ids, "path", "left")
+        self.log.replace(entries.withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>"))), number)
+        self._commit(found, number)
+        return Result({"add": self.log.state(number).count()}, self.table.live(number).count(), reason=reason)
+
+    def _update(self, files: DataFrame, found: M.Manifest) -> Result:
+        entries = found.frame(self.spark)
+        now = self._timed(files, False)
+        seen = difference(now, entries)
+        if seen["untimed"]:
+            now = self._timed(files, True)
+            seen = difference(now, entries)
+        if seen["broken"]:
+            return self._rebuild(files, found, f"Manifest unusable: {seen['broken']} entries break a rule")
+        if not seen["other"]:
+            return Result(same=seen["files"])
+        changes = self._changes(now, files, entries).persist()
+        try:
+            done = self.apply(changes, files, found)
+        finally:
+            changes.unpersist()
+        done.same = seen["files"] - done.files["add"] - done.files["modify"]
+        return done
+
+    def apply(self, changes: DataFrame, files: DataFrame, found: M.Manifest, marks: dict[str, int] | None = None) -> Result:
+        """Commits changes (as ``_changes`` gives them) of files (``schemas.FILE``); ``marks`` go into the header with them."""
+        counts = {r[0]: r[1] for r in changes.groupBy("change_type").count().collect()}
+        done = Result({k: counts.get(k, 0) for k in KINDS})
+        number = found.commit + 1
+        self.table.drop_after(found.commit)
+        self.log.drop_after(found.commit)
+        ids = None
+        if any(done.files.values()):
+            work = F.broadcast(changes.where("change_type in ('add', 'modify')").select(F.col("path").alias("_key"))) if sum(done.files.values()) <= 100_000 else changes.where("change_type in ('add', 'modify')").select(F.col("path").alias("_key"))
+            picked = files.join(work, F.concat_ws("/", "repo", "path") == F.col("_key"), "left_semi")
+            chunks = chunk_files(picked, self.size, self.overlap).persist()
+            old = changes.where("change_type <> 'touch'").select(F.explode("old_chunk_ids").alias("chunk_id"))
+            gone, new = old.join(chunks, "chunk_id", "left_anti"), chunks.join(old, "chunk_id", "left_anti")
+            done.chunks_out, done.chunks_in = gone.count(), new.count()
+            if done.chunks_out:
                 self.table.delete(gone, number)
-            if stats.chunks_added:
-                self.table.append(to_records(new, encode(F.col("content"), self.model)), number)
+            if done.chunks_in:
+                self.table.append(self._records(new), number)
+            ids = chunks_by_file(chunks)
+        delta = changes.select("path", F.coalesce("sha256", "old_sha256").alias("sha256"), "mtime_ns", F.when(F.col("change_type") == "touch", F.col("old_chunk_ids")).alias("_kept"), "gone")
+        delta = delta.join(ids, "path", "left") if ids is not None else delta.withColumn("chunk_ids", F.lit(None).cast("array<string>"))
+        self.log.append(delta.withColumn("chunk_ids", F.coalesce("_kept", "chunk_ids", F.array().cast("array<string>"))), number)
+        if marks:
+            found.marks = {**found.marks, **marks}
+        self._commit(found, number)
+        if ids is not None:
             chunks.unpersist()
-        stats.files_unchanged = now.count() - stats.files_added - stats.files_modified
-        if stats.files_changed or odd.limit(1).count():  # a touched file's new time is recorded, too
-            self._commit(found, number, self._entries(number, now, found.frame(self.spark)))
-        changes.unpersist()
-        now.unpersist()
-        return stats
-
-    def dry_run(self, files: DataFrame) -> DryRun:
+        self.log.checkpoint(number)
+        return done
+
+    def compact(self) -> None:
+        """Live rows as one snapshot and all entries as one checkpoint, as a commit of their own."""
         found, reason = self.manifest()
         if reason:
-            return DryRun(True, reason)
-        changes, _, _ = self._changes(found, files)
-        paths: dict[str, list[str]] = {}
-        for r in changes.select("path", "change_type").orderBy("path").toLocalIterator():
-            paths.setdefault(r["change_type"], []).append(r["path"])
-        guess = estimates(changes).first()
-        return DryRun(False, "", paths, guess["estimated_chunks_add"], guess["estimated_chunks_delete"])
+            raise M.ManifestError(reason)
+        number = found.commit + 1
+        self.table.drop_after(found.commit)
+        self.log.drop_after(found.commit)
+        self.table.compact(found.commit, number)
+        self.log.replace(self.log.state(found.commit), number)
+        self._commit(found, number)
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Removes what only reads of commits before the last ``keep`` need; a reader of an older commit loses its files."""
+        found, reason = self.manifest()
+        if reason or keep < 1:
+            raise M.ManifestError(reason or "the last commit must be kept")
+        self.table.drop_after(found.commit)
+        self.log.drop_after(found.commit)
+        oldest = found.commit - keep + 1
+        return self.table.vacuum(oldest) + [f"entries/{x}" for x in self.log.vacuum(oldest)]
+
+    def dry_run(self, files: DataFrame) -> Plan:
+        found, reason = self.manifest()
+        if reason:
+            return Plan(reason)
+        entries, now = found.frame(self.spark), self._timed(files, False)
+        if difference(now, entries)["untimed"]:
+            now = self._timed(files, True)
+        changes = self._changes(now, files, entries).where("change_type <> 'touch'").select("path", "change_type", "old_chunk_ids")
+        counts, guess = change_counts(changes).first(), estimates(changes).first()
+        return Plan(None, dict(zip(KINDS, counts[:3], strict=True)), tuple(guess), changes)
 
     def live(self) -> DataFrame:
         found, _ = self.manifest()
@@ -215,3 +292,15 @@ class Index:
 
     def stats(self) -> DataFrame:
         return self.live().agg(F.count("*").alias("total_chunks")).withColumn("table", F.lit(self.table.root.rsplit("/", 1)[-1]))
+
+
+def totals(entries: DataFrame) -> DataFrame:
+    """Files and chunks of a manifest's entries."""
+    return entries.agg(F.count("*").alias("files"), F.coalesce(F.sum(F.size("chunk_ids")), F.lit(0)).alias("chunks"))
+
+
+def written(index: Index, kinds: Iterable[str] = ("segments", "tombstones")) -> dict[str, int]:
+    """Rows that the last commit wrote, by kind of table."""
+    found, _ = index.manifest()
+    rows = {k: index.table.spark.read.parquet(index.table.path(k, found.commit)).count() if found.commit in index.table.numbers(k) else 0 for k in kinds}
+    return rows | {k: index.spark.read.parquet(index.log.path(k, found.commit)).count() if found.commit in index.log.numbers(k) else 0 for k in ("delta", "checkpoint")}

@@ -1,7 +1,7 @@
 """The manifest: what was indexed, with which settings. Its rename commits a version.
 
-The file is a small header. An index keeps the entries of its files in a Parquet
-table beside it, one for each commit, so that their number has no limit; entries
+The file is a small header. An index keeps the entries of its files in a log of
+Parquet tables beside it (``entries``), so that their number has no limit; entries
 in the file itself are read too, within the limits below.
 """
 
@@ -17,7 +17,7 @@ from dataclasses import asdict, dataclass, field, replace
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -42,7 +42,7 @@ class ManifestInvalid(ManifestError):
 
 def bad_path(path: str) -> str | None:
     """The first rule a path breaks, as ``functions.text.path_error``."""
-    tests = (("traversal", ".." in path), ("absolute", path.startswith("/")), ("drive", bool(re.match(r"[A-Za-z]:", path))), ("nul", "\0" in path), ("control", bool(re.search(r"[\n\r\t]", path))))
+    tests = (("traversal", ".." in path), ("absolute", path.startswith("/")), ("drive", path[1:2] == ":"), ("nul", "\0" in path), ("control", bool(re.search(r"[\n\r\t]", path))))
     return next((name for name, broken in tests if broken), None)
 
 
@@ -93,6 +93,7 @@ class Manifest:
     files: Mapping[str, FileEntry] = field(default_factory=dict)
     repo_versions: dict[str, str] = field(default_factory=dict)
     commit: int = 0
+    marks: dict[str, int] = field(default_factory=dict)  # how far each stream that feeds the index has come
 
     def check(self) -> Manifest:
         if not _VERSION.fullmatch(self.version):
@@ -177,7 +178,11 @@ def needs_rebuild(manifest: Manifest | None, model: str, chunk_config: dict[str,
     return None
 
 
+def broken_rule(path: Column, sha256: Column, chunk_ids: Column) -> Column:
+    """The first rule that a file entry breaks, or null."""
+    return F.coalesce(path_error(path), F.when(~F.coalesce(sha256.rlike(r"\A[a-f0-9]{64}\z"), F.lit(False)), "sha256"), F.when(F.size(chunk_ids) > MOST_CHUNKS, "chunks"))
+
+
 def violations(entries: DataFrame) -> DataFrame:
     """(path, rule) of file entries that break a rule; no row if all are sound."""
-    rule = F.coalesce(path_error(F.col("path")), F.when(~F.coalesce(F.col("sha256").rlike(r"\A[a-f0-9]{64}\z"), F.lit(False)), "sha256"), F.when(F.size("chunk_ids") > MOST_CHUNKS, "chunks"))
-    return entries.select("path", rule.alias("rule")).where("rule is not null")
+    return entries.select("path", broken_rule(F.col("path"), F.col("sha256"), F.col("chunk_ids")).alias("rule")).where("rule is not null")

@@ -38,7 +38,7 @@ def limit(value: int = LIMIT_DEFAULT) -> int:
 
 def fork(value: str | None) -> str | None:
     if value is not None and value.lower() not in FORK_NAMES:
-        raise RequestError(f"Invalid fork '{value}'. Must be one of: {FORK_NAMES}")
+        raise RequestError(f"no fork is named {value!r}; there are {', '.join(FORK_NAMES)}")
     return value.lower() if value else None
 
 
@@ -73,13 +73,13 @@ def layer(value: str | None) -> str | None:
         return None
     found = value.lower().strip()
     if found not in LAYERS:
-        raise RequestError("Layer must be 'execution' or 'consensus'")
+        raise RequestError(f"no layer is named {value!r}; there are {', '.join(LAYERS)}")
     return found
 
 
 def pq_repo(value: str | None) -> str | None:
     if value is not None and value not in PQ_REPOS:
-        raise RequestError(f"Unknown repo '{value}'. Must be one of: {list(PQ_REPOS)}")
+        raise RequestError(f"no repository of this search is named {value!r}; there are {', '.join(PQ_REPOS)}")
     return value
 
 

@@ -552,7 +552,7 @@ def dry_run(spark, d):
 @query("a2_manifest_totals", f"SELECT count(*) AS files, sum(len(ids))::BIGINT AS chunks FROM {_A}")
 def manifest_totals(spark, d):
     a, _ = _snapshots(spark, d)
-    return a.agg(F.count("*").alias("files"), F.sum(F.size("chunk_ids")).alias("chunks"))
+    return incremental.totals(a)
 
 
 @query("m6_manifest_violations", "SELECT CASE WHEN doc_id % 4 = 0 THEN '/abs/' || doc_id ELSE 'd/' || doc_id END AS path, CASE WHEN doc_id % 4 = 0 THEN 'absolute' ELSE 'sha256' END AS rule FROM documents WHERE doc_id % 4 = 0 OR doc_id % 4 = 1")
@@ -596,7 +596,7 @@ def _note_files(rows: DataFrame, text: Column, time: Column) -> DataFrame:
     return rows.select(*[made[f.name].cast(f.dataType).alias(f.name) for f in schemas.FILE.fields])
 
 
-def _updated(spark: SparkSession, d: str) -> tuple[incremental.Index, incremental.IndexStats]:
+def _updated(spark: SparkSession, d: str) -> tuple[incremental.Index, incremental.Result]:
     """An index of snapshot A, updated to snapshot B (see ``_A`` and ``_B``)."""
     t, index = docs(spark, d), incremental.Index(spark, shared_folder(spark))
     index.index(_note_files(t.where("doc_id % 7 <> 0"), F.col("text"), F.col("doc_id") * 10))
@@ -618,7 +618,7 @@ WITH s AS (SELECT count(*) FILTER (doc_id % 7 = 0 AND doc_id % 11 <> 0) AS added
 SELECT 'Incremental update: ' || added || ' added, ' || modified || ' modified, ' || deleted || ' deleted (' || (added + modified) || ' chunks added, ' || (modified + deleted) || ' deleted)' AS summary, (now - added - modified) AS files_unchanged FROM s""")
 def update_stats(spark, d):
     _, stats = _updated(spark, d)
-    return spark.createDataFrame([(stats.summary(), stats.files_unchanged)], "summary string, files_unchanged bigint")
+    return spark.createDataFrame([(stats.summary(), stats.same)], "summary string, files_unchanged bigint")
 
 
 @query("s13_k5_manifest_entries", """
@@ -680,16 +680,14 @@ def type_sets(spark, d):
 @query("j5_change_types", f"{_DIFF} SELECT c.path, change_type, coalesce('t' || len(b.sha256), 'spec') AS file_type FROM c LEFT JOIN {_B} AS b ON b.path = c.path")
 def change_types(spark, d):
     a, b = _snapshots(spark, d)
-    kinds = b.select("path", _of("t", F.length("sha256").cast("string")).alias("t"))
-    return incremental.compute_changes(b, a).join(kinds, "path", "left").select("path", "change_type", F.coalesce("t", F.lit("spec")).alias("file_type"))
+    kinds = b.select("path", _of("t", F.length("sha256").cast("string")).alias("file_type"))
+    return incremental.with_types(incremental.compute_changes(b, a), kinds).select("path", "change_type", "file_type")
 
 
 @query("r10_preview_rows", f"{_DIFF} SELECT path, (SELECT count(*) FROM c) - 10 AS more FROM c ORDER BY path LIMIT 10")
 def preview_rows(spark, d):
     a, b = _snapshots(spark, d)
-    changes = incremental.compute_changes(b, a)
-    n = changes.agg((F.count("*") - 10).alias("more"))
-    return changes.select("path").orderBy("path").limit(10).crossJoin(F.broadcast(n))
+    return incremental.preview(incremental.compute_changes(b, a))
 
 
 @query("p30_models", "SELECT * FROM (VALUES " + ", ".join(f"('{m[0]}', {m[1]}, {m[2]}, '{m[3]}')" for m in catalog.MODELS) + ") AS t(model, dimensions, max_tokens, kind)")

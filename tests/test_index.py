@@ -8,7 +8,7 @@ from tesselar.operators import clients as C
 from tesselar.operators import specs as SP
 from tesselar.plans import api, incremental, search, validation
 from tesselar.plans import manifest as M
-from tesselar.plans.incremental import DryRun, Index, IndexStats
+from tesselar.plans.incremental import Index, Plan, Result
 from tesselar.sources import config as G
 from tesselar.sources import files as S
 from tesselar.streaming import ingest
@@ -64,21 +64,21 @@ def test_index_lifecycle(spark, checkout):
     root, put = checkout
     index = Index(spark, f"{root}/index")
     gather = lambda: cli.gather(spark, str(root))
-    assert index.dry_run(gather()).would_rebuild
+    assert index.dry_run(gather()).reason
     first = index.index(gather())
-    assert first.full_rebuild and first.rebuild_reason == "No manifest exists" and first.chunks_added == index.live().count() > 10
+    assert first.reason == "No manifest exists" and first.chunks_in == index.live().count() > 10
     again = index.index(gather())
-    assert again.is_noop and again.summary() == "No changes detected" and again.files_unchanged == first.files_added
+    assert again.reason is None and again.summary() == "No changes detected" and again.same == first.files["add"]
     before = {r.chunk_id for r in index.live().collect()}
     put("consensus-specs/specs/deneb/ünï.md", "# Deneb\n\nBlobs have moved.\n")
     put("pm/new.md", "# New\n\nA new page.\n")
     os.utime(put("builder-specs/specs/api.md", "# API\n\nPOST `/eth/v1/builder`\n"), ns=(1, 1))
     os.remove(f"{root}/EIPs/EIPS/eip-4844.md")
     plan = index.dry_run(gather())
-    assert plan.files == {"add": ["pm/new.md"], "modify": ["consensus-specs/specs/deneb/ünï.md"], "delete": ["EIPs/EIPS/eip-4844.md"]}
+    assert {k: plan.first(k) for k in plan.files} == {"add": ["pm/new.md"], "modify": ["consensus-specs/specs/deneb/ünï.md"], "delete": ["EIPs/EIPS/eip-4844.md"]}
     assert plan.summary().startswith("Would perform incremental update:\n  Add 1 files\n  Modify 1 files\n  Delete 1 files\n  ~20 chunks to add")
     stats = index.index(gather())
-    assert (stats.files_added, stats.files_modified, stats.files_deleted, stats.chunks_added, stats.chunks_deleted) == (1, 1, 1, 2, 3)
+    assert stats.files == {"add": 1, "modify": 1, "delete": 1} and (stats.chunks_in, stats.chunks_out) == (2, 3)
     after = {r.chunk_id for r in index.live().collect()}
     assert len(before - after) == 3 and len(after - before) == 2
     found, reason = index.manifest()
@@ -89,7 +89,7 @@ def test_index_lifecycle(spark, checkout):
     with open(index.manifest_path, "w") as f:
         f.write("{")
     rebuilt = index.index(gather())
-    assert rebuilt.full_rebuild and rebuilt.rebuild_reason.startswith("Manifest unusable") and os.path.exists(index.manifest_path + ".corrupted")
+    assert rebuilt.reason.startswith("Manifest unusable") and os.path.exists(index.manifest_path + ".corrupted")
     assert {r.chunk_id for r in index.live().collect()} == after
     index.table.compact(1 << 20, 1 << 20)
     assert index.table.live().count() == len(after)
@@ -168,9 +168,10 @@ def test_changes(spark, hashes, want):
 
 
 def test_summaries():
-    assert IndexStats(full_rebuild=True, chunks_added=5, rebuild_reason="r").summary() == "Full rebuild: 5 chunks indexed (r)"
-    assert IndexStats(1, 2, 3, 4, 5).summary() == "Incremental update: 1 added, 2 modified, 3 deleted (4 chunks added, 5 deleted)"
-    assert DryRun(True, "r").summary() == "Would perform full rebuild: r" and DryRun().summary() == "No changes detected"
+    assert Result(chunks_in=5, reason="r").summary() == "Full rebuild: 5 chunks indexed (r)" and Result(same=4).summary() == "No changes detected"
+    assert Result({"add": 1, "modify": 2, "delete": 3}, 4, 5).summary() == "Incremental update: 1 added, 2 modified, 3 deleted (4 chunks added, 5 deleted)"
+    assert Plan("r").summary() == "Would perform full rebuild: r" and Plan().summary() == "No changes detected" and Plan().first("add") == []
+    assert Plan(None, {"modify": 2}, (20, 7)).summary() == "Would perform incremental update:\n  Modify 2 files\n  ~20 chunks to add\n  ~7 chunks to delete"
 
 
 def test_config(tmp_path):
