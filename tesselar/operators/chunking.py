@@ -172,13 +172,16 @@ def with_ids(chunks: DataFrame, project: Column | None = None) -> DataFrame:
     return chunks.withColumn("chunk_id", X.chunk_id(own, F.col("chunk_type"), F.concat_ws("/", "repo", "source"), index, F.col("content")))
 
 
-def chunk_files(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, ids: bool = True) -> DataFrame:
-    """Chunks of files (path, file_type, repo, content); unknown types give none."""
+def chunk_files(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, ids: bool = True, types: set[str] | None = None) -> DataFrame:
+    """Chunks of files (path, file_type, repo, content); unknown types give none. ``types`` names the file types there are, if they are known: other routes are left out."""
     of = lambda *kinds: files.where(F.col("file_type").isin(*kinds))
-    routes = [spec_chunks(of("spec"), size, overlap), eip_chunks(of("eip"), size, overlap), builder_chunks(of("builder"), size, overlap), notes_chunks(of("pm"), size, overlap), python_chunks(of("lean")), rust_chunks(files.where(F.startswith("file_type", F.lit("rust"))))]
-    out = routes[0]
-    for r in routes[1:]:
-        out = out.unionByName(r)
+    routes = {"spec": lambda x: spec_chunks(x, size, overlap), "eip": lambda x: eip_chunks(x, size, overlap), "builder": lambda x: builder_chunks(x, size, overlap), "pm": lambda x: notes_chunks(x, size, overlap), "lean": python_chunks}
+    parts = [cut(of(kind)) for kind, cut in routes.items() if types is None or kind in types]
+    if not parts or types is None or any(t.startswith("rust") for t in types):
+        parts.append(rust_chunks(files.where(F.startswith("file_type", F.lit("rust")))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return with_ids(out) if ids else out
 
 

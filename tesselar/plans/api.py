@@ -13,6 +13,7 @@ from .. import catalog
 from ..functions.text import shown_share
 from ..operators.specs import function_source, grep_constant
 from . import validation as V
+from .grams import GramIndex
 from .incremental import Index
 from .search import Searcher, top_k
 
@@ -78,8 +79,8 @@ def answered(tool: Callable) -> Callable:
 class Service:
     """Tools over an index, its compiled specs and its spec files (fork, path, content)."""
 
-    def __init__(self, spark: SparkSession, index: Index, compiled: DataFrame | None = None, specs: DataFrame | None = None):
-        self.spark, self.index, self.compiled, self.specs = spark, index, compiled, specs
+    def __init__(self, spark: SparkSession, index: Index, compiled: DataFrame | None = None, specs: DataFrame | None = None, grams: GramIndex | None = None):
+        self.spark, self.index, self.compiled, self.specs, self.grams = spark, index, compiled, specs, grams
         self.guidance = catalog.guidance(spark)
 
     def searcher(self, prefilter: bool = True) -> Searcher:
@@ -114,12 +115,16 @@ class Service:
 
     @answered
     def grep_constant(self, name: str, fork: str | None = None) -> list[dict]:
-        """The compiled value; else the first of ten constant hits whose content holds the name."""
+        """The compiled value; else the nearest constant chunk whose content holds the name: of all of them by the gram index, where there is one, else of ten hits."""
         name, fork = V.constant(name), V.fork(fork) or catalog.CURRENT_FORK
         if self.compiled is not None and (exact := self._rows(grep_constant(self.compiled, name, fork))):
             return exact
-        found = self.searcher().search_constant(name).where(F.contains(F.lower("content"), F.lit(name.lower())))
-        return self._rows(top_k(found, 1))
+        if self.grams is None:
+            return self._rows(top_k(self.searcher().search_constant(name).where(F.contains(F.lower("content"), F.lit(name.lower()))), 1))
+        found, _ = self.index.manifest()
+        self.grams.refresh(found.commit)
+        held = self.grams.rows(name, found.commit, F.col("chunk_type") == "constant")
+        return self._rows(Searcher(held, catalog.repos(self.spark), found.embedding_model).search(f"{name} constant value", 1))
 
     @answered
     def analyze_function(self, name: str, fork: str | None = None) -> list[dict]:

@@ -43,10 +43,7 @@ class EmbeddingCache(Commits):
         number = self.last() + 1
         rows = self.missing(contents).sortWithinPartitions(F.length("content"))
         self.write(rows.select("hash", encode(F.col("content"), self.model).alias("vector")), "vectors", number)
-        made = self.read("vectors", _VECTOR, [number]).count()
-        if not made:
-            self.drop("vectors", [number])
-        return made
+        return self.count("vectors", number)
 
     def attach(self, rows: DataFrame, column: str = "vector") -> DataFrame:
         """Adds the vectors of rows (content, ...); null where the cache has none."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import encode
 from ..operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_files, to_records
-from ..sources.files import hashes, listing
+from ..sources.files import hash_of, hashes, listing
 from . import manifest as M
 from .embeddings import EmbeddingCache
 from .entries import EntryLog
@@ -177,7 +177,7 @@ class Index:
         c, m = now.alias("c"), entries.alias("m")
         odd = c.join(m, F.col("c.path") == F.col("m.path"), "full_outer").where(~F.coalesce(F.col("c.mtime_ns") == F.col("m.mtime_ns"), F.lit(False)))
         odd = odd.select(F.coalesce("c.path", "m.path").alias("path"), F.col("c.path").isNull().alias("gone"), F.col("m.path").isNull().alias("fresh"), F.coalesce("c.mtime_ns", "m.mtime_ns").alias("mtime_ns"), F.col("m.sha256").alias("old_sha256"), F.coalesce("m.chunk_ids", F.array().cast("array<string>")).alias("old_chunk_ids"))
-        read = hashes(self.key(files).join(odd.where("not gone").select("path"), "path", "left_semi"))
+        read = self.key(files).join(odd.where("not gone").select("path"), "path", "left_semi").select("path", "file_type", hash_of(F.col("content")).alias("sha256"))
         kind = F.when(F.col("gone"), "delete").when(F.col("fresh"), "add").when(F.col("sha256") == F.col("old_sha256"), "touch").otherwise("modify")
         return odd.join(read, "path", "left").withColumn("change_type", kind)
 
@@ -224,23 +224,22 @@ class Index:
 
     def apply(self, changes: DataFrame, files: DataFrame, found: M.Manifest, marks: dict[str, int] | None = None) -> Result:
         """Commits changes (as ``_changes`` gives them) of files (``schemas.FILE``); ``marks`` go into the header with them."""
-        counts = {r[0]: r[1] for r in changes.groupBy("change_type").count().collect()}
-        done = Result({k: counts.get(k, 0) for k in KINDS})
+        counted = changes.groupBy("change_type", "file_type").count().collect()
+        done = Result({k: sum(r["count"] for r in counted if r["change_type"] == k) for k in KINDS})
         number = found.commit + 1
         self.table.drop_after(found.commit)
         self.log.drop_after(found.commit)
         ids = None
         if any(done.files.values()):
-            work = F.broadcast(changes.where("change_type in ('add', 'modify')").select(F.col("path").alias("_key"))) if sum(done.files.values()) <= 100_000 else changes.where("change_type in ('add', 'modify')").select(F.col("path").alias("_key"))
+            work = changes.where("change_type in ('add', 'modify')").select(F.col("path").alias("_key"))
+            work = F.broadcast(work) if sum(done.files.values()) <= 100_000 else work
             picked = files.join(work, F.concat_ws("/", "repo", "path") == F.col("_key"), "left_semi")
-            chunks = chunk_files(picked, self.size, self.overlap).persist()
+            types = {r["file_type"] for r in counted if r["file_type"]}
+            chunks = chunk_files(picked, self.size, self.overlap, types=types).persist()
             old = changes.where("change_type <> 'touch'").select(F.explode("old_chunk_ids").alias("chunk_id"))
-            gone, new = old.join(chunks, "chunk_id", "left_anti"), chunks.join(old, "chunk_id", "left_anti")
-            done.chunks_out, done.chunks_in = gone.count(), new.count()
-            if done.chunks_out:
-                self.table.delete(gone, number)
-            if done.chunks_in:
-                self.table.append(self._records(new), number)
+            self.table.delete(old.join(chunks, "chunk_id", "left_anti"), number)
+            self.table.append(self._records(chunks.join(old, "chunk_id", "left_anti")), number)
+            done.chunks_out, done.chunks_in = self.table.count("tombstones", number), self.table.count("segments", number)
             ids = chunks_by_file(chunks)
         delta = changes.select("path", F.coalesce("sha256", "old_sha256").alias("sha256"), "mtime_ns", F.when(F.col("change_type") == "touch", F.col("old_chunk_ids")).alias("_kept"), "gone")
         delta = delta.join(ids, "path", "left") if ids is not None else delta.withColumn("chunk_ids", F.lit(None).cast("array<string>"))

@@ -6,13 +6,18 @@ no shuffle beyond the k best of each task. Ties go to the smaller chunk_id.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.vectors import cosine, cosine_to, encode_query
+from ..functions.vectors import cosine_to, encode_query
 
 # Chunk types and repositories of the special searches.
 LEAN_TYPES = ("lean_class", "lean_function", "lean_constant", "lean_doc")
@@ -20,6 +25,9 @@ RUST_TYPES = ("rust_function", "rust_struct", "rust_enum", "rust_const", "rust_i
 PQ_REPOS = ("leanSig", "leanMultisig", "multilinear-toolkit", "fiat-shamir")
 EIP_FETCH = 10
 
+#: Bytes of query vectors that are sent to every task at a time.
+BLOCK = 4 << 20
+
 HIT = ["content", "source", "fork", "section", "chunk_type", "score", "eip", "function_name", "client", "language", "chunk_id", "repo"]
 
 
@@ -44,17 +52,64 @@ def search(rows: DataFrame, query: list[float], limit: int = 5, where: Column |
     return top_k(top_k(scored(rows, query, vector), factor * limit, key).where(where), limit, key)
 
 
-def batch_search(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vector", key: str = "chunk_id", most: int = 4096) -> DataFrame:
-    """(query_id, rank, key, score) for every row (query_id, query) of a small query table.
+def batch_search(rows: DataFrame, queries: DataFrame, k: int, vector: str = "vector", key: str = "chunk_id", most: int = BLOCK) -> DataFrame:
+    """(query_id, rank, key, score): the best k rows for every row (query_id, query) of a query table.
 
-    The queries must number at most ``most``; then they go to every task with the
-    scan, and per-query limits are kept inside the tasks before the shuffle.
+    Queries of any number are met in blocks of about ``most`` bytes, each sent to
+    the tasks of one scan; a task keeps its best k of each query. Vectors that are
+    null, of another size or not finite are not found and find nothing.
     """
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries; search them in parts")
-    pairs = rows.crossJoin(F.broadcast(queries)).select("query_id", key, cosine(F.col(vector), F.col("query")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    numbered, held, size, found = [], [], 0, []
+    for i, r in enumerate(queries.select("query_id", F.col("query").cast("array<double>").alias("query")).toLocalIterator()):
+        numbered.append((i, r["query_id"]))
+        held.append((i, r["query"]))
+        size += 8 * len(r["query"] or ()) + 8
+        if size > most:
+            found.append(_block(rows, held, k, vector, key))
+            held, size = [], 0
+    found += [_block(rows, held, k, vector, key)] if held or not found else []
+    best = reduce(DataFrame.unionByName, found)
+    names = rows.sparkSession.createDataFrame(numbered, T.StructType([T.StructField("number", T.LongType()), queries.schema["query_id"]]))
+    rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), key))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).join(names, "number").select("query_id", "rank", key, "score")
+
+
+def _block(rows: DataFrame, queries: list[tuple[int, list[float] | None]], k: int, vector: str, key: str) -> DataFrame:
+    """(number, key, score): each task's best k for the queries of a block. Sums are taken row by row, so equal vectors have equal scores."""
+    by_width: dict[int, list[tuple[int, list[float]]]] = {}
+    for i, q in queries:
+        if q and all(x is not None and math.isfinite(x) for x in q):
+            by_width.setdefault(len(q), []).append((i, q))
+    asked = {n: (np.array([i for i, _ in qs]), np.array([q for _, q in qs], float)) for n, qs in by_width.items()}
+
+    def keep(parts: list[pa.Table]) -> pa.Table:
+        whole = pa.concat_tables(parts).sort_by([("number", "ascending"), ("score", "descending"), (key, "ascending")])
+        number = whole["number"].to_numpy()
+        return whole.take(pa.array(np.flatnonzero(np.arange(len(number)) - np.searchsorted(number, number) < k)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[pa.Table] = []
+        for batch in batches:
+            lengths = batch.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            for width, (numbers, q) in asked.items():
+                own = np.flatnonzero(lengths == width)
+                x = batch.column(1).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+                own, x = own[np.isfinite(x).all(axis=1)], x[np.isfinite(x).all(axis=1)]
+                if not len(own):
+                    continue
+                sizes = np.sqrt((x * x).sum(axis=1))
+                for i, one in zip(numbers.tolist(), q, strict=True):
+                    scale = sizes * math.sqrt(float((one * one).sum()))
+                    score = np.divide((x * one).sum(axis=1), scale, out=np.zeros(len(x)), where=scale != 0)
+                    top = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
+                    best.append(pa.table({"number": np.full(len(top), i), key: batch.column(0).take(pa.array(own[top])), "score": score[top]}))
+            if len(best) > 64:
+                best = [keep(best)]
+        if best:
+            yield from keep(best).to_batches()
+
+    kind = dict(rows.dtypes)[key]
+    return rows.select(key, F.col(vector).cast("array<double>").alias(vector)).mapInArrow(run, f"number bigint, `{key}` {kind}, score double")
 
 
 def merge_legs(legs: list[DataFrame], limit: int, on: tuple[str, ...] = ("source", "section")) -> DataFrame:

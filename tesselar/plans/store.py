@@ -58,6 +58,13 @@ class Commits:
             return self.spark.createDataFrame([], both)
         return self.spark.read.schema(both).option("basePath", f"{self.root}/{kind}").parquet(*[self.path(kind, n) for n in commits])
 
+    def count(self, kind: str, commit: int) -> int:
+        """Rows of a commit's table, by its files' footers; a table without rows is removed."""
+        n = self.spark.read.parquet(self.path(kind, commit)).count()
+        if not n:
+            self.drop(kind, [commit])
+        return n
+
     def drop(self, kind: str, commits: list[int]) -> None:
         for n in commits:
             fs, p = self._fs(self.path(kind, n))

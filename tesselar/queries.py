@@ -23,7 +23,7 @@ from .operators import clients as CL
 from .operators import specs as SP
 from .operators.pycode import python_rows
 from .operators.splitting import by_headers, by_size
-from .plans import api, cells, incremental, search, validation
+from .plans import api, cells, grams, incremental, quantised, search, validation
 from .plans.manifest import violations
 from .plans.store import ChunkTable
 from .sources.files import hashes
@@ -827,6 +827,49 @@ def coarse_cells(spark, d):
     return found.select("vec_id", F.round("score", 6).alias("score"))
 
 
+@query("q3_q18_content_lookup", """
+WITH n AS (SELECT DISTINCT 'x' || substr(md5(text), 1, 2) AS name FROM documents WHERE doc_id % 5 = 0 UNION SELECT DISTINCT lower(substr(text, 40, 7)) FROM documents WHERE doc_id % 5 = 0 AND length(text) >= 46)
+SELECT name, 'c' || doc_id AS chunk_id FROM documents JOIN n ON contains(lower(text), lower(name)) WHERE doc_id % 11 <> 0""")
+def content_lookup(spark, d):
+    """Live contents that hold a name, for some hundreds of names: by gram postings of two commits, not by reading contents."""
+    t, table_ = docs(spark, d), ChunkTable(spark, shared_folder(spark))
+    table_.replace(_stored(t.where("doc_id % 7 <> 0").withColumn("t", F.col("text"))), 1)
+    table_.append(_stored(t.where("doc_id % 7 = 0").withColumn("t", F.col("text"))), 2)
+    table_.delete(t.where("doc_id % 11 = 0").select(_of("c", _id()).alias("chunk_id")), 3)
+    index = grams.GramIndex(spark, table_)
+    index.refresh(3)
+    some = t.where("doc_id % 5 = 0")
+    names = some.select(_of("x", F.substring(F.md5("text"), 1, 2)).alias("n")).unionByName(some.where(F.length("text") >= 46).select(F.lower(F.substring("text", 40, 7)).alias("n"))).distinct()
+    found = index.find([r["n"] for r in names.toLocalIterator()], 3)
+    return found.join(table_.live(3).select("chunk_id"), "chunk_id", "left_semi").select("name", "chunk_id")
+
+
+@query("k4_quantised_exact", f"SELECT vec_id, round({_SCORE}, 6) AS score FROM embeddings ORDER BY {_SCORE} DESC, vec_id LIMIT 20")
+def quantised_exact(spark, d):
+    """The exact search of the product-quantised index: codes bound the scores, candidates are re-ranked."""
+    e = table(spark, d, "embeddings")
+    index, books = _quantised(spark, e)
+    found = quantised.search(index, e, books, _first_vector(e), 20, exact=True, vector="embedding", key="vec_id")
+    return found.select("vec_id", F.round("score", 6).alias("score"))
+
+
+def _quantised(spark: SparkSession, e: DataFrame) -> tuple[DataFrame, quantised.Books]:
+    """The index of all embeddings, written by cell."""
+    books, path = quantised.fit(e, "embedding", "vec_id", parts=16), f"{shared_folder(spark)}/codes"
+    quantised.write(quantised.encode(e, books, "embedding", "vec_id"), path)
+    return spark.read.parquet(path), books
+
+
+@query("k4_quantised_recall", "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 500 = 0")
+def quantised_recall(spark, d):
+    """Whether the index finds at least nine of ten true neighbours at its default settings (a bounded number of candidates by code)."""
+    e = table(spark, d, "embeddings")
+    index, books = _quantised(spark, e)
+    asked = [r["embedding"] for r in e.where("vec_id % 500 = 0").select("embedding").toLocalIterator()]
+    share = quantised.recall(index, e, books, asked, 10, "embedding", "vec_id")
+    return spark.createDataFrame([(len(asked), share >= 0.9)], "queries bigint, enough boolean")
+
+
 @query("t1_page_headings", r"""
 SELECT page_id, i::INT AS at, lower(regexp_extract(h, '<h([1-3])', 1))::INT AS level, regexp_replace(regexp_extract(h, '(?s)<h[1-3][^>]*>(.*?)</h[1-3]>', 1), '<[^>]*>', '', 'g') AS heading
 FROM (SELECT page_id, a[i + 1] AS h, i FROM (SELECT page_id, a, unnest(range(len(a))) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?s)<h[1-3][^>]*>.*?</h[1-3]>') AS a FROM pages)))""")

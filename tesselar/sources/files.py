@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -109,9 +109,14 @@ def listing(spark: SparkSession, files: DataFrame) -> DataFrame:
     return files.select("path", "abs_path", "file_type", "repo").mapInArrow(stat, "path string, abs_path string, file_type string, repo string, mtime_ns bigint")
 
 
+def hash_of(content: Column) -> Column:
+    """SHA-256 of a text's bytes."""
+    return F.sha2(content.cast("binary"), 256)
+
+
 def hashes(files: DataFrame) -> DataFrame:
     """(path, sha256) of texts' bytes"""
-    return files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))
+    return files.select("path", hash_of(F.col("content")).alias("sha256"))
 
 
 def binary_hashes(spark: SparkSession, root: str) -> DataFrame:

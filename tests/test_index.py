@@ -132,8 +132,6 @@ def test_search_modes(spark):
     assert search.search(rows, [1.0, 0.0], 4, want).count() == 4 and search.search(rows, [1.0, 0.0], 4, want, 1, False).count() == 2
     assert [r.chunk_id for r in search.search(rows, [1.0, 0.0], 2).collect()] == ["c9", "c8"]
     assert rows.select(VX.cosine(F.col("vector"), VX.literal([0.0, 0.0])).alias("s")).distinct().collect()[0].s == 0.0
-    with pytest.raises(ValueError, match="more than"):
-        search.batch_search(rows, rows.select(F.col("chunk_id").alias("query_id"), F.col("vector").alias("query")), 1, most=3)
     plan = rows.where(want)._jdf.queryExecution().toString()
     assert "chunk_type" in plan
 
