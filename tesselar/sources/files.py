@@ -1,71 +1,72 @@
 """File trees as DataFrames: one row a file, tagged with type and repository.
 
-Texts are read whole by Spark; nanosecond times come from one ``os.stat`` a file in
-the tasks, as Spark keeps milliseconds only.
+Trees are walked by the data source of ``tree``; a plan that does not use a file's
+content does not open it.
 """
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.text import relative_path
 from ..operators.clients import SUFFIXES
+from .tree import text_of, tree
 
 
-def _texts(spark: SparkSession, root: str, pattern: str, recursive: bool = True) -> DataFrame:
-    if not Path(root).is_dir():
-        raise FileNotFoundError(root)
-    found = spark.read.text(root, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive).select(F.col("value").alias("content"), F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("uri"))
-    return found.select("content", F.url_decode("uri").alias("abs_path"))
+def _files(spark: SparkSession, root: str, names: str, base: str, file_type: str, repo: str, recursive: bool = True, where: Column | None = None) -> DataFrame:
+    """``schemas.FILE`` of a tree; contents are read when they are asked for."""
+    rows = tree(spark, root, base, names, recursive)
+    rows = rows if where is None else rows.where(where)
+    return rows.select("path", "abs_path", F.lit(file_type).alias("file_type"), F.lit(repo).alias("repo"), "mtime_ns", text_of(F.col("abs_path")).alias("content"))
 
 
-def _tagged(rows: DataFrame, base: str, file_type: str, repo: str) -> DataFrame:
-    return rows.select(relative_path(F.col("abs_path"), os.path.abspath(base)).alias("path"), "abs_path", F.lit(file_type).alias("file_type"), F.lit(repo).alias("repo"), F.lit(None).cast("bigint").alias("mtime_ns"), "content")
+def _name() -> Column:
+    return F.element_at(F.split("abs_path", "/"), -1)
 
 
-def _name() -> F.Column:
-    return F.element_at(F.split("abs_path", "/"), -1)
+def _outside(*folders: str) -> Column:
+    out = ~F.contains("abs_path", F.lit(folders[0]))
+    for folder in folders[1:]:
+        out = out & ~F.contains("abs_path", F.lit(folder))
+    return out
 
 
-def _python(rows: DataFrame) -> DataFrame:
-    return rows.where(~F.contains("abs_path", F.lit("__pycache__")) & ~F.startswith(_name(), F.lit("test_")))
+def _python() -> Column:
+    return _outside("__pycache__") & ~F.startswith(_name(), F.lit("test_"))
 
 
 def spec_files(spark: SparkSession, checkout: str, repo: str = "consensus-specs") -> DataFrame:
     """``specs/**/*.md``"""
-    return _tagged(_texts(spark, f"{checkout}/specs", "*.md"), checkout, "spec", repo)
+    return _files(spark, f"{checkout}/specs", "*.md", checkout, "spec", repo)
 
 
 def eip_files(spark: SparkSession, checkout: str, repo: str = "EIPs") -> DataFrame:
     """``EIPS/eip-*.md``, not below"""
-    return _tagged(_texts(spark, f"{checkout}/EIPS", "eip-*.md", False), checkout, "eip", repo)
+    return _files(spark, f"{checkout}/EIPS", "eip-*.md", checkout, "eip", repo, False)
 
 
 def builder_files(spark: SparkSession, checkout: str, repo: str = "builder-specs") -> DataFrame:
-    return _tagged(_texts(spark, f"{checkout}/specs", "*.md"), checkout, "builder", repo)
+    return _files(spark, f"{checkout}/specs", "*.md", checkout, "builder", repo)
 
 
 def python_spec_files(spark: SparkSession, checkout: str, repo: str = "leanSpec") -> DataFrame:
     """``src/lean_spec/**/*.py`` without caches and tests"""
-    return _tagged(_python(_texts(spark, f"{checkout}/src/lean_spec", "*.py")), checkout, "lean", repo)
+    return _files(spark, f"{checkout}/src/lean_spec", "*.py", checkout, "lean", repo, where=_python())
 
 
 def python_files(spark: SparkSession, checkout: str, repo: str) -> DataFrame:
     """``**/*.py`` without caches and tests, tagged with their own repository"""
-    return _tagged(_python(_texts(spark, checkout, "*.py")), checkout, "lean", repo)
+    return _files(spark, checkout, "*.py", checkout, "lean", repo, where=_python())
 
 
 def rust_files(spark: SparkSession, checkout: str, repo: str) -> DataFrame:
     """``**/*.rs`` outside ``target``; tests stay"""
-    rows = _texts(spark, checkout, "*.rs").where(~F.contains("abs_path", F.lit("/target/")) & ~F.contains("abs_path", F.lit("__pycache__")))
-    return _tagged(rows, checkout, f"rust:{repo}", repo)
+    return _files(spark, checkout, "*.rs", checkout, f"rust:{repo}", repo, where=_outside("/target/", "__pycache__"))
 
 
 def rust_source_files(spark: SparkSession, checkout: str, repo: str) -> DataFrame:
@@ -74,14 +75,14 @@ def rust_source_files(spark: SparkSession, checkout: str, repo: str) -> DataFram
 
 
 def notes_files(spark: SparkSession, checkout: str, repo: str = "pm") -> DataFrame:
-    return _tagged(_texts(spark, checkout, "*.md"), checkout, "pm", repo)
+    return _files(spark, checkout, "*.md", checkout, "pm", repo)
 
 
 def client_files(spark: SparkSession, checkout: str, client: str, language: str) -> DataFrame:
     """(path, content, client, language); LookupError for a language without a parser"""
     if language not in SUFFIXES:
         raise LookupError(f"Unsupported language: {language}")
-    rows = _tagged(_texts(spark, checkout, SUFFIXES[language]), checkout, "client", client)
+    rows = _files(spark, checkout, SUFFIXES[language], checkout, "client", client)
     return rows.select("path", "content", F.lit(client).alias("client"), F.lit(language).alias("language"))
 
 
