@@ -27,6 +27,7 @@ from .plans import api, cells, grams, incremental, quantised, search, validation
 from .plans.manifest import violations
 from .plans.store import ChunkTable
 from .sources.files import hashes
+from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -629,6 +630,27 @@ def manifest_entries(spark, d):
     return found.frame(spark).select("path", "mtime_ns", F.size("chunk_ids").alias("chunks"), "sha256")
 
 
+@query("m4_stream_upkeep", """
+WITH f AS (SELECT doc_id, 'd/' || doc_id || '.md' AS source, md5(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS content FROM documents WHERE doc_id % 11 <> 0)
+SELECT source, content, 'pm_pm_' || substr(sha256('pm/' || source), 1, 8) || '_0000_' || substr(sha256(content), 1, 8) AS chunk_id FROM f""")
+def stream_upkeep(spark, d):
+    """An index kept by a stream: three runs of events (new files; changed ones with repeats and late events; new and vanished ones)."""
+    t, folder = docs(spark, d), shared_folder(spark)
+    new = F.when(F.col("doc_id") % 5 == 0, _of(F.col("text"), "!")).otherwise(F.col("text"))
+    gone = lambda rows, is_gone: rows.withColumn("gone", F.lit(is_gone))
+    first = gone(_note_files(t.where("doc_id % 7 <> 0"), F.col("text"), F.lit(10)), False)
+    changed = gone(_note_files(t.where("doc_id % 7 <> 0 AND doc_id % 5 = 0"), new, F.lit(20)), False)
+    late = gone(_note_files(t.where("doc_id % 7 <> 0 AND doc_id % 5 = 0"), F.reverse("text"), F.lit(5)), False)
+    more = gone(_note_files(t.where("doc_id % 7 = 0"), new, F.lit(30)), False)
+    lost = gone(_note_files(t.where("doc_id % 11 = 0"), F.col("text"), F.lit(40)), True)
+    index = incremental.Index(spark, f"{folder}/index")
+    for i, events in enumerate((first, changed.unionByName(changed).unionByName(late), more.unionByName(lost))):
+        events.write.parquet(f"{folder}/events/run={i}")
+        stream = spark.readStream.schema(ingest.EVENT).option("recursiveFileLookup", True).parquet(f"{folder}/events")
+        ingest.upkeep(stream, index, f"{folder}/checkpoint").awaitTermination()
+    return index.live().select("source", "content", "chunk_id")
+
+
 @query("a1_table_count", "SELECT count(*) AS total_chunks, 'specs' AS \"table\" FROM documents WHERE doc_id % 11 <> 0")
 def table_count(spark, d):
     index, _ = _updated(spark, d)

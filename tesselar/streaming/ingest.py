@@ -1,31 +1,95 @@
-"""Structured Streaming ingest: new files of a drop folder become chunks of the index.
+"""Structured Streaming upkeep of an index: events of files become commits.
 
-The file source sees new files only; changes and deletions need ``Index.index``.
+An event says that a file has a new content, or (``gone``) that it is no more. State
+is kept for each (repo, path): the newest time and content hash seen. Events that
+are late, repeated or change nothing end there; the last one of a file in a
+micro-batch goes on. A micro-batch is one commit of the index: its deletes and
+appends come from the manifest's entries, and its number goes into the header that
+makes it valid, so that a batch that runs again after a crash is either done afresh
+or left alone.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .. import schemas
 from ..functions.text import relative_path
-from ..functions.vectors import encode
-from ..operators.chunking import chunk_files, to_records
-from ..plans.store import ChunkTable
+from ..plans.incremental import Index
+
+EVENT = T.StructType([*schemas.FILE.fields, T.StructField("gone", T.BooleanType())])
+STATE = "mtime_ns bigint, sha256 string"
+CHANGED = "repo string, path string, abs_path string, file_type string, mtime_ns bigint, content string, gone boolean, sha256 string"
 
 
 def drop_folder(spark: SparkSession, folder: str, file_type: str, repo: str, pattern: str = "*") -> DataFrame:
-    """A stream of files (path, file_type, repo, content) as they arrive."""
+    """Events of a folder's files as they arrive. A file source sees new files only; changes and deletions must come as events."""
     read = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-    found = read.load(folder).select(F.col("value").alias("content"), F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("abs_path"))
-    return found.select(relative_path(F.col("abs_path"), folder).alias("path"), F.lit(file_type).alias("file_type"), F.lit(repo).alias("repo"), "content")
+    found = read.load(folder).select(F.col("value").alias("content"), F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("abs_path"), (F.unix_micros("_metadata.file_modification_time") * 1000).alias("mtime_ns"))
+    return found.select(relative_path(F.col("abs_path"), folder).alias("path"), "abs_path", F.lit(file_type).alias("file_type"), F.lit(repo).alias("repo"), "mtime_ns", "content", F.lit(False).alias("gone"))
+
+
+def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The last event of a file, if it is newer than what was seen and changes something; of equal times the later row, and a deletion, count."""
+    time, seen = state.get if state.exists else (None, None)
+    last = None
+    for events in batches:
+        for e in events.itertuples(index=False):
+            if e.mtime_ns is None or pd.isna(e.mtime_ns):
+                continue
+            if last is None or (e.mtime_ns, bool(e.gone)) >= (last.mtime_ns, bool(last.gone)):
+                last = e
+    if last is None or time is not None and last.mtime_ns < time:
+        return
+    gone = bool(last.gone)
+    sha = None if gone else hashlib.sha256((last.content or "").encode("utf-8", "surrogatepass")).hexdigest()
+    if state.exists and time == last.mtime_ns and sha == seen:
+        return
+    state.update((int(last.mtime_ns), sha))
+    if gone and state.exists and seen is None and time is not None:
+        return
+    yield pd.DataFrame([(key[0], key[1], last.abs_path, last.file_type, int(last.mtime_ns), None if gone else last.content or "", gone, sha)], columns=[c.split(" ")[0] for c in CHANGED.split(", ")])
+
+
+def newest(events: DataFrame) -> DataFrame:
+    """The stream of events (``EVENT``) that change something, at most one a file and micro-batch."""
+    keyed = events.select(*EVENT.fieldNames()).where("path is not null").withColumn("repo", F.coalesce("repo", F.lit("")))
+    return keyed.groupBy("repo", "path").applyInPandasWithState(_newest, CHANGED, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def commit(index: Index, batch: DataFrame, mark: dict[str, int]) -> bool:
+    """Commits the changes of a micro-batch (``CHANGED``) once; False if it was committed before."""
+    found, reason = index.manifest()
+    if reason:
+        index.index(index.spark.createDataFrame([], schemas.FILE), force=True)
+        found, _ = index.manifest()
+    if all(found.marks.get(name, -1) >= number for name, number in mark.items()):
+        return False
+    files = batch.select(*schemas.FILE.fieldNames(), "gone", "sha256").persist()
+    try:
+        now = Index.key(files).alias("c")
+        m = found.frame(index.spark).alias("m")
+        joined = now.join(m, F.col("c.path") == F.col("m.path"), "left").where(~(F.col("c.gone") & F.col("m.path").isNull()))
+        kind = F.when(F.col("c.gone"), "delete").when(F.col("m.path").isNull(), "add").when(F.col("c.sha256") == F.col("m.sha256"), "touch").otherwise("modify")
+        changes = joined.select("c.path", "c.gone", F.col("m.path").isNull().alias("fresh"), "c.mtime_ns", F.col("m.sha256").alias("old_sha256"), F.coalesce("m.chunk_ids", F.array().cast("array<string>")).alias("old_chunk_ids"), "c.file_type", "c.sha256", kind.alias("change_type"))
+        index.apply(changes, files.where("not gone").select(*schemas.FILE.fieldNames()), found, mark)
+    finally:
+        files.unpersist()
+    return True
 
 
-def ingest(files: DataFrame, table: ChunkTable, checkpoint: str, model: str = "hashing", first_commit: int = 1) -> StreamingQuery:
-    """Appends the chunks of each micro-batch as commit first_commit + its number; a batch that is run again overwrites its own segment."""
+def upkeep(events: DataFrame, index: Index, checkpoint: str, name: str = "upkeep") -> StreamingQuery:
+    """Keeps an index up to date with a stream of events; streams of one index need names of their own, and run one at a time."""
 
     def write(batch: DataFrame, number: int) -> None:
-        table.append(to_records(chunk_files(batch), encode(F.col("content"), model)), first_commit + number)
+        commit(index, batch, {name: number})
 
-    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return newest(events).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

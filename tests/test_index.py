@@ -202,15 +202,13 @@ def test_clients(spark, checkout):
     assert total[None].functions == total["reth"].functions == 3
 
 
-def test_stream(spark, checkout, tmp_path):
-    from tesselar.plans.store import ChunkTable
-
+def test_stream_of_a_drop_folder(spark, checkout, tmp_path):
     root, put = checkout
-    table = ChunkTable(spark, str(tmp_path / "stream"))
+    index = Index(spark, str(tmp_path / "stream"))
     for i in range(2):
         put(f"drop/n{i}.md", f"# N{i}\n\nnote {i}\n")
-        ingest.ingest(ingest.drop_folder(spark, f"{root}/drop", "pm", "pm", "*.md"), table, str(tmp_path / "checkpoint")).awaitTermination()
-    assert sorted(r.content for r in table.live().collect()) == ["note 0", "note 1"]
+        ingest.upkeep(ingest.drop_folder(spark, f"{root}/drop", "pm", "pm", "*.md"), index, str(tmp_path / "checkpoint")).awaitTermination()
+    assert sorted(r.content for r in index.live().collect()) == ["note 0", "note 1"] and index.manifest()[0].marks == {"upkeep": 1}
 
 
 def test_cli(spark, checkout, capsys):
