@@ -6,8 +6,6 @@ expressions on both sides.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,8 +16,10 @@ from pyspark.sql.window import Window
 from . import catalog, schemas
 from .functions import text as X
 from .functions import vectors as VX
+from .functions.lineage import shared
 from .operators import chunking as K
 from .operators import clients as CL
+from .operators import constants as CV
 from .operators import specs as SP
 from .operators.pycode import python_rows
 from .operators.splitting import by_headers, by_size
@@ -502,6 +502,25 @@ def grep_constant(spark, d):
     return SP.grep_constant(SP.compile_specs(_files(spark, d)), "MAX_5", "electra")
 
 
+_FORKS = ", ".join(f"'{f}'" for f in catalog.FORK_NAMES)
+
+
+@query("t19_a5_constant_values", f"""
+WITH RECURSIVE d AS (SELECT doc_id, [{_FORKS}][doc_id % 7 + 1] AS fork, 'K_' || doc_id AS name, 'K_' || (doc_id - 1) AS ref, doc_id % 5 = 0 AS own FROM documents),
+v AS (SELECT doc_id, (1::BIGINT << (doc_id % 20)) AS value, NULL::VARCHAR AS error FROM d WHERE own
+      UNION ALL SELECT d.doc_id, CASE WHEN v.error IS NULL AND d.doc_id % 7 <> 0 THEN v.value * 2 + d.doc_id % 3 END, CASE WHEN d.doc_id % 7 = 0 THEN 'unknown ' || ref WHEN v.error IS NOT NULL THEN 'needs ' || ref END FROM v JOIN d ON d.doc_id = v.doc_id + 1 WHERE NOT own)
+SELECT fork, name, value::VARCHAR AS value, CASE WHEN own THEN 'uint64' END AS type, error FROM d JOIN v USING (doc_id)""")
+def constant_values(spark, d):
+    """Constants that refer to the document before theirs, in a fork that may be earlier (found), later or missing (unknown)."""
+    i = F.col("doc_id")
+    fork = F.get(F.array(*map(F.lit, catalog.FORK_NAMES)), (i % 7).cast("int"))
+    own = _of("uint64(2**", (i % 20).cast("string"), ")")
+    other = _of("K_", (i - 1).cast("string"), " * 2 + ", (i % 3).cast("string"))
+    content = _of("| Name | Value |\n|-|-|\n| `K_", _id(), "` | `", F.when(i % 5 == 0, own).otherwise(other), "` |\n")
+    files = docs(spark, d).select(fork.alias("fork"), _of("specs/", _id(), ".md").alias("path"), content.alias("content"))
+    return CV.constant_values(files, catalog.FORK_NAMES).select("fork", "name", "value", "type", "error")
+
+
 @query("q4_function_source", f"SELECT {_PATH} AS path, 'def fn_5(x):' || chr(10) || '    return x' || chr(10) AS source FROM documents WHERE doc_id = 5")
 def function_source(spark, d):
     return SP.function_source(_files(spark, d), "fn_5", "electra")
@@ -564,13 +583,8 @@ def manifest_violations(spark, d):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share; a local one only where no checkpoint folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.gettempdir()
-    return os.path.join(base, "tesselar-store", uuid.uuid4().hex)
+    """A new folder that all executors share."""
+    return f"{shared(spark)}/tesselar-store/{uuid.uuid4().hex}"
 
 
 def _stored(rows: DataFrame) -> DataFrame:
