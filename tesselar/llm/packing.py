@@ -5,9 +5,12 @@ swept at once on the executors. In a group, a superstep has the pieces and the
 gaps sorted by size and sweeps both from large to small, so that every piece meets
 its successor (the smallest gap that holds it and is not taken); conflicts are
 settled by rank (longer pieces first, then by rank within a length), gaps are
-updated, and supersteps repeat until all pieces of the group have a place. Between
-rounds the groups are in step: sequences that are not full enough are dissolved,
-and their pieces meet in fewer groups, until one group is left.
+updated, and supersteps repeat until all pieces of the group have a place. Then the
+groups are in step: sequences that are not full enough are dissolved, and all their
+pieces are sorted by size over ranges of tasks. Supersteps depend on how many pieces
+and gaps of each size there are, not on which: they are swept once more over these
+counts, at most CAPACITY of them whatever the number of pieces, and each task finds
+its pieces' places by their ranks.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,6 +145,47 @@ def sweep(rows: DataFrame, groups: int, number: int, capacity: int) -> DataFrame
     return dealt.repartition(min(groups, 1 << 15), "group").groupBy("group").applyInArrow(pack, "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, used bigint")
 
 
+def settle(left: DataFrame, ws: Workspace, number: int, capacity: int) -> DataFrame:
+    """Places for rows (NARROW) of any number: range-sorted by size, swept by counts of sizes, found again by rank.
+
+    The driver sees a count for each size and task, and runs of equal pieces in equal gaps.
+    """
+    kinds = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+
+    def rank(batches):
+        task, held, last = TaskContext.get().partitionId(), 0, -1
+        for batch in batches:
+            lengths = batch.column(4).to_numpy()
+            first = np.searchsorted(lengths, lengths)  # lengths ascend
+            ranks = np.arange(len(lengths)) - first
+            ranks[lengths == last] += held
+            if len(lengths):
+                held, last = int(ranks[-1]) + 1, int(lengths[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(lengths), task)), pa.array(ranks)], schema=pa.schema([*kinds, ("part", pa.int64()), ("rank", pa.int64())]))
+
+    schema = "uid bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+    ordered = left.select(NARROW).repartitionByRange("length", "uid").sortWithinPartitions("length", "uid").mapInArrow(rank, f"{schema}, part bigint, rank bigint")
+    ordered = ws.put(ordered, f"ordered-{number}")
+    counts = ordered.groupBy("length", "part").count().orderBy("length", "part").toArrow()
+    length, n = counts["length"].to_numpy(), counts["count"].to_numpy()
+    before = np.cumsum(n) - n
+    before -= before[np.searchsorted(length, length)]  # of the same length in earlier tasks
+    keys = length * (1 << 32) + counts["part"].to_numpy()
+    sizes, at = np.unique(length, return_index=True)
+    runs, _ = place(dict(zip(sizes.tolist(), np.add.reduceat(n, at).tolist() if len(n) else [], strict=True)), capacity)
+    runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
+    edges = runs[:, 0] * (1 << 48) + runs[:, 1]
+
+    def find(batches):
+        for batch in batches:
+            size, part = batch.column(4).to_numpy(), batch.column(6).to_numpy()
+            ranks = batch.column(7).to_numpy() + before[np.searchsorted(keys, size * (1 << 32) + part)]
+            run = runs[np.searchsorted(edges, size * (1 << 48) + ranks, side="right") - 1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array((number << 56) + run[:, 3] + ranks - run[:, 1]), pa.array(run[:, 4])], schema=pa.schema([*kinds, ("sequence_id", pa.int64()), ("offset", pa.int64())]))
+
+    return ordered.mapInArrow(find, f"{schema}, sequence_id bigint, offset bigint")
+
+
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
     """A place for every piece of documents (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
@@ -152,19 +197,15 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_id
     """
     ws = Workspace(docs.sparkSession, "packing")
     pieces = ws.put(token_pieces(docs, path, capacity, keep_ids).withColumn("uid", F.monotonically_increasing_id()), "pieces")
-    full = pieces.where(F.col("length") == capacity).select(*NARROW, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    left, number, out = pieces.where(F.col("length") < capacity).select(*NARROW), 0, full
-    n = left.count()
-    while n:
-        groups = pieces_of(n, group_rows)
-        packed_ = ws.put(sweep(left, groups, number, capacity), f"round-{number}")
-        # a round that would dissolve most of what it got is the last: its places stand
-        more = packed_.where(F.col("used") < capacity * (1 - SLACK)) if groups > 1 else packed_.limit(0)
-        again = more.count()
-        if again > n // 2:
-            again = 0
-        out = out.unionByName((packed_ if not again else packed_.where(F.col("used") >= capacity * (1 - SLACK))).drop("used"))
-        left, n, number = more.select(*NARROW), again, number + 1
+    out = pieces.where(F.col("length") == capacity).select(*NARROW, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    left = pieces.where(F.col("length") < capacity).select(*NARROW)
+    groups = pieces_of(left.count(), group_rows)
+    first = ws.put(sweep(left, groups, 0, capacity), "groups")
+    if groups > 1:
+        full = F.col("used") >= capacity * (1 - SLACK)
+        out = out.unionByName(first.where(full).drop("used")).unionByName(settle(first.where(~full), ws, 1, capacity))
+    else:
+        out = out.unionByName(first.drop("used"))
     if keep_ids:
         out = out.select("uid", "sequence_id", "offset").join(pieces, "uid")
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "sequence_id", "offset")
