@@ -7,13 +7,16 @@ groups of equal body are one, and texts that differ become slots. A wrapper is
 thus a regular expression without unions, and its nodes know how much text their
 slots hold on all pages together. The host's main container is found in the
 wrapper: the smallest element that holds most of the slots' text, without what page
-furniture holds. A page's texts are main text where they stand in slots of it. Marks
-(article and main elements) settle pages that have them; what is not in the wrapper
-is judged by the page alone.
+furniture holds. A page's texts are main text where they stand in slots of it. On
+pages that mark it (article and main elements), the wrapper takes out of the marked
+text what it knows as no slot: lines that every page has, and repeated groups of
+elements beside the article (teasers, comments) that are marked as articles, too.
+What is not in the wrapper is judged by the page alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -35,8 +38,10 @@ HOSTS = 5000
 SENT_BYTES = 8 << 20
 #: Tokens of the longest group that folds. Longer elements that repeat stay node by node, which aligns and extracts the same texts.
 GROUP = 12
-#: Nodes of a wrapper. Beyond them those of the fewest pages leave; their texts are then judged by the page alone.
-NODES = 3000
+#: A node stays in a wrapper if at least one in SUPPORT of the pages since its first has it; rarer ones are no part of a host's layout.
+SUPPORT = 32
+#: Pages from which a line of the marked text that all have is the host's.
+SHARED = 3
 
 # Element names by role, and words that name page furniture.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -209,14 +214,19 @@ def fold(tokens: list[tuple[str, str, str]], bodies: set[tuple[str, ...]]) -> li
     return out
 
 
+def mark_of(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
 def node_of(x: Node, page: int) -> dict:
-    """What a wrapper keeps of a node: shapes, the texts that every page has, the number of pages and the characters of neutral texts.
+    """What a wrapper keeps of a node: shapes, the texts that every page has (those of marked articles by their digests), the number of pages and the characters of neutral texts, and how many pages came before its first.
 
     ``page`` names the page that has it, or is null once different pages do.
     """
     same = [t[1] for t in x[1] if shape(t) == "#|"]
     size = next((i for i in range(1, len(x[1])) if x[0][0] == "(" and "(" + " ".join(map(shape, x[1][:i])) + ")+" == x[0]), len(x[1]))
-    return {"shape": x[0], "body": [shape(t) for t in x[1][:size]], "optional": False, "same": same, "page": page, "pages": 1, "chars": sum(map(len, same))}
+    fixed = [mark_of(t[1]) for t in x[1] if shape(t) == "#|main"]
+    return {"shape": x[0], "body": [shape(t) for t in x[1][:size]], "optional": False, "same": same, "fixed": fixed, "page": page, "pages": 1, "chars": sum(map(len, same)), "since": 0}
 
 
 def constant(node: dict) -> list[str]:
@@ -274,23 +284,23 @@ def in_container(tokens: list[tuple[str, str]], changing: list[int]) -> list[boo
 class Wrapper:
     """A host's wrapper: bodies of repeated groups, and nodes in order. Wrappers of parts of a host's pages merge."""
 
-    def __init__(self, bodies: set[tuple[str, ...]] | None = None, nodes: list[dict] | None = None):
-        self.bodies, self.nodes = bodies or set(), nodes or []
+    def __init__(self, bodies: set[tuple[str, ...]] | None = None, nodes: list[dict] | None = None, pages: int = 0):
+        self.bodies, self.nodes, self.pages = bodies or set(), nodes or [], pages
 
     @classmethod
     def of(cls, page: str) -> Wrapper:
         """The wrapper that is the page itself."""
         bodies: set[tuple[str, ...]] = set()
         number = zlib.crc32(page.encode("utf-8", "surrogatepass"))
-        return cls(bodies, [node_of(x, number) for x in fold(stream(page), bodies)])
+        return cls(bodies, [node_of(x, number) for x in fold(stream(page), bodies)], 1)
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
-        bodies, nodes = json.loads(text)
-        return cls({tuple(b) for b in bodies}, nodes)
+        bodies, nodes, pages = json.loads(text)
+        return cls({tuple(b) for b in bodies}, nodes, pages)
 
     def dump(self) -> str:
-        return json.dumps([sorted(self.bodies), self.nodes])
+        return json.dumps([sorted(self.bodies), self.nodes, self.pages])
 
     def _folded(self, bodies: set[tuple[str, ...]]) -> list[dict]:
         """The nodes with runs that equal a body, and neighbouring groups of one body, as one group."""
@@ -305,21 +315,22 @@ class Wrapper:
             if size > 1:
                 run = self.nodes[at : at + size]
                 pages = {x["page"] for x in run}
-                node = {"shape": "(" + " ".join(shapes[at : at + size]) + ")+", "optional": any(x["optional"] for x in run), "same": [t for x in run for t in x["same"]], "page": pages.pop() if len(pages) == 1 else None}
-                node |= {"body": [b for x in run for b in x["body"]], "pages": max(x["pages"] for x in run), "chars": sum(x["chars"] for x in run)}
+                node = {"shape": "(" + " ".join(shapes[at : at + size]) + ")+", "optional": any(x["optional"] for x in run), "same": [t for x in run for t in x["same"]], "fixed": [t for x in run for t in x["fixed"]], "page": pages.pop() if len(pages) == 1 else None}
+                node |= {"body": [b for x in run for b in x["body"]], "pages": max(x["pages"] for x in run), "chars": sum(x["chars"] for x in run), "since": min(x["since"] for x in run)}
             if out and out[-1]["shape"] == node["shape"] and node["shape"][0] == "(":
                 last = out[-1]
-                out[-1] = last | {"same": last["same"] + node["same"], "page": last["page"] if last["page"] == node["page"] else None, "pages": max(last["pages"], node["pages"]), "chars": last["chars"] + node["chars"]}
+                out[-1] = last | {"same": last["same"] + node["same"], "fixed": last["fixed"] + node["fixed"], "since": min(last["since"], node["since"]), "page": last["page"] if last["page"] == node["page"] else None, "pages": max(last["pages"], node["pages"]), "chars": last["chars"] + node["chars"]}
             else:
                 out.append(node)
             at += size
         return out
 
     def merge(self, other: Wrapper) -> Wrapper:
-        """Aligns two wrappers: nodes of both join, nodes of one become optional."""
+        """Aligns two wrappers, ``other`` of later pages: nodes of both join, nodes of one become optional, rare ones leave."""
         if not self.nodes or not other.nodes:
-            return self if self.nodes else other
-        bodies = self.bodies | other.bodies
+            kept = self if self.nodes else other
+            return Wrapper(kept.bodies, kept.nodes, self.pages + other.pages)
+        bodies, total = self.bodies | other.bodies, self.pages + other.pages
         left, right = self._folded(bodies), other._folded(bodies)
         shapes = [x["shape"] for x in left], [x["shape"] for x in right]
         codes = [("equal", 0, len(left), 0, len(right))] if shapes[0] == shapes[1] else SequenceMatcher(None, *shapes, autojunk=False).get_opcodes()
@@ -328,19 +339,16 @@ class Wrapper:
             if op == "equal":
                 out += [self._join(x, y) for x, y in zip(left[a:b], right[c:d], strict=True)]
             else:
-                out += [x | {"optional": True} for x in (*left[a:b], *right[c:d])]
-        if len(out) > NODES:
-            least = sorted((x["pages"] for x in out), reverse=True)[NODES]
-            out = [x for x in out if x["pages"] > least] or out[:NODES]
-        return Wrapper(bodies, out)
+                out += [x | {"optional": True} for x in left[a:b]] + [x | {"optional": True, "since": x["since"] + self.pages} for x in right[c:d]]
+        return Wrapper(bodies, [x for x in out if x["pages"] * SUPPORT >= total - x["since"]], total)
 
     @staticmethod
     def _join(x: dict, y: dict) -> dict:
-        own = set(y["same"])
-        return x | {"optional": x["optional"] or y["optional"], "same": [t for t in x["same"] if t in own], "page": x["page"] if x["page"] == y["page"] else None, "pages": x["pages"] + y["pages"], "chars": x["chars"] + y["chars"]}
+        own, marks = set(y["same"]), set(y["fixed"])
+        return x | {"optional": x["optional"] or y["optional"], "same": [t for t in x["same"] if t in own], "fixed": [t for t in x["fixed"] if t in marks], "page": x["page"] if x["page"] == y["page"] else None, "pages": x["pages"] + y["pages"], "chars": x["chars"] + y["chars"]}
 
     def rules(self) -> dict:
-        """What reading a page needs: bodies, shapes, the texts that never change in them, and which nodes stand in the host's container."""
+        """What reading a page needs: bodies, shapes, the texts that never change in them, which nodes stand in the host's container, and what marked articles are rid of."""
         never = [constant(x) for x in self.nodes]
         tokens, weights, owner = [], [], []
         for i, x in enumerate(self.nodes):
@@ -356,7 +364,48 @@ class Wrapper:
         main = [False] * len(self.nodes)
         for i, (kind, _), own in zip(owner, tokens, inside, strict=False):
             main[i] |= own and kind == "#"
-        return {"bodies": self.bodies, "shapes": [x["shape"] for x in self.nodes], "never": never, "main": main}
+        fixed = {t for x in self.nodes if x["page"] is None and x["pages"] >= SHARED for t in x["fixed"]}
+        beside, stack = [], []
+        for x in self.nodes:
+            opens = x["body"][0]
+            beside.append(x["shape"][0] == "(" and opens[0] == "<" and opens.endswith("|main") and not any(r == "main" for _, r in stack))
+            for b in x["body"]:
+                name, _, where = b[1:].rpartition("|")
+                if b[0] == "<":
+                    stack.append((name, where))
+                elif b[0] == ">" and (at := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)) is not None:
+                    del stack[at:]
+        return {"bodies": self.bodies, "shapes": [x["shape"] for x in self.nodes], "never": never, "main": main, "fixed": fixed, "beside": beside}
+
+
+def known_nodes(nodes: list[Node], rules: dict) -> list[int | None]:
+    """The wrapper's node for each node of a page, where they align."""
+    shapes = [x[0] for x in nodes]
+    if shapes == rules["shapes"]:
+        return list(range(len(nodes)))
+    known: list[int | None] = [None] * len(nodes)
+    for a, b, size in SequenceMatcher(None, rules["shapes"], shapes, autojunk=False).get_matching_blocks():
+        known[b : b + size] = range(a, a + size)
+    return known
+
+
+def of_article(tokens: list[tuple[str, str, str]], rules: dict) -> list[str]:
+    """Marked texts of a page without what its host's wrapper knows as no slot.
+
+    Repeated groups beside the article leave if the rest of the marked text is longer
+    than they are; lines of all pages leave if more than half of the text stays.
+    """
+    texts = [(t[1], False) for t in tokens if shape(t) == "#|main"]
+    if any(rules["beside"]):
+        nodes = fold(tokens, set(rules["bodies"]))
+        texts = [(t[1], i is not None and rules["beside"][i]) for node, i in zip(nodes, known_nodes(nodes, rules), strict=True) for t in node[1] if shape(t) == "#|main"]
+        if 2 * sum(len(t) for t, aside in texts if aside) >= sum(len(t) for t, _ in texts):
+            texts = [(t, False) for t, _ in texts]
+    left = [t for t, aside in texts if not aside]
+    if rules["fixed"]:
+        own = [t for t in left if mark_of(t) not in rules["fixed"]]
+        left = own if 2 * sum(map(len, own)) > sum(map(len, left)) else left
+    return left
 
 
 def infer(pages: list[str]) -> Wrapper:
@@ -371,7 +420,7 @@ def extract(page: str, rules: dict) -> str:
     """The main text of a page by its host's wrapper, two line ends between blocks.
 
     A page that marks its article (outside furniture, or at least outside furniture
-    elements) gives all texts of it. On a page without marks, texts in slots of the
+    elements) gives the texts of it that are not the host's (``of_article``). On a page without marks, texts in slots of the
     host's container are main text, texts that the wrapper knows as the same on all
     pages or outside it are not, and texts it does not know are judged by the page's
     own container.
@@ -379,15 +428,9 @@ def extract(page: str, rules: dict) -> str:
     tokens = stream(page)
     for marked in (tokens, stream(page, True) if any(t[2] == "named" for t in tokens) else []):
         if any(shape(t) == "#|main" for t in marked):
-            return "\n\n".join(t[1] for t in marked if shape(t) == "#|main")
+            return "\n\n".join(of_article(marked, rules))
     nodes = fold(tokens, set(rules["bodies"]))
-    shapes = [x[0] for x in nodes]
-    known: list[int | None] = [None] * len(nodes)
-    if shapes == rules["shapes"]:
-        known = list(range(len(nodes)))
-    else:
-        for a, b, size in SequenceMatcher(None, rules["shapes"], shapes, autojunk=False).get_matching_blocks():
-            known[b : b + size] = range(a, a + size)
+    known = known_nodes(nodes, rules)
     changing, places = [], []
     for node, i in zip(nodes, known, strict=True):
         gone = set(rules["never"][i]) if i is not None else ()

@@ -104,6 +104,53 @@ def test_hosts_without_hints_need_their_wrapper():
     assert op.extract(pages[0], none) != want[0]  # alone, its links look like the article
 
 
+def story(i, k=4):
+    return [f"Story {i}", *(f"Paragraph {j} of story {i} " + "with its own words " * (5 + i) for j in range(k))]
+
+
+def blocks_of(i):
+    head, *rest = story(i)
+    return f"<h1>{head}</h1>" + "".join(f"<p>{x.strip()}</p>" for x in rest)
+
+
+CARD = "<article class='card'><h3>Card {0} {1}</h3><p>See {0} {1}</p></article>"
+HOSTS = {
+    "lines.in.main": lambda i: f"<body><main><p>You are reading the daily</p>{blocks_of(i)}<p>Sign up to our letter today</p></main></body>",
+    "cards.beside": lambda i: f"<body><div><article>{blocks_of(i)}</article></div><section>{''.join(CARD.format(i, k) for k in range(1 + i % 3))}</section></body>",
+    "both": lambda i: f"<body><article>{blocks_of(i)}<div>All rights reserved by us</div></article><div>{''.join(CARD.format(i, k) for k in range(2 - i % 2))}</div></body>",
+    "unmarked": lambda i: f"<body><div class=x1><div>Site</div>{''.join(f'<div><span>Link {i} {k} to a page with a rather long name</span></div>' for k in range(3))}</div><div class=x2>{blocks_of(i)}</div><div class=x3><div>Made {i} with care</div></div></body>" if i else "<body><div class=x1><div>Site</div><div><span>Link 0 0 to a page with a rather long name</span></div><div><span>Link 0 1 to a page with a rather long name</span></div><div><span>Link 0 2 to a page with a rather long name</span></div></div><div class=x2><h1>Story 0</h1><p>Short.</p></div><div class=x3><div>Made 0 with care</div></div></body>",
+    "mixed": lambda i: f"<body><main><p>You are reading the daily</p>{blocks_of(i)}</main></body>" if i % 2 else f"<body><div class=x1>Site {i}</div><main><p>You are reading the daily</p><div>{blocks_of(i)}</div></main></body>",
+    None: lambda i: f"<body><main><p>No address, one line for all</p>{blocks_of(i)}</main></body>",
+}
+
+
+def wanted(host, i):
+    return "\n\n".join(["Story 0", "Short."] if host == "unmarked" and i == 0 else [x.strip() for x in story(i)])
+
+
+def test_texts_come_through_the_wrapper(spark):
+    """Right with the host's wrapper, wrong with an empty one, on every host."""
+    none, rows = op.Wrapper().rules(), []
+    for host, make in HOSTS.items():
+        pages = [make(i) for i in range(6)]
+        rules = op.infer(pages).rules()
+        assert [op.extract(p, rules) for p in pages] == [wanted(host, i) for i in range(6)], host
+        assert any(op.extract(p, none) != wanted(host, i) for i, p in enumerate(pages)), host
+        rows += [(len(rows) + i, host and f"https://{host}/{i}", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in op.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect()}
+    assert got == {6 * n + i: wanted(host, i) for n, host in enumerate(HOSTS) for i in range(6)}
+
+
+def test_what_the_wrapper_must_leave():
+    cards = [f"<body>{''.join(CARD.format(i, k) for k in range(4))}</body>" for i in range(5)]  # a list of articles is the page's text
+    rules = op.infer(cards).rules()
+    assert op.extract(cards[2], rules) == "\n\n".join(t for k in range(4) for t in (f"Card 2 {k}", f"See 2 {k}"))
+    same = [f"<body><div>{i}</div><article>{blocks_of(1)}</article></body>" for i in range(5)]  # one article on pages that differ elsewhere
+    assert op.extract(same[3], op.infer(same).rules()) == wanted("", 1)
+    two = [f"<body><article>{blocks_of(i)}<p>a line of both</p></article></body>" for i in range(2)]  # too few pages to tell
+    assert op.extract(two[0], op.infer(two).rules()) == wanted("", 0) + "\n\na line of both"
+
+
 def accepts(wrapper, shapes):
     """Whether the wrapper, as a regular expression of optional nodes and groups, matches shapes: by trying every way."""
     spots = {0}
@@ -132,10 +179,12 @@ def test_wrappers_match_their_pages_by_brute_force():
 
 
 def test_wrappers_stay_bounded(monkeypatch):
-    monkeypatch.setattr(op, "NODES", 40)
+    monkeypatch.setattr(op, "SUPPORT", 2)
     pages = [f"<body><div class=x>Site</div><div class=t><p>Text {i} {'words ' * 30}</p><p>More {i} {'words ' * 30}</p></div>" + "".join(f"<div class=c{i}-{k}><b>one {i} {k}</b></div>" for k in range(30)) + "</body>" for i in range(12)]
     wrapper = op.infer(pages)
-    assert len(wrapper.nodes) <= 40
+    assert len(wrapper.nodes) <= 3 * 90 + 20 < 12 * 90  # what one page alone has leaves two pages later
+    halves = op.infer(pages[:6]).merge(op.infer(pages[6:]))
+    assert halves.pages == wrapper.pages == 12 and len(halves.nodes) <= 3 * 90 + 20
     got = op.extract(pages[5], wrapper.rules())
     assert f"Text 5 {'words ' * 30}".strip() in got and "Site" not in got
 
