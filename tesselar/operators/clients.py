@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunking import extract
@@ -39,6 +39,11 @@ def statistics(extracted: DataFrame) -> DataFrame:
     )
 
 
+def counted(rows: DataFrame, by: str, passed: Column) -> DataFrame:
+    """(by, n, passed): rows of each group, and those that pass a test, as for the steps and repositories of a status report."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.count_if(passed).alias("passed"))
+
+
 def lookup(extracted: DataFrame, name: str, row_type: str = "item", kind: str | None = None) -> DataFrame:
     """The first row, in file order, of an item or constant by name."""
     rows = extracted.where((F.col("row_type") == row_type) & (F.col("name") == name))

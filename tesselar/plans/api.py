@@ -32,28 +32,50 @@ def client_list(spark: SparkSession, layer: str | None = None) -> DataFrame:
     return rows.orderBy("ordinal").select("name", "layer", "language", "organization", shown_share(F.col("node_percentage"), F.col("stake_percentage")).alias("percentage"), "mainnet_status")
 
 
+def clients_named(clients: DataFrame, parts: DataFrame) -> DataFrame:
+    """(part, client's columns): for each distinct part the first client whose name holds it, in any case. Clients are few: they go to the tasks."""
+    asked = parts.select("part").where("part is not null").distinct()
+    found = asked.join(F.broadcast(clients), F.contains(F.lower("name"), F.lower("part")))
+    return found.groupBy("part").agg(F.min_by(F.struct(*clients.columns), "ordinal").alias("c")).select("part", "c.*")
+
+
 def client_named(spark: SparkSession, name: str) -> DataFrame:
     """The first client whose name holds the text."""
-    rows = catalog.clients(spark).where(F.contains(F.lower("name"), F.lit(name.lower())))
-    return rows.orderBy("ordinal").limit(1).withColumn("percentage", shown_share(F.col("node_percentage"), F.col("stake_percentage"))).drop("ordinal")
+    rows = clients_named(catalog.clients(spark), spark.createDataFrame([(name,)], "part string"))
+    return rows.withColumn("percentage", shown_share(F.col("node_percentage"), F.col("stake_percentage"))).drop("ordinal", "part")
+
+
+def with_risk(rows: DataFrame, limit: float = catalog.SUPERMAJORITY) -> DataFrame:
+    """Adds the largest share of each layer to rows (layer, percentage, ...), and whether it is a supermajority."""
+    layers = rows.groupBy("layer").agg((F.max("percentage") > limit).alias("supermajority_risk"), F.max("percentage").alias("largest_share"))
+    return rows.join(layers, "layer")
 
 
 def client_diversity(spark: SparkSession) -> DataFrame:
     """Each client's share of its layer and whether a client holds a supermajority of it."""
-    rows = client_list(spark)
-    layers = rows.groupBy("layer").agg((F.max("percentage") > catalog.SUPERMAJORITY).alias("supermajority_risk"), F.max("percentage").alias("largest_share"))
-    return rows.select("name", "layer", "language", "percentage").join(layers, "layer")
+    return with_risk(client_list(spark).select("name", "layer", "language", "percentage")).select("name", "layer", "language", "percentage", "supermajority_risk", "largest_share")
 
 
 def client_pairs(spark: SparkSession) -> DataFrame:
     return catalog.pairs(spark).orderBy("ordinal").select("pair", "notes")
 
 
-def guidance_for(entries: DataFrame, topic: str) -> DataFrame:
-    """The entry of a key, else the first whose key holds the topic, is held by it, or whose summary holds it."""
-    t = F.lit(topic.lower())
+def guidance_of(entries: DataFrame, topics: DataFrame) -> DataFrame:
+    """(topic, entry's columns) for each distinct topic of topics (topic): the entry of that key, else the first whose key holds the topic, is held by it, or whose summary holds it.
+
+    Entries are few: they go to the tasks that have the topics.
+    """
+    asked = topics.select("topic").where("topic is not null").distinct().select(F.col("topic").alias("asked"), F.lower("topic").alias("_t"))
+    t = F.col("_t")
     rank = F.when(F.col("key") == t, 0).when(F.contains("key", t) | F.contains(t, F.col("key")) | F.contains(F.lower("summary"), t), 1)
-    return entries.withColumn("_rank", rank).where("_rank is not null").orderBy("_rank", "ordinal").limit(1).drop("_rank", "ordinal")
+    found = asked.crossJoin(F.broadcast(entries)).withColumn("_rank", rank).where("_rank is not null")
+    best = found.groupBy("asked").agg(F.min_by(F.struct(*entries.columns), F.struct("_rank", "ordinal")).alias("e"))
+    return best.select("asked", "e.*")
+
+
+def guidance_for(entries: DataFrame, topic: str) -> DataFrame:
+    """The entry of one topic, if there is one."""
+    return guidance_of(entries, entries.sparkSession.createDataFrame([(topic,)], "topic string")).drop("asked", "ordinal")
 
 
 def with_guidance(entries: DataFrame, new: DataFrame) -> DataFrame:

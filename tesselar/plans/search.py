@@ -35,6 +35,11 @@ def scored(rows: DataFrame, query: list[float], vector: str = "vector") -> DataF
     return rows.withColumn("score", cosine_to(F.col(vector), query))
 
 
+def of_kinds(rows: DataFrame, kinds: tuple, column: str = "chunk_type") -> DataFrame:
+    """Rows of some kinds; the test reaches the scan."""
+    return rows.where(F.col(column).isin(*kinds))
+
+
 def top_k(rows: DataFrame, k: int, key: str = "chunk_id") -> DataFrame:
     return rows.orderBy(F.desc("score"), key).limit(k)
 

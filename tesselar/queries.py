@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import catalog, schemas
+from . import catalog, cli, schemas
 from .functions import text as X
 from .functions import vectors as VX
 from .functions.lineage import shared
@@ -24,8 +24,9 @@ from .operators import specs as SP
 from .operators.pycode import python_rows
 from .operators.splitting import by_headers, by_size
 from .plans import api, cells, grams, incremental, quantised, search, validation
-from .plans.manifest import violations
+from .plans.manifest import Manifest, needs_rebuild, violations
 from .plans.store import ChunkTable
+from .sources import files as S
 from .sources.files import hashes
 from .streaming import ingest
 
@@ -705,12 +706,12 @@ def rust_lookup(spark, d):
 
 @query("a10_a11_status_counts", "SELECT source, count(*) AS documents, count(*) FILTER (length(text) > 1500) AS split FROM documents GROUP BY source")
 def status_counts(spark, d):
-    return docs(spark, d).groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.length("text") > K.SPLIT_ABOVE).alias("split"))
+    return CL.counted(docs(spark, d), "source", F.length("text") > K.SPLIT_ABOVE).select("source", F.col("n").alias("documents"), F.col("passed").alias("split"))
 
 
 @query("j8_type_sets", "SELECT label, count(*) AS n FROM embeddings WHERE label IN (1, 2, 5) GROUP BY label")
 def type_sets(spark, d):
-    return table(spark, d, "embeddings").where(F.col("label").isin(1, 2, 5)).groupBy("label").agg(F.count("*").alias("n"))
+    return search.of_kinds(table(spark, d, "embeddings"), (1, 2, 5), "label").groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("j5_change_types", f"{_DIFF} SELECT c.path, change_type, coalesce('t' || len(b.sha256), 'spec') AS file_type FROM c LEFT JOIN {_B} AS b ON b.path = c.path")
@@ -726,9 +727,15 @@ def preview_rows(spark, d):
     return incremental.preview(incremental.compute_changes(b, a))
 
 
-@query("p30_models", "SELECT * FROM (VALUES " + ", ".join(f"('{m[0]}', {m[1]}, {m[2]}, '{m[3]}')" for m in catalog.MODELS) + ") AS t(model, dimensions, max_tokens, kind)")
+_MODELS = "(VALUES " + ", ".join(f"({i}, '{m[0]}', {m[1]}, {m[2]}, '{m[3]}')" for i, m in enumerate(catalog.MODELS)) + ") AS t(i, model, dimensions, max_tokens, kind)"
+
+
+@query("p30_models", f"SELECT model, dimensions, max_tokens, kind, count(*) AS texts, count(*) FILTER (length(text) > 4::BIGINT * max_tokens) AS long FROM documents JOIN {_MODELS} ON i = doc_id % {len(catalog.MODELS)} GROUP BY ALL")
 def model_table(spark, d):
-    return catalog.models(spark).select("model", "dimensions", "max_tokens", "kind")
+    """Each model with how many of the texts that are dealt to it are longer than it takes, at four characters a token."""
+    models = F.broadcast(catalog.models(spark))
+    both = docs(spark, d).join(models, F.col("ordinal") == F.col("doc_id") % len(catalog.MODELS))
+    return both.groupBy("model", "dimensions", "max_tokens", "kind").agg(F.count("*").alias("texts"), F.count_if(F.length("text").cast("bigint") > 4 * F.col("max_tokens").cast("bigint")).alias("long"))
 
 
 # --- tools (Q, D22) ----------------------------------------------------------------------
@@ -736,43 +743,154 @@ def model_table(spark, d):
 _CLIENTS = "(VALUES " + ", ".join(f"({i}, '{c[0]}', '{c[1]}', '{c[3]}', {'NULL' if c[6] is None else c[6]}::DOUBLE, {'NULL' if c[7] is None else c[7]}::DOUBLE)" for i, c in enumerate(catalog.CLIENTS)) + ") AS t(i, name, layer, language, stake, node)"
 
 
-@query("q10_forks", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {e}, '{n}' = '{catalog.CURRENT_FORK}')" for n, e, _, _ in catalog.FORKS) + ") AS t(name, epoch, current)")
+@query("q10_p27_forks", "SELECT name, epoch, current, count(doc_id) AS files FROM (VALUES " + ", ".join(f"({i}, '{n}', {e}, '{n}' = '{catalog.CURRENT_FORK}')" for i, (n, e, _, _) in enumerate(catalog.FORKS)) + f") AS t(i, name, epoch, current) LEFT JOIN documents ON {_FORK}[doc_id % 8 + 1] = name GROUP BY ALL")
 def forks(spark, d):
-    return api.fork_list(spark).select("name", F.col("epoch").cast("int").alias("epoch"), "current")
+    """The list of forks with how many spec files each has."""
+    files = docs(spark, d).select(X.fork_of_path(_path()).alias("name"), "doc_id")
+    rows = api.fork_list(spark).select("name", F.col("epoch").cast("int").alias("epoch"), "current")
+    return rows.join(files, "name", "left").groupBy("name", "epoch", "current").agg(F.count("doc_id").alias("files"))
 
 
-@query("q14_p26_clients", f"SELECT name, layer, coalesce(nullif(node, 0), stake) AS percentage FROM {_CLIENTS} WHERE layer = 'execution'")
+@query("q14_p26_clients", f"SELECT doc_id, name, layer, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 3 = 1 THEN node END, 0), stake, n_chars::DOUBLE) AS percentage FROM documents JOIN {_CLIENTS} ON i = doc_id % 10")
 def client_list(spark, d):
-    return api.client_list(spark, "execution").select("name", "layer", "percentage")
+    """The share shown of clients whose node share is unknown, zero or known, by document."""
+    node = F.when(F.col("doc_id") % 3 == 0, 0.0).when(F.col("doc_id") % 3 == 1, F.col("node_percentage"))
+    both = docs(spark, d).join(F.broadcast(catalog.clients(spark)), F.col("ordinal") == F.col("doc_id") % 10)
+    return both.select("doc_id", "name", "layer", X.shown_share(node, F.coalesce("stake_percentage", F.col("n_chars").cast("double"))).alias("percentage"))
 
 
-@query("q15_client_lookup", f"SELECT name, language FROM {_CLIENTS} WHERE contains(lower(name), 'e') ORDER BY i LIMIT 1")
+@query("q15_client_lookup", f"""
+WITH t AS (SELECT DISTINCT substr(lang, 1, 1) AS part FROM documents WHERE lang IS NOT NULL UNION SELECT DISTINCT substr(md5(text), 1, 1) FROM documents),
+r AS (SELECT part, name, language, i, row_number() OVER (PARTITION BY part ORDER BY i) AS n FROM t JOIN {_CLIENTS} ON contains(lower(name), lower(part)))
+SELECT part, name, language FROM r WHERE n = 1""")
 def client_lookup(spark, d):
-    return api.client_named(spark, "E").select("name", "language")
+    """The first client whose name holds each of the parts that documents give."""
+    t = docs(spark, d)
+    parts = t.select(F.substring("lang", 1, 1).alias("part")).unionByName(t.select(F.substring(F.md5("text"), 1, 1).alias("part"))).where("part is not null").distinct()
+    return api.clients_named(catalog.clients(spark), parts).select("part", "name", "language")
 
 
-@query("q16_client_diversity", f"SELECT name, layer, coalesce(nullif(node, 0), stake) AS percentage, max(coalesce(nullif(node, 0), stake)) OVER (PARTITION BY layer) > 66 AS supermajority_risk FROM {_CLIENTS}")
+@query("q16_client_diversity", """
+WITH s AS (SELECT lang AS name, coalesce(source, '') AS layer, count(*) AS n FROM documents GROUP BY ALL), p AS (SELECT name, layer, 100.0::DOUBLE * n / sum(n) OVER (PARTITION BY layer) AS percentage FROM s)
+SELECT name, layer, round(percentage, 9) AS percentage, round(max(percentage) OVER (PARTITION BY layer), 9) AS largest_share, max(percentage) OVER (PARTITION BY layer) > 66 AS supermajority_risk FROM p""")
 def client_diversity(spark, d):
-    return api.client_diversity(spark).select("name", "layer", "percentage", "supermajority_risk")
+    """Shares of languages in each source, and whether one holds a supermajority of it."""
+    n = docs(spark, d).groupBy(F.col("lang").alias("name"), F.coalesce("source", F.lit("")).alias("layer")).agg(F.count("*").alias("n"))
+    total = n.groupBy("layer").agg(F.sum("n").alias("all"))
+    shares = n.join(total, "layer").withColumn("percentage", F.lit(100.0) * F.col("n") / F.col("all"))
+    return api.with_risk(shares).select("name", "layer", F.round("percentage", 9).alias("percentage"), F.round("largest_share", 9).alias("largest_share"), "supermajority_risk")
 
 
-@query("q17_client_pairs", "SELECT * FROM (VALUES " + ", ".join(f"('{p}')" for p, _ in catalog.PAIRS) + ") AS t(pair)")
+@query("q17_client_pairs", f"""
+WITH p AS (SELECT * FROM (VALUES {", ".join(f"('{p}', '{p.split(' + ')[0]}', '{p.split(' + ')[1]}')" for p, _ in catalog.PAIRS)}) AS t(pair, el, cl)), u AS (SELECT name, count(*) AS n FROM documents JOIN {_CLIENTS} ON i = doc_id % 10 GROUP BY 1)
+SELECT pair, e.n + c.n AS documents FROM p JOIN u e ON e.name = el JOIN u c ON c.name = cl""")
 def client_pairs(spark, d):
-    return api.client_pairs(spark).select("pair")
+    """The recommended pairs with how many documents their two clients have."""
+    used = docs(spark, d).join(F.broadcast(catalog.clients(spark)), F.col("ordinal") == F.col("doc_id") % 10).groupBy("name").agg(F.count("*").alias("n"))
+    members = api.client_pairs(spark).select("pair", F.explode(F.split("pair", r" \+ ")).alias("name"))
+    return members.join(used, "name").groupBy("pair").agg(F.sum("n").alias("documents")).where("documents > 0")
+
 
+_TOPIC = "['slashing','Boost','MEV','maxeb limits','nothing like it','PBS','']"
+_KEYS = "(VALUES " + ", ".join(f"({i}, '{g[0]}', '{g[2].lower().replace(chr(39), chr(39) * 2)}')" for i, g in enumerate(catalog.GUIDANCE)) + ") AS t(i, key, summary)"
 
-@query("q13_guidance", "SELECT * FROM (VALUES ('slashing', 'slashing'), ('boost', 'mev_boost'), ('MEV', 'mev'), ('maxeb limits', 'maxeb')) AS t(topic, key)")
+
+@query("q13_guidance", f"""
+WITH t AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN {_TOPIC}[doc_id // 2 % 7 + 1] ELSE lower(substr(text, 1, 2)) END AS topic FROM documents WHERE text IS NOT NULL),
+r AS (SELECT topic, key, row_number() OVER (PARTITION BY topic ORDER BY CASE WHEN key = lower(topic) THEN 0 ELSE 1 END, i) AS n FROM t JOIN {_KEYS} ON key = lower(topic) OR contains(key, lower(topic)) OR contains(lower(topic), key) OR contains(summary, lower(topic)))
+SELECT topic, key FROM r WHERE n = 1""")
 def guidance(spark, d):
-    found = [api.guidance_for(catalog.guidance(spark), t).select(F.lit(t).alias("topic"), "key") for t in ("slashing", "boost", "MEV", "maxeb limits")]
-    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    """The guidance of all topics that documents ask for."""
+    named = F.get(F.array(*map(F.lit, ("slashing", "Boost", "MEV", "maxeb limits", "nothing like it", "PBS", ""))), (F.floor(F.col("doc_id") / 2) % 7).cast("int"))
+    topics = docs(spark, d).where("text is not null").select(F.when(F.col("doc_id") % 2 == 0, named).otherwise(F.lower(F.substring("text", 1, 2))).alias("topic"))
+    return api.guidance_of(catalog.guidance(spark), topics).select(F.col("asked").alias("topic"), "key")
 
 
-@query("q19_guidance_upsert", "SELECT 10 AS n, 'changed' AS summary")
+@query("q19_guidance_upsert", f"""
+WITH n AS (SELECT DISTINCT CASE WHEN doc_id % 4 = 0 THEN 'Churn' ELSE 'About ' || lang END AS topic FROM documents WHERE lang IS NOT NULL)
+SELECT key, false AS fresh FROM {_KEYS} WHERE key NOT IN (SELECT lower(topic) FROM n) UNION ALL SELECT lower(topic), true FROM n""")
 def guidance_upsert(spark, d):
+    """Guidance with the topics that documents bring: known ones are replaced, others added."""
     base = catalog.guidance(spark)
-    new = base.where("key = 'churn'").withColumns({"topic": F.lit("Churn"), "summary": F.lit("changed")}).unionByName(base.where("key = 'mev'").withColumn("topic", F.lit("New")))
-    made = api.with_guidance(base, new)
-    return made.agg(F.count("*").cast("int").alias("n"), F.min(F.when(F.col("key") == "churn", F.col("summary"))).alias("summary"))
+    topics = docs(spark, d).where("lang is not null").select(F.when(F.col("doc_id") % 4 == 0, "Churn").otherwise(_of("About ", F.col("lang"))).alias("topic")).distinct()
+    none = F.array().cast("array<string>")
+    made = topics.select(F.lit(0).alias("ordinal"), F.lit("").alias("key"), "topic", F.lit("fresh").alias("summary"), none.alias("key_points"), none.alias("gotchas"), none.alias("references"))
+    return api.with_guidance(base, made).select("key", (F.col("summary") == "fresh").alias("fresh"))
+
+
+# --- files written from documents (S, M, Q over trees) --------------------------------------
+
+_TREE = """
+WITH f AS (SELECT doc_id, '# File ' || doc_id || chr(10) || chr(10) || md5(text) || chr(10) AS content, doc_id * 1000 + 1000000000000000007 AS mtime_ns, doc_id % 11 AS k FROM documents WHERE text IS NOT NULL),
+t AS (SELECT *, CASE k WHEN 0 THEN 'consensus-specs/specs/deneb/x y/f' || doc_id || '.md' WHEN 1 THEN 'EIPs/EIPS/eip-' || doc_id || '.md' WHEN 2 THEN 'builder-specs/specs/b' || doc_id || '.md' WHEN 3 THEN 'leanSpec/src/lean_spec/p' || (doc_id % 3) || '/m' || doc_id || '.py'
+  WHEN 4 THEN 'leanSpec/src/lean_spec/test_' || doc_id || '.py' WHEN 5 THEN 'leanSig/src/r' || doc_id || '.rs' WHEN 6 THEN 'leanSig/target/r' || doc_id || '.rs' WHEN 7 THEN 'pm/n' || doc_id || '.md' WHEN 8 THEN 'leanSnappy/s' || doc_id || '.py' WHEN 9 THEN 'clients/reth/c' || doc_id || '.rs' ELSE 'EIPs/EIPS/deep/eip-' || doc_id || '.md' END AS file FROM f)
+"""
+
+
+def _tree(spark: SparkSession, d: str) -> str:
+    """A tree of checkouts with a file for each document; its folder."""
+    k, i = F.col("doc_id") % 11, _id()
+    names = ("consensus-specs/specs/deneb/x y/f", i, ".md"), ("EIPs/EIPS/eip-", i, ".md"), ("builder-specs/specs/b", i, ".md"), ("leanSpec/src/lean_spec/p", (F.col("doc_id") % 3).cast("string"), "/m", i, ".py"), ("leanSpec/src/lean_spec/test_", i, ".py"), ("leanSig/src/r", i, ".rs"), ("leanSig/target/r", i, ".rs"), ("pm/n", i, ".md"), ("leanSnappy/s", i, ".py"), ("clients/reth/c", i, ".rs"), ("EIPs/EIPS/deep/eip-", i, ".md")
+    path = F.get(F.array(*[_of(*n) for n in names]), k.cast("int"))
+    root = S.tree_path(shared_folder(spark))
+    S.write_tree(docs(spark, d).where("text is not null").select(path.alias("path"), _of("# File ", i, "\n\n", F.md5("text"), "\n").alias("content"), (F.col("doc_id") * 1000 + 1_000_000_000_000_000_007).alias("mtime_ns")), root)
+    return root
+
+
+@query("s1_s10_p21_file_sources", _TREE + """
+SELECT source, repo, substr(file, length(top) + 1) AS path, file_type, mtime_ns, sha256(content) AS sha256 FROM t JOIN (VALUES
+  ('all', 0, 'consensus-specs', 'consensus-specs/', 'spec'), ('all', 1, 'EIPs', 'EIPs/', 'eip'), ('all', 2, 'builder-specs', 'builder-specs/', 'builder'), ('all', 3, 'leanSpec', 'leanSpec/', 'lean'), ('all', 5, 'leanSig', 'leanSig/', 'rust:leanSig'), ('all', 7, 'pm', 'pm/', 'pm'), ('all', 8, 'leanSnappy', 'leanSnappy/', 'lean'),
+  ('rust', 5, 'leanSig', 'leanSig/', 'rust:leanSig'), ('client', 9, 'reth', 'clients/reth/', 'client')) AS m(source, k, repo, top, file_type) USING (k)""")
+def file_sources(spark, d):
+    """Every source over a tree, with times in nanoseconds and contents by hash."""
+    root = _tree(spark, d)
+    shown = lambda rows, name: rows.select(F.lit(name).alias("source"), "repo", "path", "file_type", "mtime_ns", S.hash_of(F.col("content")).alias("sha256"))
+    client = S.client_files(spark, f"{root}/clients/reth", "reth", "rust").select("path", F.lit("client").alias("file_type"), F.lit("reth").alias("repo"), "content")
+    times = S.tree(spark, f"{root}/clients/reth", names="*.rs").select("path", "mtime_ns")
+    return shown(cli.gather(spark, root), "all").unionByName(shown(S.rust_source_files(spark, f"{root}/leanSig", "leanSig"), "rust")).unionByName(shown(client.join(times, "path"), "client"))
+
+
+@query("j7_registry_on_disk", "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"('{r[0]}')" for r in catalog.CLIENT_REPOS) + ") AS t(repo)) SELECT repo, repo = 'reth' AND EXISTS (SELECT 1 FROM documents WHERE doc_id % 11 = 9 AND text IS NOT NULL) AS present FROM r")
+def registry_on_disk(spark, d):
+    return S.on_disk(spark, catalog.client_repos(spark).select("repo"), f"{_tree(spark, d)}/clients").select("repo", "present")
+
+
+@query("m1_rebuild_reasons", f"""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'No manifest exists' WHEN doc_id % 4 = 1 AND lang <> 'en' THEN 'Embedding model changed: ' || lang || ' -> en' WHEN doc_id % 4 = 2 AND doc_id % 3 <> 0 THEN 'Chunk config changed: {{''chunk_size'': ' || (doc_id % 3) || '}} -> {{''chunk_size'': 0}}' END AS reason FROM documents""")
+def rebuild_reasons(spark, d):
+    """Why manifests with the settings that documents give would be rebuilt; null if they need not."""
+    reason = F.udf(lambda i, lang: needs_rebuild(None if i % 4 == 0 else Manifest(embedding_model=(lang or "") if i % 4 == 1 else "", chunk_config={"chunk_size": i % 3} if i % 4 == 2 else {}), "en", {"chunk_size": 0}), "string", useArrow=True)
+    return docs(spark, d).select("doc_id", reason("doc_id", "lang").alias("reason"))
+
+
+@query("m5_dry_run", f"""{_DIFF.replace("'d/' || doc_id", "'pm/d/' || doc_id || '.md'").replace("a.sha256 = b.sha256", "md5(a.sha256) = md5(b.sha256)")},
+n AS (SELECT count(*) FILTER (change_type = 'add') AS a, count(*) FILTER (change_type = 'modify') AS m, count(*) FILTER (change_type = 'delete') AS x FROM c)
+SELECT path, change_type, 'Would perform incremental update:' || CASE WHEN a > 0 THEN chr(10) || '  Add ' || a || ' files' ELSE '' END || CASE WHEN m > 0 THEN chr(10) || '  Modify ' || m || ' files' ELSE '' END || CASE WHEN x > 0 THEN chr(10) || '  Delete ' || x || ' files' ELSE '' END || chr(10) || '  ~' || 10 * (a + m) || ' chunks to add' || chr(10) || '  ~' || (m + x) || ' chunks to delete' AS summary FROM c, n""")
+def dry_run_plan(spark, d):
+    """What an update of snapshot A's index to B's files would do; nothing is written."""
+    t, index = docs(spark, d), incremental.Index(spark, shared_folder(spark))
+    index.index(_note_files(t.where("doc_id % 7 <> 0"), F.col("text"), F.col("doc_id") * 10))
+    text = F.when(F.col("doc_id") % 5 == 0, _of(F.col("text"), "!")).otherwise(F.col("text"))
+    plan = index.dry_run(_note_files(t.where("doc_id % 11 <> 0"), text, F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") * 10 + 1).otherwise(F.col("doc_id") * 10)))
+    return plan.changes.select("path", "change_type").withColumn("summary", F.lit(plan.summary()))
+
+
+@query("q4_q11_q12_service", f"""
+WITH n AS (SELECT count(*) AS chunks FROM documents WHERE doc_id % 7 <> 0)
+SELECT * FROM (VALUES ('health', 'true'), ('index_exists', 'true'), ('current_fork', '{catalog.CURRENT_FORK}'), ('missing index', 'false')) AS t(name, value)
+UNION ALL SELECT 'commit', '1' FROM n UNION ALL SELECT 'chunks', chunks::VARCHAR FROM n
+UNION ALL SELECT 'source of fn_' || doc_id, 'def fn_' || doc_id || '(x):' || chr(10) || '    return x' || chr(10) FROM documents WHERE doc_id < 40 AND doc_id % 8 = 5""")
+def service_status(spark, d):
+    """The service's own answers over an index and spec files made of documents: health, version, and functions by name."""
+    t, folder = docs(spark, d), shared_folder(spark)
+    index = incremental.Index(spark, folder)
+    index.index(_note_files(t.where("doc_id % 7 <> 0"), F.col("text"), F.col("doc_id") * 10))
+    service = api.Service(spark, index, None, _files(spark, d))
+    version = service.get_spec_version()
+    rows = [("health", str(service.health()["healthy"]).lower()), ("index_exists", str(version["index_exists"]).lower()), ("current_fork", version["current_fork"]), ("missing index", str(api.Service(spark, incremental.Index(spark, f"{folder}/none")).health()["healthy"]).lower()), ("commit", str(index.manifest()[0].commit)), ("chunks", str(index.live().count()))]
+    for r in t.where("doc_id < 40 AND doc_id % 8 = 5").select("doc_id").toLocalIterator():
+        rows.append((f"source of fn_{r['doc_id']}", service.analyze_function(f"fn_{r['doc_id']}", "electra")[0]["source"]))
+    return spark.createDataFrame(rows, "name string, value string")
 
 
 @query("d22_request_rules", """

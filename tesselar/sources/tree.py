@@ -155,3 +155,21 @@ def _read(paths: pa.Array) -> pa.Array:
 def text_of(abs_path: Column) -> Column:
     """A file's text, read where the row is and only if it is asked for; bytes that are no UTF-8 are replaced, a file that is gone gives null."""
     return F.arrow_udf(_read, T.StringType())(abs_path)
+
+
+def write_tree(files: DataFrame, root: str) -> int:
+    """Writes files (path, content, mtime_ns) below a folder, each in the task that has it; their number. A null time stays the time of writing."""
+    top = local(root)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content, time in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                name = os.path.join(top, path)
+                os.makedirs(os.path.dirname(name), exist_ok=True)
+                with open(name, "wb") as f:
+                    f.write((content or "").encode("utf-8", "surrogatepass"))
+                if time is not None:
+                    os.utime(name, ns=(time, time))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    return files.select("path", "content", F.col("mtime_ns").cast("long").alias("mtime_ns")).mapInArrow(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
