@@ -7,6 +7,7 @@ A file's chunks leave one task together, so their running number needs no window
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,15 +47,25 @@ def markdown_pieces(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHU
     return out
 
 
-def _markdown(files: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Rows with whole, content, metadata, at (number in the file) for each piece of a markdown file."""
+#: Fixed value: a fenced Python block that starts with a function.
+FUNCTION_BLOCK = r"(?s)```python\n(def\s+(\w+)\s*\([^`]+?)```"
+
+
+def fenced_functions(text: str | None) -> list[dict]:
+    """The fenced Python blocks of a file that start with ``def``, as pieces without a section."""
+    return [{"whole": None, "content": m[1].strip(), "metadata": {"function_name": m[2]}} for m in re.finditer(FUNCTION_BLOCK, text or "", re.ASCII)]
+
+
+def _markdown(files: DataFrame, size: int, overlap: int, functions: bool = False) -> DataFrame:
+    """Rows with whole, content, metadata, at (number in the file) for each piece of a markdown file; with ``functions`` its fenced functions follow."""
     kept = [c for c in files.columns if c != "content"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for file in pdf.to_dict("records"):
-                for at, p in enumerate(markdown_pieces(file["content"], size, overlap)):
+                pieces = markdown_pieces(file["content"], size, overlap) + (fenced_functions(file["content"]) if functions else [])
+                for at, p in enumerate(pieces):
                     rows.append({**{c: file[c] for c in kept}, **p, "metadata": {k: v for k, v in p["metadata"].items()}, "at": at})
             yield pd.DataFrame(rows, columns=[*kept, "whole", "content", "metadata", "at"])
 
@@ -68,17 +79,12 @@ def _h(level: str) -> Column:
 
 def spec_chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Sections typed by the whole section's text, then a chunk for every fenced function of the file."""
-    cut = _markdown(files.select("path", "repo", "content"), size, overlap)
-    sections = cut.select("content", F.col("path").alias("source"), X.fork_of_path(F.col("path")).alias("fork"), X.section(_h("h1"), _h("h2")).alias("section"), X.spec_chunk_type(F.col("whole")).alias("chunk_type"), "metadata", "repo", F.col("at").alias("ordinal"))
-    return sections.unionByName(function_chunks(files))
-
-
-#: Fixed value: a fenced Python block that starts with a function.
-FUNCTION_BLOCK = r"(?s)```python\n(def\s+(\w+)\s*\([^`]+?)```"
-
-
-#: Ordinal of a file's first function, above any section's: a file's text has fewer code points.
-AFTER_SECTIONS = 1 << 30
+    cut = _markdown(files.select("path", "repo", "content"), size, overlap, True)
+    name = _h("function_name")
+    function = F.col("whole").isNull()
+    section = F.when(function, name).otherwise(X.section(_h("h1"), _h("h2")))
+    kind = F.when(function, "function").otherwise(X.spec_chunk_type(F.col("whole")))
+    return cut.select("content", F.col("path").alias("source"), X.fork_of_path(F.col("path")).alias("fork"), section.alias("section"), kind.alias("chunk_type"), "metadata", "repo", F.col("at").alias("ordinal"))
 
 
 def function_blocks(content: Column) -> Column:
@@ -90,7 +96,7 @@ def function_blocks(content: Column) -> Column:
 def function_chunks(files: DataFrame) -> DataFrame:
     found = files.select("path", "repo", F.posexplode(function_blocks(F.col("content"))).alias("at", "block"))
     name = F.col("block.name")
-    return found.select(F.trim(F.regexp_replace(F.col("block.body"), r"\A\s+|\s+\z", "")).alias("content"), F.col("path").alias("source"), X.fork_of_path(F.col("path")).alias("fork"), name.alias("section"), F.lit("function").alias("chunk_type"), F.create_map(F.lit("function_name"), name).alias("metadata"), "repo", (F.col("at") + AFTER_SECTIONS).cast("int").alias("ordinal"))
+    return found.select(F.trim(F.regexp_replace(F.col("block.body"), r"\A\s+|\s+\z", "")).alias("content"), F.col("path").alias("source"), X.fork_of_path(F.col("path")).alias("fork"), name.alias("section"), F.lit("function").alias("chunk_type"), F.create_map(F.lit("function_name"), name).alias("metadata"), "repo", F.col("at").cast("int").alias("ordinal"))
 
 
 def eip_chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -165,9 +171,12 @@ def client_chunks(extracted: DataFrame, most: int = 2000) -> DataFrame:
     return extracted.select(content.alias("content"), F.col("file_path").alias("source"), F.lit(None).cast("string").alias("fork"), F.col("name").alias("section"), F.when(item, X.client_item_type(F.col("kind"))).otherwise("client_constant").alias("chunk_type"), meta.alias("metadata"), F.col("client").alias("repo"), "ordinal")
 
 
-def with_ids(chunks: DataFrame, project: Column | None = None) -> DataFrame:
-    """Adds chunk_id, numbered over all chunks of a (repo, source) in order. The path part hashes repo and source, so equal paths of two repositories differ."""
-    index = F.row_number().over(Window.partitionBy("repo", "source").orderBy("ordinal")) - 1
+def with_ids(chunks: DataFrame, project: Column | None = None, numbered: bool = False) -> DataFrame:
+    """Adds chunk_id, numbered over all chunks of a (repo, source) in order. The path part hashes repo and source, so equal paths of two repositories differ.
+
+    ``numbered`` says that ``ordinal`` counts a source's chunks from 0 already: then no row moves.
+    """
+    index = F.col("ordinal") if numbered else F.row_number().over(Window.partitionBy("repo", "source").orderBy("ordinal")) - 1
     own = project if project is not None else F.regexp_replace(F.coalesce(F.nullif(F.col("repo"), F.lit("")), F.lit("specs")), "[^A-Za-z0-9_-]", "-")
     return chunks.withColumn("chunk_id", X.chunk_id(own, F.col("chunk_type"), F.concat_ws("/", "repo", "source"), index, F.col("content")))
 
@@ -182,7 +191,7 @@ def chunk_files(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return with_ids(out) if ids else out
+    return with_ids(out, numbered=True) if ids else out
 
 
 def id_of(project: str, kind: str, source: str, index: int, content: str) -> str:

@@ -2,6 +2,7 @@
 
 A rule names a kind, a pattern whose groups fill templates, and how the body ends.
 Bodies end where braces balance; ``aware`` skips braces in strings and comments.
+Rust's tree rules have a grammar of their own (``rustitems``).
 Items and constants of a file keep the order of the rules, then of the text.
 """
 
@@ -12,6 +13,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import NamedTuple
 
+from .rustitems import items as rust_items
+
 
 class Found(NamedTuple):
     row_type: str
@@ -43,7 +46,6 @@ RUST_ASYNC_FN = re.compile(r"^(?P<lead>\s*)(?P<vis>pub(?:\([^)]+\))?\s+)?(?:asyn
 RUST_STRUCT = re.compile(r"^(?P<lead>\s*)(?P<vis>pub(?:\([^)]+\))?\s+)?struct\s+(?P<name>\w+)", re.M)
 RUST_ENUM = re.compile(r"^(?P<lead>\s*)(?P<vis>pub(?:\([^)]+\))?\s+)?enum\s+(?P<name>\w+)", re.M)
 RUST_CONST = re.compile(r"^(?P<lead>\s*)(?P<vis>pub(?:\([^)]+\))?\s+)?const\s+(?P<name>\w+)\s*:\s*(?P<type>[^=]+)\s*=\s*(?P<value>[^;]+);", re.M)
-RUST_IMPL = re.compile(r"^(?P<lead>\s*)(?:unsafe\s+)?impl\b(?P<head>[^{;]*)\{", re.M)
 GO_FUNC = re.compile(r"^func\s+(?:\([^)]+\)\s+)?(?P<name>[A-Z]\w*)\s*\((?P<params>[^)]*)\)\s*(?P<ret>[^{]*)\{", re.M)
 GO_STRUCT = re.compile(r"^type\s+(?P<name>[A-Z]\w*)\s+struct\s*\{", re.M)
 GO_INTERFACE = re.compile(r"^type\s+(?P<name>[A-Z]\w*)\s+interface\s*\{", re.M)
@@ -62,7 +64,7 @@ _ENUM = Rule("enum", RUST_ENUM, lambda m: f"enum {m['name']}", "either")
 RULES: dict[str, list[Rule]] = {
     "rust_spec": [Rule("function", RUST_FN, _rust_signature), _STRUCT, _ENUM, Rule("const", RUST_CONST, body="none")],
     "rust": [Rule("function", RUST_ASYNC_FN, _rust_signature), _STRUCT, Rule("const", RUST_CONST, body="none", public=False)],
-    "rust_tree": [Rule("function", RUST_ASYNC_FN, _rust_signature), _STRUCT, _ENUM, Rule("impl", RUST_IMPL, lambda m: "impl " + " ".join(m["head"].split()), public=False, shown="private"), Rule("const", RUST_CONST, body="none", public=False)],
+    "rust_tree": [],  # by its own grammar
     "go": [
         Rule("function", GO_FUNC, lambda m: f"func {m['name']}({m['params']}) {m['ret'].strip()}".strip(), shown="pub"),
         Rule("struct", GO_STRUCT, lambda m: f"type {m['name']} struct", shown="pub"),
@@ -162,11 +164,31 @@ def _go_constants(lines: list[str]) -> list[Found]:
     return found
 
 
+def rust_tree(text: str) -> list[Found]:
+    """Items with a visibility that starts with pub, and impl blocks; then all constants."""
+    lines, found, constants = text.split("\n"), [], []
+    for x in rust_items(text):
+        line = text.rfind("\n", 0, x.start) + 1
+        start = line if not text[line : x.start].strip() else x.start
+        row = text.count("\n", 0, x.start)
+        doc, above = doc_above(lines, row, "rust"), attributes_above(lines, row)
+        if x.kind == "const":
+            constants.append(Found("constant", "const", x.name, "", "", x.value, x.head, doc, row + 1, x.visibility or "private", above))
+        elif x.kind == "impl":
+            head = " ".join(x.head.split())
+            found.append(Found("item", "impl", re.sub(r"^<[^>]*>\s*", "", head), f"impl {head}", text[start : x.end], None, None, doc, row + 1, "private", above))
+        elif x.visibility and x.kind in ("function", "struct", "enum"):
+            signature = f"fn {x.name}{x.head}" if x.kind == "function" else f"{x.kind} {x.name}"
+            found.append(Found("item", x.kind, x.name, signature, text[start : x.end], None, None, doc, row + 1, x.visibility, above))
+    return found + constants
+
+
 def parse(text: str, rules: str, aware: bool = False) -> list[Found]:
     """Items, then constants, of a source. ``line_number`` is that of the item itself, below blank lines that its pattern also takes."""
+    if rules == "rust_tree":
+        return rust_tree(text)
     lines, language = text.split("\n"), rules.split("_")[0]
     scanned = blanked(text) if aware else text
-    tree = rules == "rust_tree"
     items: list[tuple[int, Found]] = []
     constants: list[Found] = []
     for rule in RULES[rules]:
@@ -179,17 +201,13 @@ def parse(text: str, rules: str, aware: bool = False) -> list[Found]:
             start = m.start() + (lead.rfind("\n") + 1)
             row = text.count("\n", 0, start)
             doc = doc_above(lines, row, language)
-            above = attributes_above(lines, row) if tree else []
             if rule.kind == "const":
                 lo, hi = m.span("value")
                 kind = text[slice(*m.span("type"))].strip() if "type" in given else None
-                constants.append(Found("constant", "const", m["name"], "", "", text[lo:hi].strip(), kind, doc, row + 1, visibility or "private", above))
+                constants.append(Found("constant", "const", m["name"], "", "", text[lo:hi].strip(), kind, doc, row + 1, visibility or "private", []))
                 continue
             body = "" if rule.body == "none" else text[start : _end(rule, scanned, m)]
-            name = given["name"] if "name" in given else re.sub(r"^<[^>]*>\s*", "", " ".join(m["head"].split()))
-            items.append((start, Found("item", rule.kind, name, rule.signature(m), body, None, None, doc, row + 1, rule.shown or visibility or "pub", above)))
-    if tree:
-        items.sort(key=lambda x: x[0])
+            items.append((start, Found("item", rule.kind, m["name"], rule.signature(m), body, None, None, doc, row + 1, rule.shown or visibility or "pub", [])))
     if rules == "go":
         constants = _go_constants(lines)
     return [x for _, x in items] + constants

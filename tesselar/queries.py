@@ -447,6 +447,21 @@ def rust_items(spark, d):
     return found.select(F.col("file_path").cast("bigint").alias("doc_id"), "ordinal", "kind", "name", "signature", "body", "value", "doc_comment", "line_number", "visibility", F.array_join("attributes", ",").alias("attributes"))
 
 
+@query("t11_t16_nested_rust", _items_sql([
+    _item(0, "function", "'f' || doc_id", "'fn f' || doc_id || '(x: [u8; { 2 }]) -> Vec<Vec<u8>>'", """'pub fn f' || doc_id || '(x: [u8; { 2 }]) -> Vec<Vec<u8>> { let s = r#"}"#; /* { /* } */ */ const IN' || doc_id || ': u8 = 1; x }'""", "NULL", "'doc ' || doc_id", 4, "pub", "#[inline]").replace("'line': 4", "'line': 4 + doc_id % 3"),
+    _item(1, "struct", "'S' || doc_id", "'struct S' || doc_id", "'pub struct S' || doc_id || '<T: A<B>> { a: T }'", "NULL", "NULL", 5, "pub", "").replace("'line': 5", "'line': 5 + doc_id % 3"),
+    _item(2, "impl", "'Tr for S' || doc_id || '<T>'", "'impl <T> Tr for S' || doc_id || '<T>'", "'impl<T> Tr for S' || doc_id || '<T> { }'", "NULL", "NULL", 6, "private", "").replace("'line': 6", "'line': 6 + doc_id % 3"),
+    _item(3, "const", "'IN' || doc_id", "''", "''", "'1'", "'doc ' || doc_id", 4, "private", "#[inline]").replace("'line': 4", "'line': 4 + doc_id % 3"),
+    _item(4, "const", "'C' || doc_id", "''", "''", "'{ ' || doc_id || ' }'", "NULL", 7, "private", "").replace("'line': 7", "'line': 7 + doc_id % 3")]))
+def nested_rust(spark, d):
+    """Items in up to three modules, with raw strings, nested comments, generics and braces in types; every fifth source is cut off after them, within its modules."""
+    deep = (F.col("doc_id") % 3).cast("int")
+    close = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.repeat(F.lit("}"), deep + 1))
+    code = _of("mod m", _id(), " {\n", F.repeat(F.lit("mod n {\n"), deep), "/// doc ", _id(), "\n#[inline]\npub fn f", _id(), "(x: [u8; { 2 }]) -> Vec<Vec<u8>> { let s = r#\"}\"#; /* { /* } */ */ const IN", _id(), ": u8 = 1; x }\npub struct S", _id(), "<T: A<B>> { a: T }\nimpl<T> Tr for S", _id(), "<T> { }\nconst C", _id(), ": u8 = { ", _id(), " };\nmacro_rules! q { () => { pub fn no() {} } }\n", close)
+    found = K.extract(docs(spark, d).select(_id().alias("path"), code.alias("content")), "rust_tree")
+    return found.select(F.col("file_path").cast("bigint").alias("doc_id"), "ordinal", "kind", "name", "signature", "body", "value", "doc_comment", "line_number", "visibility", F.array_join("attributes", ",").alias("attributes"))
+
+
 @query("t10_source_segments", """
 WITH r AS (SELECT doc_id, unnest([{'i': 1, 'c': 'MAX_' || doc_id || ': int = 7'}, {'i': 2, 'c': 'class C' || doc_id || '(Base, a.B):' || chr(10) || '    x = 1' || chr(10) || '    def get(self, n: int) -> int:' || chr(10) || '        return n'},
   {'i': 3, 'c': '    def get(self, n: int) -> int:' || chr(10) || '        return n'}, {'i': 4, 'c': 'async def run(a):' || chr(10) || '    pass'}]) AS x FROM documents)
