@@ -21,6 +21,7 @@ from .operators import chunking as K
 from .operators import clients as CL
 from .operators import constants as CV
 from .operators import specs as SP
+from .operators.longfiles import long_pieces
 from .operators.pycode import python_rows
 from .operators.splitting import by_headers, by_size
 from .plans import api, cells, grams, incremental, quantised, search, validation
@@ -325,6 +326,22 @@ def sized_lines(spark, d):
     return _size_split(docs(spark, d).select("doc_id", text.alias("text"))).select("doc_id", "sub_chunk", F.md5("content").alias("content"))
 
 
+@query("t1_t2_long_files", f"""
+WITH d AS (SELECT doc_id, source, (doc_id % 60 + 1)::INT AS m FROM documents WHERE source IS NOT NULL), p AS (SELECT *, unnest(range(CASE WHEN m <= 15 THEN 1 ELSE 1 + (m - 3) // 8 END)) AS i FROM d)
+SELECT source || '.md' AS path, 'D' || doc_id AS h1, CASE WHEN m > 15 THEN i::INT END AS sub_chunk,
+  md5(array_to_string(list_transform(range(CASE WHEN m > 15 THEN 8 * i ELSE 0 END, CASE WHEN m > 15 THEN least(8 * i + 10, m) ELSE m END), lambda k: lpad(doc_id || ':' || k, 99, 'x')), chr(10))) AS content FROM p""")
+def long_files(spark, d):
+    """One file a source, with a section for each of its documents, split by ranges of 64 KiB that cut sections anywhere."""
+    line = lambda k: F.lpad(F.concat_ws(":", _id(), k.cast("string")), 99, "x")
+    text = _of("# D", _id(), "\n", F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("doc_id") % 60), line), "\n"), "\n")
+    rows = docs(spark, d).where("source is not null").select("source", "doc_id", text.alias("content"))
+    places = rows.select("source", "doc_id", F.octet_length("content").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    root = S.tree_path(shared_folder(spark))
+    S.write_parts(rows.join(places.withColumn("offset", before), ["source", "doc_id"]).select(_of(F.col("source"), ".md").alias("path"), "content", "offset"), root)
+    return long_pieces(S.tree(spark, root), 1000, 200, 1 << 16).select("path", "h1", "sub_chunk", F.md5("content").alias("content"))
+
+
 def _short_file() -> Column:
     return _of("# ", F.col("source"), "\n\n| Name | Value |\n| - | - |\n| `MAX_", _id(), "` | `1` |\n\n## ", F.col("lang"), "\n", F.md5("text"), "\n\n```python\ndef fn_", _id(), "(x):\n    return x\n```\n\n```python\nclass T(Container):\n    pass\n```\n")
 

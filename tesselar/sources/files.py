@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators.clients import SUFFIXES
 from .tree import local as tree_path  # noqa: F401  for callers of this module
-from .tree import text_of, tree, write_tree  # noqa: F401
+from .tree import text_of, tree, write_parts, write_tree  # noqa: F401
 
 
 def _files(spark: SparkSession, root: str, names: str, base: str, file_type: str, repo: str, recursive: bool = True, where: Column | None = None) -> DataFrame:
