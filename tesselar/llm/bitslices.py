@@ -56,11 +56,11 @@ def totals(docs: DataFrame) -> tuple[int, int]:
     return int(row[0] or 0), int(row[1] or 0)
 
 
-def _frequencies(raw: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def _frequencies(raw: np.ndarray, ends: np.ndarray, most: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Terms, where the postings of each begin, and the document and frequency of each posting; and the terms of every document."""
     n, parts = len(ends) - 1, []
     lengths = np.zeros(n, np.int64)
-    for part, cut in terms.slices(raw, ends):
+    for part, cut in terms.slices(raw, ends, most):
         part = terms.LOWER[part]
         starts, stops, at = terms.term_spans(part, cut)
         lengths += np.diff(at)
@@ -106,15 +106,17 @@ def build(docs: DataFrame, ws: Workspace, n: int, total: int, name: str = "slice
     """The index of (doc_id, text), written: for each segment a row with its doc_ids (term null) and a row a term."""
     kinds = pa.schema([("segment", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("documents", pa.binary()), ("slices", pa.binary())])
 
+    segment_bytes, slice_bytes, most = terms.SEGMENT, terms.SLICE, terms.DOCUMENTS
+
     def read(batches):
         task, number = TaskContext.get().partitionId(), 0
-        for rows in terms.segments(batches):
+        for rows in terms.segments(batches, segment_bytes, most):
             segment = terms.segment_number(task, number)
             number += 1
             rows = rows.sort_by([("doc_id", "ascending")]).combine_chunks()  # nulls last: bits ascend with ids
             ids = rows["doc_id"].combine_chunks()
             raw, ends = text_bytes(rows["text"].combine_chunks())
-            names, cuts, doc, tf, lengths = _frequencies(raw, ends)
+            names, cuts, doc, tf, lengths = _frequencies(raw, ends, slice_bytes)
             if not len(names):
                 continue
             impact = (1_000_000_000 * tf) // (1000 * tf + 20 * sizes_of(lengths, n, total)[doc])
@@ -200,13 +202,13 @@ class Segment:
             flat[:, j, own] = np.unpackbits(self.slices[self.at[i] : self.at[i + 1]], bitorder="little", count=BITS * len(own)).reshape(BITS, -1)
         return np.packbits(flat, axis=2, bitorder="little").view(np.uint64)
 
-    def best(self, pairs: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def best(self, pairs: np.ndarray, weights: np.ndarray, k: int, words: int = WORDS, terms_: int = TERMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, document, score) of the k highest of each item; ``pairs`` are all (item, term) in ascending order."""
         row = np.full(len(weights), -1, np.int64)
         row[self.term] = np.arange(len(self.term))
         mine = pairs[:, row[pairs[1]] >= 0]
         items, number = np.unique(mine[0], return_inverse=True)
-        step, found = max(1, WORDS // self.words), []
+        step, found = max(1, words // self.words), []
         for first in range(0, len(items), step):
             here = (number >= first) & (number < first + step)
             who, term = number[here] - first, mine[1, here]
@@ -214,7 +216,7 @@ class Segment:
             np.add.at(limit, who, weights[term] * float(1 << BITS))
             scores = np.zeros((int(limit.max()).bit_length() + 1, len(limit), self.words), np.uint64)
             named = np.unique(term)
-            width = max(1, min(TERMS, WORDS // self.words))
+            width = max(1, min(terms_, words // self.words))
             for t in range(0, len(named), width):
                 chunk = named[t : t + width]
                 made = times(self.bitmaps(row[chunk].tolist()), weights[chunk])
@@ -255,12 +257,14 @@ def search_block(postings: DataFrame, items: list[tuple], n: int, k: int = TOP)
     pairs = np.array(sorted((i, place[t]) for i, ts in items for t in set(ts) if weights[place[t]] > 0), np.int64).reshape(-1, 2).T
     names, out = pa.array(known, pa.string()), pa.schema([("number", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
 
+    sizes = WORDS, TERMS
+
     def score(batches):
         best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)]
         for rows, cuts in whole_groups(batches, ["segment"], 1):
             for a, b in zip(cuts, cuts[1:], strict=False):
                 own = Segment(rows.slice(a, b - a), names)
-                i, d, s = own.best(pairs, weights, k)
+                i, d, s = own.best(pairs, weights, k, *sizes)
                 best = [np.concatenate(x) for x in zip(best, (i, s, own.valid[d], own.ids[d]), strict=True)]
                 stay = _first(*best, k)
                 best = [x[stay] for x in best]

@@ -30,6 +30,8 @@ SMOOTHING = 0.5
 LOW = 1e-200
 #: Bytes of words and their scores that a worker keeps.
 CACHE_BYTES = 48 << 20
+#: Code points, or words, that are scored at once.
+SLICE = 1 << 17
 SPACE_MARK = "▁"
 UNKNOWN = "und"
 POINTS = Powers(0x9E3779B97F4A7C15)
@@ -242,6 +244,25 @@ def identify(docs: DataFrame, path: str, found: Iterator[tuple[list[str], np.nda
     return state.withColumn("lang_pred", F.when(letter, F.col("_pred")).otherwise(UNKNOWN)).withColumn("score", F.when(letter, 1 / F.col("_sum")).otherwise(0.0)).drop("_pred", "_top", "_sum")
 
 
+def sliced(words: list[str], most: int = 0) -> Iterator[list[str]]:
+    """Words in slices of about ``most`` code points, or one word."""
+    most, first, size = most or SLICE, 0, 0
+    for i, w in enumerate(words):
+        if size and size + len(w) > most:
+            yield words[first:i]
+            first, size = i, 0
+        size += len(w) + 1
+    if first < len(words):
+        yield words[first:]
+
+
+def _add(total: np.ndarray, owner: np.ndarray, rows: np.ndarray) -> None:
+    """Adds rows to those of their owners, which ascend."""
+    new = np.flatnonzero(np.diff(owner, prepend=-1))
+    if len(new):
+        total[owner[new]] += np.add.reduceat(rows, new, axis=0)
+
+
 def _pass(path: str, langs: list[str], probabilities: np.ndarray):
     names = np.array(langs, object)
 
@@ -254,18 +275,27 @@ def _pass(path: str, langs: list[str], probabilities: np.ndarray):
             _, first, which = distinct_words(raw, starts, stops)
             data = raw.tobytes()
             words = [data[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
-            if held > CACHE_BYTES:
-                known, scores, held = {}, scores[:0], 0
-            fresh = [w for w in words if w not in known]
-            if fresh:
-                known.update(zip(fresh, range(len(scores), len(scores) + len(fresh)), strict=True))
-                scores = np.concatenate([scores, scorer.score([w.decode() for w in fresh])])
-                held += sum(map(len, fresh)) + len(fresh) * (120 + 8 * len(langs))
-            own = np.array([known[w] for w in words], np.int64)
-            total = np.zeros((block.num_rows, len(langs)))
-            full = np.flatnonzero(np.diff(at))
-            if len(full):
-                total[full] = np.add.reduceat(scores[own[which]], at[:-1][full], axis=0)
+            owner, total = np.repeat(np.arange(block.num_rows), np.diff(at)), np.zeros((block.num_rows, len(langs)))
+            cost = lambda ws: sum(map(len, ws)) + len(ws) * (120 + 8 * len(langs))
+            if cost(words) > CACHE_BYTES:  # a text of very many words: scored slice by slice, none is kept
+                low = 0
+                for part in sliced([w.decode() for w in words]):
+                    own = scorer.score(part)
+                    here = np.flatnonzero((which >= low) & (which < low + len(part)))
+                    for i in range(0, len(here), SLICE):
+                        _add(total, owner[here[i : i + SLICE]], own[which[here[i : i + SLICE]] - low])
+                    low += len(part)
+            else:
+                if held > CACHE_BYTES:
+                    known, scores, held = {}, scores[:0], 0
+                fresh = [w for w in words if w not in known]
+                if fresh:
+                    known.update(zip(fresh, range(len(scores), len(scores) + len(fresh)), strict=True))
+                    scores = np.concatenate([scores, *[scorer.score(part) for part in sliced([w.decode() for w in fresh])]])
+                    held += cost(fresh)
+                own = np.array([known[w] for w in words], np.int64)
+                for i in range(0, len(which), SLICE):
+                    _add(total, owner[i : i + SLICE], scores[own[which[i : i + SLICE]]])
             best = total.argmax(axis=1)
             top = total[np.arange(len(best)), best]
             sums = np.exp(total - top[:, None]).sum(axis=1)

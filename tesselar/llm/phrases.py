@@ -45,14 +45,16 @@ def _rows(segment: int, n: int, term=None, number=None, doc_id=None, at=None, co
 def build(docs: DataFrame, ws: Workspace, name: str = "postings") -> DataFrame:
     """The index of (doc_id, text), written: for each segment a row a document (term null; its ``number`` there, ``at`` its first position, ``n`` its words) and a row a term."""
 
+    segment_bytes, slice_bytes, most = terms.SEGMENT, terms.SLICE, terms.DOCUMENTS
+
     def read(batches):
         task, number = TaskContext.get().partitionId(), 0
-        for rows in terms.segments(batches):
+        for rows in terms.segments(batches, segment_bytes, most):
             segment = terms.segment_number(task, number)
             number += 1
             raw, ends = text_bytes(rows["text"].combine_chunks() if rows["text"].num_chunks != 1 else rows["text"].chunk(0))
             counts, before = np.zeros(rows.num_rows, np.int64), 0
-            for part, cut in terms.slices(raw, ends):
+            for part, cut in terms.slices(raw, ends, slice_bytes):
                 part = terms.LOWER[part]
                 starts, stops, at = terms.term_spans(part, cut)
                 own = np.diff(at)
@@ -110,7 +112,7 @@ def _lists(rows: pa.Table, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(keys), counts
 
 
-def _starts(keys: np.ndarray, counts: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
+def _starts(keys: np.ndarray, counts: np.ndarray, w: Windows, most: int = STARTS) -> tuple[np.ndarray, np.ndarray]:
     """(window, position of its first word) of every occurrence in a segment."""
     rows, inside = np.maximum(w.rows, 0), w.rows >= 0
     have = np.where(inside, counts[rows], np.iinfo(np.int64).max)
@@ -118,7 +120,7 @@ def _starts(keys: np.ndarray, counts: np.ndarray, w: Windows) -> tuple[np.ndarra
     rank = np.argsort(have[live], axis=1, kind="stable")
     begin = np.concatenate([[0], np.cumsum(counts)])
     rarest = have[live, rank[:, 0]] if len(live) else np.empty(0, np.int64)
-    block = np.cumsum(rarest) // STARTS
+    block = np.cumsum(rarest) // most
     found = []
     for b in np.unique(block).tolist():
         own = np.flatnonzero(block == b)
@@ -198,8 +200,10 @@ def matches(postings: DataFrame, items: list[tuple], window: int = WINDOW) -> Da
     if not w.terms:
         return postings.sparkSession.createDataFrame([], FOUND)
 
+    most = STARTS
+
     def look(segment, at, n, keys, counts):
-        who, start = _starts(keys, counts, w)
+        who, start = _starts(keys, counts, w, most)
         if len(who):
             yield _hits(segment, at, who, start, w)
 

@@ -124,8 +124,8 @@ class Sweep:
     With ``root`` the run is the whole table, and nothing is open on its left.
     """
 
-    def __init__(self, root: bool, upper: bool):
-        self.stack, self.left, self.upper = [Node(0)] if root else [], [], upper
+    def __init__(self, root: bool, upper: bool, waiting: int = WAITING, ids: int = IDS):
+        self.stack, self.left, self.upper, self.most, self.ids = [Node(0)] if root else [], [], upper, waiting, ids
         self.rows: list[tuple] = []
         self.ends: list[tuple] = []
 
@@ -172,7 +172,7 @@ class Sweep:
                 parent.waiting.append(row)
         if parent:
             parent.add(done.n, done.low, leaves, 1, saved)
-            if len(parent.waiting) > WAITING:
+            if len(parent.waiting) > self.most:
                 self.join_later(parent, path)
 
     def join_later(self, node: Node, path: bytes) -> None:
@@ -183,8 +183,8 @@ class Sweep:
     def put_off(self, node: Node, path: bytes) -> None:
         """An open node's rows and ends go out by its key; its sums go on in the summary."""
         self.join_later(node, path)
-        for i in range(0, len(node.ids), IDS):
-            self.ends.append((key_of(path, node.depth), node.ids[i : i + IDS]))
+        for i in range(0, len(node.ids), self.ids):
+            self.ends.append((key_of(path, node.depth), node.ids[i : i + self.ids]))
         node.ends |= bool(node.ids)
         node.ids = []
 
@@ -223,8 +223,10 @@ def _rows(sweep: Sweep, part: int, number: int):
 def block_trees(ordered: DataFrame) -> DataFrame:
     """Closed nodes, ends of open ones and the summary of each task's block of sorted (conv_id, seq, words)."""
 
+    sizes = WAITING, IDS
+
     def read(batches):
-        block, sweep, number = TaskContext.get().partitionId(), Sweep(False, False), 0
+        block, sweep, number = TaskContext.get().partitionId(), Sweep(False, False, *sizes), 0
         first = last = None
         for batch in batches:
             for conv, seq, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -249,8 +251,10 @@ def block_trees(ordered: DataFrame) -> DataFrame:
 def merged(summaries: DataFrame, fan: int, whole: bool) -> DataFrame:
     """Closed nodes and one summary for every ``fan`` neighbouring blocks; ``whole`` says that these are all."""
 
+    sizes = WAITING, IDS
+
     def join(group: pa.Table) -> pa.Table:
-        sweep, last = Sweep(whole, True), None
+        sweep, last = Sweep(whole, True, *sizes), None
         blocks = group.sort_by("block").to_pylist()
         for b in blocks:
             path = last or (b"", b"")

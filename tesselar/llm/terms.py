@@ -81,22 +81,21 @@ def grouped(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.
     return order, cuts
 
 
-def segments(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 0) -> Iterator[pa.Table]:
-    """Whole rows of a task in tables of about ``most`` bytes of text, or one row, and DOCUMENTS rows."""
-    most = most or SEGMENT
+def segments(batches: Iterator[pa.RecordBatch], most: int, documents: int, column: str = "text") -> Iterator[pa.Table]:
+    """Whole rows of a task in tables of about ``most`` bytes of text, or one row, and at most ``documents`` rows."""
     held, size, n = [], 0, 0
     for batch in batches:
         first = 0
         ends = _offsets(batch.column(batch.schema.get_field_index(column))) if batch.num_rows else None
         while first < batch.num_rows:
-            last = min(max(int(np.searchsorted(ends, ends[first] + most - size, side="right")) - 1, first), batch.num_rows, first + DOCUMENTS - n)
+            last = min(max(int(np.searchsorted(ends, ends[first] + most - size, side="right")) - 1, first), batch.num_rows, first + documents - n)
             if last == first and not held:
                 last = first + 1
             if last > first:
                 held.append(batch.slice(first, last - first))
                 size += int(ends[last] - ends[first])
                 n += last - first
-            if last < batch.num_rows or size >= most or n >= DOCUMENTS:
+            if last < batch.num_rows or size >= most or n >= documents:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size, n = [], 0, 0
             first = last
@@ -104,9 +103,9 @@ def segments(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def slices(raw: np.ndarray, ends: np.ndarray, most: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def slices(raw: np.ndarray, ends: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bytes and text offsets of stretches of about ``most`` bytes that cut no term; a text may go on in the next."""
-    most, at = most or SLICE, 0
+    at = 0
     while at < len(raw) or at == 0:
         to = min(len(raw), at + most)
         while to < len(raw):  # back to a byte outside terms, else on to the next one

@@ -122,3 +122,33 @@ def test_runs_outside_the_vocabulary(spark):
     assert np.allclose(scorer.score(["\U0001f972" * 50])[0], np.log(p[found.index(langid.SPACE_MARK)]) + 200 * np.log(5e-7))
     q = p * [1.0, 1e-3, 1.0]  # a language far behind all along stays finite
     assert np.isfinite(langid.WordScorer(path, q).score(["house" * 50])).all()
+
+
+def test_whole_texts_equal_brute_force(spark, labelled, monkeypatch):
+    """lang_pred and score of texts of several words, from the scores of each word alone; however words are sliced or kept."""
+    path = langid.vocabulary()
+    [(langs, p)] = list(langid.models(labelled, path))
+    scorer = langid.WordScorer(path, p)
+    texts = ["the house of light", "la maison lumière pour", "der die das wasser the", "house house house", "x" * 300 + " und das ist", "日本語 light", "a1 b2 c3"]
+    want = {}
+    for t in texts:
+        total = sum(scorer.score([w])[0] for w in t.split())
+        share = np.exp(total - total.max())
+        want[t] = (langs[int(total.argmax())], 1 / share.sum())
+    frame = spark.createDataFrame([(t,) for t in texts + [" ".join(texts)] * 2], "text string")
+    for cache, size in ((langid.CACHE_BYTES, langid.SLICE), (0, 7), (1 << 30, 3)):
+        monkeypatch.setattr(langid, "CACHE_BYTES", cache)
+        monkeypatch.setattr(langid, "SLICE", size)
+        got = {r.text: (r.lang_pred, r.score) for r in langid.identify(frame, path, iter([(langs, p)])).collect()}
+        for t, (lang, score) in want.items():
+            assert got[t][0] == lang and math.isclose(got[t][1], score, rel_tol=1e-6)
+
+
+def test_words_are_sliced_by_code_points():
+    assert list(langid.sliced(["ab", "c", "dddd", "e" * 50, "f"], 5)) == [["ab", "c"], ["dddd"], ["e" * 50], ["f"]] and list(langid.sliced([])) == []
+
+
+def test_query_has_the_columns_asked_for(spark, labelled, tmp_path):
+    labelled.write.parquet(f"{tmp_path}/documents.parquet")
+    got = langid.op8_language_id(spark, str(tmp_path))
+    assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")] and got.count() == labelled.count()

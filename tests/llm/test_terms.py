@@ -57,5 +57,5 @@ def test_slices_cut_no_term():
 
 def test_segments_hold_whole_rows():
     rows = pa.table({"text": ["a" * 30, "b" * 30, None, "c" * 500, "d", "e" * 99, "f"]})
-    got = [t["text"].to_pylist() for t in terms.segments(rows.to_batches(max_chunksize=2), most=100)]
+    got = [t["text"].to_pylist() for t in terms.segments(rows.to_batches(max_chunksize=2), 100, 4)]
     assert [x for t in got for x in t] == rows["text"].to_pylist() and all(sum(len(x or "") for x in t) <= 100 or len(t) == 1 for t in got)
