@@ -35,13 +35,13 @@ POSTINGS = T.StructType([T.StructField("segment", T.LongType()), T.StructField("
 PLACES = T.StructType([T.StructField("segment", T.LongType()), T.StructField("at", T.LongType()), T.StructField("length", T.LongType()), T.StructField("chunk_id", T.StringType())])
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _segments(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
     held, size = [], 0
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             held.append(batch.slice(i, 64))
             size += held[-1].column(1).nbytes
-            if size >= SEGMENT:
+            if size >= most:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
     if held:
@@ -61,9 +61,11 @@ def _laid(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def postings(rows: DataFrame) -> DataFrame:
     """Both kinds of rows of an index of (chunk_id, content): postings, and places (gram null). Rows with a null content are left out."""
 
+    most = SEGMENT
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        for table in _segments(batches):
+        for table in _segments(batches, most):
             segment = (task << 32) | number
             number += 1
             data, at, n = _laid(table["content"].chunk(0) if table["content"].num_chunks else pa.array([], pa.string()))
