@@ -1,6 +1,7 @@
 """Operator 6: sharding by a two-pass external shuffle.
 
-Pass one scatters rows by a seeded hash over buckets that each fit in memory;
+Pass one scatters rows by a seeded hash over buckets that each fit in memory, the
+copies of a row that has very many by their numbers too;
 pass two shuffles every bucket by Fisher-Yates with a seed of its own. Buckets
 end to end are the shuffled table, and shard s is the s-th of its equal runs, so
 shards differ by one row at most (law ``rows``).
@@ -18,6 +19,8 @@ from .common import Workspace, pieces_of, prefix_sums, small_batches, table
 SHARDS = 24
 BUCKET_BYTES = 16 << 20
 SEED = 42
+#: Copies of a row from which they are numbered, so that they meet different buckets, and copies that one task numbers.
+COPIES, STRETCH = 4096, 10_000
 
 
 def fisher_yates(n: int, seed: tuple[int, int]) -> np.ndarray:
@@ -30,6 +33,23 @@ def fisher_yates(n: int, seed: tuple[int, int]) -> np.ndarray:
     return np.array(order, np.int64)
 
 
+def numbered(rows: DataFrame, copies: int = COPIES, stretch: int = STRETCH) -> DataFrame:
+    """Adds ``copy``: 0 for most rows, 0 to n - 1 for the n copies of a row that has more than ``copies``.
+
+    Copies are alike, so they are counted where they are read and made again from the
+    count, a stretch at a time: no task meets them all, and reruns number them alike.
+    """
+    key = ["doc_id", "crc", "size"]
+    many = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > copies).select(*[F.col(c).alias(f"_{c}") for c in key])
+    if not many.limit(1).count():
+        return rows.withColumn("copy", F.lit(0).cast("bigint"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("crc") == F.col("_crc")) & (F.col("size") == F.col("_size"))
+    counted = rows.join(many, same, "left_semi").groupBy("doc_id", "text", "size", "crc").agg(F.count("*").alias("_n"))
+    parts = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(stretch).cast("bigint")))).repartition("doc_id", "_from")
+    made = parts.withColumn("copy", F.explode(F.sequence("_from", F.least(F.col("_from") + stretch, F.col("_n")) - 1))).select(*rows.columns, "copy")
+    return rows.join(many, same, "left_anti").withColumn("copy", F.lit(0).cast("bigint")).unionByName(made)
+
+
 def shuffle_shards(docs: DataFrame, out: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Writes every row of documents (doc_id, text) to ``out``/shard=s, in slot order within a file, and returns the written table.
 
@@ -41,7 +61,9 @@ def shuffle_shards(docs: DataFrame, out: str, shards: int = SHARDS, seed: int =
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("bigint").alias("size"))
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
     n, buckets = total["n"], max(64, pieces_of(total["size"] or 0, bucket_bytes))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))), F.lit(buckets)).cast("int"))
+    rows = numbered(rows.withColumn("crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))))
+    draw = F.when(F.col("copy") == 0, F.xxhash64(F.lit(seed), "doc_id", "crc")).otherwise(F.xxhash64(F.lit(seed), "doc_id", "crc", "copy"))
+    rows = rows.withColumn("bucket", F.pmod(draw, F.lit(buckets)).cast("int")).drop("crc", "copy")
     before = prefix_sums(rows.groupBy("bucket").agg(F.count("*").alias("n")), "bucket", "n", "before").select("bucket", "before")
 
     def shuffle(bucket: pa.Table) -> pa.Table:
