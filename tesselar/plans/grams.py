@@ -4,9 +4,10 @@ Contents in lower case are laid end to end in segments of about SEGMENT bytes, t
 zero bytes after each. ``postings/commit=N`` has, for the rows that commit N brought,
 the ascending positions of each gram in a segment, sorted by gram over the files, so
 that a look-up reads what its grams' ranges need; ``places/commit=N`` says which row
-stands where. A name's grams at every third byte and at its end cover all its bytes:
-their lists, from the rarest on, moved by their offsets and intersected, are its
-occurrences, and no content is read. A name of one or two bytes is the lists of all
+stands where. A name's grams at every third byte and at its end cover all its bytes,
+and no content is read: names make a trie of grams, and the places of a segment go
+down it together, all names at once, so a segment takes time for its places and what
+is found there, not for each name. A name of one or two bytes is the lists of all
 grams that begin with it. An empty name is held by every content that is not null.
 """
 
@@ -27,9 +28,13 @@ from .store import ChunkTable, Commits
 SEGMENT = 4 << 20
 #: Bytes of names that are looked up at a time.
 BLOCK = 1 << 20
-#: Ids up to which rows are fetched by a filter that reaches the scan.
+#: First grams, and positions, of names that are looked at together.
+WALKED, PLACES_AT_ONCE = 1 << 16, 1 << 18
+#: Ids, or grams, up to which rows are fetched by a filter that reaches the scan.
 FETCHED = 1000
 PLACE = 32
+#: Rows that a look-up hands on at a time.
+ROWS = 1 << 14
 
 POSTINGS = T.StructType([T.StructField("segment", T.LongType()), T.StructField("gram", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("positions", T.BinaryType())])
 PLACES = T.StructType([T.StructField("segment", T.LongType()), T.StructField("at", T.LongType()), T.StructField("length", T.LongType()), T.StructField("chunk_id", T.StringType())])
@@ -107,6 +112,79 @@ def _occurrences(keys: np.ndarray, cover: list[tuple[int, int, int]]) -> np.ndar
     return np.sort(found)
 
 
+class Names:
+    """Trie of names of three bytes and more: an edge is a gram, three bytes on; a rest of one or two bytes is a last gram that overlaps."""
+
+    def __init__(self, names: list[tuple[int, bytes]]):
+        down: list[dict[int, int]] = []  # of each depth: node and gram to node
+        ends: list[tuple[dict[int, list[int]], ...]] = []  # of each depth: a node's own names; names by node and last gram, a byte or two on
+        for number, name in names:
+            node = 0
+            for depth in range(len(name) // 3):
+                if depth == len(down):
+                    down.append({})
+                    ends.append(({}, {}, {}))
+                key = node << 24 | int.from_bytes(name[3 * depth : 3 * depth + 3], "big")
+                node = down[depth].setdefault(key, len(down[depth]))
+            rest = len(name) % 3
+            key = node << 24 | int.from_bytes(name[-3:], "big") if rest else node
+            ends[len(name) // 3 - 1][rest].setdefault(key, []).append(number)
+        self.down = [self._sorted({k: [v] for k, v in d.items()}) for d in down]
+        self.ends = [tuple(self._sorted(d) for d in e) for e in ends]
+
+    @staticmethod
+    def _sorted(found: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys in order, their values end to end, and the n + 1 offsets."""
+        keys = sorted(found)
+        at = np.concatenate([[0], np.cumsum([len(found[k]) for k in keys])]).astype(np.int64)
+        return np.array(keys, np.int64), np.array([x for k in keys for x in found[k]], np.int64), at
+
+    @staticmethod
+    def _met(table: tuple[np.ndarray, np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in key, value) of all keys that the table has."""
+        keys, values, at = table
+        if not len(keys) or not len(key):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        found = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        own = np.flatnonzero(keys[found] == key)
+        first, n = at[found[own]], np.diff(at)[found[own]]
+        return np.repeat(own, n), values[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+    def find(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number of a name, position) of all occurrences, from the sorted (gram, position) of a segment."""
+        if not self.down or not len(keys):
+            return
+        gram, place = keys >> PLACE, keys & ((1 << PLACE) - 1)
+        grams = np.full(int(place.max()) + 4, -1, np.int32)  # the gram at each position, -1 if nobody asks for it
+        grams[place] = gram
+        first = self.down[0][0]
+        a, b = np.searchsorted(gram, first), np.searchsorted(gram, first, side="right")
+        for i in range(0, len(first), WALKED):  # some first grams at a time
+            low, n = a[i : i + WALKED], (b - a)[i : i + WALKED]
+            cuts = np.searchsorted(np.cumsum(n), np.arange(PLACES_AT_ONCE, n.sum(), PLACES_AT_ONCE), side="right") if len(n) else []
+            for u, v in zip([0, *cuts], [*cuts, len(n)], strict=True):
+                m = n[u:v]
+                at = place[np.repeat(low[u:v], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                yield from self._walk(grams, at, np.repeat(self.down[0][1][i + u : i + v], m))
+
+    def _walk(self, grams: np.ndarray, at: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def key(at: np.ndarray, node: np.ndarray, on: int) -> np.ndarray:
+            g = grams[np.minimum(at + on, len(grams) - 1)].astype(np.int64)
+            return np.where(g < 0, -1, node << 24 | g)
+
+        for depth, (own, one, two) in enumerate(self.ends, 1):
+            for table, keyed in ((own, node), (one, key(at, node, 3 * depth - 2)), (two, key(at, node, 3 * depth - 1))):
+                found, number = self._met(table, keyed)
+                if len(found):
+                    yield number, at[found]
+            if depth == len(self.down):
+                return
+            found, node = self._met(self.down[depth], key(at, node, 3 * depth))
+            at = at[found]
+            if not len(at):
+                return
+
+
 class GramIndex(Commits):
     """Grams of a chunk table's segments. ``refresh`` adds the commits it does not have; deleted rows are left out when rows are fetched."""
 
@@ -131,8 +209,11 @@ class GramIndex(Commits):
         self.drop("postings", [n for n in self.numbers("postings", False) if n < base])
         return new
 
-    def find(self, names: list[str], upto: int = 1 << 30) -> DataFrame:
-        """(name, chunk_id, commit, places): rows that hold a name, case aside, and at which bytes of the content in lower case. Deleted rows are still there."""
+    def find(self, names: list[str], upto: int = 1 << 30, live: bool = False) -> DataFrame:
+        """(name, chunk_id, commit, places): rows that hold a name, case aside, and at which bytes of the content in lower case.
+
+        Deleted rows are still there, unless only ``live`` ones are asked for: then places of others are left out before the look-up.
+        """
         base = self.table.base(upto)
         commits = [n for n in self.numbers("places") if base <= n <= upto]
         blocks, held, size = [], [], 0
@@ -141,20 +222,26 @@ class GramIndex(Commits):
             size += len(name) + 1
             if size > BLOCK:
                 blocks, held, size = [*blocks, held], [], 0
-        found = [self._find(block, commits) for block in [*blocks, held] if block]
+        alive = self.table.live(upto).select("chunk_id", "commit") if live else None
+        found = [self._find(block, commits, alive) for block in [*blocks, held] if block]
         out = found[0] if found else self.spark.createDataFrame([], "name string, chunk_id string, commit int, places array<bigint>")
         for x in found[1:]:
             out = out.unionByName(x)
         return out
 
-    def _find(self, names: list[str], commits: list[int]) -> DataFrame:
+    def _find(self, names: list[str], commits: list[int], alive: DataFrame | None = None) -> DataFrame:
         low = self.spark.createDataFrame([(n,) for n in names], "name string").select("name", F.lower("name").alias("low")).collect()  # as the contents were lowered
         asked = [(r["name"], len(r["low"].encode()), _cover(r["low"].encode()) if r["low"] else []) for r in low]
         ranges = sorted({(g, h) for _, _, cover in asked for _, g, h in cover})
         exact, wide = [g for g, h in ranges if g == h], [(g, h) for g, h in ranges if g != h]
-        where = F.col("gram").isin(exact)
+        some = F.lit(False)
         for g, h in wide:
-            where = where | F.col("gram").between(g, h)
+            some = some | F.col("gram").between(g, h)
+
+        known = pa.array([name for name, _, _ in asked])
+        sizes = np.array([size for _, size, _ in asked])
+        trie = Names([(i, r["low"].encode()) for i, r in enumerate(low) if sizes[i] >= 3])
+        short = [(i, cover) for i, (_, size, cover) in enumerate(asked) if size < 3]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def answer(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
@@ -167,15 +254,25 @@ class GramIndex(Commits):
                 n, (raw, _) = lists["n"].to_numpy(), N.raw_bytes(lists["positions"].combine_chunks())
                 keys = np.sort((np.repeat(lists["gram"].to_numpy().astype(np.int64), n) << PLACE) | N.sums(N.unpack(raw), np.concatenate([[0], np.cumsum(n)])))
                 commit = own["commit"][0].as_py()
-                for name, size, cover in asked:
+
+                def rows(number: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+                    row = np.searchsorted(at, places, side="right") - 1
+                    inside = (row >= 0) & (places - at[row] + sizes[number] <= length[row])  # not in the zeros after a content, nor in a row left out
+                    order = np.lexsort((places[inside], number[inside]))
+                    row, places, number = row[inside][order], places[inside][order], number[inside][order]
+                    first = np.append(np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0)), len(row))
+                    for i in range(0, len(first) - 1, ROWS):
+                        cuts = first[i : i + ROWS + 1]
+                        a, b, who = cuts[0], cuts[-1], row[cuts[:-1]]
+                        found = pa.ListArray.from_arrays((cuts - a).astype(np.int32), pa.array(places[a:b] - at[row[a:b]]))
+                        yield pa.RecordBatch.from_arrays([known.take(pa.array(number[cuts[:-1]])), ids.take(pa.array(who)), pa.array(np.full(len(who), commit, np.int32)), found], names=["name", "chunk_id", "commit", "places"])
+
+                for i, cover in short:
                     places = _occurrences(keys, cover) if cover else at
-                    rows = np.searchsorted(at, places, side="right") - 1
-                    inside = places - at[rows] + size <= length[rows]  # not in the zeros after a content
-                    rows, places = rows[inside], places[inside]
-                    if len(rows):
-                        who, first = np.unique(rows, return_index=True)
-                        found = pa.ListArray.from_arrays(np.append(first, len(rows)).astype(np.int32), pa.array(places - at[rows]))
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(who)), ids.take(pa.array(who)), pa.array(np.full(len(who), commit, np.int32)), found], names=["name", "chunk_id", "commit", "places"])
+                    yield from rows(np.full(len(places), i), places)
+                # a first gram's places come together, and with them all of each name's
+                for number, places in trie.find(keys):
+                    yield from rows(number, places)
 
             now, parts = None, []
             for batch in batches:
@@ -194,8 +291,14 @@ class GramIndex(Commits):
             if parts:
                 yield from answer(parts)
 
-        lists = self.read("postings", POSTINGS, commits).where(where).select("commit", "segment", "gram", "n", "positions", F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("string").alias("chunk_id"))
+        lists = self.read("postings", POSTINGS, commits)
+        if len(exact) <= FETCHED:
+            lists = lists.where(F.col("gram").isin(exact) | some)
+        else:  # at most some for each three bytes of a block of names
+            lists = lists.join(F.broadcast(self.spark.createDataFrame([(g, True) for g in exact], "gram int, _asked boolean")), "gram", "left").where(F.col("_asked") | some)
+        lists = lists.select("commit", "segment", "gram", "n", "positions", F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("string").alias("chunk_id"))
         places = self.read("places", PLACES, commits).select("commit", "segment", F.lit(None).cast("int").alias("gram"), F.col("length").alias("n"), F.lit(None).cast("binary").alias("positions"), "at", "chunk_id")
+        places = places.join(alive, ["commit", "chunk_id"], "left_semi").select(places.columns) if alive is not None else places
         both = (lists.unionByName(places) if ranges else places).repartition("commit", "segment").sortWithinPartitions("commit", "segment")
         return both.mapInArrow(run, "name string, chunk_id string, commit int, places array<bigint>")
 

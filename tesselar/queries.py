@@ -1026,8 +1026,7 @@ def content_lookup(spark, d):
     index.refresh(3)
     some = t.where("doc_id % 5 = 0")
     names = some.select(_of("x", F.substring(F.md5("text"), 1, 2)).alias("n")).unionByName(some.where(F.length("text") >= 46).select(F.lower(F.substring("text", 40, 7)).alias("n"))).distinct()
-    found = index.find([r["n"] for r in names.toLocalIterator()], 3)
-    return found.join(table_.live(3).select("chunk_id"), "chunk_id", "left_semi").select("name", "chunk_id")
+    return index.find([r["n"] for r in names.toLocalIterator()], 3, live=True).select("name", "chunk_id")
 
 
 @query("k4_quantised_exact", f"SELECT vec_id, round({_SCORE}, 6) AS score FROM embeddings ORDER BY {_SCORE} DESC, vec_id LIMIT 20")

@@ -79,3 +79,27 @@ def test_occurrences_of_bytes(data, name, at):
     keys = np.sort(np.array([(int.from_bytes(padded[i : i + 3], "big") << grams.PLACE) | i for i in range(len(data))], np.int64))
     want = [i for i in range(len(data)) if padded[i : i + len(name)] == name and i + len(name) <= len(padded)]
     assert grams._occurrences(keys, grams._cover(name)).tolist() == want
+
+
+def test_many_names_meet_a_segment_at_once(spark, tmp_path, monkeypatch):
+    """A look-up's time may not be the number of names times that of segments: no name is intersected on its own."""
+    monkeypatch.setattr(grams, "FETCHED", 20)
+    monkeypatch.setattr(grams, "PLACES_AT_ONCE", 50)
+    monkeypatch.setattr(grams, "WALKED", 7)
+    monkeypatch.setattr(grams, "ROWS", 3)
+    monkeypatch.setattr(grams, "_occurrences", lambda *a: 1 / 0)
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcé ") for _ in range(r.randrange(200))) for _ in range(60)]
+    names = sorted({t[i : i + n] for t in texts for i in range(0, len(t), 9) for n in (3, 4, 5, 6, 7, 9, 20)} | {"abcabcabcabcz", "CAB", "cab", "aBc "})
+    names = [n for n in names if len(n.encode()) > 2]
+    table = ChunkTable(spark, str(tmp_path))
+    table.replace(records(spark, texts), 1)
+    table.delete(spark.createDataFrame([("c3",), ("c0",), ("c59",)], "chunk_id string"), 2)
+    index = GramIndex(spark, table)
+    index.refresh(2)
+    assert sorted((x.name, x.chunk_id) for x in index.find(names, 2).collect()) == scan(table.live(1), names)
+    found = index.find(names, 2, live=True).collect()
+    assert sorted((x.name, x.chunk_id) for x in found) == scan(table.live(2), names)
+    for x in found:
+        t, n = texts[int(x.chunk_id[1:])].encode(), x.name.lower().encode()
+        assert x.places == [i for i in range(len(t)) if t.startswith(n, i)]
