@@ -1,4 +1,4 @@
-"""The folder that all executors share, and plans cut there."""
+"""The folder that all executors share, plans cut there, and the size of Arrow batches."""
 
 from __future__ import annotations
 
@@ -9,6 +9,17 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows and bytes of an Arrow batch. A task's Python holds batches, not partitions, so its memory does not grow with the input.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+
+
+def small_batches(spark: SparkSession | None = None) -> None:
+    """Bounds Arrow batches of a session's plans, as one row may hold a very long text."""
+    if spark := spark or SparkSession.getActiveSession():
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. A session of one machine that names none gets one; a cluster must name it."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import small_batches
+
 DIMENSIONS = 384
 TOKEN = re.compile(r"[a-z0-9_]+")
 
@@ -36,6 +38,7 @@ def cosine_to(a: Column, query: list[float]) -> Column:
     """``cosine`` with one query: whole Arrow batches at a time, the query's own norm taken once."""
     q = np.asarray(query, float)
     size = math.sqrt(float((q * q).sum()))
+    small_batches()
 
     @F.arrow_udf("double")
     def score(vectors: pa.Array) -> pa.Array:
@@ -107,6 +110,7 @@ def embedder(name: str) -> Encoder:
 def encode(text: Column, model: str = "hashing", size: int = TEXTS) -> Column:
     """Vectors of a text column in Arrow batches of ``size`` texts; a worker sets its model up once."""
     make = _maker(model)
+    small_batches()
 
     @F.arrow_udf("array<float>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

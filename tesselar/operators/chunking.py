@@ -11,12 +11,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schemas
 from ..functions import text as X
+from ..functions.lineage import small_batches
 from .codeparse import parse
 from .pycode import python_rows
 from .splitting import by_headers, by_size
@@ -56,21 +58,53 @@ def fenced_functions(text: str | None) -> list[dict]:
     return [{"whole": None, "content": m[1].strip(), "metadata": {"function_name": m[2]}} for m in re.finditer(FUNCTION_BLOCK, text or "", re.ASCII)]
 
 
-def _markdown(files: DataFrame, size: int, overlap: int, functions: bool = False) -> DataFrame:
-    """Rows with whole, content, metadata, at (number in the file) for each piece of a markdown file; with ``functions`` its fenced functions follow."""
-    kept = [c for c in files.columns if c != "content"]
+#: Code points of sections and pieces that a task hands on at a time.
+OUT = 2 << 20
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for file in pdf.to_dict("records"):
-                pieces = markdown_pieces(file["content"], size, overlap) + (fenced_functions(file["content"]) if functions else [])
-                for at, p in enumerate(pieces):
-                    rows.append({**{c: file[c] for c in kept}, **p, "metadata": {k: v for k, v in p["metadata"].items()}, "at": at})
-            yield pd.DataFrame(rows, columns=[*kept, "whole", "content", "metadata", "at"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name != "content")
-    return files.mapInPandas(cut, f"{kinds}, whole string, content string, metadata map<string,string>, at int")
+def _markdown(files: DataFrame, size: int, overlap: int, kind: Column, functions: bool = False) -> DataFrame:
+    """Rows with content, metadata, kind, at (number in the file) for each piece of a markdown file; with ``functions`` its fenced functions follow.
+
+    ``kind`` is said of ``whole``, the piece's whole section (null for a function). A section leaves Python once with all
+    its pieces, not once for each of them.
+    """
+    kept = [f for f in files.schema.fields if f.name != "content"]
+    small_batches(files.sparkSession)
+    piece = pa.struct([("content", pa.string()), ("metadata", pa.map_(pa.string(), pa.string())), ("at", pa.int32())])
+
+    def sections(text: str) -> Iterator[tuple[str | None, list[dict]]]:
+        at = 0
+        for s in by_headers(text):
+            parts = enumerate(by_size(s.content, size, overlap)) if len(s.content) > SPLIT_ABOVE else [(None, s.content)]
+            own = [("h1", s.h1), ("h2", s.h2), ("h3", s.h3)]
+            pieces = [{"content": part, "metadata": own if sub is None else [*own, ("sub_chunk", str(sub))]} for sub, part in parts]
+            yield s.content, [{**p, "at": at + i} for i, p in enumerate(pieces)]
+            at += len(pieces)
+        for i, p in enumerate(fenced_functions(text) if functions else []):
+            yield None, [{"content": p["content"], "metadata": list(p["metadata"].items()), "at": at + i}]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, others = batch.column(batch.schema.get_field_index("content")), [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            rows, n = [], 0
+
+            def made(rows: list, others: list = others) -> pa.RecordBatch:
+                who = pa.array([r[0] for r in rows], pa.int64())
+                return pa.RecordBatch.from_arrays([*(c.take(who) for c in others), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.list_(piece))], names=[*(f.name for f in kept), "whole", "pieces"])
+
+            for i, text in enumerate(texts):
+                for whole, pieces in sections(text.as_py() or ""):
+                    rows.append((i, whole, pieces))
+                    n += len(whole or "") + 256 * len(pieces)
+                    if n >= OUT:
+                        yield made(rows)
+                        rows, n = [], 0
+            if rows:
+                yield made(rows)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    found = files.select(*[f.name for f in kept], "content").mapInArrow(cut, f"{kinds}, whole string, pieces array<struct<content: string, metadata: map<string,string>, at: int>>")
+    return found.select(*[f.name for f in kept], kind.alias("kind"), F.explode("pieces").alias("_p")).select(*[f.name for f in kept], "kind", "_p.*")
 
 
 def _h(level: str) -> Column:
@@ -79,11 +113,11 @@ def _h(level: str) -> Column:
 
 def spec_chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Sections typed by the whole section's text, then a chunk for every fenced function of the file."""
-    cut = _markdown(files.select("path", "repo", "content"), size, overlap, True)
+    cut = _markdown(files.select("path", "repo", "content"), size, overlap, F.when(F.col("whole").isNotNull(), X.spec_chunk_type(F.col("whole"))), True)
     name = _h("function_name")
-    function = F.col("whole").isNull()
+    function = F.col("kind").isNull()
     section = F.when(function, name).otherwise(X.section(_h("h1"), _h("h2")))
-    kind = F.when(function, "function").otherwise(X.spec_chunk_type(F.col("whole")))
+    kind = F.when(function, "function").otherwise(F.col("kind"))
     return cut.select("content", F.col("path").alias("source"), X.fork_of_path(F.col("path")).alias("fork"), section.alias("section"), kind.alias("chunk_type"), "metadata", "repo", F.col("at").alias("ordinal"))
 
 
@@ -102,25 +136,27 @@ def function_chunks(files: DataFrame) -> DataFrame:
 def eip_chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     meta = X.frontmatter(F.col("content"))
     base = files.select("path", "repo", "content", X.eip_number(F.element_at(F.split("path", "/"), -1)).alias("eip"), *[F.element_at(meta, k).alias(k) for k in ("title", "status", "category")])
-    cut = _markdown(base, size, overlap)
+    cut = _markdown(base, size, overlap, F.lit("eip"))
     own = F.create_map(*[x for k in ("eip", "title", "status", "category") for x in (F.lit(k), F.col(k))])
     present = F.map_filter("metadata", lambda k, v: v.isNotNull())
     return cut.select("content", F.col("path").alias("source"), F.lit(None).cast("string").alias("fork"), X.section(_h("h1"), _h("h2")).alias("section"), F.lit("eip").alias("chunk_type"), F.map_concat(own, present).alias("metadata"), "repo", F.col("at").alias("ordinal"))
 
 
 def builder_chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    cut = _markdown(files.select("path", "repo", "content"), size, overlap)
+    cut = _markdown(files.select("path", "repo", "content"), size, overlap, X.builder_chunk_type(F.col("whole")))
     meta = F.map_concat(F.create_map(F.lit("spec_type"), F.lit("builder")), F.col("metadata"))
-    return cut.select("content", F.col("path").alias("source"), F.lit(None).cast("string").alias("fork"), X.section(_h("h1"), _h("h2")).alias("section"), X.builder_chunk_type(F.col("whole")).alias("chunk_type"), meta.alias("metadata"), "repo", F.col("at").alias("ordinal"))
+    return cut.select("content", F.col("path").alias("source"), F.lit(None).cast("string").alias("fork"), X.section(_h("h1"), _h("h2")).alias("section"), F.col("kind").alias("chunk_type"), meta.alias("metadata"), "repo", F.col("at").alias("ordinal"))
 
 
 def notes_chunks(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Meeting notes: plain markdown of type ``pm``."""
-    cut = _markdown(files.select("path", "repo", "content"), size, overlap)
+    cut = _markdown(files.select("path", "repo", "content"), size, overlap, F.lit("pm"))
     return cut.select("content", F.col("path").alias("source"), F.lit(None).cast("string").alias("fork"), X.section(_h("h1"), _h("h2")).alias("section"), F.lit("pm").alias("chunk_type"), "metadata", "repo", F.col("at").alias("ordinal"))
 
 
 def python_chunks(files: DataFrame) -> DataFrame:
+    small_batches(files.sparkSession)
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [
@@ -138,6 +174,7 @@ def extract(files: DataFrame, rules: Column | str, client: Column | str | None =
     as_col = lambda x: F.lit("") if x is None else F.lit(x) if isinstance(x, str) else x
     rows = files.select("path", "content", as_col(rules).alias("rules"), as_col(client).alias("client"), as_col(language).alias("language"))
     names = schemas.EXTRACTED.fieldNames()
+    small_batches(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import numbers as N
+from ..functions.lineage import small_batches
 from .store import ChunkTable, Commits
 
 SEGMENT = 4 << 20
@@ -67,6 +68,7 @@ def postings(rows: DataFrame) -> DataFrame:
     """Both kinds of rows of an index of (chunk_id, content): postings, and places (gram null). Rows with a null content are left out."""
 
     most = SEGMENT
+    small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0

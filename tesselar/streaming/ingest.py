@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas
+from ..functions.lineage import small_batches
 from ..functions.text import relative_path
 from ..plans.incremental import Index
 
@@ -61,6 +62,7 @@ def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def newest(events: DataFrame) -> DataFrame:
     """The stream of events (``EVENT``) that change something, at most one a file and micro-batch."""
+    small_batches(events.sparkSession)
     keyed = events.select(*EVENT.fieldNames()).where("path is not null").withColumn("repo", F.coalesce("repo", F.lit("")))
     return keyed.groupBy("repo", "path").applyInPandasWithState(_newest, CHANGED, STATE, "append", GroupStateTimeout.NoTimeout)
 

@@ -158,3 +158,21 @@ def test_chunk_files(spark):
     assert {x.chunk_type for x in by("src/lib.rs")} == {"rust_function", "rust_struct", "rust_enum", "rust_impl", "rust_const"}
     records = K.to_records(spark.createDataFrame(got, K.chunk_files(files(spark, rows)).schema)).collect()
     assert all(x.fork is not None and x.section is not None for x in records) and next(x for x in records if x.chunk_id == spec[0].chunk_id).h2 is None
+
+
+def test_a_section_leaves_python_once_and_in_small_batches(spark, monkeypatch):
+    """A long section is not repeated for each of its pieces, and no batch holds a partition."""
+    import pyarrow as pa
+
+    from tesselar.functions.lineage import BATCH_BYTES
+
+    files = spark.createDataFrame([("a.md", "r", "x")], "path string, repo string, content string")
+    held, real = [], type(files).mapInArrow
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, f, *a, **k: held.append(f) or real(self, f, *a, **k))
+    rows = K.spec_chunks(files)
+    text = "# A\n" + "word and more words\n" * 20_000
+    made = list(held[0](iter([pa.RecordBatch.from_pydict({"path": ["a.md"] * 20, "repo": ["r"] * 20, "content": [text] * 20})])))
+    assert sum(len(p) for b in made for p in b.column("pieces").to_pylist()) > 20 * 400
+    assert sum(b.nbytes for b in made) < 4 * 20 * len(text) and max(b.nbytes for b in made) < 3 * K.OUT + 4 * len(text)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= BATCH_BYTES and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+    assert [r.chunk_type for r in rows.collect()] == ["spec"]
