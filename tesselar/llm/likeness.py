@@ -1,7 +1,9 @@
 """Near duplicates of the pipeline: texts whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
 
-Candidates come from MinHash: BANDS bands of ROWS minima each; two texts meet in a
-cell if a band agrees. At likeness 0.8 no band agrees with chance
+Candidates come from the trie self-join of SimHash fingerprints (``simhash.link``), here
+of the distinct five-word shingles, and, for the many pairs of likeness 0.8 that differ
+in more bits than a trie can take, from MinHash: BANDS bands of ROWS minima each; two
+texts meet in a cell if a band agrees. At likeness 0.8 no band agrees with chance
 (1 - 0.8**4)**32 = 5e-8. A task has whole cells, compares their texts' minima and
 hands on a spanning forest of what may be alike; its components are families. Then
 a task has a whole family with its shingle sets, compares them exactly and hands on
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructType
 
 from .common import Workspace, blocks, components, give_back, gram_hashes, mix, sent, small_batches, text_bytes, whole_groups, word_hashes, word_spans
-from .simhash import union
+from .simhash import link, union
 from .tokens import spread
 
 SHINGLE = 5
@@ -73,8 +75,18 @@ def minima(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def prints(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each set as signed integer: a bit is set if it is in over half of the shingles' hashes; 0 for the empty set."""
+    out, full = np.zeros(len(at) - 1, np.uint64), np.flatnonzero(np.diff(at))
+    if len(full):
+        bits = np.unpackbits(grams.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, at[:-1][full], axis=0, dtype=np.int32)
+        out[full] = np.packbits(2 * counts > np.diff(at)[full][:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
+    return out.view(np.int64)
+
+
 def with_key(docs: DataFrame, bands: bool) -> DataFrame:
-    """docs (text, other columns stay) with ``key`` of the text's shingle set and, if asked for instead of the text, its ``size``, ``bands`` (none if it has no words) and ``sig``: a byte of each minimum."""
+    """docs (text, other columns stay) with ``key`` of the text's shingle set and, if asked for instead of the text, its ``size``, ``fp`` (SimHash), ``bands`` (none if it has no words) and ``sig``: a byte of each minimum."""
     small_batches(docs.sparkSession)
 
     def add(batches):
@@ -86,7 +98,7 @@ def with_key(docs: DataFrame, bands: bool) -> DataFrame:
                 found = minima(grams, np.append(at[:-1][full], at[-1])) if len(full) else np.empty((0, BANDS), np.int64)
                 has = np.concatenate([[0], np.cumsum(np.diff(at) > 0)])
                 sig = np.ascontiguousarray(found.view(np.uint16).astype(np.uint8))
-                made = made.append_column("size", pa.array(np.diff(at))).append_column("bands", pa.ListArray.from_arrays(pa.array((has * BANDS).astype(np.int32)), pa.array(found.reshape(-1))))
+                made = made.append_column("size", pa.array(np.diff(at))).append_column("fp", pa.array(prints(grams, at))).append_column("bands", pa.ListArray.from_arrays(pa.array((has * BANDS).astype(np.int32)), pa.array(found.reshape(-1))))
                 made = made.append_column("sig", pa.Array.from_buffers(pa.binary(), block.num_rows, [None, pa.py_buffer((has * BANDS * ROWS).astype(np.int32)), pa.py_buffer(sig)]))
                 made = made.drop_columns(["text"])
             yield made
@@ -94,7 +106,7 @@ def with_key(docs: DataFrame, bands: bool) -> DataFrame:
 
     fields = [f for f in docs.schema.fields if not bands or f.name != "text"]
     kind = StructType(fields).add("key", LongType())
-    return docs.mapInArrow(add, kind.add("size", LongType()).add("bands", ArrayType(LongType())).add("sig", BinaryType()) if bands else kind)
+    return docs.mapInArrow(add, kind.add("size", LongType()).add("fp", LongType()).add("bands", ArrayType(LongType())).add("sig", BinaryType()) if bands else kind)
 
 
 LINKS = "a bigint, b bigint"
@@ -130,6 +142,15 @@ def _walk(n: int, alike) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def trie_links(ws: Workspace, least: DataFrame) -> DataFrame:
+    """Links (a, b) of keys whose fingerprints the trie self-join puts into one component: one for each key but the smallest."""
+    printed = least.where("size > 0").select("key", "fp")
+    rooted = ws.put(link(ws, printed.select("fp").distinct()), "fp-roots")
+    named = ws.put(printed.join(rooted, "fp").select("key", "root"), "fp-keys")
+    low = ws.put(named.groupBy("root").agg(F.min("key").alias("b")), "fp-least")
+    return named.join(low, "root").where("key <> b").select(F.col("key").alias("a"), "b")
+
+
 def families(ws: Workspace, least: DataFrame) -> DataFrame:
     """Links (a, b) of keys whose components are families: all keys that share a cell and have AGREE like minima are in one."""
     cells = least.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.xxhash64("band", "value").alias("cell"))
@@ -215,9 +236,9 @@ def links(ws: Workspace, docs: DataFrame, least: DataFrame, members: DataFrame,
 def groups(ws: Workspace, docs: DataFrame) -> DataFrame:
     """(rep_id, rep_key), one row for each group: its smallest doc_id (null: last) from docs (doc_id, text)."""
     printed = with_key(docs, True)
-    least = printed.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "size", "bands", "sig")).alias("_l")).select("key", "_l.*")
+    least = printed.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "size", "fp", "bands", "sig")).alias("_l")).select("key", "_l.*")
     least = ws.put(least, "least")
-    members = ws.put(components(ws, families(ws, least), "cf").select(F.col("node").alias("key"), F.col("root").alias("family")), "families")
+    members = ws.put(components(ws, trie_links(ws, least).unionByName(families(ws, least)), "cf").select(F.col("node").alias("key"), F.col("root").alias("family")), "families")
     found = ws.put(links(ws, docs, least, members), "links")
     rooted = ws.put(components(ws, found, "cl"), "roots")
     named = least.select("key", "none", "doc_id").join(rooted, F.col("key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "key"))

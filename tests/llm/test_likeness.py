@@ -82,3 +82,16 @@ def test_chunks_of_cells_and_families_meet(spark, monkeypatch):
         table.append((i, " ".join(copy)))
     docs = spark.createDataFrame(table, "doc_id bigint, text string").repartition(5)
     assert sorted(x.doc_id for x in likeness.keep_one(docs).collect()) == brute(table)
+
+
+def test_the_trie_gives_candidates(spark, monkeypatch):
+    """Near copies within four bits are linked by the trie self-join alone; what it puts together is still compared exactly."""
+    monkeypatch.setattr(likeness, "families", lambda ws, least: spark.createDataFrame([], likeness.LINKS))
+    r = random.Random(12)
+    table = []
+    for i in range(12):
+        base = [f"w{r.randrange(5000)}" for _ in range(700)]
+        table += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base, "end"]))]
+    table += [(100, "one two three"), (101, "one two four"), (102, ""), (103, None)]
+    docs = spark.createDataFrame(table, "doc_id bigint, text string").repartition(3)
+    assert sorted(x.doc_id for x in likeness.keep_one(docs).collect()) == brute(table)
