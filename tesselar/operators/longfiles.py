@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .splitting import HEADER, SEPARATORS
+from .splitting import HEADER, SEPARATORS, by_size
 
 RANGE = 8 << 20
 #: Bytes read at a time when a line's end is looked for.
@@ -87,6 +87,9 @@ def effect(lines: list[str]) -> str:
     """What a block does to the state, for each fence it may begin in: the fence after it, its titles and its headers, as JSON."""
     out = {}
     for fence in FENCES:
+        if fence and not any(fence in line for line in lines):  # never closed, so nothing here is a header
+            out[fence] = (fence, [KEEP] * 3, 0)
+            continue
         run, n, titles = walk(lines, fence, [KEEP] * 3), -1, None
         while True:
             try:
@@ -232,24 +235,36 @@ def long_pieces(files: DataFrame, size: int, overlap: int, span: int = RANGE) ->
     effects = dealt.select(names).repartition("path", "block").mapInArrow(sum_up, "path string, block bigint, effect string")
     states = effects.groupBy("path").applyInArrow(scan, "path string, block bigint, fence string, titles string, section bigint")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sections that begin and end inside a block."""
+        for r, parts in walked(batches):
+            rows = []
+            for i, (titles, held) in enumerate(parts):
+                if inside(r, i, len(parts)) and (text := "\n".join(held).strip()):
+                    cuts = enumerate(by_size(text, size, overlap)) if len(text) > SPLIT_ABOVE else [(None, text)]
+                    rows += [(r["path"], r["section"] + i, *titles, number, content) for number, content in cuts]
+            if rows:
+                yield batch_of(rows, KINDS)
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a block has of sections that go on in others."""
+        for r, parts in walked(batches):
+            rows = [(r["path"], r["section"] + i, *titles, None, "\n".join(held), r["block"], len(held)) for i, (titles, held) in enumerate(parts) if not inside(r, i, len(parts))]
+            if rows:
+                yield batch_of(rows, [*KINDS, ("block", pa.int64()), ("lines", pa.int64())])
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list]]:
         for batch in batches:
             for r in batch.to_pylist():
-                lines, rows = lines_of(r["abs_path"], r["start"], r["stop"], r["last"]), []
-                parts = list(walk(lines, r["fence"], json.loads(r["titles"])))
-                for i, (titles, held) in enumerate(parts):
-                    inside = (i > 0 or r["block"] == 0) and (i < len(parts) - 1 or r["last"])
-                    key = (r["path"], r["section"] + i, *titles)
-                    if not inside:
-                        rows.append((*key, None, "\n".join(held), r["block"], len(held)))
-                        continue
-                    cutter = Cutter(size, overlap)
-                    cutter.feed("\n".join(held))
-                    rows += [(*key, number, content, None, None) for content, number in cutter.end()]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), [*KINDS, ("block", pa.int64()), ("lines", pa.int64())], strict=True)], names=[n for n, _ in KINDS] + ["block", "lines"])
-
-    made = dealt.join(states, ["path", "block"]).mapInArrow(cut, f"{PIECES}, block bigint, lines bigint")
+                yield r, list(walk(lines_of(r["abs_path"], r["start"], r["stop"], r["last"]), r["fence"], json.loads(r["titles"])))
+
+    def inside(r: dict, i: int, n: int) -> bool:
+        return (i > 0 or r["block"] == 0) and (i < n - 1 or r["last"])
+
+    def batch_of(rows: list[tuple], kinds: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+
+    known = dealt.join(states, ["path", "block"])
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cutter, begun = None, None, False
@@ -273,5 +288,5 @@ def long_pieces(files: DataFrame, size: int, overlap: int, span: int = RANGE) ->
         if cutter:
             yield from rows(cutter.end())
 
-    over = made.where("block is not null").repartition("path", "section").sortWithinPartitions("path", "section", "block")
-    return made.where("block is null").drop("block", "lines").unionByName(over.mapInArrow(mend, PIECES))
+    over = known.mapInArrow(edges, f"{PIECES}, block bigint, lines bigint").repartition("path", "section").sortWithinPartitions("path", "section", "block")
+    return known.mapInArrow(pieces, PIECES).unionByName(over.mapInArrow(mend, PIECES))

@@ -71,3 +71,22 @@ def test_no_files(spark, tmp_path):
     assert L.long_pieces(T.tree(spark, f"{tmp_path}/none"), 1000, 200).count() == 0
     with pytest.raises(ValueError, match="overlap"):
         L.Cutter(5, 5)
+
+
+def test_a_block_without_fences_is_walked_once(monkeypatch):
+    from tesselar.operators import longfiles
+
+    calls, real = [], longfiles.walk
+    texts = ["# A\nx\n## B\ny", "x\n~~~\n# A\n~~~\n# B", "```\n# A", ""]
+    want = {t: {f: longfiles.effect(t.split("\n")) for f in [0]}[0] for t in texts}
+    monkeypatch.setattr(longfiles, "walk", lambda *a: calls.append(a) or real(*a))
+    assert longfiles.effect(texts[0].split("\n")) == want[texts[0]] and len(calls) == 1
+    for t in texts:
+        for fence, (end, titles, n) in longfiles.json.loads(longfiles.effect(t.split("\n"))).items():
+            run, found = real(t.split("\n"), fence, [longfiles.KEEP] * 3), []
+            while True:
+                try:
+                    found.append(next(run)[0])
+                except StopIteration as stop:
+                    assert (end, titles, n) == (stop.value, found[-1], len(found) - 1)
+                    break
