@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.lineage import small_batches
 from ..functions.vectors import cosine_to, encode_query
 
 # Chunk types and repositories of the special searches.
@@ -32,6 +33,7 @@ HIT = ["content", "source", "fork", "section", "chunk_type", "score", "eip", "fu
 
 
 def scored(rows: DataFrame, query: list[float], vector: str = "vector") -> DataFrame:
+    small_batches(rows.sparkSession)  # a thread that answers requests may have no active session
     return rows.withColumn("score", cosine_to(F.col(vector), query))
 
 

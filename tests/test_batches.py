@@ -1,10 +1,13 @@
+import threading
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tesselar.functions import vectors
 from tesselar.functions.lineage import BATCH_BYTES, BATCH_ROWS
 from tesselar.operators import chunking
-from tesselar.plans import grams
+from tesselar.plans import grams, search
 from tesselar.streaming import ingest
 
 FILES = "path string, repo string, content string"
@@ -27,3 +30,35 @@ def test_batches_of_a_step_are_bounded(spark, step):
     STEPS[step](spark)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= BATCH_BYTES
+
+
+def unbounded(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+
+
+def in_a_thread(step):
+    """What a step returns that runs in a thread of its own, as a service's requests do; such a thread has no active session."""
+    found = []
+    thread = threading.Thread(target=lambda: found.append(step()))
+    thread.start()
+    thread.join()
+    return found[0]
+
+
+def batches(rows, text):
+    """(rows, bytes) of the batches that Python is given."""
+
+    @F.arrow_udf("struct<n: int, size: bigint>")
+    def seen(x: pa.Array) -> pa.Array:
+        return pa.array([{"n": len(x), "size": x.nbytes}] * len(x))
+
+    return {(r.b.n, r.b.size) for r in rows.select(seen(text).alias("b")).distinct().collect()}
+
+
+def test_batches_of_a_search_in_a_thread_are_bounded(spark):
+    unbounded(spark)
+    rows = spark.range(3000).coalesce(1).select(F.col("id").cast("string").alias("chunk_id"), F.repeat(F.lit("x"), 40000).alias("content"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"))
+    assert in_a_thread(lambda: search.search(rows, [1.0, 0.0], 2).collect())[0].chunk_id == "0"
+    for n, size in batches(rows, F.col("content")):
+        assert n <= BATCH_ROWS and size <= 2 * BATCH_BYTES
