@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import small_batches
 from ..functions.vectors import encode
 from ..operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_files, to_records
 from ..sources.files import hash_of, hashes, listing
@@ -167,6 +168,7 @@ class Index:
 
     def _records(self, chunks: DataFrame) -> DataFrame:
         """Records with vectors; with a cache only contents that it has not are encoded."""
+        small_batches(chunks.sparkSession)
         if self.cache is None:
             return to_records(chunks, encode(F.col("content"), self.model))
         self.encoded = self.cache.fill(chunks)

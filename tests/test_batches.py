@@ -8,6 +8,7 @@ from tesselar.functions import vectors
 from tesselar.functions.lineage import BATCH_BYTES, BATCH_ROWS
 from tesselar.operators import chunking
 from tesselar.plans import grams, search
+from tesselar.plans.incremental import Index
 from tesselar.streaming import ingest
 
 FILES = "path string, repo string, content string"
@@ -62,3 +63,10 @@ def test_batches_of_a_search_in_a_thread_are_bounded(spark):
     assert in_a_thread(lambda: search.search(rows, [1.0, 0.0], 2).collect())[0].chunk_id == "0"
     for n, size in batches(rows, F.col("content")):
         assert n <= BATCH_ROWS and size <= 2 * BATCH_BYTES
+
+
+def test_batches_that_an_index_encodes_in_a_thread_are_bounded(spark, tmp_path):
+    unbounded(spark)
+    chunks = spark.range(3000).coalesce(1).select(F.col("id").cast("string").alias("chunk_id"), F.lit("a b").alias("content"), *[F.lit("x").alias(c) for c in ("source", "repo", "fork", "section", "chunk_type")], F.create_map(F.lit("h1"), F.lit("x")).alias("metadata"))
+    assert in_a_thread(lambda: Index(spark, f"{tmp_path}/i")._records(chunks).where("size(vector) = 384").count()) == 3000
+    assert max(n for n, _ in batches(chunks, F.col("content"))) <= BATCH_ROWS
