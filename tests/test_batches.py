@@ -65,6 +65,14 @@ def test_batches_of_a_search_in_a_thread_are_bounded(spark):
         assert n <= BATCH_ROWS and size <= 2 * BATCH_BYTES
 
 
+def test_batches_of_the_tools_in_a_thread_are_bounded(spark):
+    rows = spark.range(3000).coalesce(1).select(*[F.lit("x").alias(c) for c in search.HIT if c not in ("score", "chunk_id", "chunk_type")], F.lit("lean_class").alias("chunk_type"), F.col("id").cast("string").alias("chunk_id"), F.array(*[F.lit(1.0)] * 384).alias("vector"))
+    for tool in ("search_lean", "search_specs"):
+        unbounded(spark)
+        assert [r.chunk_id for r in in_a_thread(lambda tool=tool: getattr(search.Searcher(rows), tool)("a b", limit=2).collect())] == ["0", "1"]
+        assert max(n for n, _ in batches(rows, F.col("content"))) <= BATCH_ROWS
+
+
 def test_batches_that_an_index_encodes_in_a_thread_are_bounded(spark, tmp_path):
     unbounded(spark)
     chunks = spark.range(3000).coalesce(1).select(F.col("id").cast("string").alias("chunk_id"), F.lit("a b").alias("content"), *[F.lit("x").alias(c) for c in ("source", "repo", "fork", "section", "chunk_type")], F.create_map(F.lit("h1"), F.lit("x")).alias("metadata"))
