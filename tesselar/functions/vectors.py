@@ -21,6 +21,9 @@ from .lineage import small_batches
 
 DIMENSIONS = 384
 TOKEN = re.compile(r"[a-z0-9_]+")
+BETWEEN = re.compile(r"[^a-z0-9_]")
+#: Code points of a text whose tokens are held at a time, and tokens whose slots are.
+RUN, SLOTS = 1 << 16, 1 << 16
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,17 +67,30 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def token_runs(text: str) -> Iterator[list[str]]:
+    """The tokens of a text in runs of some RUN code points; a run ends where a token does."""
+    text, start = text.lower(), 0
+    while start < len(text):
+        after = BETWEEN.search(text, start + RUN)
+        end = after.start() if after else len(text)
+        yield TOKEN.findall(text, start, end)
+        start = end
+
+
 def slot(token: str, dimensions: int = DIMENSIONS) -> int:
     return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dimensions
 
 
 def hash_embed(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Unit vectors of texts; texts without tokens (null ones too) give zeros."""
-    found = [tokens(text or "") for text in texts]
-    known: dict[str, int] = {t: slot(t, dimensions) for t in {t for ts in found for t in ts}}
-    at = np.fromiter((known[t] for ts in found for t in ts), np.int64)
-    row = np.repeat(np.arange(len(texts)), [len(ts) for ts in found])
-    out = np.bincount(row * dimensions + at, minlength=len(texts) * dimensions).astype(float).reshape(len(texts), dimensions)
+    """Unit vectors of texts; texts without tokens (null ones too) give zeros. Memory beside the texts does not grow with them."""
+    out, known = np.zeros((len(texts), dimensions)), {}
+    for counts, text in zip(out, texts, strict=True):
+        for run in token_runs(text or ""):
+            fresh = set(run).difference(known)
+            if len(known) + len(fresh) > SLOTS:
+                known, fresh = {}, set(run)
+            known.update((t, slot(t, dimensions)) for t in fresh)
+            counts += np.bincount(np.fromiter(map(known.__getitem__, run), np.int64, len(run)), minlength=dimensions)
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.divide(out, norm, out=out, where=norm > 0).astype(np.float32)
 

@@ -1,5 +1,7 @@
 import threading
+import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -78,3 +80,25 @@ def test_batches_that_an_index_encodes_in_a_thread_are_bounded(spark, tmp_path):
     chunks = spark.range(3000).coalesce(1).select(F.col("id").cast("string").alias("chunk_id"), F.lit("a b").alias("content"), *[F.lit("x").alias(c) for c in ("source", "repo", "fork", "section", "chunk_type")], F.create_map(F.lit("h1"), F.lit("x")).alias("metadata"))
     assert in_a_thread(lambda: Index(spark, f"{tmp_path}/i")._records(chunks).where("size(vector) = 384").count()) == 3000
     assert max(n for n, _ in batches(chunks, F.col("content"))) <= BATCH_ROWS
+
+
+LONG = [None, "", "\u0130K \u03a3_a\u212a", "ab cd " * 700_000, "a" * 200_000 + " b", "\u00e9" * 70_000 + "zz", "q" * ((1 << 16) - 1) + "\u0130w", " ".join(f"w{i}" for i in range(70_000))]
+
+
+def test_memory_of_the_embedder_does_not_grow_with_a_text():
+    """The tokens of a text are held in runs: a few times the text itself, not 26 times."""
+    tracemalloc.start()
+    try:
+        vectors.hash_embed(LONG[3:4])
+        assert tracemalloc.get_traced_memory()[1] < 4 * len(LONG[3])
+    finally:
+        tracemalloc.stop()
+
+
+def test_vectors_of_long_texts_count_all_tokens():
+    want = np.zeros((len(LONG), vectors.DIMENSIONS))
+    for row, text in zip(want, LONG, strict=True):
+        for t in vectors.tokens(text or ""):
+            row[vectors.slot(t)] += 1
+    norm = np.sqrt((want * want).sum(axis=1, keepdims=True))
+    assert (vectors.hash_embed(LONG) == np.divide(want, norm, out=want, where=norm > 0).astype(np.float32)).all()
