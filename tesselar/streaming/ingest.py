@@ -22,13 +22,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas
-from ..functions.lineage import small_batches
+from ..functions.lineage import BATCH_BYTES, BATCH_ROWS, small_batches
 from ..functions.text import relative_path
 from ..plans.incremental import Index
 
 EVENT = T.StructType([*schemas.FILE.fields, T.StructField("gone", T.BooleanType())])
 STATE = "mtime_ns bigint, sha256 string"
 CHANGED = "repo string, path string, abs_path string, file_type string, mtime_ns bigint, content string, gone boolean, sha256 string"
+#: Spark bounds what the state's Python hands on in rows alone, and keeps the states of files that hand on none; so each file gives at least one row, and one more for each ROW_BYTES of content. A row without a path says nothing.
+ROW_BYTES = BATCH_BYTES // BATCH_ROWS
+NOTHING = ("", None, None, None, 0, None, False, None)
 
 
 def drop_folder(spark: SparkSession, folder: str, file_type: str, repo: str, pattern: str = "*") -> DataFrame:
@@ -38,7 +41,7 @@ def drop_folder(spark: SparkSession, folder: str, file_type: str, repo: str, pat
     return found.select(relative_path(F.col("abs_path"), folder).alias("path"), "abs_path", F.lit(file_type).alias("file_type"), F.lit(repo).alias("repo"), "mtime_ns", "content", F.lit(False).alias("gone"))
 
 
-def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _last(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> tuple | None:
     """The last event of a file, if it is newer than what was seen and changes something; of equal times the later row, and a deletion, count."""
     time, seen = state.get if state.exists else (None, None)
     last = None
@@ -49,22 +52,28 @@ def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
             if last is None or (e.mtime_ns, bool(e.gone)) >= (last.mtime_ns, bool(last.gone)):
                 last = e
     if last is None or time is not None and last.mtime_ns < time:
-        return
+        return None
     gone = bool(last.gone)
     sha = None if gone else hashlib.sha256((last.content or "").encode("utf-8", "surrogatepass")).hexdigest()
     if state.exists and time == last.mtime_ns and sha == seen:
-        return
+        return None
     state.update((int(last.mtime_ns), sha))
     if gone and state.exists and seen is None and time is not None:
-        return
-    yield pd.DataFrame([(key[0], key[1], last.abs_path, last.file_type, int(last.mtime_ns), None if gone else last.content or "", gone, sha)], columns=[c.split(" ")[0] for c in CHANGED.split(", ")])
+        return None
+    return key[0], key[1], last.abs_path, last.file_type, int(last.mtime_ns), None if gone else last.content or "", gone, sha
+
+
+def _newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    found = _last(key, batches, state)
+    more = len((found[5] or "").encode("utf-8", "surrogatepass")) // ROW_BYTES if found else 0
+    yield pd.DataFrame([found or NOTHING, *[NOTHING] * more], columns=[c.split(" ")[0] for c in CHANGED.split(", ")])
 
 
 def newest(events: DataFrame) -> DataFrame:
     """The stream of events (``EVENT``) that change something, at most one a file and micro-batch."""
     small_batches(events.sparkSession)
     keyed = events.select(*EVENT.fieldNames()).where("path is not null").withColumn("repo", F.coalesce("repo", F.lit("")))
-    return keyed.groupBy("repo", "path").applyInPandasWithState(_newest, CHANGED, STATE, "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("repo", "path").applyInPandasWithState(_newest, CHANGED, STATE, "append", GroupStateTimeout.NoTimeout).where("path is not null")
 
 
 def commit(index: Index, batch: DataFrame, mark: dict[str, int]) -> bool:

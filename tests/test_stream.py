@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,30 @@ def test_a_crash_before_the_header_is_made_good(spark, tmp_path, monkeypatch):
     write(spark, tmp_path, [(2, RUNS[2])])
     ingest.upkeep(stream(spark, tmp_path), index, f"{tmp_path}/checkpoint").awaitTermination()
     assert state(index) == rebuilt(spark, notes(spark, {k: v for k, (v, _) in AFTER.items()}, {k: t for k, (_, t) in AFTER.items()}), tmp_path)
+
+
+class Kept:
+    """The state of one file."""
+
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_rows_that_the_state_hands_on_bound_its_batches_in_bytes():
+    """Spark ends a batch by its rows: a long content counts as many, and a file without a change as one, as its state is kept till then."""
+    state, events = Kept(), lambda *rows: iter([pd.DataFrame(list(rows), columns=ingest.EVENT.fieldNames())])
+    content = "\u00e9x" * 700_000
+    first = list(ingest._newest(("pm", "a"), events(("a", "", "pm", "pm", 10, content, False)), state))
+    quiet = list(ingest._newest(("pm", "a"), events(("a", "", "pm", "pm", 9, "late", False), ("a", "", "pm", "pm", 10, content, False)), state))
+    assert [r.content for x in first for r in x.itertuples() if r.path] == [content] and state.get[0] == 10
+    assert 3 * 700_000 <= ingest.ROW_BYTES * sum(map(len, first)) and [list(x.path) for x in quiet] == [[None]]
+
+
+def test_a_stream_gives_changes_alone_whole_and_with_their_own_times(spark, tmp_path):
+    time, texts = 1_700_000_000_123_456_789, {f"n{i}.md": "z" * (i * 40_000) for i in range(40)}
+    write(spark, tmp_path, [(0, [("x", "", "pm", "pm", None, "no time", False), *[(k, "", "pm", "pm", time + i, v, False) for i, (k, v) in enumerate(texts.items())]])])
+    found = ingest.newest(stream(spark, tmp_path)).writeStream.format("memory").queryName("whole").outputMode("append").trigger(availableNow=True)
+    found.option("checkpointLocation", f"{tmp_path}/checkpoint").start().awaitTermination()
+    assert {(r.path, r.content, r.mtime_ns) for r in spark.table("whole").collect()} == {(k, v, time + i) for i, (k, v) in enumerate(texts.items())} and spark.table("whole").count() == 40
