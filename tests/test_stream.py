@@ -93,3 +93,28 @@ def test_a_stream_gives_changes_alone_whole_and_with_their_own_times(spark, tmp_
     found = ingest.newest(stream(spark, tmp_path)).writeStream.format("memory").queryName("whole").outputMode("append").trigger(availableNow=True)
     found.option("checkpointLocation", f"{tmp_path}/checkpoint").start().awaitTermination()
     assert {(r.path, r.content, r.mtime_ns) for r in spark.table("whole").collect()} == {(k, v, time + i) for i, (k, v) in enumerate(texts.items())} and spark.table("whole").count() == 40
+
+
+def test_files_of_a_bucket_share_a_call_and_each_keeps_its_own_time():
+    """A call of Python takes a bucket, not a file; what is late, repeated or gone again ends in it, and other files go on."""
+    state, names = Kept(), ingest.EVENT.fieldNames()
+    row = lambda path, time, text, gone=False, repo="r": (path, "", "pm", repo, time, text, gone)
+    run = lambda *batches: [(r.repo, r.path, r.mtime_ns, r.content, r.gone) for x in ingest._newest((0,), iter([pd.DataFrame(list(b), columns=names) for b in batches]), state) for r in x.itertuples() if r.path]
+    time = 1_700_000_000_123_456_789
+    assert run([row("a", time, "one"), row("b", 5, ""), row("a", 3, "x", repo="s")], [row("a", time + 1, "two"), row("c", 5, None, True), row("a", 3, None, True, "s")]) == [("r", "a", time + 1, "two", False), ("r", "b", 5, "", False), ("s", "a", 3, None, True), ("r", "c", 5, None, True)]
+    assert run([row("a", time, "late"), row("b", 5, ""), row("a", 4, "back", repo="s"), row("c", 6, None, True)], [row("d", 1, "d")]) == [("s", "a", 4, "back", False), ("r", "d", 1, "d", False)]
+    assert run([row("c", 5, "late"), row("b", 5, "other"), row("a", time + 1, "two")]) == [("r", "b", 5, "other", False)] and not run([row("d", None, "no time")])
+
+
+def test_the_number_of_states_does_not_grow_with_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "BUCKETS", 3, raising=False)
+    files = [event(f"n{i}.md", f"text {i}", 10) for i in range(700)]
+    runs = [files, [event("n3.md", "late", 9), event("n4.md", "new", 11), *files[:50]], [event("n5.md", "", 12, True), *files[50:]]]
+    for i, rows in enumerate(runs):
+        write(spark, tmp_path, [(i, rows)])
+        found = ingest.newest(stream(spark, tmp_path)).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True)
+        found.start(f"{tmp_path}/found").awaitTermination()
+    got = {(r.path, r.mtime_ns, r.gone) for r in spark.read.parquet(f"{tmp_path}/found").collect()}
+    assert got == {(x[0], 10, False) for x in files} | {("n4.md", 11, False), ("n5.md", 12, True)} and spark.read.parquet(f"{tmp_path}/found").count() == 702
+    states = spark.read.format("statestore").load(f"{tmp_path}/checkpoint")
+    assert states.count() == 3 and states.select(F.sum(F.size("value.groupState.paths"))).first()[0] == 700
