@@ -2,9 +2,11 @@
 
 Contents in lower case are laid end to end in segments of about SEGMENT bytes, two
 zero bytes after each. ``postings/commit=N`` has, for the rows that commit N brought,
-the ascending positions of each gram in a segment, sorted by gram over the files, so
-that a look-up reads what its grams' ranges need; ``places/commit=N`` says which row
-stands where. A name's grams at every third byte and at its end cover all its bytes,
+a row for each segment: which contents stand where, and the ascending positions of
+each gram, dealt to PARTS columns by the gram's first two bytes. A segment is whole in
+its row, so neither writing nor looking up moves postings between tasks, and a
+look-up reads the columns of its grams only; ``places/commit=N`` says which row stands
+where. A name's grams at every third byte and at its end cover all its bytes,
 and no content is read: names make a trie of grams, and the places of a segment go
 down it together, all names at once, so a segment takes time for its places and what
 is found there, not for each name. A name of one or two bytes is the lists of all
@@ -27,6 +29,12 @@ from ..functions.lineage import small_batches
 from .store import ChunkTable, Commits
 
 SEGMENT = 4 << 20
+#: Columns that a segment's grams are dealt to.
+PARTS = 64
+#: Rows of an index up to which their numbers, by segment, go to all tasks; of more, postings and numbers meet in a shuffle.
+SENT = 1 << 23
+#: A row of postings is some megabytes: the writer looks at the size of what it holds every few rows, and row groups are small. They are zstandard's, which names and gaps take less of.
+WRITTEN = {"parquet.page.size.row.check.min": "4", "parquet.block.size": str(32 << 20), "compression": "zstd"}
 #: Bytes of names that are looked up at a time.
 BLOCK = 1 << 20
 #: First grams, and positions, of names that are looked at together.
@@ -37,8 +45,14 @@ PLACE = 32
 #: Rows that a look-up hands on at a time.
 ROWS = 1 << 14
 
-POSTINGS = T.StructType([T.StructField("segment", T.LongType()), T.StructField("gram", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("positions", T.BinaryType())])
-PLACES = T.StructType([T.StructField("segment", T.LongType()), T.StructField("at", T.LongType()), T.StructField("length", T.LongType()), T.StructField("chunk_id", T.StringType())])
+PART = [f"p{i:02}" for i in range(PARTS)]
+POSTINGS = T.StructType([T.StructField("segment", T.LongType()), T.StructField("at", T.ArrayType(T.LongType())), T.StructField("length", T.ArrayType(T.LongType())), T.StructField("chunk_id", T.ArrayType(T.StringType())), *[T.StructField(p, T.BinaryType()) for p in PART]])
+PLACES = T.StructType([T.StructField("segment", T.LongType()), T.StructField("row", T.IntegerType()), T.StructField("at", T.LongType()), T.StructField("length", T.LongType()), T.StructField("chunk_id", T.StringType())])
+
+
+def _part(gram):
+    """The column of a gram; those of equal first two bytes are together."""
+    return ((gram >> 8) * 40503 & 0xFFFF) * PARTS >> 16
 
 
 def _segments(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
@@ -64,8 +78,26 @@ def _laid(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, at, n
 
 
+def _packed(gram: np.ndarray, n: np.ndarray, data: np.ndarray) -> bytes:
+    """A column of a segment: how many grams, which, how many positions of each, and these as steps."""
+    return b"".join([len(gram).to_bytes(4, "little"), gram.astype("<i4").tobytes(), n.astype("<i4").tobytes(), data.tobytes()])
+
+
+def _unpacked(values: list[bytes], asked: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
+    """The sorted (gram, position) of grams that are ``asked`` for or lie in ``ranges``, from columns of a segment."""
+    m = [int.from_bytes(x[:4], "little") for x in values]
+    gram = np.concatenate([np.empty(0, np.int64), *[np.frombuffer(x, "<i4", k, 4) for x, k in zip(values, m, strict=True)]]).astype(np.int64)
+    n = np.concatenate([np.empty(0, np.int64), *[np.frombuffer(x, "<i4", k, 4 + 4 * k) for x, k in zip(values, m, strict=True)]]).astype(np.int64)
+    data = np.concatenate([np.empty(0, np.uint8), *[np.frombuffer(x, np.uint8, offset=4 + 8 * k) for x, k in zip(values, m, strict=True)]])
+    wanted = np.isin(gram, asked)
+    for g, h in ranges:
+        wanted |= (gram >= g) & (gram <= h)
+    place = N.sums(N.unpack(data), np.concatenate([[0], np.cumsum(n)]))
+    return np.sort(np.repeat(gram[wanted], n[wanted]) << PLACE | place[np.repeat(wanted, n)])
+
+
 def postings(rows: DataFrame) -> DataFrame:
-    """Both kinds of rows of an index of (chunk_id, content): postings, and places (gram null). Rows with a null content are left out."""
+    """An index (``POSTINGS``) of (chunk_id, content), a row for each segment. Rows with a null content are left out."""
 
     most = SEGMENT
     small_batches(rows.sparkSession)
@@ -79,16 +111,20 @@ def postings(rows: DataFrame) -> DataFrame:
             wide = data.astype(np.uint64)
             inside = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             key = np.sort(((wide[inside] << np.uint64(16) | wide[inside + 1] << np.uint64(8) | wide[inside + 2]) << np.uint64(PLACE)) | inside.astype(np.uint64))
-            gram, place = (key >> np.uint64(PLACE)).astype(np.int32), (key & np.uint64((1 << PLACE) - 1)).astype(np.int64)
+            gram, place = (key >> np.uint64(PLACE)).astype(np.int64), (key & np.uint64((1 << PLACE) - 1)).astype(np.int64)
             cuts = np.append(np.flatnonzero(np.diff(gram, prepend=-1)), len(gram))
             packed, to = N.pack(N.steps(place, cuts)) if len(gram) else (np.empty(0, np.uint8), np.zeros(1, np.int64))
-            m = len(cuts) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, segment)), pa.array(gram[cuts[:-1]]), pa.array(np.diff(cuts)), N.binaries(to[cuts], packed), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string())], names=["segment", "gram", "n", "positions", "at", "chunk_id"])
-            m = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, segment)), pa.nulls(m, pa.int32()), pa.array(n), pa.nulls(m, pa.binary()), pa.array(at), table["chunk_id"].combine_chunks()], names=["segment", "gram", "n", "positions", "at", "chunk_id"])
+            own, size = gram[cuts[:-1]], np.diff(cuts)
+            part, found = _part(own), []
+            for p in range(PARTS):
+                mine = np.flatnonzero(part == p)
+                lists = [packed[to[cuts[i]] : to[cuts[i + 1]]] for i in mine.tolist()]
+                found.append(pa.array([_packed(own[mine], size[mine], np.concatenate([packed[:0], *lists]))], pa.binary()))
+            listed = [pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), x) for x in (pa.array(at), pa.array(n), table["chunk_id"].combine_chunks())]
+            yield pa.RecordBatch.from_arrays([pa.array([segment]), *listed, *found], names=POSTINGS.fieldNames())
 
     lowered = rows.where("content is not null").select(F.col("chunk_id").cast("string").alias("chunk_id"), F.lower("content").alias("content"))
-    return lowered.mapInArrow(run, "segment bigint, gram int, n bigint, positions binary, at bigint, chunk_id string")
+    return lowered.mapInArrow(run, POSTINGS)
 
 
 def _cover(name: bytes) -> list[tuple[int, int, int]]:
@@ -196,10 +232,9 @@ class GramIndex(Commits):
 
     def add(self, rows: DataFrame, commit: int) -> None:
         """Indexes a commit's rows (chunk_id, content). Its places are written last and make it whole."""
-        made = postings(rows)
-        lists = made.where("gram is not null").select("segment", "gram", "n", "positions")
-        self.write(lists.repartitionByRange("gram", "segment").sortWithinPartitions("gram", "segment"), "postings", commit)
-        self.write(made.where("gram is null").select("segment", "at", F.col("n").alias("length"), "chunk_id"), "places", commit)
+        self.write(postings(rows), "postings", commit, **WRITTEN)
+        places = self.read("postings", POSTINGS, [commit]).select("segment", F.posexplode(F.arrays_zip("at", "length", "chunk_id")).alias("row", "p"))
+        self.write(places.select("segment", "row", "p.*"), "places", commit)
 
     def refresh(self, upto: int) -> list[int]:
         """Indexes the segments that reads at a commit need; says which were new."""
@@ -235,31 +270,28 @@ class GramIndex(Commits):
         low = self.spark.createDataFrame([(n,) for n in names], "name string").select("name", F.lower("name").alias("low")).collect()  # as the contents were lowered
         asked = [(r["name"], len(r["low"].encode()), _cover(r["low"].encode()) if r["low"] else []) for r in low]
         ranges = sorted({(g, h) for _, _, cover in asked for _, g, h in cover})
-        exact, wide = [g for g, h in ranges if g == h], [(g, h) for g, h in ranges if g != h]
-        some = F.lit(False)
-        for g, h in wide:
-            some = some | F.col("gram").between(g, h)
+        exact, wide = np.array([g for g, h in ranges if g == h], np.int64), [(g, h) for g, h in ranges if g != h]
+        parts = [PART[p] for p in sorted({_part(x << 8) for g, h in ranges for x in range(g >> 8, (h >> 8) + 1)})]
 
-        known = pa.array([name for name, _, _ in asked])
+        root, known = self.root, pa.array([name for name, _, _ in asked])
         sizes = np.array([size for _, size, _ in asked])
         trie = Names([(i, r["low"].encode()) for i, r in enumerate(low) if sizes[i] >= 3])
         short = [(i, cover) for i, (_, size, cover) in enumerate(asked) if size < 3]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def answer(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-                table = pa.concat_tables(parts)
-                own = table.filter(table["gram"].is_null()).sort_by("at")
-                lists = table.filter(table["gram"].is_valid())
-                if not own.num_rows:
-                    return
-                at, ids, length = own["at"].to_numpy(), own["chunk_id"].combine_chunks(), own["n"].to_numpy()
-                n, (raw, _) = lists["n"].to_numpy(), N.raw_bytes(lists["positions"].combine_chunks())
-                keys = np.sort((np.repeat(lists["gram"].to_numpy().astype(np.int64), n) << PLACE) | N.sums(N.unpack(raw), np.concatenate([[0], np.cumsum(n)])))
-                commit = own["commit"][0].as_py()
+            def answer(batch: pa.RecordBatch, i: int) -> Iterator[pa.RecordBatch]:
+                own = {c: batch[c][i] for c in batch.schema.names}
+                if not own["chunk_id"].is_valid:
+                    raise ValueError(f"{root}: postings of an earlier layout; remove the folder, so that it is made anew")
+                at, length, ids = own["at"].values.to_numpy(), own["length"].values.to_numpy(), own["chunk_id"].values
+                there = np.zeros(len(at), bool)
+                there[own["kept"].values.to_numpy()] = True
+                keys = _unpacked([own[p].as_buffer().to_pybytes() for p in parts], exact, wide)
+                commit = own["commit"].as_py()
 
                 def rows(number: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
                     row = np.searchsorted(at, places, side="right") - 1
-                    inside = (row >= 0) & (places - at[row] + sizes[number] <= length[row])  # not in the zeros after a content, nor in a row left out
+                    inside = there[row] & (places - at[row] + sizes[number] <= length[row])  # not in a row left out, nor in the zeros after a content
                     order = np.lexsort((places[inside], number[inside]))
                     row, places, number = row[inside][order], places[inside][order], number[inside][order]
                     first = np.append(np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0)), len(row))
@@ -276,33 +308,16 @@ class GramIndex(Commits):
                 for number, places in trie.find(keys):
                     yield from rows(number, places)
 
-            now, parts = None, []
             for batch in batches:
-                table = pa.Table.from_batches([batch])
-                keys = np.stack([table["commit"].to_numpy(), table["segment"].to_numpy()])
-                cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), table.num_rows]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    if a == b:
-                        continue
-                    mine = tuple(keys[:, a].tolist())
-                    if mine != now and parts:
-                        yield from answer(parts)
-                        parts = []
-                    now = mine
-                    parts.append(table.slice(a, b - a))
-            if parts:
-                yield from answer(parts)
-
-        lists = self.read("postings", POSTINGS, commits)
-        if len(exact) <= FETCHED:
-            lists = lists.where(F.col("gram").isin(exact) | some)
-        else:  # at most some for each three bytes of a block of names
-            lists = lists.join(F.broadcast(self.spark.createDataFrame([(g, True) for g in exact], "gram int, _asked boolean")), "gram", "left").where(F.col("_asked") | some)
-        lists = lists.select("commit", "segment", "gram", "n", "positions", F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("string").alias("chunk_id"))
-        places = self.read("places", PLACES, commits).select("commit", "segment", F.lit(None).cast("int").alias("gram"), F.col("length").alias("n"), F.lit(None).cast("binary").alias("positions"), "at", "chunk_id")
-        places = places.join(alive, ["commit", "chunk_id"], "left_semi").select(places.columns) if alive is not None else places
-        both = (lists.unionByName(places) if ranges else places).repartition("commit", "segment").sortWithinPartitions("commit", "segment")
-        return both.mapInArrow(run, "name string, chunk_id string, commit int, places array<bigint>")
+                for i in range(batch.num_rows):
+                    yield from answer(batch, i)
+
+        small_batches(self.spark)
+        places = self.read("places", PLACES, commits)
+        few = places.count() <= SENT
+        kept = (places.join(alive, ["commit", "chunk_id"], "left_semi") if alive is not None else places).groupBy("commit", "segment").agg(F.collect_list("row").alias("kept"))
+        lists = self.read("postings", POSTINGS, commits).select("commit", "segment", "at", "length", "chunk_id", *parts)
+        return lists.join(F.broadcast(kept) if few else kept, ["commit", "segment"]).mapInArrow(run, "name string, chunk_id string, commit int, places array<bigint>")
 
     def rows(self, name: str, upto: int, where=None) -> DataFrame:
         """Live rows whose content holds a name, case aside, and that satisfy ``where``; reads the segments that have some."""

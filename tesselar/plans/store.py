@@ -48,8 +48,8 @@ class Commits:
         fs, p = self._fs(self.root)
         return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
 
-    def write(self, rows: DataFrame, kind: str, commit: int) -> None:
-        rows.write.mode("overwrite").parquet(self.path(kind, commit))
+    def write(self, rows: DataFrame, kind: str, commit: int, **options: str) -> None:
+        rows.write.mode("overwrite").options(**options).parquet(self.path(kind, commit))
 
     def read(self, kind: str, schema: T.StructType, commits: list[int]) -> DataFrame:
         """Rows of some commits with the number of each, in a column ``commit``."""
@@ -89,7 +89,7 @@ class ChunkTable(Commits):
 
     def append(self, records: DataFrame, commit: int) -> None:
         """Adds rows (``schemas.RECORD``) in one segment, clustered by type so that filters skip row groups."""
-        self.write(records.select(*schemas.RECORD.fieldNames()).sortWithinPartitions("chunk_type", "fork"), "segments", commit)
+        self.write(records.select(*schemas.RECORD.fieldNames()).sortWithinPartitions("chunk_type", "fork"), "segments", commit, compression="zstd")
 
     def delete(self, ids: DataFrame, commit: int) -> None:
         self.write(ids.select(F.col("chunk_id").cast("string").alias("chunk_id")).distinct(), "tombstones", commit)

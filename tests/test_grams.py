@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -103,3 +104,41 @@ def test_many_names_meet_a_segment_at_once(spark, tmp_path, monkeypatch):
     for x in found:
         t, n = texts[int(x.chunk_id[1:])].encode(), x.name.lower().encode()
         assert x.places == [i for i in range(len(t)) if t.startswith(n, i)]
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for other stages."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_postings_do_not_move_between_tasks(spark, tmp_path, monkeypatch):
+    """Neither an index nor a look-up of many names shuffles postings, so that disk does not grow with blocks of names; 4 blocks here."""
+    monkeypatch.setattr(grams, "SEGMENT", 200_000)
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(20_000)) for _ in range(60)]
+    names = sorted({t[i : i + 7] for t in texts for i in range(0, 20_000, 2_000)})
+    monkeypatch.setattr(grams, "BLOCK", 8 * len(names) // 4)
+    table = ChunkTable(spark, str(tmp_path))
+    table.replace(records(spark, texts), 1)
+    table.delete(spark.createDataFrame([("c3",)], "chunk_id string"), 2)
+    index, before = GramIndex(spark, table), shuffled(spark)
+    index.refresh(2)
+    found = sorted((x.name, x.chunk_id) for x in index.find(names, 2, live=True).collect())
+    assert shuffled(spark) - before < 100_000 < sum(map(len, texts)) and found == scan(table.live(2), names)
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 23])
+def test_an_index_of_any_number_of_rows_is_looked_up(spark, tmp_path, monkeypatch, sent):
+    """Rows that are too many to send to all tasks meet their postings in a shuffle, with the same result; a name reads its grams' columns."""
+    monkeypatch.setattr(grams, "SENT", sent, raising=False)
+    monkeypatch.setattr(grams, "SEGMENT", 30)
+    table = ChunkTable(spark, str(tmp_path))
+    table.replace(records(spark, TEXTS), 1)
+    table.delete(spark.createDataFrame([("c8",), ("c5",)], "chunk_id string"), 2)
+    index = GramIndex(spark, table)
+    index.refresh(2)
+    assert sorted((r.name, r.chunk_id) for r in index.find(NAMES, 2, live=True).collect()) == scan(table.live(2), NAMES)
+    assert 1 <= len(set(re.findall(r"p\d\d:binary", index.find(["abcd"])._jdf.queryExecution().executedPlan().toString()))) <= 2
