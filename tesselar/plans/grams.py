@@ -226,13 +226,15 @@ class Names:
 class GramIndex(Commits):
     """Grams of a chunk table's segments. ``refresh`` adds the commits it does not have; deleted rows are left out when rows are fetched."""
 
+    options = {"postings": WRITTEN}
+
     def __init__(self, spark: SparkSession, table: ChunkTable):
         super().__init__(spark, f"{table.root}/grams")
         self.table = table
 
     def add(self, rows: DataFrame, commit: int) -> None:
         """Indexes a commit's rows (chunk_id, content). Its places are written last and make it whole."""
-        self.write(postings(rows), "postings", commit, **WRITTEN)
+        self.write(postings(rows), "postings", commit)
         places = self.read("postings", POSTINGS, [commit]).select("segment", F.posexplode(F.arrays_zip("at", "length", "chunk_id")).alias("row", "p"))
         self.write(places.select("segment", "row", "p.*"), "places", commit)
 

@@ -22,6 +22,9 @@ TOMB = T.StructType([T.StructField("chunk_id", T.StringType())])
 class Commits:
     """Parquet tables of a folder, one a commit: ``kind/commit=N``, whole once Spark has marked them so."""
 
+    #: Options of the Parquet writer by kind of table.
+    options: dict[str, dict[str, str]] = {}
+
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
@@ -48,8 +51,8 @@ class Commits:
         fs, p = self._fs(self.root)
         return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
 
-    def write(self, rows: DataFrame, kind: str, commit: int, **options: str) -> None:
-        rows.write.mode("overwrite").options(**options).parquet(self.path(kind, commit))
+    def write(self, rows: DataFrame, kind: str, commit: int) -> None:
+        rows.write.mode("overwrite").options(**self.options.get(kind, {})).parquet(self.path(kind, commit))
 
     def read(self, kind: str, schema: T.StructType, commits: list[int]) -> DataFrame:
         """Rows of some commits with the number of each, in a column ``commit``."""
@@ -81,6 +84,8 @@ class Commits:
 
 
 class ChunkTable(Commits):
+    options = {"segments": {"compression": "zstd"}}
+
     def __init__(self, spark: SparkSession, root: str, name: str = "specs"):
         super().__init__(spark, f"{root}/{name}")
 
@@ -89,7 +94,7 @@ class ChunkTable(Commits):
 
     def append(self, records: DataFrame, commit: int) -> None:
         """Adds rows (``schemas.RECORD``) in one segment, clustered by type so that filters skip row groups."""
-        self.write(records.select(*schemas.RECORD.fieldNames()).sortWithinPartitions("chunk_type", "fork"), "segments", commit, compression="zstd")
+        self.write(records.select(*schemas.RECORD.fieldNames()).sortWithinPartitions("chunk_type", "fork"), "segments", commit)
 
     def delete(self, ids: DataFrame, commit: int) -> None:
         self.write(ids.select(F.col("chunk_id").cast("string").alias("chunk_id")).distinct(), "tombstones", commit)
